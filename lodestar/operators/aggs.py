@@ -37,3 +37,42 @@ def top_levels(df: DataFrame, c: str, n: int) -> DataFrame:
     """The n most frequent levels (ties by level) as a small frame."""
     return (df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
             .orderBy(F.col("_n").desc(), F.col(c)).limit(n).select(c))
+
+
+def describe(df: DataFrame, by: Sequence[str], c: str) -> DataFrame:
+    """count / mean / std / min / quartiles / max per group (pandas ``describe``)."""
+    return df.groupBy(*by).agg(
+        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
+        F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.5)).alias("q50"),
+        F.percentile(c, F.lit(0.75)).alias("q75"), F.max(c).alias("max"))
+
+
+def resample_mean_wide(long: DataFrame, series: str, date: str, value: str, names: Sequence[str],
+                       period: str = "quarter") -> DataFrame:
+    """Mixed-frequency long series -> one row per period, one mean column per series."""
+    if period == "quarter":
+        key = F.last_day(F.add_months(F.date_trunc("quarter", F.col(date)).cast("date"), 2))
+    else:
+        key = F.col(date).cast("date")
+    return long.groupBy(key.alias("period")).pivot(series, list(names)).agg(F.avg(value))
+
+
+def missingness(df: DataFrame, by: Sequence[str], cols: dict[str, str]) -> DataFrame:
+    """Null share per column (run before imputing)."""
+    return df.groupBy(*by).agg(*[F.avg(F.col(c).isNull().cast("int")).alias(n) for c, n in cols.items()])
+
+
+def pre_post_breakdown(df: DataFrame, by: str, date_col: str, cut: str) -> DataFrame:
+    """Per-category pre/post counts, change and share of the total change (%)."""
+    is_post = F.col(date_col) >= F.lit(cut).cast("timestamp")
+    c = df.groupBy(by).agg(F.sum(F.when(is_post, 0).otherwise(1)).cast("long").alias("pre"),
+                           F.sum(F.when(is_post, 1).otherwise(0)).cast("long").alias("post"))
+    c = c.select("*", (F.col("post") - F.col("pre")).alias("change"))
+    total = c.select(F.sum("change")).scalar()
+    return c.select("*", safe_ratio(F.col("change") * 100.0, total).alias("pct_of_total_change"))
+
+
+def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
+    """Deterministic sample of n rows: the n smallest ``xxhash64(keys, seed)``."""
+    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    return df.select("*", h.alias("_h")).orderBy("_h", *keys).limit(n).drop("_h")

@@ -130,7 +130,7 @@ def q_first_per_key(spark, sf):
 @register("qcut_bucket", section="W", sql=cte(f1=V.F1) + """
 , e AS (SELECT institution, min(loan_amount) AS lo, max(loan_amount) AS hi,
                quantile_cont(loan_amount, [0.25, 0.5, 0.75]) AS qs FROM f1 GROUP BY 1)
-SELECT f1.institution, len(list_filter(list_distinct(qs), lambda x: x > lo AND x < hi AND x < loan_amount)) AS bucket,
+SELECT f1.institution, CAST(len(list_filter(list_distinct(qs), lambda x: x > lo AND x < hi AND x < loan_amount)) AS INTEGER) AS bucket,
        count(*) AS n, round(min(loan_amount), 6) AS min_amount, round(max(loan_amount), 6) AS max_amount
 FROM f1 JOIN e ON f1.institution = e.institution GROUP BY ALL""")
 def q_qcut_bucket(spark, sf):

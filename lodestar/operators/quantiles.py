@@ -32,8 +32,10 @@ def qcut(df: DataFrame, c: str, q: int, by: Sequence[str] = (), duplicates: str
     if by:
         j = df.join(edges, list(by), "left")
     else:
-        row = edges.select(F.struct("_lo", "_hi", "_qs").alias("_e"))
-        j = df.select("*", row.scalar().alias("_e")).select("*", "_e._lo", "_e._hi", "_e._qs").drop("_e")
+        # one row of q + 1 edge values: a bounded literal, safe to bring to the driver
+        e = edges.first()
+        j = df.select("*", F.lit(e["_lo"]).alias("_lo"), F.lit(e["_hi"]).alias("_hi"),
+                      F.array(*[F.lit(float(v)) for v in (e["_qs"] or [])]).cast("array<double>").alias("_qs"))
     x = F.col(c)
     inner = F.filter(F.array_distinct("_qs"), lambda e: (e > F.col("_lo")) & (e < F.col("_hi")))
     bucket = F.when(x.isNull(), F.lit(None).cast("int")).otherwise(F.size(F.filter(inner, lambda e: e < x)))

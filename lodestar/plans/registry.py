@@ -29,7 +29,7 @@ def register(key: str, sql: str | None = None, section: str = ""):
 def load_all() -> None:
     """Import every plan module so its queries register."""
     import importlib
-    for mod in ("risk", "scalars", "aggs", "windows", "joins", "sources", "text", "stats", "causal",
+    for mod in ("risk", "scalars", "aggs", "windows", "joins", "sources", "text", "stats", "causal", "impact",
                 "ml", "domain", "streams"):
         try:
             importlib.import_module(f"lodestar.plans.{mod}")

@@ -131,9 +131,11 @@ def _sum_partials(part: DataFrame, by: Sequence[str]) -> dict:
     """Tree-reduce per-partition vectors to one vector per group; collect (small)."""
     ex = part.select(*by, F.posexplode("vec").alias("pos", "v"))
     s = ex.groupBy(*by, "pos").agg(F.sum("v").alias("v"))
-    g = s.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("vs"))
-    rows = g.collect()
-    return {tuple(r[b] for b in by): np.array([x["v"] for x in r["vs"]]) for r in rows}
+    # groups x vector-length rows (k x k per group): small, assembled on the driver
+    out: dict = {}
+    for r in s.collect():
+        out.setdefault(tuple(r[b] for b in by), {})[r["pos"]] = r["v"]
+    return {key: np.array([d[i] for i in range(len(d))]) for key, d in out.items()}
 
 
 def _vec_schema(part_df: DataFrame, by: Sequence[str]) -> str:

@@ -39,9 +39,8 @@ def outer_align(a: DataFrame, b: DataFrame, key: str, va: str, vb: str, diff: st
 def dim_lookup_default(df: DataFrame, dim: DataFrame, key: str, order: Sequence[str],
                        defaults: dict[str, object]) -> DataFrame:
     """Left join to the first dimension row per key (total order), with defaults."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(*order)
-    first = dim.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    from lodestar.operators.windows import first_per_key
+    first = first_per_key(dim, [key], list(order) + [c for c in dim.columns if c != key and c not in order])
     j = df.join(first, key, "left")
     return j.select(*[F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c)
                       for c in j.columns])

@@ -82,10 +82,19 @@ def within_demean(df: DataFrame, cols: Sequence[str], group: Sequence[str] | str
     return out.select(*df.columns, *[(F.col(c) - F.col(f"_m_{c}")).alias(c + suffix) for c in cols])
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Earliest row per key under a total order (ties broken by the given columns)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Earliest row per key under a total order (ascending, NULLs first, like
+    ``row_number() = 1``).
+
+    Written as ``min(struct(order..., row))`` per key: a partial aggregation, so a
+    hot key (even a third of all rows) is reduced inside every map task before
+    the shuffle instead of being sorted in a single window task."""
+    order = list(order)
+    payload = [c for c in df.columns if c not in keys]
+    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
+                      F.struct(*[F.col(c) for c in payload]).alias("_row"))
+    agg = df.groupBy(*keys).agg(F.min(packed).alias("_m"))
+    return agg.select(*keys, "_m._row.*").select(*df.columns)
 
 
 def latest_period(df: DataFrame, date_col: str) -> DataFrame:

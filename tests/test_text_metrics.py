@@ -53,3 +53,40 @@ def test_auc_and_ap_against_brute_force(spark):
         want += (r - prev_r) * tp / (tp + fp)
         prev_r = r
     assert abs(ap - want) < 1e-12
+
+
+def test_fuzzy_exact_on_random_typos(spark):
+    """The prefix-filtered join finds exactly the brute-force best matches."""
+    rng = np.random.default_rng(7)
+    alphabet = list("abcdefghij ")
+    cands = sorted({"".join(rng.choice(alphabet, size=rng.integers(4, 16))).strip() or "x" for _ in range(60)})
+    queries = []
+    for s in cands[:40]:
+        s2 = list(s)
+        for _ in range(rng.integers(0, 3)):
+            op = rng.integers(0, 3)
+            pos = int(rng.integers(0, len(s2) + 1))
+            if op == 0 and s2:
+                del s2[min(pos, len(s2) - 1)]
+            elif op == 1:
+                s2.insert(pos, str(rng.choice(alphabet[:-1])))
+            elif s2:
+                s2[min(pos, len(s2) - 1)] = str(rng.choice(alphabet[:-1]))
+        queries.append("".join(s2).strip() or "y")
+    c = spark.createDataFrame([(n, i) for i, n in enumerate(cands)], "name string, cert int")
+    q = spark.createDataFrame([(n,) for n in set(queries)], "company string")
+    got = {r.company: (r.cert, round(r.match_score, 9))
+           for r in T.fuzzy_best_match(q, "company", c, "name", "cert", "cert").collect()}
+
+    def key(s):
+        return " ".join(sorted(s.split()))
+    want = {}
+    for qs in set(queries):
+        best = None
+        for i, cs in enumerate(cands):
+            sc = T.indel_ratio(key(qs), key(cs))
+            if sc >= 88 and (best is None or sc > best[1]):
+                best = (i, round(sc, 9))
+        if best:
+            want[qs] = best
+    assert got == want and len(want) > 10

@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from lodestar.functions.scalars import safe_ratio
 
 
-def exact_quantiles(c: str, probs: Sequence[float]) -> list[Column]:
-    """Linear-interpolated exact quantiles (= pandas ``quantile`` = SQL ``quantile_cont``)."""
-    return [F.percentile(F.col(c), F.lit(float(p))) for p in probs]
-
-
 def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Fill NULLs with the column's exact median over ``df`` (one scalar subquery each)."""
-    fills = {c: df.select(F.median(c)).scalar() for c in cols}
-    return df.select(*[F.coalesce(F.col(c), fills[c]).alias(c) if c in fills else F.col(c) for c in df.columns])
+    """Fill NULLs with the column's exact median over ``df`` (distributed exact quantile;
+    one number per column comes back to the driver)."""
+    from lodestar.operators.quantiles import exact_quantiles
+    fills = {c: exact_quantiles(df, c, [0.5]).first()["value"] for c in cols}
+    return df.select(*[F.coalesce(F.col(c), F.lit(fills[c])).alias(c) if c in fills else F.col(c)
+                       for c in df.columns])
 
 
 def value_share(df: DataFrame, by: Sequence[str], value: str, name: str = "pct") -> DataFrame:
@@ -41,10 +39,10 @@ def top_levels(df: DataFrame, c: str, n: int) -> DataFrame:
 
 def describe(df: DataFrame, by: Sequence[str], c: str) -> DataFrame:
     """count / mean / std / min / quartiles / max per group (pandas ``describe``)."""
-    return df.groupBy(*by).agg(
-        F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"),
-        F.percentile(c, F.lit(0.25)).alias("q25"), F.percentile(c, F.lit(0.5)).alias("q50"),
-        F.percentile(c, F.lit(0.75)).alias("q75"), F.max(c).alias("max"))
+    from lodestar.operators.quantiles import with_quantiles
+    agg = df.groupBy(*by).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                              F.min(c).alias("min"), F.max(c).alias("max"))
+    return with_quantiles(agg, df, by, [(c, 0.25, "q25"), (c, 0.5, "q50"), (c, 0.75, "q75")])
 
 
 def resample_mean_wide(long: DataFrame, series: str, date: str, value: str, names: Sequence[str],

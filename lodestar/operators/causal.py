@@ -137,11 +137,11 @@ def placebo_permutation(df: DataFrame, y: str, xs: Sequence[str], flag: str, key
 
 
 def placebo_summary(draws: DataFrame, actual_coef: float) -> DataFrame:
-    return draws.agg(F.count(F.lit(1)).alias("n_draws"), F.avg("odds_ratio").alias("mean_or"),
-                     F.percentile("odds_ratio", F.lit(0.025)).alias("or_p2_5"),
-                     F.percentile("odds_ratio", F.lit(0.975)).alias("or_p97_5"),
-                     F.stddev_pop("coef").alias("sd_coef"),
-                     F.avg((F.abs("coef") >= abs(actual_coef)).cast("int")).alias("p_value"))
+    from lodestar.operators.quantiles import with_quantiles
+    agg = draws.agg(F.count(F.lit(1)).alias("n_draws"), F.avg("odds_ratio").alias("mean_or"),
+                    F.stddev_pop("coef").alias("sd_coef"),
+                    F.avg((F.abs("coef") >= abs(actual_coef)).cast("int")).alias("p_value"))
+    return with_quantiles(agg, draws, [], [("odds_ratio", 0.025, "or_p2_5"), ("odds_ratio", 0.975, "or_p97_5")])
 
 
 # ---------------------------------------------------------------- synthetic control

@@ -1,6 +1,6 @@
 """Value-based quantile buckets (pandas ``qcut`` semantics) and quantile flags.
 
-Edges are exact linear-interpolated quantiles (``percentile``), computed once
+Edges are exact linear-interpolated quantiles (``exact_quantiles``), computed once
 per group with partial aggregation and joined back (one small row per group),
 so a hot group never lands in a single window task. Buckets are right-closed
 with the minimum in bucket 0; with ``duplicates='drop'`` repeated edges merge.
@@ -10,14 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def qcut_edges(df: DataFrame, c: str, q: int, by: Sequence[str] = ()) -> DataFrame:
-    probs = F.array(*[F.lit(i / q) for i in range(1, q)])
-    aggs = [F.min(c).alias("_lo"), F.max(c).alias("_hi"), F.percentile(F.col(c), probs).alias("_qs")]
-    return df.groupBy(*by).agg(*aggs)
+    """Per group: min, max and the q - 1 inner exact quantiles as an array."""
+    by = list(by)
+    key = by or ["_all"]
+    src = df if by else df.select("*", F.lit(0).alias("_all"))
+    mm = src.groupBy(*key).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
+    qs = exact_quantiles(src, c, [i / q for i in range(1, q)], key)
+    arr = qs.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("q_index", "value"))),
+                                           lambda s: s["value"]).alias("_qs"))
+    out = mm.join(arr, key, "left")
+    return out if by else out.drop("_all")
 
 
 def qcut(df: DataFrame, c: str, q: int, by: Sequence[str] = (), duplicates: str = "raise",
@@ -44,7 +51,93 @@ def qcut(df: DataFrame, c: str, q: int, by: Sequence[str] = (), duplicates: str
 
 def quantile_flags(df: DataFrame, c: str, lo_p: float = 0.25, hi_p: float = 0.75) -> DataFrame:
     """is_small = x <= p_lo, is_large = x >= p_hi (global exact quantiles, scalar subqueries)."""
-    lo = df.select(F.percentile(c, F.lit(lo_p))).scalar()
-    hi = df.select(F.percentile(c, F.lit(hi_p))).scalar()
-    return df.select("*", F.coalesce((F.col(c) <= lo).cast("int"), F.lit(0)).alias("is_small"),
-                     F.coalesce((F.col(c) >= hi).cast("int"), F.lit(0)).alias("is_large"))
+    qs = {r["q_index"]: r["value"] for r in exact_quantiles(df, c, [lo_p, hi_p]).collect()}  # two numbers
+    return df.select("*", F.coalesce((F.col(c) <= F.lit(qs[0])).cast("int"), F.lit(0)).alias("is_small"),
+                     F.coalesce((F.col(c) >= F.lit(qs[1])).cast("int"), F.lit(0)).alias("is_large"))
+
+
+# ---------------------------------------------------------------- exact quantiles at scale
+
+APPROX_ACCURACY = 100_000
+
+
+def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = (),
+                    accuracy: int = APPROX_ACCURACY) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``)
+    without holding a group's values in one task.
+
+    1. ``percentile_approx`` (rank error <= n / accuracy) brackets each target
+       rank k = floor(p (n - 1)) between two values lo <= v_k <= v_{k+1} <= hi.
+    2. One counting pass gives #(x < lo) and #(lo <= x <= hi) per (group, p);
+       a bracket that fails to contain ranks k and k+1 widens to the whole
+       group, so the result is always exact.
+    3. Only bracket rows (about 10 n / accuracy per group and p) are ranked in a
+       window; ranks k and k+1 are read off and interpolated.
+    Returns long rows: (by..., q_index int, prob double, value double).
+    """
+    by = list(by)
+    if not by:  # a constant key keeps every join an equi-join on a tiny table
+        out = exact_quantiles(df.select(F.lit(0).alias("_all"), c), c, probs, ["_all"], accuracy)
+        return out.drop("_all")
+    probs = [float(p) for p in probs]
+    m = len(probs)
+    eps = 5.0 / accuracy
+    base = df.select(*by, F.col(c).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    ext = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
+    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
+                                  F.percentile_approx("_x", F.array(*[F.lit(p) for p in ext]), accuracy).alias("_a"))
+    joined = base.join(stats, by)
+    cnt = joined.groupBy(*by).agg(
+        *[F.sum(F.when(F.col("_x") < F.col("_a")[i], 1).otherwise(0)).alias(f"_b{i}") for i in range(m)],
+        *[F.sum(F.when((F.col("_x") >= F.col("_a")[i]) & (F.col("_x") <= F.col("_a")[m + i]), 1).otherwise(0))
+          .alias(f"_in{i}") for i in range(m)])
+    info = stats.join(cnt, by)
+    rows = []
+    for i, p in enumerate(probs):
+        pos = F.lit(p) * (F.col("_n") - 1)
+        k = F.floor(pos).cast("long")
+        need = F.least(k + 1, F.col("_n") - 1)
+        ok = (F.col(f"_b{i}") <= k) & (F.col(f"_b{i}") + F.col(f"_in{i}") >= need + 1)
+        rows.append(F.struct(F.lit(i).alias("q_index"), F.lit(p).alias("prob"), pos.alias("pos"), k.alias("k"),
+                             F.when(ok, F.col("_a")[i]).otherwise(F.lit(float("-inf"))).alias("lo"),
+                             F.when(ok, F.col("_a")[m + i]).otherwise(F.lit(float("inf"))).alias("hi"),
+                             F.when(ok, F.col(f"_b{i}")).otherwise(F.lit(0)).cast("long").alias("below")))
+    bounds = info.select(*by, "_n", F.explode(F.array(*rows)).alias("b")).select(*by, "_n", "b.*")
+    # bounds has groups x len(probs) rows; Spark/AQE broadcasts it by measured size
+    br = base.join(bounds, by)
+    br = br.where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
+    w = Window.partitionBy(*by, "q_index").orderBy("_x")
+    ranked = br.select(*by, "q_index", "prob", "pos", "k", "_n", "_x",
+                       (F.col("below") + F.row_number().over(w) - 1).alias("_r"))
+    ranked = ranked.where((F.col("_r") == F.col("k")) | (F.col("_r") == F.col("k") + 1))
+    vals = ranked.groupBy(*by, "q_index", "prob", "pos", "k").agg(
+        F.max(F.when(F.col("_r") == F.col("k"), F.col("_x"))).alias("_v0"),
+        F.max(F.when(F.col("_r") == F.col("k") + 1, F.col("_x"))).alias("_v1"))
+    frac = F.col("pos") - F.col("k")
+    value = F.when((frac == 0) | F.col("_v1").isNull(), F.col("_v0")) \
+        .otherwise((F.lit(1.0) - frac) * F.col("_v0") + frac * F.col("_v1"))
+    return vals.select(*by, F.col("q_index").cast("int").alias("q_index"), "prob", value.alias("value"))
+
+
+def quantiles_wide(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = (),
+                   accuracy: int = APPROX_ACCURACY) -> DataFrame:
+    """One row per group with one column per requested quantile."""
+    long = exact_quantiles(df, c, probs, by, accuracy)
+    aggs = [F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
+    return long.groupBy(*by).agg(*aggs)
+
+
+def with_quantiles(agg: DataFrame, df: DataFrame, by: Sequence[str], specs: Sequence[tuple[str, float, str]]) -> DataFrame:
+    """Join exact quantile columns ``(column, prob, name)`` onto a grouped aggregate."""
+    out = agg
+    cols: dict[str, list[tuple[float, str]]] = {}
+    for c, p, n in specs:
+        cols.setdefault(c, []).append((p, n))
+    for c, ps in cols.items():
+        q = quantiles_wide(df, c, [p for p, _ in ps], [n for _, n in ps], by)
+        if by:
+            out = out.join(q, list(by), "left")
+        else:
+            row = q.first()  # one row of len(specs) numbers
+            out = out.select("*", *[F.lit(row[n]).alias(n) for _, n in ps])
+    return out

@@ -38,12 +38,14 @@ SELECT loan_purpose, count(*) AS n, round(median(original_upb), 6) AS upb_median
        round(avg(CAST(current_delinquency >= 1 AS INTEGER)), 6) AS dq30_rate
 FROM f4 GROUP BY 1""")
 def q_group_named_agg(spark, sf):
+    from lodestar.operators.quantiles import with_quantiles
     lm = C.loan_months(spark, sf)
-    return rounded(lm.groupBy("loan_purpose").agg(
-        _cnt(), F.median("original_upb").alias("upb_median"),
-        (F.percentile("original_upb", F.lit(0.75)) - F.percentile("original_upb", F.lit(0.25))).alias("upb_iqr"),
-        F.avg("original_rate").alias("rate_mean"),
-        F.avg((F.col("current_delinquency") >= 1).cast("int")).alias("dq30_rate")))
+    agg = lm.groupBy("loan_purpose").agg(_cnt(), F.avg("original_rate").alias("rate_mean"),
+                                         F.avg((F.col("current_delinquency") >= 1).cast("int")).alias("dq30_rate"))
+    q = with_quantiles(agg, lm, ["loan_purpose"], [("original_upb", 0.5, "upb_median"), ("original_upb", 0.25, "_q1"),
+                                                   ("original_upb", 0.75, "_q3")])
+    return rounded(q.select("loan_purpose", "n", "upb_median", (F.col("_q3") - F.col("_q1")).alias("upb_iqr"),
+                            "rate_mean", "dq30_rate"))
 
 
 @register("group_approval_rate", section="A", sql=cte(p=V.prep()) + """
@@ -98,9 +100,9 @@ SELECT institution, """ + ", ".join(
     f"round(quantile_cont(loan_amount, {p}), 6) AS p{int(p * 100)}" for p in PROBS) + """
 FROM f1 GROUP BY 1""")
 def q_exact_quantiles(spark, sf):
+    from lodestar.operators.quantiles import quantiles_wide
     df = apps(spark, sf)
-    qs = A.exact_quantiles("loan_amount", PROBS)
-    return rounded(df.groupBy("institution").agg(*[q.alias(f"p{int(p * 100)}") for q, p in zip(qs, PROBS)]))
+    return rounded(quantiles_wide(df, "loan_amount", PROBS, [f"p{int(p * 100)}" for p in PROBS], ["institution"]))
 
 
 @register("describe_groups", section="A", sql=cte(f3=V.F3) + f"""

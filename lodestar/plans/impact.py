@@ -193,10 +193,10 @@ SELECT quartile, count(*) AS n, round(avg(fico), 6) AS fico_mean, round(median(f
        round(median(original_upb), 6) AS upb_median FROM q GROUP BY 1""")
 def q_fico_by_size(spark, sf):
     d = gse_quartiles(spark, sf)
-    return rounded(d.groupBy("quartile").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("fico").alias("fico_mean"), F.median("fico").alias("fico_median"),
-        F.percentile("fico", F.lit(0.25)).alias("fico_p25"), F.percentile("fico", F.lit(0.75)).alias("fico_p75"),
-        F.median("original_upb").alias("upb_median")))
+    agg = d.groupBy("quartile").agg(F.count(F.lit(1)).alias("n"), F.avg("fico").alias("fico_mean"))
+    return rounded(Q.with_quantiles(agg, d, ["quartile"], [("fico", 0.5, "fico_median"), ("fico", 0.25, "fico_p25"),
+                                                          ("fico", 0.75, "fico_p75"),
+                                                          ("original_upb", 0.5, "upb_median")]))
 
 
 @register("delinquency_by_size", section="M", sql=GSE_Q_SQL + """
@@ -278,6 +278,7 @@ SELECT derived_race, count(*) AS n, round(median(loan_amount), 6) AS median, rou
 FROM p GROUP BY 1""")
 def q_loan_distribution_by_group(spark, sf):
     d = prep(spark, sf)
-    return rounded(d.groupBy("derived_race").agg(
-        F.count(F.lit(1)).alias("n"), F.median("loan_amount").alias("median"), F.avg("loan_amount").alias("mean"),
-        F.percentile("loan_amount", F.lit(0.25)).alias("p25"), F.percentile("loan_amount", F.lit(0.75)).alias("p75")))
+    agg = d.groupBy("derived_race").agg(F.count(F.lit(1)).alias("n"), F.avg("loan_amount").alias("mean"))
+    return rounded(Q.with_quantiles(agg, d, ["derived_race"], [("loan_amount", 0.5, "median"),
+                                                              ("loan_amount", 0.25, "p25"),
+                                                              ("loan_amount", 0.75, "p75")]))

@@ -104,3 +104,21 @@ def test_normalizer_first_rule_wins(spark):
     rules = [("jpmorgan", "JPMorgan Chase"), ("chase", "Chase Other")]
     df = spark.createDataFrame([("jpmorgan chase",)], "n string")
     assert df.select(S.normalize_entity("n", rules).alias("c")).first().c == "JPMorgan Chase"
+
+
+def test_distributed_exact_quantiles_match_pandas(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(0)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 3000), np.round(rng.normal(size=3000), 2))]
+    rows += [(3, 1.0), (4, 2.0), (4, 5.0)]
+    df = spark.createDataFrame(rows, "g int, x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    # a deliberately coarse sketch forces the bracket-widening fallback
+    got = {(r.g, r.q_index): r.value for r in Q.exact_quantiles(df, "x", probs, ["g"], accuracy=50).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x"])
+    for g, sub in pdf.groupby("g"):
+        for i, p in enumerate(probs):
+            assert abs(got[(g, i)] - sub.x.quantile(p)) < 1e-12
+    glob = {r.q_index: r.value for r in Q.exact_quantiles(df, "x", probs).collect()}
+    assert all(abs(glob[i] - pdf.x.quantile(p)) < 1e-12 for i, p in enumerate(probs))

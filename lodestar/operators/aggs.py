@@ -22,8 +22,11 @@ def impute_median(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def value_share(df: DataFrame, by: Sequence[str], value: str, name: str = "pct") -> DataFrame:
     """Share (%) of each ``value`` within its ``by`` group; counts partial-aggregate first."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+    if not by:
+        total = counts.select(F.sum("n")).scalar()
+        return counts.select(value, "n", safe_ratio(F.col("n"), total, 100.0).alias(name))
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_tot"))
-    j = counts.join(totals, list(by), "left") if by else counts.crossJoin(totals)
+    j = counts.join(totals, list(by), "left")
     return j.select(*by, value, "n", safe_ratio(F.col("n"), F.col("_tot"), 100.0).alias(name))
 
 

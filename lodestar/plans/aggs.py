@@ -266,3 +266,17 @@ def q_seeded_sample(spark, sf):
     """Deterministic n-row sample: smallest xxhash64(key, seed); a TakeOrdered, no global sort."""
     docs = C.read(spark, sf, "documents", "doc_id", "source", "n_chars")
     return A.seeded_sample(docs, ["doc_id"], 50, seed=42)
+
+
+@register("group_mean_sum_count", section="A", sql="""
+WITH d AS (SELECT institution, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS quarter_dt, count(*) AS complaints
+           FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+           JOIN (SELECT r_regionkey, r_name AS institution FROM region) r ON n_regionkey = r_regionkey GROUP BY ALL)
+SELECT institution, CAST(quarter_dt >= DATE '""" + C.COMPLAINT_POST_CUT + """' AS INTEGER) AS post,
+       round(avg(complaints), 6) AS mean, CAST(sum(complaints) AS BIGINT) AS sum, count(*) AS count FROM d GROUP BY ALL""")
+def q_group_mean_sum_count(spark, sf):
+    from lodestar.plans.windows import did_panel
+    d = did_panel(spark, sf)
+    return rounded(d.groupBy("institution", "post").agg(F.avg("complaints").alias("mean"),
+                                                       F.sum("complaints").cast("long").alias("sum"),
+                                                       F.count(F.lit(1)).alias("count")))

@@ -230,3 +230,17 @@ def q_early_warning_watchlist(spark, sf):
     return rounded(pred.select("CERT", "STNAME", "CITY", F.col("p1").alias("distress_prob"), "texas_ratio",
                                "tier1_leverage", "cre_ratio")
                    .orderBy(F.col("distress_prob").desc(), "CERT").limit(25))
+
+
+@register("tree_attribution", section="M")
+def q_tree_attribution(spark, sf):
+    """Mean |SHAP| per feature for the boosted-tree early-warning model over every
+    complete bank-quarter, ranked, with the mean among positive-label rows."""
+    from lodestar.operators import attribution as AT
+    from pyspark.sql import Window
+    df, train, _ = ml_frame(spark, sf)
+    model = fit_gbt(train, max_iter=50).stages[-1]
+    long, base = AT.shap_values(df, FEATS, model, ["CERT", "REPDTE"])
+    imp = AT.mean_abs_shap(long, df.where("label = 1"), ["CERT", "REPDTE"])
+    w = Window.orderBy(F.col("mean_abs_shap").desc(), "feature")  # one row per feature (11 rows)
+    return rounded(imp.select("*", F.row_number().over(w).alias("rank"), F.lit(base).alias("base_value")))

@@ -71,3 +71,22 @@ def test_simplex_weights():
     assert abs(w.sum() - 1) < 1e-9 and (w >= -1e-12).all()
     sse = np.sum((A @ w - b) ** 2)
     assert all(sse <= np.sum((A[:, j] - b) ** 2) + 1e-9 for j in range(4))
+
+
+def test_tree_shap_additivity(spark):
+    """sum(phi) + base equals the GBT raw margin for every row."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from lodestar.operators import attribution as AT
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(400, 3))
+    y = ((X[:, 0] + 0.5 * X[:, 1] * X[:, 2] + rng.normal(size=400) * 0.3) > 0).astype(int)
+    df = spark.createDataFrame([(i, *map(float, X[i]), int(y[i])) for i in range(400)], "id int, a double, b double, c double, y int")
+    va = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features")
+    model = GBTClassifier(labelCol="y", maxIter=8, maxDepth=3, seed=1).fit(va.transform(df))
+    long, base = AT.shap_values(df, ["a", "b", "c"], model, ["id"])
+    tot = {r.id: r.s for r in long.groupBy("id").agg(F.sum("phi").alias("s")).collect()}
+    margin = {r.id: r.m for r in model.transform(va.transform(df))
+              .select("id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
+    assert max(abs(tot[i] + base - margin[i]) for i in margin) < 1e-9

@@ -234,7 +234,7 @@ WS = "[ \\t\\n\\r\\f]"
 
 
 @register("text_filter_norm", section="P", sql=f"""
-SELECT doc_id, source AS institution, length(regexp_replace(regexp_replace(lower(text), '^{WS}+', ''), '{WS}+$', '')) AS n_norm,
+SELECT doc_id, source AS institution, CAST(length(regexp_replace(regexp_replace(lower(text), '^{WS}+', ''), '{WS}+$', '')) AS INTEGER) AS n_norm,
        md5(regexp_replace(regexp_replace(lower(text), '^{WS}+', ''), '{WS}+$', '')) AS h
 FROM documents WHERE length(text) > 50""")
 def q_text_filter_norm(spark, sf):
@@ -428,7 +428,7 @@ def q_interaction_terms(spark, sf):
 
 
 @register("null_to_json", section="P", sql="""
-SELECT r_regionkey AS id, to_json({'region': r_name, 'key': r_regionkey, 'missing': CAST(NULL AS INTEGER)}) AS payload
+SELECT r_regionkey AS id, CAST(to_json({'region': r_name, 'key': r_regionkey, 'missing': CAST(NULL AS INTEGER)}) AS VARCHAR) AS payload
 FROM region""")
 def q_null_to_json(spark, sf):
     r = C.read(spark, sf, "region", "r_regionkey", "r_name")

@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from lodestar.operators import frames, glm
 
@@ -102,19 +103,23 @@ def oster_delta(b_u: float, b_c: float, r_u: float, r_c: float, rmax_mult: float
 
 # ---------------------------------------------------------------- placebo permutation
 
-def placebo_blocks(by_draw: int, flag: str, y: str, xs: Sequence[str], key: str, seed: int = 42):
+def placebo_blocks(by_draw: int, flag: str, y: str, xs: Sequence[str], key: str, seed: int = 42,
+                   n_groups: int = 1):
     """Design-block generator: for each draw, the protected flag is permuted
-    within the (bounded, hash-assigned) partition; margins are preserved exactly."""
+    within the (bounded, hash-assigned) partition; margins are preserved exactly.
+    With ``n_groups`` > 1 the partition arrives once per draw group (column
+    ``_dg``) and each copy handles its own slice of the draws."""
     xs = list(xs)
     fi = xs.index(flag)
 
     def blocks(pdf: pd.DataFrame):
+        dg = int(pdf["_dg"].iloc[0]) if "_dg" in pdf.columns and len(pdf) else 0
         pdf = pdf.sort_values(key, kind="mergesort")
         X = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(dtype=np.float64)])
         yv = pdf[y].to_numpy(dtype=np.float64)
         base = int(pdf[key].iloc[0]) & 0x7FFFFFFF if len(pdf) else 0
         orig = X[:, fi + 1].copy()
-        for d in range(by_draw):
+        for d in range(dg, by_draw, n_groups):
             rng = np.random.default_rng([seed, d, base])
             Xd = X.copy()
             Xd[:, fi + 1] = orig[rng.permutation(len(orig))]
@@ -125,15 +130,28 @@ def placebo_blocks(by_draw: int, flag: str, y: str, xs: Sequence[str], key: str,
 def placebo_permutation(df: DataFrame, y: str, xs: Sequence[str], flag: str, key: str, n_draws: int = 500,
                         rows_per_block: int = 200_000, seed: int = 42) -> DataFrame:
     """Refit the logit n_draws times with the flag permuted; returns one row per draw."""
+    spark = df.sparkSession
     design = df.select(key, y, *xs).dropna()
     n = design.count()
     n_blocks = max(1, math.ceil(n / rows_per_block))
-    design = design.repartition(n_blocks, F.col(key))
-    blocks = placebo_blocks(n_draws, flag, y, xs, key, seed)
-    # group key 'draw' is produced by the block generator
-    design = design.withColumn("draw", F.lit(0))
-    fit = glm.logit(design, y, list(xs), by=["draw"], blocks=blocks, whole_partition=True)
-    return glm.term(fit, flag).select("draw", "coef", "odds_ratio", "se")
+    # permutation blocks: a bounded, hash-assigned partition each (persisted once)
+    base = design.repartition(n_blocks, F.col(key)).withColumn("draw", F.lit(0)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    # when there are fewer blocks than task slots, every block is read by several
+    # tasks, each handling a slice of the draws (same blocks, same permutations)
+    n_groups = max(1, min(n_draws, spark.sparkContext.defaultParallelism // n_blocks))
+    copies = None
+    for g in range(n_groups):
+        c = base.withColumn("_dg", F.lit(g))
+        copies = c if copies is None else copies.union(c)
+    blocks = placebo_blocks(n_draws, flag, y, xs, key, seed, n_groups)
+    try:
+        fit = glm.logit(copies, y, list(xs), by=["draw"], blocks=blocks, whole_partition=True, persist=False)
+        out = glm.term(fit, flag).select("draw", "coef", "odds_ratio", "se")
+        out = spark.createDataFrame(out.collect(), out.schema)  # n_draws rows: detach from the cached blocks
+    finally:
+        base.unpersist()
+    return out
 
 
 def placebo_summary(draws: DataFrame, actual_coef: float) -> DataFrame:

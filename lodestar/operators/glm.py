@@ -170,8 +170,11 @@ def _gram_pass(design: DataFrame, by, blocks_factory, k: int, whole_partition: b
     return _sum_partials(part, by)
 
 
-def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, whole_partition: bool = False) -> dict:
-    """n, sum y, loglik, X'(y-p), X'WX per group at the given betas."""
+def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, whole_partition: bool = False,
+                zero_default: bool = False) -> dict:
+    """n, sum y, loglik, X'(y-p), X'WX per group at the given betas (or at 0 for every group)."""
+    zero = np.zeros(k)
+
     def fn(it):
         acc = {}
         batches = [pd.concat(list(it), ignore_index=True)] if whole_partition else it
@@ -181,7 +184,9 @@ def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, whol
             for key, X, yv in blocks_factory(pdf):
                 b = betas.get(key)
                 if b is None:
-                    continue
+                    if not zero_default:
+                        continue
+                    b = zero
                 eta = X @ b
                 p = 1.0 / (1.0 + np.exp(-eta))
                 ll = float(np.sum(yv * eta - np.logaddexp(0.0, eta)))
@@ -272,20 +277,22 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), inte
         design = design.persist(StorageLevel.MEMORY_AND_DISK)
     factory = blocks or _blocks_default(by, y, xs, intercept)
     try:
-        g0 = _gram_pass(design, by, factory, k, whole_partition)
-        _check_groups(len(g0))
+        # the first pass (every group at beta = 0) also yields n and sum(y) per group
+        res = _logit_pass(design, by, factory, {}, k, whole_partition, zero_default=True)
+        _check_groups(len(res))
         state = {}
-        for key, v in g0.items():
+        for key, v in res.items():
             n, sy = v[0], v[1]
             if n < max(min_n, 1):
                 continue
             state[key] = {"beta": np.zeros(k), "prev": None, "ll_prev": -np.inf, "halvings": 0, "done": False,
                           "n": n, "sy": sy, "H": None, "ok": True}
-        for _ in range(max_iter):
+        for it in range(max_iter):
             active = {key: s["beta"] for key, s in state.items() if not s["done"]}
             if not active:
                 break
-            res = _logit_pass(design, by, factory, active, k, whole_partition)
+            if it > 0:
+                res = _logit_pass(design, by, factory, active, k, whole_partition)
             for key in active:
                 s = state[key]
                 if key not in res:

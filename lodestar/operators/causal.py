@@ -103,27 +103,26 @@ def oster_delta(b_u: float, b_c: float, r_u: float, r_c: float, rmax_mult: float
 
 # ---------------------------------------------------------------- placebo permutation
 
-def placebo_blocks(by_draw: int, flag: str, y: str, xs: Sequence[str], key: str, seed: int = 42,
+def placebo_blocks(n_draws: int, flag: str, y: str, xs: Sequence[str], key: str, seed: int = 42,
                    n_groups: int = 1):
-    """Design-block generator: for each draw, the protected flag is permuted
-    within the (bounded, hash-assigned) partition; margins are preserved exactly.
-    With ``n_groups`` > 1 the partition arrives once per draw group (column
-    ``_dg``) and each copy handles its own slice of the draws."""
+    """Design-block generator. Rows carry a permutation block ``_blk`` (a bounded,
+    hash-assigned set) and a draw group ``_dg``; for each draw of its group the
+    protected flag is permuted within the block, so margins are preserved exactly
+    and every draw of a block sees the same rows in the same order."""
     xs = list(xs)
     fi = xs.index(flag)
 
     def blocks(pdf: pd.DataFrame):
-        dg = int(pdf["_dg"].iloc[0]) if "_dg" in pdf.columns and len(pdf) else 0
-        pdf = pdf.sort_values(key, kind="mergesort")
-        X = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(dtype=np.float64)])
-        yv = pdf[y].to_numpy(dtype=np.float64)
-        base = int(pdf[key].iloc[0]) & 0x7FFFFFFF if len(pdf) else 0
-        orig = X[:, fi + 1].copy()
-        for d in range(dg, by_draw, n_groups):
-            rng = np.random.default_rng([seed, d, base])
-            Xd = X.copy()
-            Xd[:, fi + 1] = orig[rng.permutation(len(orig))]
-            yield (d,), Xd, yv
+        for (blk, dg), sub in pdf.groupby(["_blk", "_dg"], sort=True):
+            sub = sub.sort_values(key, kind="mergesort")
+            X = np.column_stack([np.ones(len(sub)), sub[xs].to_numpy(dtype=np.float64)])
+            yv = sub[y].to_numpy(dtype=np.float64)
+            orig = X[:, fi + 1].copy()
+            for d in range(int(dg), n_draws, n_groups):
+                rng = np.random.default_rng([seed, d, int(blk)])
+                Xd = X.copy()
+                Xd[:, fi + 1] = orig[rng.permutation(len(orig))]
+                yield (d,), Xd, yv
     return blocks
 
 
@@ -134,23 +133,21 @@ def placebo_permutation(df: DataFrame, y: str, xs: Sequence[str], flag: str, key
     design = df.select(key, y, *xs).dropna()
     n = design.count()
     n_blocks = max(1, math.ceil(n / rows_per_block))
-    # permutation blocks: a bounded, hash-assigned partition each (persisted once)
-    base = design.repartition(n_blocks, F.col(key)).withColumn("draw", F.lit(0)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    # when there are fewer blocks than task slots, every block is read by several
-    # tasks, each handling a slice of the draws (same blocks, same permutations)
+    # fewer blocks than task slots: each block is replicated to a few draw groups
+    # (at most parallelism / n_blocks copies, so the replicated size stays bounded)
     n_groups = max(1, min(n_draws, spark.sparkContext.defaultParallelism // n_blocks))
-    copies = None
-    for g in range(n_groups):
-        c = base.withColumn("_dg", F.lit(g))
-        copies = c if copies is None else copies.union(c)
+    design = (design.withColumn("_blk", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n_blocks)))
+              .withColumn("_dg", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
+              .repartition(n_blocks * n_groups, "_blk", "_dg")
+              .withColumn("draw", F.lit(0))
+              .persist(StorageLevel.MEMORY_AND_DISK))
     blocks = placebo_blocks(n_draws, flag, y, xs, key, seed, n_groups)
     try:
-        fit = glm.logit(copies, y, list(xs), by=["draw"], blocks=blocks, whole_partition=True, persist=False)
+        fit = glm.logit(design, y, list(xs), by=["draw"], blocks=blocks, whole_partition=True, persist=False)
         out = glm.term(fit, flag).select("draw", "coef", "odds_ratio", "se")
-        out = spark.createDataFrame(out.collect(), out.schema)  # n_draws rows: detach from the cached blocks
+        out = spark.createDataFrame(out.collect(), out.schema)  # n_draws rows: detach from the cached design
     finally:
-        base.unpersist()
+        design.unpersist()
     return out
 
 

@@ -157,7 +157,7 @@ def _gram_pass(design: DataFrame, by, blocks_factory, k: int, whole_partition: b
     """n, sum y, y'y, X'y, X'X per group."""
     def fn(it):
         acc = {}
-        batches = [pd.concat(list(it), ignore_index=True)] if whole_partition else it
+        batches = _whole(it) if whole_partition else it
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -177,7 +177,7 @@ def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, whol
 
     def fn(it):
         acc = {}
-        batches = [pd.concat(list(it), ignore_index=True)] if whole_partition else it
+        batches = _whole(it) if whole_partition else it
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -199,6 +199,12 @@ def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, whol
     return _sum_partials(part, by)
 
 
+def _whole(it):
+    """The whole partition as one frame (empty partitions yield nothing)."""
+    parts = list(it)
+    return [pd.concat(parts, ignore_index=True)] if parts else []
+
+
 def _unpack(v: np.ndarray, k: int):
     n, sy, s3 = v[0], v[1], v[2]
     g = v[3:3 + k]

@@ -42,9 +42,39 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings every query relies on (zone-less timestamps read as UTC)."""
+    """Session settings every query relies on (zone-less timestamps read as UTC),
+    the shared checkpoint folder, and the package shipped to Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     checkpoint_dir(spark)
+    ship_package(spark)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lodestar`` importable in every Python worker (as ``--py-files`` would).
+
+    The package is zipped once per SparkContext on the driver and distributed by
+    Spark's own file server, so executors never depend on the driver's paths."""
+    import zipfile
+
+    sc = spark.sparkContext
+    ident = sc.applicationId
+    if ident in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    zpath = os.path.join(tempfile.mkdtemp(prefix="lodestar-pyfiles-"), "lodestar.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(ident)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

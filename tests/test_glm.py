@@ -57,9 +57,14 @@ def test_classical_ols_p_uses_t(spark):
 def test_placebo_preserves_margins():
     import pandas as pd
     from lodestar.operators.causal import placebo_blocks
-    pdf = pd.DataFrame({"id": range(50), "y": [i % 2 for i in range(50)], "f": [1 if i < 13 else 0 for i in range(50)]})
+    pdf = pd.DataFrame({"id": range(50), "y": [i % 2 for i in range(50)], "f": [1 if i < 13 else 0 for i in range(50)],
+                        "_blk": [i % 2 for i in range(50)], "_dg": 0})
+    per_block = pdf.groupby("_blk")["f"].sum().to_dict()
+    seen = 0
     for key, X, _ in placebo_blocks(5, "f", "y", ["f"], "id")(pdf):
-        assert X[:, 1].sum() == 13
+        assert X[:, 1].sum() in per_block.values()
+        seen += 1
+    assert seen == 10
 
 
 def test_simplex_weights():
@@ -90,3 +95,12 @@ def test_tree_shap_additivity(spark):
     margin = {r.id: r.m for r in model.transform(va.transform(df))
               .select("id", vector_to_array("rawPrediction")[1].alias("m")).collect()}
     assert max(abs(tot[i] + base - margin[i]) for i in margin) < 1e-9
+
+
+def test_placebo_returns_every_draw(spark):
+    from lodestar.operators.causal import placebo_permutation
+    rng = np.random.default_rng(2)
+    rows = [(i, int(rng.random() < 0.5), int(rng.random() < 0.3), float(rng.normal())) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, y int, f int, z double")
+    d = placebo_permutation(df, "y", ["f", "z"], "f", "id", n_draws=24, rows_per_block=200)
+    assert sorted(r.draw for r in d.collect()) == list(range(24))

@@ -44,32 +44,49 @@ def q_did_twfe(spark, sf):
     return rounded(fit.select("term", "coef", "implied_pct", "n"))
 
 
-@register("did_triple", section="M", sql="WITH p AS (" + V.prep() + f"), t AS {TRIPLE_SRC}" + """
-, c AS (SELECT is_black AS b, treat AS t, post AS q, avg(approved) AS m FROM t GROUP BY ALL)
+CELL_V = "var_samp(approved) / (count(*) - 1)"  # HC3 variance of a cell mean (leverage 1 / n_cell)
+
+
+@register("did_triple", section="M", sql="WITH p AS (" + V.prep() + f"), t AS {TRIPLE_SRC}" + f"""
+, c AS (SELECT is_black AS b, treat AS t, post AS q, avg(approved) AS m, {CELL_V} AS v FROM t GROUP BY ALL)
 SELECT 'is_black_x_treat_x_post' AS term, round(
   (sum(CASE WHEN b=1 AND t=1 AND q=1 THEN m END) - sum(CASE WHEN b=1 AND t=1 AND q=0 THEN m END)
    - sum(CASE WHEN b=1 AND t=0 AND q=1 THEN m END) + sum(CASE WHEN b=1 AND t=0 AND q=0 THEN m END))
  - (sum(CASE WHEN b=0 AND t=1 AND q=1 THEN m END) - sum(CASE WHEN b=0 AND t=1 AND q=0 THEN m END)
-   - sum(CASE WHEN b=0 AND t=0 AND q=1 THEN m END) + sum(CASE WHEN b=0 AND t=0 AND q=0 THEN m END)), 6) AS coef
+   - sum(CASE WHEN b=0 AND t=0 AND q=1 THEN m END) + sum(CASE WHEN b=0 AND t=0 AND q=0 THEN m END)), 6) AS coef,
+  round(sqrt(sum(v)), 6) AS se
 FROM c""")
 def q_did_triple(spark, sf):
+    """Saturated 2x2x2 LPM with HC3: the coefficient is a difference of cell means
+    and its HC3 variance the sum of cell-mean variances (the SQL oracle)."""
     fit = CA.did_triple(triple_frame(spark, sf), "approved", "is_black", "treat", "post")
-    return rounded(fit.select("term", "coef"))
+    return rounded(fit.select("term", "coef", "se"))
 
 
-@register("event_study", section="M", sql="WITH p AS (" + V.prep() + f"), t AS {TRIPLE_SRC}" + f"""
-, c AS (SELECT activity_year AS y, is_black AS b, treat AS t, avg(approved) AS m FROM t GROUP BY ALL)
+EVENT_SQL = "WITH p AS (" + V.prep() + f"), t AS {TRIPLE_SRC}" + f"""
+, c AS (SELECT activity_year AS y, is_black AS b, treat AS t, avg(approved) AS m, {CELL_V} AS v FROM t GROUP BY ALL)
 , d AS (SELECT y, sum(CASE WHEN b=1 AND t=1 THEN m END) - sum(CASE WHEN b=0 AND t=1 THEN m END)
-             - sum(CASE WHEN b=1 AND t=0 THEN m END) + sum(CASE WHEN b=0 AND t=0 THEN m END) AS dd FROM c GROUP BY 1)
-SELECT y AS activity_year, round(dd - (SELECT dd FROM d WHERE y = {REF_YEAR}), 6) AS coef
-FROM d WHERE y <> {REF_YEAR}""")
+             - sum(CASE WHEN b=1 AND t=0 THEN m END) + sum(CASE WHEN b=0 AND t=0 THEN m END) AS dd,
+             sum(v) AS vv FROM c GROUP BY 1)
+, e AS (SELECT y AS activity_year, dd - (SELECT dd FROM d WHERE y = {REF_YEAR}) AS coef,
+               sqrt(vv + (SELECT vv FROM d WHERE y = {REF_YEAR})) AS se FROM d WHERE y <> {REF_YEAR})"""
+
+
+@register("event_study", section="M", sql=EVENT_SQL + """
+SELECT activity_year, round(coef, 6) AS coef, round(se, 6) AS se FROM e""")
 def q_event_study(spark, sf):
     es = CA.event_study(triple_frame(spark, sf), "approved", "is_black", "treat", "activity_year", REF_YEAR, YEARS)
-    return rounded(es.select("activity_year", "coef"))
+    return rounded(es.select("activity_year", "coef", "se"))
 
 
-@register("pretrend_test", section="M")
+@register("pretrend_test", section="M", sql=EVENT_SQL + f"""
+SELECT bool_and(abs(coef / se) < {glm.Z975}) AS all_pre_insignificant,
+       round(max(abs(exp(coef) - 1)), 6) AS max_abs_or_dev,
+       CASE WHEN bool_and(abs(coef / se) < {glm.Z975}) THEN 'PASS' ELSE 'MIXED' END AS verdict
+FROM e WHERE activity_year < {POST_YEAR}""")
 def q_pretrend_test(spark, sf):
+    """All pre-period interactions insignificant (p > .05, i.e. |z| < 1.96) and the
+    largest |OR - 1|; PASS / MIXED."""
     es = CA.event_study(triple_frame(spark, sf), "approved", "is_black", "treat", "activity_year", REF_YEAR, YEARS)
     return rounded(CA.pretrend_test(es, "activity_year", POST_YEAR))
 
@@ -87,11 +104,15 @@ def county_collapsed(spark, sf, min_count=50):
 @register("within_fe_lpm", section="M", sql="WITH p AS (" + V.prep() + f"), r AS {RARE_SQL}" + """
 , d AS (SELECT approved - avg(approved) OVER (PARTITION BY county) AS yt,
                is_black - avg(is_black) OVER (PARTITION BY county) AS xt FROM r)
-SELECT 'is_black' AS term, round(sum(xt * yt) / sum(xt * xt), 6) AS coef, count(*) AS n FROM d""")
+, b AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n FROM d)
+SELECT 'is_black' AS term, round(b, 6) AS coef,
+       round(sqrt(sum(xt * xt * (yt - b * xt) * (yt - b * xt) / ((1 - xt * xt / sxx) * (1 - xt * xt / sxx)))) / sxx, 6) AS se,
+       n FROM d, b GROUP BY b, sxx, n""")
 def q_within_fe_lpm(spark, sf):
+    """County-demeaned LPM with HC3 (leverage x~^2 / sum x~^2 on the demeaned regressor)."""
     d = W.within_demean(county_collapsed(spark, sf), ["approved", "is_black"], "county")
     fit = glm.ols(d, "approved_dm", ["is_black_dm"], intercept=False, cov_type="HC3")
-    return rounded(fit.select(F.lit("is_black").alias("term"), "coef", "n"))
+    return rounded(fit.select(F.lit("is_black").alias("term"), "coef", "se", "n"))
 
 
 @register("lpm_pooled_fe", section="M")

@@ -36,7 +36,15 @@ def q_stream_group_count(spark, sf):
     return rounded(out.select(F.col("window.start").cast("date").alias("day"), "event_type", "n"))
 
 
-@register("stream_velocity", section="X")
+@register("stream_velocity", section="X", sql="""
+WITH g AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
+, r AS (SELECT *, CASE WHEN count(n) OVER w >= 2 THEN avg(n) OVER w END AS rolling_mean,
+                  CASE WHEN count(n) OVER w >= 2 THEN stddev_samp(n) OVER w END AS rolling_std
+        FROM g WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))
+, z AS (SELECT *, (n - rolling_mean) / NULLIF(rolling_std, 0) AS z_score FROM r)
+SELECT CAST(day AS VARCHAR) AS day, event_type, n, round(rolling_mean, 6) AS rolling_mean,
+       round(rolling_std, 6) AS rolling_std, round(z_score, 6) AS z_score,
+       CAST(coalesce(z_score > 2.0, false) AS INTEGER) AS rising_flag FROM z""")
 def q_stream_velocity(spark, sf):
     """Streaming daily counts feeding the batch rolling z-score."""
     schema = spark.read.parquet(table_path(sf, "events")).schema

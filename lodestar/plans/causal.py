@@ -155,7 +155,7 @@ OSTER_SQL = "WITH p AS (" + V.prep() + """)
             + (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) * szy) / syy AS r_c FROM m)
 SELECT institution, mult AS rmax_mult, round(b_u, 6) AS b_u, round(b_c, 6) AS b_c, round(r_u, 6) AS r_u,
        round(r_c, 6) AS r_c,
-       round(b_c * (least(mult * r_c, 0.99) - r_c) / ((b_u - b_c) * (r_c - r_u)), 6) AS delta
+       round(b_c * (least(mult * r_c, 0.99) - r_c) / ((b_u - b_c) * (r_c - r_u)), 3) AS delta
 FROM f, (SELECT * FROM (VALUES (1.3::DOUBLE), (2.0::DOUBLE)) t(mult))"""
 
 
@@ -171,7 +171,9 @@ def q_oster_delta(spark, sf):
     j = u.join(c, "institution").select("*", F.explode(F.array(F.lit(1.3), F.lit(2.0))).alias("rmax_mult"))
     delta = F.col("b_c") * (F.least(F.col("rmax_mult") * F.col("r_c"), F.lit(0.99)) - F.col("r_c")) / \
         F.nullif((F.col("b_u") - F.col("b_c")) * (F.col("r_c") - F.col("r_u")), F.lit(0.0))
-    return rounded(j.select("institution", "rmax_mult", "b_u", "b_c", "r_u", "r_c", delta.alias("delta")))
+    # delta is a ratio of small differences (ill-conditioned): 3 decimals
+    out = rounded(j.select("institution", "rmax_mult", "b_u", "b_c", "r_u", "r_c", delta.alias("delta")))
+    return out.withColumn("delta", F.round("delta", 3))
 
 
 SHRINK = [0.3, 0.4, 0.5]

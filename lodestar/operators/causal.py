@@ -181,18 +181,26 @@ def _simplex_ls(A: np.ndarray, b: np.ndarray, iters: int = 5000) -> np.ndarray:
     return w
 
 
-def synthetic_control(panel: DataFrame, unit: str, period: str, value: str, treat_period) -> DataFrame:
-    """Every unit in turn as treated (placebo in space); donor weights fit on the
-    pre-period in ``applyInPandas`` per treated unit. Returns weights rows."""
-    wide = panel.groupBy(period).pivot(unit).agg(F.first(value))
-    units = [c for c in wide.columns if c != period]
-    long = wide.select(period, F.explode(F.array(*[F.lit(u) for u in units])).alias("treated_unit"),
+MAX_SYNTH_UNITS = 5_000
+
+
+def synthetic_control(panel: DataFrame, unit: str, period: str, value: str, treat_period,
+                      treated_units: Sequence[str] | None = None) -> DataFrame:
+    """Donor weights on the simplex fit on the pre-period, one ``applyInPandas``
+    group per treated unit (default: every unit in turn, i.e. placebo in space).
+
+    The panel is already aggregated (unit x period), so each group holds
+    periods x units numbers; the unit list is a checked, bounded level list."""
+    units = frames.levels(panel, unit, MAX_SYNTH_UNITS)
+    treated = list(treated_units) if treated_units is not None else units
+    wide = panel.groupBy(period).pivot(unit, units).agg(F.first(value))
+    long = wide.select(period, F.explode(F.array(*[F.lit(u) for u in treated])).alias("treated_unit"),
                        F.array(*[F.col(f"`{u}`").cast("double") for u in units]).alias("vals"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         tu = pdf["treated_unit"].iloc[0]
         pdf = pdf.sort_values(period)
-        V = np.vstack(pdf["vals"].to_numpy())
+        V = np.array([[np.nan if v is None else float(v) for v in row] for row in pdf["vals"]], dtype=float)
         i = units.index(tu)
         pre = (pdf[period] < treat_period).to_numpy()
         donors = [j for j in range(len(units)) if j != i]
@@ -204,3 +212,12 @@ def synthetic_control(panel: DataFrame, unit: str, period: str, value: str, trea
 
     return long.groupBy("treated_unit").applyInPandas(
         fit, "treated_unit string, donor string, weight double, pre_sse double")
+
+
+def synthetic_gap(panel: DataFrame, weights: DataFrame, unit: str, period: str, value: str) -> DataFrame:
+    """Treated minus synthetic outcome per period (weights joined to donor series)."""
+    donors = weights.join(panel.select(F.col(unit).alias("donor"), period, F.col(value).alias("_dv")), "donor")
+    synth = donors.groupBy("treated_unit", period).agg(F.sum(F.col("weight") * F.col("_dv")).alias("synthetic"))
+    actual = panel.select(F.col(unit).alias("treated_unit"), period, F.col(value).alias("actual"))
+    return actual.join(synth, ["treated_unit", period]).select(
+        "treated_unit", period, "actual", "synthetic", (F.col("actual") - F.col("synthetic")).alias("gap"))

@@ -9,12 +9,14 @@ from lodestar.functions import scalars as S
 from lodestar.operators import windows as W
 
 
-def complaint_panel(sparse: DataFrame) -> DataFrame:
+def complaint_panel(sparse: DataFrame, densify: bool = False) -> DataFrame:
     """CERT x quarter counts with row-based lags 1 / 4 and smoothed growth.
 
     Input is already aggregated (one row per CERT x quarter), so the window's
     partition is bounded by the number of quarters, whatever the raw volume.
     """
+    if densify:  # calendar lags: insert empty quarters (count 0) between an entity's first and last
+        sparse = W.densify(sparse, "CERT", "quarter").fillna(0, subset=["complaint_count"])
     w = W.entity_window("CERT", "quarter")
     return sparse.select(
         "CERT", "quarter", "complaint_count", "timely_response",

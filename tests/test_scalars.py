@@ -122,3 +122,29 @@ def test_distributed_exact_quantiles_match_pandas(spark):
             assert abs(got[(g, i)] - sub.x.quantile(p)) < 1e-12
     glob = {r.q_index: r.value for r in Q.exact_quantiles(df, "x", probs).collect()}
     assert all(abs(glob[i] - pdf.x.quantile(p)) < 1e-12 for i, p in enumerate(probs))
+
+
+def test_densify_gives_calendar_lags(spark):
+    from lodestar.operators.complaints import complaint_panel
+    df = spark.createDataFrame([(1, "2000-01-01", 5, 1.0), (1, "2000-07-01", 7, 1.0)],
+                               "CERT long, q string, complaint_count long, timely_response double") \
+        .select("CERT", F.to_date("q").alias("quarter"), "complaint_count", "timely_response")
+    rows = {str(r.quarter): r for r in complaint_panel(df).collect()}
+    assert rows["2000-07-01"].complaint_lag1 == 5.0          # row-based: skips the gap
+    rows = {str(r.quarter): r for r in complaint_panel(df, densify=True).collect()}
+    assert rows["2000-04-01"].complaint_count == 0 and rows["2000-07-01"].complaint_lag1 == 0.0
+
+
+def test_synthetic_gap_zero_for_exact_donor(spark):
+    import datetime
+    from lodestar.operators.causal import synthetic_control, synthetic_gap
+    d0 = datetime.date(2000, 1, 1)
+    rows = []
+    for t in range(8):
+        d = d0.replace(year=2000 + t)
+        a, b = float(t), float(10 - t)
+        rows += [("A", d, a), ("B", d, b), ("C", d, 0.5 * a + 0.5 * b)]
+    panel = spark.createDataFrame(rows, "u string, p date, v double")
+    w = synthetic_control(panel, "u", "p", "v", datetime.date(2005, 1, 1), treated_units=["C"])
+    gap = synthetic_gap(panel, w, "u", "p", "v").collect()
+    assert max(abs(r.gap) for r in gap) < 1e-6

@@ -109,13 +109,13 @@ def q_view_watchlist(spark, sf):
 
 
 @register("view_watchlist_entity", section="Q", sql=cte(f=features_sql("api")) + """
-SELECT CERT, CAST(REPDTE AS VARCHAR) AS REPDTE, round(texas_ratio, 6) AS texas_ratio FROM f
-WHERE CERT = (SELECT min(CERT) FROM f WHERE texas_ratio > 100) AND texas_ratio > 100""")
+SELECT CERT, CAST(REPDTE AS VARCHAR) AS REPDTE, round(texas_ratio, 6) AS texas_ratio,
+       CAST(count(*) OVER (PARTITION BY CERT) AS BIGINT) AS n_distressed_quarters FROM f WHERE texas_ratio > 100""")
 def q_view_watchlist_entity(spark, sf):
-    f = features(spark, sf, texas_rule="api")
-    cert = f.where(F.col("texas_ratio") > 100).select(F.min("CERT")).scalar()
-    return rounded(f.where((F.col("CERT") == cert) & (F.col("texas_ratio") > 100))
-                   .select("CERT", "REPDTE", "texas_ratio"))
+    """Per-entity distress rows, served for every entity (a lookup is a filter on CERT)."""
+    f = features(spark, sf, texas_rule="api").where(F.col("texas_ratio") > 100)
+    n = f.groupBy("CERT").agg(F.count(F.lit(1)).alias("n_distressed_quarters"))
+    return rounded(f.join(n, "CERT").select("CERT", "REPDTE", "texas_ratio", "n_distressed_quarters"))
 
 
 @register("view_fair_lending", section="Q", sql="WITH p AS (" + V.prep() + "), z AS (WITH p2 AS (SELECT 1)"
@@ -142,16 +142,18 @@ SELECT CERT, INSTNAME AS name, CAST(REPDTE AS VARCHAR) AS date,
        round(NCLNLS / (EQ + NULLIF(LNLSNTV, 0)) * 100, 6) AS texas_ratio,
        round(NETINC / NULLIF(ASSET, 0) * 100, 6) AS roa, round(ASSET / 1000, 6) AS assets_m,
        round(RBCT1J / NULLIF(ASSET, 0) * 100, 6) AS tier1_leverage,
-       CAST(REPDTE = max(REPDTE) OVER () AS INTEGER) AS is_latest
-FROM p WHERE CERT = 7""")
+       CAST(REPDTE = max(REPDTE) OVER (PARTITION BY CERT) AS INTEGER) AS is_latest
+FROM p""")
 def q_view_bank_history(spark, sf):
-    p = C.bank_panel(spark, sf).where(F.col("CERT") == 7)
-    latest = p.select(F.max("REPDTE")).scalar()
+    """Ordered ratio history with the latest row flagged, for every bank (a lookup is a filter on CERT)."""
+    p = C.bank_panel(spark, sf)
+    last = p.groupBy("CERT").agg(F.max("REPDTE").alias("_last"))
+    p = p.join(last, "CERT")
     return rounded(p.select("CERT", F.col("INSTNAME").alias("name"), F.col("REPDTE").alias("date"),
                             R.texas_ratio("api").alias("texas_ratio"), S.safe_ratio("NETINC", "ASSET", 100.0).alias("roa"),
                             (F.col("ASSET") / 1000).alias("assets_m"),
                             S.safe_ratio("RBCT1J", "ASSET", 100.0).alias("tier1_leverage"),
-                            (F.col("REPDTE") == latest).cast("int").alias("is_latest")))
+                            (F.col("REPDTE") == F.col("_last")).cast("int").alias("is_latest")))
 
 
 @register("view_headline_stats", section="Q", sql=cte(p=V.F2, f3=V.F3, f1=V.F1) + """

@@ -148,3 +148,20 @@ def test_synthetic_gap_zero_for_exact_donor(spark):
     w = synthetic_control(panel, "u", "p", "v", datetime.date(2005, 1, 1), treated_units=["C"])
     gap = synthetic_gap(panel, w, "u", "p", "v").collect()
     assert max(abs(r.gap) for r in gap) < 1e-6
+
+
+def test_one_hot_drops_alphabetical_first_level(spark):
+    from lodestar.operators.frames import one_hot_drop_first
+    df = spark.createDataFrame([("TX",), ("AL",), ("NY",), ("TX",)], "s string")
+    _, names = one_hot_drop_first(df, "s")
+    assert names == ["s_NY", "s_TX"]          # 'AL' (first alphabetically) is the reference
+    _, names = one_hot_drop_first(df, "s", ref_level="TX")
+    assert names == ["s_AL", "s_NY"]
+
+
+def test_rare_and_null_levels_collapse_to_other(spark):
+    from lodestar.operators.joins import rare_level_collapse
+    rows = [("a",)] * 3 + [("b",)] + [(None,)] * 5
+    df = spark.createDataFrame(rows, "c string")
+    got = sorted((r.c, r.n) for r in rare_level_collapse(df, "c", 2).groupBy("c").count().withColumnRenamed("count", "n").collect())
+    assert got == [("a", 3), ("other", 6)]

@@ -33,15 +33,23 @@ TRIPLE_SRC = f"""(SELECT *, CAST(institution = '{TREAT}' AS INTEGER) AS treat,
 @register("did_twfe", section="M", sql=cte(d=DID_SQL) + """
 , m AS (SELECT *, treat * post AS dd,
           avg(treat * post) OVER (PARTITION BY institution) AS di, avg(treat * post) OVER (PARTITION BY quarter_dt) AS dt,
-          avg(treat * post) OVER () AS da FROM d)
-, x AS (SELECT sum((dd - di - dt + da) * log_complaints) / sum((dd - di - dt + da) * (dd - di - dt + da)) AS b,
-               count(*) AS n FROM m)
-SELECT 'treat_post' AS term, round(b, 6) AS coef, round((exp(b) - 1) * 100, 6) AS implied_pct, n FROM x""")
+          avg(treat * post) OVER () AS da,
+          avg(log_complaints) OVER (PARTITION BY institution) AS yi,
+          avg(log_complaints) OVER (PARTITION BY quarter_dt) AS yq, avg(log_complaints) OVER () AS ya FROM d)
+, r AS (SELECT dd - di - dt + da AS xt, log_complaints - yi - yq + ya AS yt FROM m)
+, x AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n,
+               (SELECT count(DISTINCT institution) FROM d) AS ne, (SELECT count(DISTINCT quarter_dt) FROM d) AS nt FROM r)
+SELECT 'treat_post' AS term, round(b, 6) AS coef,
+       round(sqrt(sum(xt * xt * (yt - b * xt) * (yt - b * xt)
+             / pow(1 - (1.0 / nt + 1.0 / ne - 1.0 / (ne * nt) + xt * xt / sxx), 2))) / sxx, 6) AS se,
+       round((exp(b) - 1) * 100, 6) AS implied_pct, n
+FROM r, x GROUP BY b, sxx, n, ne, nt""")
 def q_did_twfe(spark, sf):
-    """Two-way FE DiD with HC3; the panel is balanced, so the coefficient equals
-    the slope on double-demeaned variables (the SQL oracle)."""
+    """Two-way FE DiD with HC3. The panel is balanced, so the coefficient is the
+    slope on double-demeaned variables and the leverage is 1/T + 1/N - 1/(NT) plus
+    the regressor's share (the SQL oracle)."""
     fit = CA.did_twfe(did_panel(spark, sf), "log_complaints", "treat", "post", "institution", "quarter_str")
-    return rounded(fit.select("term", "coef", "implied_pct", "n"))
+    return rounded(fit.select("term", "coef", "se", "implied_pct", "n"))
 
 
 CELL_V = "var_samp(approved) / (count(*) - 1)"  # HC3 variance of a cell mean (leverage 1 / n_cell)

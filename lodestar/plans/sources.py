@@ -13,7 +13,7 @@ from lodestar.plans import sqlviews as V
 from lodestar.plans.common import cte, rounded
 from lodestar.plans.registry import register
 from lodestar.plans.scalars import apps, prep
-from lodestar.session import scratch_path
+from lodestar.session import prepare, scratch_path
 from lodestar.sources import conform as C
 from lodestar.sources import files as FS
 from lodestar.sources.tables import read, table_path
@@ -23,6 +23,7 @@ from lodestar.sources.tables import read, table_path
 SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' AND l_quantity > 45""")
 def q_scan_parquet(spark, sf):
     """Pruned, filtered scan: ReadSchema has 4 columns and the predicates are pushed to parquet."""
+    prepare(spark)
     df = spark.read.parquet(table_path(sf, "lineitem"))
     return df.where((F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("l_quantity") > 45)) \
         .select("l_orderkey", "l_extendedprice")

@@ -10,10 +10,11 @@ from lodestar.operators import windows as W
 from lodestar.plans.common import rounded
 from lodestar.plans.registry import register
 from lodestar.streaming import twins
+from lodestar.session import prepare
 from lodestar.sources.tables import table_path
 
 
-def _glob(sf, name):
+def _glob(sf, name):  # noqa: D103
     p = table_path(sf, name)
     return p[:-len(".parquet")] + "*.parquet"
 
@@ -21,6 +22,7 @@ def _glob(sf, name):
 @register("stream_first_seen", section="X", sql="""
 SELECT count(DISTINCT l_orderkey) AS n_loans FROM lineitem""")
 def q_stream_first_seen(spark, sf):
+    prepare(spark)
     schema = spark.read.parquet(table_path(sf, "lineitem")).schema
     out = twins.stream_first_seen(spark, _glob(sf, "lineitem"), schema, "l_orderkey", "l_shipdate",
                                   name=f"first_seen_{uuid.uuid4().hex[:8]}")
@@ -30,6 +32,7 @@ def q_stream_first_seen(spark, sf):
 @register("stream_group_count", section="X", sql="""
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def q_stream_group_count(spark, sf):
+    prepare(spark)
     schema = spark.read.parquet(table_path(sf, "events")).schema
     out = twins.stream_period_counts(spark, _glob(sf, "events"), schema, "ts", ["event_type"],
                                      name=f"period_counts_{uuid.uuid4().hex[:8]}")
@@ -47,6 +50,7 @@ SELECT CAST(day AS VARCHAR) AS day, event_type, n, round(rolling_mean, 6) AS rol
        CAST(coalesce(z_score > 2.0, false) AS INTEGER) AS rising_flag FROM z""")
 def q_stream_velocity(spark, sf):
     """Streaming daily counts feeding the batch rolling z-score."""
+    prepare(spark)
     schema = spark.read.parquet(table_path(sf, "events")).schema
     out = twins.stream_period_counts(spark, _glob(sf, "events"), schema, "ts", ["event_type"],
                                      name=f"velocity_{uuid.uuid4().hex[:8]}")

@@ -343,8 +343,12 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), inte
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), intercept: bool = True,
-        cov_type: str = "classical", cluster: str | None = None, min_n: int = 0, persist: bool = True) -> DataFrame:
-    """OLS per group with classical (t), HC3 (normal) or cluster-robust (normal) inference."""
+        cov_type: str = "classical", cluster: str | None = None, min_n: int = 0, persist: bool = True,
+        absorbed_params: int = 0) -> DataFrame:
+    """OLS per group with classical (t), HC3 (normal) or cluster-robust (normal) inference.
+
+    ``absorbed_params`` counts parameters removed by demeaning (fixed effects) so the
+    residual degrees of freedom match the dummy-variable fit."""
     by = list(by)
     terms = (["const"] if intercept else []) + list(xs)
     k = len(terms)
@@ -388,13 +392,14 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), interc
                 if G < 2 or key not in meat:
                     rows += _coef_rows(key, terms, f["b"], None, n, f["r2"], True, logit=False)
                     continue
-                c = G / (G - 1) * (n - 1) / (n - k)
+                c = G / (G - 1) * (n - 1) / (n - k - absorbed_params)
                 cov = c * f["A"] @ meat[key].reshape(k, k) @ f["A"]
                 rows += _coef_rows(key, terms, f["b"], cov, n, f["r2"], True, logit=False)
             else:
-                sigma2 = f["ssr"] / (n - k)
+                dfr = n - k - absorbed_params
+                sigma2 = f["ssr"] / dfr
                 rows += _coef_rows(key, terms, f["b"], sigma2 * f["A"], n, f["r2"], True, dist="t",
-                                   df_resid=n - k, logit=False)
+                                   df_resid=dfr, logit=False)
         return _to_df(df.sparkSession, rows, design, by)
     finally:
         if persist:

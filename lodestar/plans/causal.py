@@ -52,6 +52,27 @@ def q_did_twfe(spark, sf):
     return rounded(fit.select("term", "coef", "se", "implied_pct", "n"))
 
 
+@register("did_twfe_absorbed", section="M", sql=cte(d=DID_SQL) + """
+, m AS (SELECT *, treat * post AS dd,
+          avg(treat * post) OVER (PARTITION BY institution) AS di, avg(treat * post) OVER (PARTITION BY quarter_dt) AS dt,
+          avg(treat * post) OVER () AS da,
+          avg(log_complaints) OVER (PARTITION BY institution) AS yi,
+          avg(log_complaints) OVER (PARTITION BY quarter_dt) AS yq, avg(log_complaints) OVER () AS ya FROM d)
+, r AS (SELECT institution, dd - di - dt + da AS xt, log_complaints - yi - yq + ya AS yt FROM m)
+, x AS (SELECT sum(xt * yt) / sum(xt * xt) AS b, sum(xt * xt) AS sxx, count(*) AS n,
+               count(DISTINCT institution) AS g, (SELECT count(DISTINCT quarter_dt) FROM d) AS nt FROM r)
+, s AS (SELECT institution, sum(xt * (yt - b * xt)) AS sg FROM r, x GROUP BY 1)
+SELECT 'treat_post' AS term, round(b, 6) AS coef,
+       round(sqrt(g / (g - 1.0) * (n - 1.0) / (n - 1.0 - (g + nt - 1)) * (SELECT sum(sg * sg) FROM s)) / sxx, 6) AS se,
+       n FROM x""")
+def q_did_twfe_absorbed(spark, sf):
+    """TWFE DiD with both effects absorbed by alternating projections (no dummy
+    columns) and entity-clustered errors; scales to any number of entities."""
+    fit = CA.did_twfe_absorbed(did_panel(spark, sf), "log_complaints", "treat", "post", "institution",
+                               "quarter_dt")
+    return rounded(fit.select("term", "coef", "se", "n"))
+
+
 CELL_V = "var_samp(approved) / (count(*) - 1)"  # HC3 variance of a cell mean (leverage 1 / n_cell)
 
 

@@ -4,8 +4,6 @@ These are the independent oracle side of ``lodestar.sources.conform``; a query
 oracle composes them as CTEs: ``WITH f1 AS (<F1>) SELECT ... FROM f1``.
 """
 
-from lodestar.sources.conform import COMPLAINT_POST_CUT, TREATED_INSTITUTION  # noqa: F401
-
 
 def quarter_end(ts: str) -> str:
     return f"CAST(last_day(date_trunc('quarter', {ts}) + INTERVAL 2 MONTH) AS DATE)"

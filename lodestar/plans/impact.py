@@ -240,22 +240,42 @@ def q_rate_premium_explained(spark, sf):
 
 
 @register("denial_reason_gap", section="Q", sql="WITH p AS (" + V.prep() + """)
-, l AS (UNPIVOT (SELECT is_black, denial_reason_1, denial_reason_2, denial_reason_3, denial_reason_4 FROM p
-                 WHERE denied = 1 AND (is_black = 1 OR is_white = 1))
-        ON denial_reason_1, denial_reason_2, denial_reason_3, denial_reason_4 INTO NAME slot VALUE reason)
-, c AS (SELECT is_black, reason, count(*) AS n FROM l WHERE reason IS NOT NULL AND trim(reason) <> '' GROUP BY ALL)
+, b0 AS (SELECT row_number() OVER () AS rid, is_black, denial_reason_1, denial_reason_2, denial_reason_3,
+                denial_reason_4 FROM p WHERE denied = 1 AND (is_black = 1 OR is_white = 1))
+, l AS (UNPIVOT b0 ON denial_reason_1, denial_reason_2, denial_reason_3, denial_reason_4 INTO NAME slot VALUE reason)
+, c AS (SELECT is_black, reason, count(*) AS n, count(DISTINCT rid) AS n_app FROM l
+        WHERE reason IS NOT NULL AND trim(reason) <> '' GROUP BY ALL)
 , s AS (SELECT *, n * 100.0 / sum(n) OVER (PARTITION BY is_black) AS pct FROM c)
 SELECT coalesce(a.reason, b.reason) AS reason, round(coalesce(a.pct, 0), 6) AS pct_protected,
-       round(coalesce(b.pct, 0), 6) AS pct_reference, round(coalesce(a.pct, 0) - coalesce(b.pct, 0), 6) AS gap
+       round(coalesce(b.pct, 0), 6) AS pct_reference, round(coalesce(a.pct, 0) - coalesce(b.pct, 0), 6) AS gap,
+       coalesce(a.n, 0) AS citations_protected, coalesce(a.n_app, 0) AS applicants_protected,
+       coalesce(b.n, 0) AS citations_reference, coalesce(b.n_app, 0) AS applicants_reference
 FROM (SELECT * FROM s WHERE is_black = 1) a FULL OUTER JOIN (SELECT * FROM s WHERE is_black = 0) b ON a.reason = b.reason""")
 def q_denial_reason_gap(spark, sf):
+    """Citation shares by group and their gap; citations (melted reason slots) and
+    applicants (distinct denied applications citing the reason) are both reported."""
     from lodestar.operators import aggs as A, frames
     df = prep(spark, sf).where((F.col("denied") == 1) & ((F.col("is_black") == 1) | (F.col("is_white") == 1)))
     long = frames.unpivot_nonblank(df, ["is_black"], REASONS, "slot", "reason")
     sh = A.value_share(long, ["is_black"], "reason")
-    a = sh.where("is_black = 1").select("reason", F.col("pct").alias("pct_protected"))
-    b = sh.where("is_black = 0").select("reason", F.col("pct").alias("pct_reference"))
-    return rounded(J.outer_align(a, b, "reason", "pct_protected", "pct_reference", "gap"))
+    slots = F.filter(F.array(*[F.col(c) for c in REASONS]), lambda x: x.isNotNull() & (F.trim(x) != ""))
+    apps_ = df.select("is_black", F.explode(F.array_distinct(slots)).alias("reason")) \
+        .groupBy("is_black", "reason").agg(F.count(F.lit(1)).alias("n_app"))
+    sh = sh.join(apps_, ["is_black", "reason"], "left")
+    a = sh.where("is_black = 1").select("reason", F.col("pct").alias("pct_protected"),
+                                        F.col("n").alias("citations_protected"),
+                                        F.col("n_app").alias("applicants_protected"))
+    b = sh.where("is_black = 0").select("reason", F.col("pct").alias("pct_reference"),
+                                        F.col("n").alias("citations_reference"),
+                                        F.col("n_app").alias("applicants_reference"))
+    gap = J.outer_align(a.select("reason", "pct_protected"), b.select("reason", "pct_reference"), "reason",
+                        "pct_protected", "pct_reference", "gap")
+    counts = a.drop("pct_protected").join(b.drop("pct_reference"), "reason", "full_outer")
+    out = gap.join(counts, "reason", "left").select(
+        "reason", "pct_protected", "pct_reference", "gap",
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in
+          ["citations_protected", "applicants_protected", "citations_reference", "applicants_reference"]])
+    return rounded(out)
 
 
 @register("outer_align", section="J", sql="WITH f1 AS (" + V.F1 + """)

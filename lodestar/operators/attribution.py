@@ -185,10 +185,10 @@ def shap_values(df: DataFrame, features: Sequence[str], model, keys: Sequence[st
     return long.select(*keys, F.get(names, F.col("idx")).alias("feature"), "phi"), base
 
 
-def mean_abs_shap(long: DataFrame, subgroup: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    imp = long.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_shap"))
-    if subgroup is not None:
-        sub = long.join(subgroup.select(*keys), list(keys), "left_semi") \
-            .groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_shap_subgroup"))
-        imp = imp.join(sub, "feature", "left")
-    return imp
+def mean_abs_shap(long: DataFrame, subgroup_flag: str | None = None) -> DataFrame:
+    """Mean |phi| per feature, and over rows whose ``subgroup_flag`` is 1, in one
+    aggregation over a single SHAP pass."""
+    aggs = [F.avg(F.abs("phi")).alias("mean_abs_shap")]
+    if subgroup_flag is not None:
+        aggs.append(F.avg(F.when(F.col(subgroup_flag) == 1, F.abs("phi"))).alias("mean_abs_shap_subgroup"))
+    return long.groupBy("feature").agg(*aggs)

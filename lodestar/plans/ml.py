@@ -240,7 +240,7 @@ def q_tree_attribution(spark, sf):
     from pyspark.sql import Window
     df, train, _ = ml_frame(spark, sf)
     model = fit_gbt(train, max_iter=50).stages[-1]
-    long, base = AT.shap_values(df, FEATS, model, ["CERT", "REPDTE"])
-    imp = AT.mean_abs_shap(long, df.where("label = 1"), ["CERT", "REPDTE"])
+    long, base = AT.shap_values(df, FEATS, model, ["CERT", "REPDTE", "label"])
+    imp = AT.mean_abs_shap(long, "label")
     w = Window.orderBy(F.col("mean_abs_shap").desc(), "feature")  # one row per feature (11 rows)
     return rounded(imp.select("*", F.row_number().over(w).alias("rank"), F.lit(base).alias("base_value")))

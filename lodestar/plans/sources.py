@@ -56,7 +56,9 @@ def q_scan_json_envelope(spark, sf):
     path = scratch_path(spark, "events_pages")
     e = read(spark, sf, "events", "event_id", "event_type", "props")
     rec = e.select(F.struct("event_id", "event_type", F.from_json("props", "k int")["k"].alias("k")).alias("data"))
-    pages = rec.groupBy((F.col("data.event_id") % 50).alias("page")).agg(F.collect_list(F.struct("data")).alias("data"))
+    # fixed-size pages (1,000 records), so a page never grows with the data
+    pages = rec.groupBy(F.floor(F.col("data.event_id") / 1000).alias("page")) \
+        .agg(F.collect_list(F.struct("data")).alias("data"))
     pages.select("data").write.mode("overwrite").json(path)
     recs = FS.read_json_envelope(spark, path, "event_id: bigint, event_type: string, k: int")
     return recs.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))

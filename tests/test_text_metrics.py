@@ -55,7 +55,11 @@ def test_auc_and_ap_against_brute_force(spark):
     assert abs(ap - want) < 1e-12
 
 
-def test_fuzzy_exact_on_random_typos(spark):
+import pytest
+
+
+@pytest.mark.parametrize("cutoff", [80.0, 88.0, 95.0])
+def test_fuzzy_exact_on_random_typos(spark, cutoff):
     """The prefix-filtered join finds exactly the brute-force best matches."""
     rng = np.random.default_rng(7)
     alphabet = list("abcdefghij ")
@@ -76,7 +80,7 @@ def test_fuzzy_exact_on_random_typos(spark):
     c = spark.createDataFrame([(n, i) for i, n in enumerate(cands)], "name string, cert int")
     q = spark.createDataFrame([(n,) for n in set(queries)], "company string")
     got = {r.company: (r.cert, round(r.match_score, 9))
-           for r in T.fuzzy_best_match(q, "company", c, "name", "cert", "cert").collect()}
+           for r in T.fuzzy_best_match(q, "company", c, "name", "cert", "cert", cutoff).collect()}
 
     def key(s):
         return " ".join(sorted(s.split()))
@@ -85,8 +89,8 @@ def test_fuzzy_exact_on_random_typos(spark):
         best = None
         for i, cs in enumerate(cands):
             sc = T.indel_ratio(key(qs), key(cs))
-            if sc >= 88 and (best is None or sc > best[1]):
+            if sc >= cutoff and (best is None or sc > best[1]):
                 best = (i, round(sc, 9))
         if best:
             want[qs] = best
-    assert got == want and len(want) > 10
+    assert got == want and len(want) > 5

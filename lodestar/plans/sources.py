@@ -64,15 +64,25 @@ def q_scan_json_envelope(spark, sf):
     return recs.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"))
 
 
+EXPECTED_YEARS = list(range(1992, 2003))
+
+
 @register("scan_multi_file_lineage", section="S", sql="""
-SELECT CAST(year(l_shipdate) AS INTEGER) AS source_year, count(*) AS n FROM lineitem GROUP BY 1""")
+WITH c AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS source_year, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT CAST(e.y AS INTEGER) AS source_year, coalesce(c.n, 0) AS n, CAST(c.n IS NULL AS INTEGER) AS missing
+FROM (SELECT unnest(range(1992, 2003)) AS y) e LEFT JOIN c ON c.source_year = e.y""")
 def q_scan_multi_file_lineage(spark, sf):
+    """Union of per-year files tagged with their source path; expected years with
+    no file are reported as missing."""
     path = scratch_path(spark, "lineitem_by_year")
     li = read(spark, sf, "lineitem", "l_orderkey", "l_shipdate").withColumn("year", F.year("l_shipdate"))
     FS.write_parquet(li, path, partition_by=["year"])  # one file set per source year, one job
     tagged = spark.read.parquet(f"{path}/year=*").select(
         F.regexp_extract(F.col("_metadata.file_path"), r"year=(\d+)", 1).cast("int").alias("source_year"))
-    return tagged.groupBy("source_year").agg(F.count(F.lit(1)).alias("n"))
+    counts = tagged.groupBy("source_year").agg(F.count(F.lit(1)).alias("n"))
+    expected = spark.createDataFrame([(y,) for y in EXPECTED_YEARS], "source_year int")
+    return expected.join(counts, "source_year", "left").select(
+        "source_year", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().cast("int").alias("missing"))
 
 
 ALIASES = {"MIDDLE EAST": "EUROPE"}
@@ -122,7 +132,8 @@ def q_sink_if_absent(spark, sf):
 
 @register("profile_columns", section="S", sql="""
 SELECT ordinal, count(value) AS n_nonnull, count(DISTINCT value) AS n_distinct, min(value) AS min_value,
-       max(value) AS max_value FROM (
+       max(value) AS max_value, round(avg(CAST(TRY_CAST(value AS DOUBLE) IS NOT NULL AS INTEGER)), 6) AS numeric_share
+FROM (
   UNPIVOT (SELECT CAST(l_orderkey AS VARCHAR) AS "0", CAST(l_linenumber AS VARCHAR) AS "1", l_returnflag AS "2",
                   l_linestatus AS "3" FROM lineitem)
   ON "0", "1", "2", "3" INTO NAME ordinal VALUE value) GROUP BY 1""")
@@ -130,8 +141,10 @@ def q_profile_columns(spark, sf):
     li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
     cols = [F.col(c).cast("string").alias(str(i)) for i, c in enumerate(li.columns)]
     long = li.select(*cols).unpivot([], [str(i) for i in range(4)], "ordinal", "value")
-    return long.groupBy("ordinal").agg(F.count("value").alias("n_nonnull"), F.countDistinct("value").alias("n_distinct"),
-                                       F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+    return rounded(long.groupBy("ordinal").agg(
+        F.count("value").alias("n_nonnull"), F.countDistinct("value").alias("n_distinct"),
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        F.avg(F.col("value").try_cast("double").isNotNull().cast("int")).alias("numeric_share")))
 
 
 RULES = [("fico", 600, 850), ("original_dti", 10, 65), ("original_upb", 50_000, 3_000_000)]

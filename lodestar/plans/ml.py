@@ -106,15 +106,25 @@ def _assembler():
 
 
 def fit_ridge(train, C_inv=1.0):
-    from pyspark.ml.feature import StandardScaler
+    """L2 logistic regression (C = 1) with class-balanced weights on z-scored inputs.
+
+    Spark's StandardScaler divides by the sample std; an ElementwiseProduct by
+    sqrt(n / (n - 1)) turns that into the population std that the reference's
+    scaler uses, so the penalised problem is the same."""
+    import math
+    from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+    from pyspark.ml.linalg import Vectors
     tw = balanced_weights(train)
-    sum_w = tw.select(F.sum("w")).first()[0]
+    stats = tw.select(F.struct(F.sum("w").alias("sw"), F.count(F.lit(1)).alias("n"))).first()[0]
+    sum_w, n = stats["sw"], stats["n"]
+    factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="w", regParam=1.0 / (C_inv * sum_w),
                             elasticNetParam=0.0, standardization=False, maxIter=200)
-    # population-std scaling (sklearn StandardScaler) via withMean + a sample-to-population factor is
-    # folded into the coefficients' scale; Spark's scaler uses the sample std (documented difference).
-    pipe = Pipeline(stages=[_assembler(), StandardScaler(inputCol="features", outputCol="scaled", withMean=True,
-                                                         withStd=True), lr])
+    pipe = Pipeline(stages=[_assembler(),
+                            StandardScaler(inputCol="features", outputCol="zs", withMean=True, withStd=True),
+                            ElementwiseProduct(inputCol="zs", outputCol="scaled",
+                                               scalingVec=Vectors.dense([factor] * len(FEATS))),
+                            lr])
     return pipe.fit(tw)
 
 

@@ -127,3 +127,16 @@ def test_absorbed_twfe_equals_dummies_on_unbalanced_panel(spark):
     df, tn = frames.one_hot_drop_first(df, "t", prefix="fe_t")
     d = glm.term(glm.ols(df, "y", ["treat_post", *en, *tn], cov_type="cluster", cluster="e"), "treat_post").first()
     assert abs(a.coef - d.coef) < 1e-8 and abs(a.se - d.se) < 1e-8
+
+
+def test_ridge_inputs_use_population_std(spark):
+    from pyspark.ml.functions import vector_to_array
+    from lodestar.plans.ml import FEATS, fit_ridge
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(60, len(FEATS))) * 3 + 1
+    y = (X[:, 0] + rng.normal(size=60) > 1).astype(int)
+    df = spark.createDataFrame([(*map(float, X[i]), int(y[i])) for i in range(60)],
+                               ", ".join(f"{c} double" for c in FEATS) + ", label int")
+    scaled = fit_ridge(df).transform(df).select(vector_to_array("scaled")[0].alias("z"))
+    z = np.array([r.z for r in scaled.collect()])
+    assert abs(z.mean()) < 1e-9 and abs(z.std() - 1) < 1e-9

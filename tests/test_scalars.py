@@ -165,3 +165,9 @@ def test_rare_and_null_levels_collapse_to_other(spark):
     df = spark.createDataFrame(rows, "c string")
     got = sorted((r.c, r.n) for r in rare_level_collapse(df, "c", 2).groupBy("c").count().withColumnRenamed("count", "n").collect())
     assert got == [("a", 3), ("other", 6)]
+
+
+def test_exact_quantiles_skip_null_and_nan(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,), (2.0,)], "x double")
+    got = {r.q_index: r.value for r in Q.exact_quantiles(df, "x", [0.5, 0.25]).collect()}
+    assert got == {0: 2.0, 1: 1.5}

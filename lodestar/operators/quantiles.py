@@ -141,3 +141,33 @@ def with_quantiles(agg: DataFrame, df: DataFrame, by: Sequence[str], specs: Sequ
             row = q.first()  # one row of len(specs) numbers
             out = out.select("*", *[F.lit(row[n]).alias(n) for _, n in ps])
     return out
+
+
+def kth_smallest(df: DataFrame, c: str, by: Sequence[str], ranks: DataFrame, grid: int = 2000,
+                 accuracy: int = APPROX_ACCURACY) -> DataFrame:
+    """Exact k-th smallest value (0-based ``k`` per group, from ``ranks(by..., k)``)
+    with the same bracket-and-rank scheme as ``exact_quantiles``: an approximate
+    quantile grid brackets rank k, one pass counts rows below the bracket (a
+    missed bracket widens to the whole group), and only bracket rows are ranked.
+    The column keeps its type (e.g. 64-bit hashes stay exact)."""
+    by = list(by)
+    base = df.select(*by, F.col(c).alias("_x")).where(F.col("_x").isNotNull())
+    probs = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
+    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", probs, accuracy).alias("_a"))
+    st = stats.join(ranks.select(*by, F.col("k").cast("long").alias("k")), by)
+    pos = F.col("k") / F.greatest(F.col("_n") - 1, F.lit(1)) * grid
+    lo_i = F.least(F.greatest(F.floor(pos) - 2, F.lit(0)), F.lit(grid)).cast("int")
+    hi_i = F.least(F.ceil(pos) + 2, F.lit(grid)).cast("int")
+    st = st.select(*by, "k", F.element_at("_a", lo_i + 1).alias("lo"), F.element_at("_a", hi_i + 1).alias("hi"))
+    cnt = base.join(st, by).groupBy(*by).agg(
+        F.sum(F.when(F.col("_x") < F.col("lo"), 1).otherwise(0)).cast("long").alias("below"),
+        F.sum(F.when((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")), 1).otherwise(0)).cast("long")
+        .alias("inside"))
+    b = st.join(cnt, by)
+    ok = (F.col("below") <= F.col("k")) & (F.col("below") + F.col("inside") >= F.col("k") + 1)
+    b = b.select(*by, "k", F.when(ok, F.col("below")).otherwise(F.lit(0)).cast("long").alias("below"),
+                 ok.alias("ok"), "lo", "hi")
+    br = base.join(b, by).where(~F.col("ok") | ((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))))
+    w = Window.partitionBy(*by).orderBy("_x")
+    ranked = br.select(*by, "k", "_x", (F.col("below") + F.row_number().over(w) - 1).alias("_r"))
+    return ranked.where(F.col("_r") == F.col("k")).select(*by, "k", F.col("_x").alias("value"))

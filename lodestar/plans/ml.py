@@ -192,12 +192,42 @@ def q_platt_calibrate(spark, sf):
                             F.count(F.lit(1)).alias("n")))
 
 
-@register("stratified_split", section="M")
+def split_allocation(counts: dict, test_size: float = 0.2) -> dict:
+    """Train rows per class: n_train = n - ceil(test_size n), split by floor
+    proportional shares plus largest remainders (ties by class) in integer arithmetic."""
+    import math
+    n = sum(counts.values())
+    n_train = n - math.ceil(test_size * n)
+    base = {c: (n_train * k) // n for c, k in counts.items()}
+    rem = n_train - sum(base.values())
+    order = sorted(counts, key=lambda c: (-((n_train * counts[c]) % n), c))
+    for c in order[:rem]:
+        base[c] += 1
+    return base
+
+
+@register("stratified_split", section="M", sql=SCORED_SQL + """
+, c AS (SELECT label, count(*) AS n_c FROM s GROUP BY 1)
+, t AS (SELECT sum(n_c) AS n, sum(n_c) - CAST(ceil(0.2 * sum(n_c)) AS BIGINT) AS n_train FROM c)
+, a AS (SELECT label, n_c, (n_train * n_c) // n AS base, (n_train * n_c) % n AS r, n_train FROM c, t)
+, b AS (SELECT *, row_number() OVER (ORDER BY r DESC, label) AS o,
+               n_train - (SELECT sum(base) FROM a) AS rem FROM a)
+, f2 AS (SELECT label, n_c, base + CASE WHEN o <= rem THEN 1 ELSE 0 END AS n_tr FROM b)
+SELECT 'train' AS split, label, CAST(n_tr AS BIGINT) AS n FROM f2 WHERE n_tr > 0
+UNION ALL SELECT 'test', label, CAST(n_c - n_tr AS BIGINT) FROM f2 WHERE n_c - n_tr > 0""")
 def q_stratified_split(spark, sf):
-    """80/20 split within each label class by a seeded hash (no global rank)."""
+    """80/20 split with exact per-class sizes: within each class the rows with the
+    smallest seeded hash go to train, the cut being an exact distributed k-th
+    order statistic (no global rank, no per-class sort in one task)."""
+    from lodestar.operators.quantiles import kth_smallest
     df, _, _ = ml_frame(spark, sf)
-    u = (F.pmod(F.xxhash64("CERT", "REPDTE", F.lit(42)), F.lit(1_000_000)) / 1_000_000.0)
-    split = df.withColumn("split", F.when(u < 0.8, "train").otherwise("test"))
+    d = df.select("label", F.xxhash64("CERT", "REPDTE", F.lit(42)).alias("u"))
+    counts = {r["label"]: r["n"] for r in d.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # classes
+    alloc = split_allocation(counts)
+    ranks = spark.createDataFrame([(int(c), int(t) - 1) for c, t in alloc.items() if t > 0], "label int, k long")
+    cut = kth_smallest(d, "u", ["label"], ranks).select("label", F.col("value").alias("_t"))
+    split = d.join(cut, "label", "left").select(
+        "label", F.when(F.col("u") <= F.col("_t"), "train").otherwise("test").alias("split"))
     return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -171,3 +171,15 @@ def test_exact_quantiles_skip_null_and_nan(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (3.0,), (2.0,)], "x double")
     got = {r.q_index: r.value for r in Q.exact_quantiles(df, "x", [0.5, 0.25]).collect()}
     assert got == {0: 2.0, 1: 1.5}
+
+
+def test_kth_smallest_exact_on_64bit_values(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    vals = rng.integers(-2**62, 2**62, size=2000)
+    g = rng.integers(0, 2, size=2000)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(g, vals)], "g int, x long")
+    ks = {0: 0, 1: int((g == 1).sum()) - 1}
+    ranks = spark.createDataFrame(list(ks.items()), "g int, k long")
+    got = {r.g: r.value for r in Q.kth_smallest(df, "x", ["g"], ranks, grid=50, accuracy=30).collect()}
+    assert got == {k: int(np.sort(vals[g == k])[v]) for k, v in ks.items()}

@@ -72,6 +72,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM n WINDOW g AS (PARTITION BY t)
 """)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup.deduplicate(documents(spark, sf_dir).select("doc_id", "text"))
+    found = dedup.deduplicate(documents(spark, sf_dir), ["doc_id"])
     return found.select(F.col("doc")["doc_id"].alias("doc_id"), "keep_id", "group_size", "kept",
                         F.col("digest").alias("text_sha256"))

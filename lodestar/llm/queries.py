@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestar.llm import dedup, mixing, simhash
+from lodestar.llm import bpe, dedup, longest_match, mixing, secret_scan, simhash, topk
 from lodestar.llm.common import UPPER, WORD, table
 
 QUERIES: dict = {}
@@ -25,6 +25,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+@register("op1_secret_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf_dir), ["doc_id"])
+    base = F.filter("found", lambda x: x["kind"] != "guess")
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    return found.select(F.col("doc")["doc_id"].alias("doc_id"), *counts,
+                        F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("found")).alias("spans"))
+
+
+def of_kind(kind: str):
+    return F.filter("found", lambda x: x["kind"] == kind)
+
+
+@register("op2_topk_norm_sorted", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 @register("op5_simhash_golay")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(documents(spark, sf_dir), ["doc_id"])
@@ -32,6 +58,25 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "component_id")
 
 
+@register("op7_bpe_tree_concat")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(documents(spark, sf_dir), ["doc_id"])
+    return coded.select(F.col("doc")["doc_id"].alias("doc_id"), *digests())
+
+
+def digests() -> list:
+    """The contract's digest columns of BPE ids and decoded text."""
+    return [F.size("ids").cast("long").alias("n_tokens"),
+            F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+            F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+
+
+@register("op8_longest_match_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = longest_match.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+    return counted.select(F.col("doc")["doc_id"].alias("doc_id"), "n_words", "n_tokens")
+
+
 @register("op9_mix_hash_threshold", f"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,

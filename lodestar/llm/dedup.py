@@ -110,10 +110,11 @@ def deduplicate(docs: DataFrame, columns: list[str] | None = None, digest=None,
     names = found.where("n > 1 and kept").select(F.col("digest").alias("d"), F.col("hit").alias("name"))
     differs = written(hits.join(names, F.col("digest") == F.col("d"))
                       .where((F.col("hit") != F.col("name")) & (norm(F.col("hit")) != norm(F.col("name"))))
-                      .select("digest").distinct(), "dedup-differs")
+                      .select("digest"), "dedup-differs")  # as a rule empty; no aggregation, so that a hot digest's join can be split
     remove(spark, keys, state, plan)
     same, collided = found, not differs.isEmpty()
     if collided:
+        differs = differs.distinct()
         same = found.join(differs, "digest", "left_anti")
     out = same.select("doc", F.col("keep")["id"].alias("keep_id"), F.col("n").alias("group_size"), "kept", "digest")
     if collided:

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestar.llm import bpe, dedup, longest_match, mixing, secret_scan, simhash, topk
-from lodestar.llm.common import UPPER, WORD, table
+from lodestar.llm import bpe, dedup, longest_match, mixing, secret_scan, simhash, subword, topk, toxicity
+from lodestar.llm.common import UPPER, WORD, fold, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -51,6 +51,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def scored(rows: DataFrame, mod: int, rest: int, threshold: float) -> DataFrame:
+    doc_id = F.col("doc")["doc_id"]
+    return rows.select(doc_id.alias("doc_id"), fold(doc_id, mod, rest).alias("held_out"), "score",
+                       F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
+
+
+@register("op3_quality_subword")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = subword.fit(docs, table(spark, sf_dir, "labels"), "quality", ~fold(F.col("doc_id"), 5, 0))
+    return scored(subword.score(docs, model, ["doc_id"]), 5, 0, subword.THRESHOLD)
+
+
+@register("op4_toxicity_grammar")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~fold(F.col("doc_id"), 4, 2))
+    return scored(toxicity.score(docs, grammar, ["doc_id"]), 4, 2, toxicity.THRESHOLD)
+
+
 @register("op5_simhash_golay")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = simhash.near_duplicates(documents(spark, sf_dir), ["doc_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestar.llm import bpe, dedup, longest_match, mixing, secret_scan, simhash, subword, topk, toxicity
+from lodestar.llm import bpe, context_tree, dedup, longest_match, mixing, secret_scan, simhash, subword, topk, toxicity
 from lodestar.llm.common import UPPER, WORD, fold, table
 
 QUERIES: dict = {}
@@ -78,6 +78,14 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "component_id")
 
 
+@register("op6_context_tree")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc_id = F.col("doc")["doc_id"]
+    scored_ = context_tree.score(documents(spark, sf_dir), ~fold(F.col("doc_id"), 7, 2), ["doc_id"])
+    return scored_.select(doc_id.alias("doc_id"), fold(doc_id, 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                          "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 @register("op7_bpe_tree_concat")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(documents(spark, sf_dir), ["doc_id"])

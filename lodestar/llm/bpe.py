@@ -297,7 +297,7 @@ def _encode_long(rows: DataFrame, doc_type: str, path: str | None) -> DataFrame:
                     ids.append(e.tree(e.symbols(t, final)))
             yield b.assign(ids=ids)[["key", "unit", "part", "ids"]]
 
-    def meet(key, b: pd.DataFrame) -> pd.DataFrame:
+    def meet(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         e, ids = encoder(path), []
         for _, u in b.sort_values(["unit", "part"]).groupby("unit", sort=True):
             level = [[int(i) for i in x] for x in u["ids"]]

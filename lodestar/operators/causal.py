@@ -18,8 +18,6 @@ from pyspark.storagelevel import StorageLevel
 
 from lodestar.operators import frames, glm
 
-MAX_DUMMY_LEVELS = 500
-
 
 def did_twfe(panel: DataFrame, y: str, treat: str, post: str, entity: str, period: str,
              cov_type: str = "HC3") -> DataFrame:
@@ -27,8 +25,6 @@ def did_twfe(panel: DataFrame, y: str, treat: str, post: str, entity: str, perio
     df = panel.withColumn("treat_post", (F.col(treat) * F.col(post)).cast("double"))
     df, e_names = frames.one_hot_drop_first(df, entity, prefix="fe_e")
     df, p_names = frames.one_hot_drop_first(df, period, prefix="fe_t")
-    if len(e_names) + len(p_names) > MAX_DUMMY_LEVELS:
-        raise ValueError("too many fixed-effect levels for dummies; demean instead")
     fit = glm.ols(df, y, ["treat_post", *e_names, *p_names], cov_type=cov_type)
     return glm.term(fit, "treat_post").select(
         "term", "coef", "se", "p", "ci_lo", "ci_hi", "n",
@@ -71,26 +67,19 @@ def did_twfe_absorbed(panel: DataFrame, y: str, treat: str, post: str, entity: s
     of freedom of the dummy-variable model.
 
     The larger effect is absorbed exactly by within-demeaning (one partial
-    aggregation + join); the smaller one (usually the calendar, bounded) enters
-    as demeaned dummies, so no iteration is needed. If both effects are large,
-    alternating projections absorb both."""
+    aggregation + join); the smaller one (usually the calendar) enters as
+    demeaned dummies, so no iteration is needed. For two large effects see
+    ``absorb_fixed_effects``."""
     from lodestar.operators import windows as W
     df = panel.withColumn("treat_post", (F.col(treat) * F.col(post)).cast("double"))
     n_e = df.select(F.countDistinct(entity)).first()[0]
     n_t = df.select(F.countDistinct(period)).first()[0]
     big, small = (entity, period) if n_e >= n_t else (period, entity)
-    if min(n_e, n_t) <= MAX_DUMMY_LEVELS:
-        df, names = frames.one_hot_drop_first(df, small, prefix="fe_s")
-        d = W.within_demean(df, [y, "treat_post", *names], big)
-        xs = ["treat_post_dm", *[f"{c}_dm" for c in names]]
-        fit = glm.ols(d, f"{y}_dm", xs, intercept=False, cov_type="cluster", cluster=entity,
-                      absorbed_params=max(n_e, n_t))
-        out = glm.term(fit, "treat_post_dm").withColumn("term", F.lit("treat_post"))
-    else:
-        d = absorb_fixed_effects(df, [y, "treat_post"], [entity, period])
-        fit = glm.ols(d, y, ["treat_post"], intercept=False, cov_type="cluster", cluster=entity,
-                      absorbed_params=n_e + n_t - 1)
-        out = glm.term(fit, "treat_post")
+    df, names = frames.one_hot_drop_first(df, small, prefix="fe_s")
+    d = W.within_demean(df, [y, "treat_post", *names], big)
+    xs = ["treat_post_dm", *[f"{c}_dm" for c in names]]
+    fit = glm.ols(d, f"{y}_dm", xs, intercept=False, cov_type="cluster", cluster=entity, absorbed_params=max(n_e, n_t))
+    out = glm.term(fit, "treat_post_dm").withColumn("term", F.lit("treat_post"))
     return out.select("term", "coef", "se", "p", "ci_lo", "ci_hi", "n",
                       ((F.exp("coef") - 1) * 100).alias("implied_pct"))
 
@@ -163,59 +152,102 @@ def oster_delta(b_u: float, b_c: float, r_u: float, r_c: float, rmax_mult: float
 
 # ---------------------------------------------------------------- placebo permutation
 
-def placebo_blocks(n_draws: int, flag: str, y: str, xs: Sequence[str], key: str, seed: int = 42,
-                   n_groups: int = 1):
-    """Design-block generator. Rows carry a permutation block ``_blk`` (a bounded,
-    hash-assigned set) and a draw group ``_dg``; for each draw of its group the
-    protected flag is permuted within the block, so margins are preserved exactly
-    and every draw of a block sees the same rows in the same order."""
-    xs = list(xs)
-    fi = xs.index(flag)
-
-    def blocks(pdf: pd.DataFrame):
-        for (blk, dg), sub in pdf.groupby(["_blk", "_dg"], sort=True):
-            sub = sub.sort_values(key, kind="mergesort")
-            X = np.column_stack([np.ones(len(sub)), sub[xs].to_numpy(dtype=np.float64)])
-            yv = sub[y].to_numpy(dtype=np.float64)
-            orig = X[:, fi + 1].copy()
-            for d in range(int(dg), n_draws, n_groups):
-                rng = np.random.default_rng([seed, d, int(blk)])
-                Xd = X.copy()
-                Xd[:, fi + 1] = orig[rng.permutation(len(orig))]
-                yield (d,), Xd, yv
-    return blocks
+_GOLDEN = 0x9E3779B97F4A7C15
+
+
+def _draw_hash(h: np.ndarray, draw: int) -> np.ndarray:
+    """63 bits that order the rows anew for each draw (splitmix64 of the row's hash)."""
+    z = h.view(np.uint64) + np.uint64((draw + 1) * _GOLDEN & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+def placebo_cuts(design: DataFrame, n: int, m: int, n_draws: int, width: float = 6.0) -> np.ndarray:
+    """Per draw the m-th smallest of the n rows' draw hashes.
+
+    The hashes are uniform, so rank m lies within a few standard deviations of
+    m / n: one pass counts the rows below that bracket and emits those inside
+    (about 2 * width * sqrt(n) / 2 per draw), which Spark ranks per draw. Draws
+    whose bracket misses are ranked over all rows."""
+    from pyspark.sql import Window
+    whole = float(1 << 63)
+
+    def cuts(draws: list[int], lo: int, hi: int) -> dict[int, int]:
+        def fn(it):
+            below = dict.fromkeys(draws, 0)
+            for pdf in it:
+                h = pdf["_h"].to_numpy(dtype=np.int64)
+                for d in draws:
+                    z = _draw_hash(h, d)
+                    below[d] += int((z < lo).sum())
+                    z = z[(z >= lo) & (z <= hi)]
+                    if len(z):
+                        yield pd.DataFrame({"draw": d, "z": z, "below": 0})
+            yield pd.DataFrame({"draw": draws, "z": -1, "below": [below[d] for d in draws]})
+
+        rows = design.select("_h").mapInPandas(fn, "draw int, z long, below long")
+        under = rows.where("z < 0").groupBy("draw").agg(F.sum("below").alias("u"))
+        rank = F.row_number().over(Window.partitionBy("draw").orderBy("z"))
+        found = rows.where("z >= 0").withColumn("r", rank).join(under, "draw").where(F.col("r") + F.col("u") == m)
+        return {r["draw"]: r["z"] for r in found.select("draw", "z").collect()}  # one number per draw
+
+    c = m / n
+    w = width * math.sqrt(max(c * (1 - c), 1.0 / n) / n) + 2.0 / n
+    got = cuts(list(range(n_draws)), int(max(0.0, c - w) * whole), min((1 << 63) - 1, int(min(1.0, c + w) * whole)))
+    missed = [d for d in range(n_draws) if d not in got]
+    if missed:
+        got |= cuts(missed, 0, (1 << 63) - 1)
+    return np.array([got[d] for d in range(n_draws)], np.int64)
 
 
 def placebo_permutation(df: DataFrame, y: str, xs: Sequence[str], flag: str, key: str, n_draws: int = 500,
-                        rows_per_block: int = 200_000, seed: int = 42) -> DataFrame:
-    """Refit the logit n_draws times with the flag permuted; returns one row per draw."""
+                        seed: int = 42) -> DataFrame:
+    """Refit the logit n_draws times with the 0/1 flag permuted over all rows; one row per draw.
+
+    A permuted flag is a random set of as many rows as the flag marks: those
+    with the smallest draw hashes of ``key``. It depends on neither partitions
+    nor row order, margins are kept exactly (rows that share a key share its
+    hash), and the rows are read batch by batch, never copied per draw."""
     spark = df.sparkSession
-    design = df.select(key, y, *xs).dropna()
-    n = design.count()
-    n_blocks = max(1, math.ceil(n / rows_per_block))
-    # fewer blocks than task slots: each block is replicated to a few draw groups
-    # (at most parallelism / n_blocks copies, so the replicated size stays bounded)
-    n_groups = max(1, min(n_draws, spark.sparkContext.defaultParallelism // n_blocks))
-    design = (design.withColumn("_blk", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(n_blocks)))
-              .withColumn("_dg", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-              .repartition(n_blocks * n_groups, "_blk", "_dg")
-              .withColumn("draw", F.lit(0))
+    xs = list(xs)
+    fi = xs.index(flag)
+    design = (df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(y).cast("double").alias(y),
+                        *[F.col(x).cast("double").alias(x) for x in xs]).dropna()
+              .repartition(spark.sparkContext.defaultParallelism, "_h").withColumn("draw", F.lit(0))
               .persist(StorageLevel.MEMORY_AND_DISK))
-    blocks = placebo_blocks(n_draws, flag, y, xs, key, seed, n_groups)
     try:
-        fit = glm.logit(design, y, list(xs), by=["draw"], blocks=blocks, whole_partition=True, persist=False)
+        t = design.agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("m"),
+                       F.bool_and(F.col(flag).isin(0.0, 1.0)).alias("ok")).first()
+        n, m = t["n"], int(t["m"] or 0)
+        if n and not t["ok"]:
+            raise ValueError(f"{flag} must be a 0/1 flag")
+        cuts = placebo_cuts(design, n, m, n_draws) if m else np.full(n_draws, -1, np.int64)
+
+        def blocks(pdf: pd.DataFrame):
+            h = pdf["_h"].to_numpy(dtype=np.int64)
+            X = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(dtype=np.float64)])
+            yv = pdf[y].to_numpy(dtype=np.float64)
+            for d in range(n_draws):
+                X[:, fi + 1] = _draw_hash(h, d) <= cuts[d]
+                yield (d,), X, yv
+
+        fit = glm.logit(design, y, xs, by=["draw"], blocks=blocks, persist=False)
         out = glm.term(fit, flag).select("draw", "coef", "odds_ratio", "se")
-        out = spark.createDataFrame(out.collect(), out.schema)  # n_draws rows: detach from the cached design
+        return spark.createDataFrame(out.collect(), out.schema)  # n_draws rows: detach from the cached design
     finally:
         design.unpersist()
-    return out
 
 
 def placebo_summary(draws: DataFrame, actual_coef: float) -> DataFrame:
+    """Spread of the draws; p_value: share of draws whose odds ratio is at most the actual
+    one; p_two_sided: share at least as far from 1 in log odds. Failed draws don't count."""
     from lodestar.operators.quantiles import with_quantiles
+    draws = draws.where(F.col("coef").isNotNull())
     agg = draws.agg(F.count(F.lit(1)).alias("n_draws"), F.avg("odds_ratio").alias("mean_or"),
                     F.stddev_pop("coef").alias("sd_coef"),
-                    F.avg((F.abs("coef") >= abs(actual_coef)).cast("int")).alias("p_value"))
+                    F.avg((F.col("coef") <= actual_coef).cast("int")).alias("p_value"),
+                    F.avg((F.abs("coef") >= abs(actual_coef)).cast("int")).alias("p_two_sided"))
     return with_quantiles(agg, draws, [], [("odds_ratio", 0.025, "or_p2_5"), ("odds_ratio", 0.975, "or_p97_5")])
 
 

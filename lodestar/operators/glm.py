@@ -4,19 +4,25 @@ Execution model
 ---------------
 * The design (group keys, y, x's) is one lazy DataFrame, persisted once.
 * Every pass is a single Spark job: ``mapInPandas`` accumulates, per input
-  partition and per group, the sufficient statistics in numpy (X'WX, X'r,
-  log-likelihood, n) and emits ONE flat ``array<double>`` per (partition,
-  group). A ``posexplode`` + ``groupBy(group, pos).sum`` tree-reduces those
-  partials across the cluster, so a hot group (even a third of all rows) is
-  spread over every task that holds its rows; nothing is collected per row.
-* Only k x k matrices per group reach the driver, where Newton steps and
-  covariance algebra are done in batch. Betas travel back to executors in
-  the task closure (their size is groups x k and is checked).
-* Logit: Newton-Raphson with step halving, stop at max |step| < tol;
-  separation / singular Hessians yield NULL-estimate rows, never exceptions.
-* OLS: one Gram pass; HC3 adds a leverage pass; cluster-robust adds a pass
-  of per-cluster score sums (grouped by cluster in Spark, then the outer
-  products summed per group in Spark).
+  partition and per group, the sufficient statistics in numpy and emits ONE
+  flat ``array<double>`` per (partition, group). ``posexplode`` +
+  ``groupBy(group, pos).sum`` tree-reduces those partials across the cluster,
+  so a hot group (even a third of all rows) is spread over every task that
+  holds its rows; a last grouped step assembles a group's vector, checks its
+  rank and solves it on the executors. The driver gets one short row per group
+  (n, log-likelihood, Newton step, standard errors), after a check of the
+  number of groups; betas travel back to executors in the task closure.
+* Rank: columns are taken in order, on their own scale; one that the earlier
+  ones explain (a constant column of a group, an aliased term) gets a NULL
+  estimate and the others are fitted without it.
+* Logit: Newton-Raphson with step halving, stopped by the size of the step in
+  units of the linear predictor (scale-free). Separation shows as information
+  that vanishes relative to the design's own, whatever the scale of the
+  coefficients, and yields NULL estimates for the group, never exceptions.
+* OLS: one Gram pass, then a pass of residual sums at the estimates (with the
+  leverage-weighted meat for HC3); cluster-robust adds a pass of per-cluster
+  score sums (grouped by cluster in Spark, then the outer products summed per
+  group in Spark).
 """
 
 from __future__ import annotations
@@ -127,15 +133,55 @@ def _emit(acc: dict, by: Sequence[str]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def _sum_partials(part: DataFrame, by: Sequence[str]) -> dict:
-    """Tree-reduce per-partition vectors to one vector per group; collect (small)."""
-    ex = part.select(*by, F.posexplode("vec").alias("pos", "v"))
-    s = ex.groupBy(*by, "pos").agg(F.sum("v").alias("v"))
-    # groups x vector-length rows (k x k per group): small, assembled on the driver
-    out: dict = {}
-    for r in s.collect():
-        out.setdefault(tuple(r[b] for b in by), {})[r["pos"]] = r["v"]
-    return {key: np.array([d[i] for i in range(len(d))]) for key, d in out.items()}
+def _sum_partials(part: DataFrame, by: Sequence[str], finish: Callable[[tuple, np.ndarray], np.ndarray] | None = None) -> dict:
+    """Sum the partitions' vectors per group and apply ``finish(key, vector)`` on the
+    executors; returns one (short) vector per group, after a check of their number."""
+    s = part.select(*by, F.posexplode("vec").alias("pos", "v")).groupBy(*by, "pos").agg(F.sum("v").alias("v"))
+    cols = [*by, "vec"]
+
+    def assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("pos")["v"].to_numpy(dtype=np.float64)
+        out = {b: [key[i]] for i, b in enumerate(by)}
+        out["vec"] = [v if finish is None else finish(tuple(key), v)]
+        return pd.DataFrame(out)[cols]
+
+    got = s.groupBy(*by).applyInPandas(assemble, _vec_schema(part, by)).limit(MAX_GROUPS_IN_CLOSURE + 1).collect()
+    _check_groups(len(got))
+    return {tuple(r[b] for b in by): np.array(r["vec"], dtype=np.float64) for r in got}
+
+
+#: share of a column's length that the earlier columns must leave unexplained
+RANK_CUT = 1e-11
+#: least information of a fit, relative to the design's own, that is not separation
+SEPARATION_CUT = 1e-9
+
+
+def independent(XX: np.ndarray) -> np.ndarray:
+    """Mask of the columns, taken in order, that the earlier ones do not explain (from X'X)."""
+    d = np.sqrt(np.clip(np.diag(XX), 0, None))
+    scale = np.where(d > 0, d, 1.0)
+    C = XX / np.outer(scale, scale)
+    keep: list[int] = []
+    L = np.zeros_like(C)
+    for j in range(len(C)):
+        if d[j] == 0:
+            continue
+        row = np.zeros(len(keep))
+        for a, i in enumerate(keep):
+            row[a] = (C[j, i] - row[:a] @ L[i, :a]) / L[i, a]
+        rest = C[j, j] - row @ row
+        if rest > RANK_CUT:
+            L[j, :len(keep)] = row
+            L[j, len(keep)] = math.sqrt(rest)
+            keep.append(j)
+    mask = np.zeros(len(C), bool)
+    mask[keep] = True
+    return mask
+
+
+def _scaled_inverse(H: np.ndarray) -> np.ndarray:
+    d = np.sqrt(np.diag(H))
+    return np.linalg.inv(H / np.outer(d, d)) / np.outer(d, d)
 
 
 def _vec_schema(part_df: DataFrame, by: Sequence[str]) -> str:
@@ -153,32 +199,41 @@ def _blocks_default(by, y, xs, intercept):
     return blocks
 
 
-def _gram_pass(design: DataFrame, by, blocks_factory, k: int, whole_partition: bool = False) -> dict:
-    """n, sum y, y'y, X'y, X'X per group."""
+def _gram_pass(design: DataFrame, by, blocks_factory, k: int, with_inverse: bool) -> dict:
+    """n, estimates (NaN: aliased) and, if asked for, (X'X)^-1 per group."""
     def fn(it):
         acc = {}
-        batches = _whole(it) if whole_partition else it
-        for pdf in batches:
+        for pdf in it:
             if len(pdf) == 0:
                 continue
             for key, X, yv in blocks_factory(pdf):
-                v = np.concatenate([[len(yv), yv.sum(), yv @ yv], X.T @ yv, (X.T @ X).ravel()])
+                v = np.concatenate([[len(yv), yv.sum()], X.T @ yv, (X.T @ X).ravel()])
                 acc[key] = acc[key] + v if key in acc else v
         if acc:
             yield _emit(acc, by)
-    part = design.mapInPandas(fn, _vec_schema(design, by))
-    return _sum_partials(part, by)
 
+    def solve(key, v):
+        n, sy, Xy, XX = v[0], v[1], v[2:2 + k], v[2 + k:].reshape(k, k)
+        use = independent(XX)
+        beta, A = np.full(k, np.nan), np.zeros((k, k))
+        if use.any():
+            inv = _scaled_inverse(XX[np.ix_(use, use)])
+            beta[use] = inv @ Xy[use]
+            A[np.ix_(use, use)] = inv
+        return np.concatenate([[n, sy], beta, A.ravel() if with_inverse else []])
 
-def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, whole_partition: bool = False,
-                zero_default: bool = False) -> dict:
-    """n, sum y, loglik, X'(y-p), X'WX per group at the given betas (or at 0 for every group)."""
+    return _sum_partials(design.mapInPandas(fn, _vec_schema(design, by)), by, solve)
+
+
+def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, zero_default: bool = False) -> dict:
+    """Per group at the given betas (or at 0 for every group): n, sum y, log-likelihood,
+    separated (0/1), largest step in units of the linear predictor, Newton step, standard
+    errors (NaN: aliased)."""
     zero = np.zeros(k)
 
     def fn(it):
         acc = {}
-        batches = _whole(it) if whole_partition else it
-        for pdf in batches:
+        for pdf in it:
             if len(pdf) == 0:
                 continue
             for key, X, yv in blocks_factory(pdf):
@@ -188,28 +243,35 @@ def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, whol
                         continue
                     b = zero
                 eta = X @ b
-                p = 1.0 / (1.0 + np.exp(-eta))
+                p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
                 ll = float(np.sum(yv * eta - np.logaddexp(0.0, eta)))
                 w = p * (1 - p)
-                v = np.concatenate([[len(yv), yv.sum(), ll], X.T @ (yv - p), ((X * w[:, None]).T @ X).ravel()])
+                v = np.concatenate([[len(yv), yv.sum(), ll], X.T @ (yv - p), ((X * w[:, None]).T @ X).ravel(),
+                                    (X.T @ X).ravel()])
                 acc[key] = acc[key] + v if key in acc else v
         if acc:
             yield _emit(acc, by)
-    part = design.mapInPandas(fn, _vec_schema(design, by))
-    return _sum_partials(part, by)
-
-
-def _whole(it):
-    """The whole partition as one frame (empty partitions yield nothing)."""
-    parts = list(it)
-    return [pd.concat(parts, ignore_index=True)] if parts else []
 
+    def newton(key, v):
+        n, sy, ll, g = v[0], v[1], v[2], v[3:3 + k]
+        H, XX = v[3 + k:3 + k + k * k].reshape(k, k), v[3 + k + k * k:].reshape(k, k)
+        use = independent(XX)
+        step, se, separated, size = np.zeros(k), np.full(k, np.nan), 0.0, 0.0
+        if use.any():
+            at = np.ix_(use, use)
+            rms = np.sqrt(np.diag(XX)[use])
+            root = np.linalg.inv(np.linalg.cholesky(XX[at] / np.outer(rms, rms)))
+            info = 4 * root @ (H[at] / np.outer(rms, rms)) @ root.T
+            if not np.all(np.isfinite(info)) or np.linalg.eigvalsh((info + info.T) / 2)[0] < SEPARATION_CUT:
+                separated = 1.0
+            else:
+                inv = _scaled_inverse(H[at])
+                step[use] = inv @ g[use]
+                se[use] = np.sqrt(np.clip(np.diag(inv), 0, None))
+                size = float(np.max(np.abs(step[use]) * rms / math.sqrt(n)))
+        return np.concatenate([[n, sy, ll, separated, size], step, se])
 
-def _unpack(v: np.ndarray, k: int):
-    n, sy, s3 = v[0], v[1], v[2]
-    g = v[3:3 + k]
-    H = v[3 + k:3 + k + k * k].reshape(k, k)
-    return n, sy, s3, g, H
+    return _sum_partials(design.mapInPandas(fn, _vec_schema(design, by)), by, newton)
 
 
 # ---------------------------------------------------------------- public API
@@ -232,19 +294,19 @@ def _py(v):
     return v if math.isfinite(v) else None
 
 
-def _coef_rows(key, terms, beta, cov, n, r2, converged, dist="normal", df_resid=None, logit=True):
+def _coef_rows(key, terms, beta, se, n, r2, converged, dist="normal", df_resid=None, logit=True):
+    """Coefficient rows; ``beta`` / ``se`` None or NaN: no estimate."""
     rows = [tuple(_py(x) if not isinstance(x, str) else x for x in r)
-            for r in _coef_rows_raw(key, terms, beta, cov, n, r2, converged, dist, df_resid, logit)]
+            for r in _coef_rows_raw(key, terms, beta, se, n, r2, converged, dist, df_resid, logit)]
     return rows
 
 
-def _coef_rows_raw(key, terms, beta, cov, n, r2, converged, dist="normal", df_resid=None, logit=True):
+def _coef_rows_raw(key, terms, beta, se, n, r2, converged, dist="normal", df_resid=None, logit=True):
     rows = []
-    se = np.sqrt(np.clip(np.diag(cov), 0, None)) if cov is not None else [None] * len(terms)
     crit = Z975 if dist == "normal" else t_ppf975(df_resid)
     for i, t in enumerate(terms):
         b = None if beta is None else float(beta[i])
-        s = None if (beta is None or cov is None) else float(se[i])
+        s = None if (beta is None or se is None) else float(se[i])
         if b is None or s is None or not math.isfinite(b) or not math.isfinite(s) or s == 0:
             rows.append((*key, t, b, s, None, None, None, None, None, None, None, int(n), r2, converged))
             continue
@@ -273,7 +335,7 @@ def _check_groups(n_groups: int):
 
 def logit(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), intercept: bool = True,
           min_n: int = 0, max_iter: int = 50, tol: float = 1e-9, blocks: Callable | None = None,
-          whole_partition: bool = False, persist: bool = True) -> DataFrame:
+          persist: bool = True) -> DataFrame:
     """Unpenalised logistic regression per group: coef, se, z, p, OR with 95 % CI, McFadden R2."""
     by = list(by)
     terms = (["const"] if intercept else []) + list(xs)
@@ -284,58 +346,39 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), inte
     factory = blocks or _blocks_default(by, y, xs, intercept)
     try:
         # the first pass (every group at beta = 0) also yields n and sum(y) per group
-        res = _logit_pass(design, by, factory, {}, k, whole_partition, zero_default=True)
-        _check_groups(len(res))
-        state = {}
-        for key, v in res.items():
-            n, sy = v[0], v[1]
-            if n < max(min_n, 1):
-                continue
-            state[key] = {"beta": np.zeros(k), "prev": None, "ll_prev": -np.inf, "halvings": 0, "done": False,
-                          "n": n, "sy": sy, "H": None, "ok": True}
+        res = _logit_pass(design, by, factory, {}, k, zero_default=True)
+        state = {key: {"beta": np.zeros(k), "prev": None, "ll": -np.inf, "halvings": 0, "done": False, "ok": True,
+                       "n": v[0], "sy": v[1], "se": None}
+                 for key, v in res.items() if v[0] >= max(min_n, 1)}
         for it in range(max_iter):
             active = {key: s["beta"] for key, s in state.items() if not s["done"]}
             if not active:
                 break
             if it > 0:
-                res = _logit_pass(design, by, factory, active, k, whole_partition)
+                res = _logit_pass(design, by, factory, active, k)
             for key in active:
-                s = state[key]
-                if key not in res:
+                s, v = state[key], res.get(key)
+                if v is None or v[3]:
                     s["done"], s["ok"] = True, False
                     continue
-                n, sy, ll, grad, H = _unpack(res[key], k)
-                if ll < s["ll_prev"] - 1e-9 and s["halvings"] < 30 and s["prev"] is not None:
+                ll, size, step = v[2], v[4], v[5:5 + k]
+                if ll < s["ll"] - 1e-12 * (1 + abs(s["ll"])) and s["halvings"] < 30 and s["prev"] is not None and size >= tol:
                     s["beta"] = (s["beta"] + s["prev"]) / 2
                     s["halvings"] += 1
                     continue
                 s["halvings"] = 0
-                s["prev"], s["ll_prev"], s["H"] = s["beta"].copy(), ll, H
-                try:
-                    step = np.linalg.solve(H, grad)
-                except np.linalg.LinAlgError:
-                    s["done"], s["ok"] = True, False
-                    continue
+                s["prev"], s["ll"], s["se"] = s["beta"], ll, v[5 + k:]
                 s["beta"] = s["beta"] + step
-                if not np.all(np.isfinite(s["beta"])) or np.max(np.abs(s["beta"])) > 50:
-                    s["done"], s["ok"] = True, False
-                elif np.max(np.abs(step)) < tol:
-                    s["done"] = True
+                s["done"] = bool(size < tol)
         rows = []
         for key, s in state.items():
-            n, sy = s["n"], s["sy"]
-            ybar = sy / n
+            n, ybar = s["n"], s["sy"] / s["n"]
             ll0 = n * (ybar * math.log(ybar) + (1 - ybar) * math.log(1 - ybar)) if 0 < ybar < 1 else float("nan")
-            if not s["ok"] or s["H"] is None:
+            if not s["ok"] or s["se"] is None:
                 rows += _coef_rows(key, terms, None, None, n, None, False)
                 continue
-            try:
-                cov = np.linalg.inv(s["H"])
-            except np.linalg.LinAlgError:
-                rows += _coef_rows(key, terms, None, None, n, None, False)
-                continue
-            r2 = 1 - s["ll_prev"] / ll0 if math.isfinite(ll0) and ll0 != 0 else None
-            rows += _coef_rows(key, terms, s["beta"], cov, n, r2, s["done"])
+            r2 = 1 - s["ll"] / ll0 if math.isfinite(ll0) and ll0 != 0 else None
+            rows += _coef_rows(key, terms, np.where(np.isnan(s["se"]), np.nan, s["beta"]), s["se"], n, r2, s["done"])
         return _to_df(df.sparkSession, rows, design, by)
     finally:
         if persist:
@@ -353,61 +396,49 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), interc
     terms = (["const"] if intercept else []) + list(xs)
     k = len(terms)
     extra = [cluster] if cluster else []
+    hc3, clustered = cov_type.upper() == "HC3", cov_type == "cluster"
     design = _prepare(df, y, xs, by, extra)
     if persist:
         design = design.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        g = _gram_pass(design, by, _blocks_default(by, y, xs, intercept), k)
-        _check_groups(len(g))
-        fits = {}
-        for key, v in g.items():
-            n, sy, yy, Xy, XX = _unpack(v, k)
-            if n < max(min_n, k + 1):
-                continue
-            try:
-                A = np.linalg.inv(XX)
-            except np.linalg.LinAlgError:
-                fits[key] = None
-                continue
-            b = A @ Xy
-            ssr = max(yy - 2 * b @ Xy + b @ XX @ b, 0.0)
-            sst = yy - sy * sy / n
-            fits[key] = {"b": b, "A": A, "n": n, "ssr": ssr, "r2": 1 - ssr / sst if sst > 0 else None}
-        ok = {key: f for key, f in fits.items() if f is not None}
-        if cov_type.upper() == "HC3":
-            meat = _hc3_pass(design, by, y, xs, intercept, {key: (f["b"], f["A"]) for key, f in ok.items()}, k)
-        elif cov_type == "cluster":
-            meat, n_clusters = _cluster_pass(design, by, y, xs, intercept, cluster, {key: f["b"] for key, f in ok.items()}, k)
+        g = _gram_pass(design, by, _blocks_default(by, y, xs, intercept), k, hc3 or clustered)
+        # n, mean of y, estimates, inverse (HC3 and cluster only)
+        fits = {key: (v[0], v[1] / v[0], v[2:2 + k], v[2 + k:].reshape(k, k) if len(v) > 2 + k else None)
+                for key, v in g.items() if v[0] >= max(min_n, (~np.isnan(v[2:2 + k])).sum() + 1)}
+        sums = _residual_pass(design, by, y, xs, intercept, fits, k, hc3)
+        if clustered:
+            meat, n_clusters = _cluster_pass(design, by, y, xs, intercept, cluster,
+                                             {key: np.nan_to_num(f[2]) for key, f in fits.items()}, k)
         rows = []
-        for key, f in fits.items():
-            if f is None:
-                rows += _coef_rows(key, terms, None, None, g[key][0], None, False, logit=False)
+        for key, (n, _, beta, A) in fits.items():
+            if key not in sums:
                 continue
-            n = f["n"]
-            if cov_type.upper() == "HC3":
-                cov = f["A"] @ meat[key].reshape(k, k) @ f["A"] if key in meat else None
-                rows += _coef_rows(key, terms, f["b"], cov, n, f["r2"], True, logit=False)
-            elif cov_type == "cluster":
+            ssr, sst, se = sums[key][0], sums[key][1], sums[key][2:]
+            r2 = 1 - ssr / sst if sst > 0 else None
+            params = int((~np.isnan(beta)).sum())
+            if hc3:
+                rows += _coef_rows(key, terms, beta, se, n, r2, True, logit=False)
+            elif clustered:
                 G = n_clusters.get(key, 0)
                 if G < 2 or key not in meat:
-                    rows += _coef_rows(key, terms, f["b"], None, n, f["r2"], True, logit=False)
+                    rows += _coef_rows(key, terms, beta, None, n, r2, True, logit=False)
                     continue
-                c = G / (G - 1) * (n - 1) / (n - k - absorbed_params)
-                cov = c * f["A"] @ meat[key].reshape(k, k) @ f["A"]
-                rows += _coef_rows(key, terms, f["b"], cov, n, f["r2"], True, logit=False)
+                c = G / (G - 1) * (n - 1) / (n - params - absorbed_params)
+                cov = c * A @ meat[key].reshape(k, k) @ A
+                rows += _coef_rows(key, terms, beta, np.sqrt(np.clip(np.diag(cov), 0, None)), n, r2, True, logit=False)
             else:
-                dfr = n - k - absorbed_params
-                sigma2 = f["ssr"] / dfr
-                rows += _coef_rows(key, terms, f["b"], sigma2 * f["A"], n, f["r2"], True, dist="t",
-                                   df_resid=dfr, logit=False)
+                dfr = n - params - absorbed_params
+                rows += _coef_rows(key, terms, beta, se * math.sqrt(ssr / dfr), n, r2, True, dist="t", df_resid=dfr,
+                                   logit=False)
         return _to_df(df.sparkSession, rows, design, by)
     finally:
         if persist:
             design.unpersist()
 
 
-def _hc3_pass(design, by, y, xs, intercept, fits: dict, k: int) -> dict:
-    """sum x x' e^2 / (1 - h)^2 with leverage h = x' (X'X)^-1 x."""
+def _residual_pass(design, by, y, xs, intercept, fits: dict, k: int, hc3: bool) -> dict:
+    """Per group at the estimates: residual and total (centred) sums of squares, then per
+    term the HC3 standard error, or the root of (X'X)^-1's diagonal."""
     def fn(it):
         acc = {}
         for pdf in it:
@@ -417,16 +448,31 @@ def _hc3_pass(design, by, y, xs, intercept, fits: dict, k: int) -> dict:
                 f = fits.get(key)
                 if f is None:
                     continue
-                b, A = f
+                _, mean, beta, A = f
                 X = _design(sub, xs, intercept)
-                e = sub[y].to_numpy(dtype=np.float64) - X @ b
-                h = np.einsum("ij,jk,ik->i", X, A, X)
-                w = (e / (1 - h)) ** 2
-                v = ((X * w[:, None]).T @ X).ravel()
+                yv = sub[y].to_numpy(dtype=np.float64)
+                e = yv - X @ np.nan_to_num(beta)
+                m = X
+                if hc3:
+                    h = np.einsum("ij,jk,ik->i", X, A, X)
+                    m = X * (e / (1 - h))[:, None]
+                v = np.concatenate([[e @ e, (yv - mean) @ (yv - mean)], (m.T @ m).ravel()])
                 acc[key] = acc[key] + v if key in acc else v
         if acc:
             yield _emit(acc, by)
-    return _sum_partials(design.mapInPandas(fn, _vec_schema(design, by)), by)
+
+    def errors(key, v):
+        M = v[2:].reshape(k, k)
+        use = ~np.isnan(fits[key][2])
+        se = np.full(k, np.nan)
+        if hc3:
+            A = fits[key][3]
+            se[use] = np.sqrt(np.clip(np.diag(A @ M @ A), 0, None))[use]
+        elif use.any():
+            se[use] = np.sqrt(np.clip(np.diag(_scaled_inverse(M[np.ix_(use, use)])), 0, None))
+        return np.concatenate([v[:2], se])
+
+    return _sum_partials(design.mapInPandas(fn, _vec_schema(design, by)), by, errors)
 
 
 def _cluster_pass(design, by, y, xs, intercept, cluster, betas: dict, k: int):

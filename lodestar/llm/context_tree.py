@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestar.llm.common import remove, written
 
 #: bytes of context; contexts kept (the model has 256 numbers for each, and one for the empty context)
-DEPTH, CONTEXTS = 5, 65_000
+DEPTH, CONTEXTS = 5, 40_000
 #: words whose counts every task holds; rarer ones are looked up by a join
-FREQUENT = 200_000
+FREQUENT = 50_000
 END, END_WORD = b"\n", "\n"
 #: sequences counted in memory before they are handed to Spark's aggregation
 HELD = 1 << 21
@@ -282,8 +282,8 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
     vocabulary = written(word_counts(train), "lm-words")
     size = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = size["n"] or 0, size["v"]
-    common = {r["word"].encode(): math.log10(r["c"] + 1) for r in
-              vocabulary.orderBy(F.desc("c"), "word").limit(frequent).select("word", "c").collect()}
+    top = vocabulary.orderBy(F.desc("c"), "word").limit(frequent).select("word", "c").toArrow()
+    common = {w.encode(): math.log10(c + 1) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist())}
     shared = spark.sparkContext.broadcast((tree, common))  # bounded by ``contexts`` and ``frequent``
     columns = columns or docs.columns
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("doc"), docs["text"].alias("text"))

@@ -48,14 +48,15 @@ def describe(df: DataFrame, by: Sequence[str], c: str) -> DataFrame:
     return with_quantiles(agg, df, by, [(c, 0.25, "q25"), (c, 0.5, "q50"), (c, 0.75, "q75")])
 
 
-def resample_mean_wide(long: DataFrame, series: str, date: str, value: str, names: Sequence[str],
-                       period: str = "quarter") -> DataFrame:
-    """Mixed-frequency long series -> one row per period, one mean column per series."""
+def resample_mean_wide(long: DataFrame, series: str, date: str, value: str, period: str = "quarter",
+                       names: Sequence[str] | None = None) -> DataFrame:
+    """Mixed-frequency long series -> one row per period, one mean column per series
+    (every series of the data, or ``names``)."""
     if period == "quarter":
         key = F.last_day(F.add_months(F.date_trunc("quarter", F.col(date)).cast("date"), 2))
     else:
         key = F.col(date).cast("date")
-    return long.groupBy(key.alias("period")).pivot(series, list(names)).agg(F.avg(value))
+    return long.groupBy(key.alias("period")).pivot(series, list(names) if names else None).agg(F.avg(value))
 
 
 def missingness(df: DataFrame, by: Sequence[str], cols: dict[str, str]) -> DataFrame:

@@ -6,7 +6,8 @@ The table size is bounded by the model (trees x 2^(depth+1) nodes), not by
 the data, so it travels to executors in the task closure. SHAP values are
 computed row by row inside ``mapInPandas`` (the polynomial-time TreeSHAP
 recursion, node covers = weighted training counts) and aggregated in Spark.
-Values are in margin space: sum(phi) + base = the model's raw margin.
+Values add up to the model's raw margin (boosted trees) or to the probability
+of class 1 (classification forests and trees): sum(phi) + base.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ MAX_NODES = 2_000_000
 
 def load_trees(model, spark) -> tuple[list[dict], list[float]]:
     """Node arrays per tree from a saved tree-ensemble model, plus tree weights."""
+    forest = isinstance(model, (RandomForestClassificationModel, DecisionTreeClassificationModel))
+    if forest and model.numClasses != 2:
+        raise ValueError("attribution covers two classes")
     path = scratch_path(spark, "tree_model")
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data")
@@ -48,14 +53,19 @@ def load_trees(model, spark) -> tuple[list[dict], list[float]]:
             i = r["id"]
             t["value"][i] = r["prediction"]
             stats = r["impurityStats"] or []
-            t["cover"][i] = stats[0] if stats else float(r["rawCount"] or 0)
+            if forest:  # class weights: their sum covers the node, class 1's share is its value
+                t["cover"][i] = sum(stats)
+                t["value"][i] = stats[1] / sum(stats) if sum(stats) else 0.0
+            else:
+                t["cover"][i] = stats[0] if stats else float(r["rawCount"] or 0)
             t["left"][i], t["right"][i] = r["leftChild"], r["rightChild"]
             if r["leftChild"] >= 0:
                 t["feature"][i] = r["featureIndex"]
                 t["threshold"][i] = r["leftCategoriesOrThreshold"][0]
         trees.append(t)
-    weights = list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * len(trees)
-    return trees, weights
+    if forest:  # the mean of the trees' class-1 shares
+        return trees, [1.0 / len(trees)] * len(trees)
+    return trees, list(model.treeWeights) if hasattr(model, "treeWeights") else [1.0] * len(trees)
 
 
 def expected_value(t: dict, node: int = 0) -> float:

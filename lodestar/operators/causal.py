@@ -108,9 +108,10 @@ def did_triple(df: DataFrame, y: str, a: str, b: str, c: str, by: Sequence[str]
     return glm.term(fit, f"{a}_x_{b}_x_{c}")
 
 
-def event_study(df: DataFrame, y: str, group: str, treat: str, period: str, ref_period, periods: Sequence,
+def event_study(df: DataFrame, y: str, group: str, treat: str, period: str, ref_period, controls: Sequence[str] = (),
                 cov_type: str = "HC3", model: str = "lpm") -> DataFrame:
-    """group x treat x period interactions relative to ``ref_period``."""
+    """group x treat x period interactions relative to ``ref_period``, for every period of the data."""
+    periods = sorted(int(p) for p in frames.levels(df, period))
     d = df
     cols = []
     for t in periods:
@@ -118,7 +119,7 @@ def event_study(df: DataFrame, y: str, group: str, treat: str, period: str, ref_
             continue
         cols.append((F.col(period) == F.lit(t)).cast("double").alias(f"p_{t}"))
     d = d.select("*", *cols)
-    xs = [group, treat, f"{group}_x_{treat}"]
+    xs = [group, treat, f"{group}_x_{treat}", *controls]
     d = d.withColumn(f"{group}_x_{treat}", (F.col(group) * F.col(treat)).cast("double"))
     inter = []
     for t in periods:
@@ -277,14 +278,14 @@ MAX_SYNTH_UNITS = 5_000
 
 
 def synthetic_control(panel: DataFrame, unit: str, period: str, value: str, treat_period,
-                      treated_units: Sequence[str] | None = None) -> DataFrame:
+                      treated_units: Sequence[str]) -> DataFrame:
     """Donor weights on the simplex fit on the pre-period, one ``applyInPandas``
-    group per treated unit (default: every unit in turn, i.e. placebo in space).
+    group per treated unit (all units in turn: placebo in space).
 
     The panel is already aggregated (unit x period), so each group holds
     periods x units numbers; the unit list is a checked, bounded level list."""
     units = frames.levels(panel, unit, MAX_SYNTH_UNITS)
-    treated = list(treated_units) if treated_units is not None else units
+    treated = list(treated_units)
     wide = panel.groupBy(period).pivot(unit, units).agg(F.first(value))
     long = wide.select(period, F.explode(F.array(*[F.lit(u) for u in treated])).alias("treated_unit"),
                        F.array(*[F.col(f"`{u}`").cast("double") for u in units]).alias("vals"))

@@ -1,9 +1,8 @@
 """Ranking metrics computed without a global sort or a single-partition window.
 
 Scores are first collapsed to one row per distinct score (partial
-aggregation absorbs hot scores), then range-bucketed by approximate
-quantile edges; per-bucket totals (a few hundred rows) give each bucket's
-offset and a window *within* each bucket gives the running count. Exact,
+aggregation absorbs hot scores), then range-partitioned; per-partition totals
+give each partition's offset and a window *within* it the running count. Exact,
 tie-aware, and balanced at any scale.
 """
 
@@ -14,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import stored
+
 
 def _counts_by_score(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.groupBy(F.col(score).alias("s")).agg(
@@ -21,19 +22,18 @@ def _counts_by_score(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum((1 - F.col(label)).cast("long")).alias("neg"))
 
 
-def cumulative_below(counts: DataFrame, cols: Sequence[str], n_buckets: int = 256) -> DataFrame:
-    """Add ``<col>_below`` = sum of ``col`` over strictly smaller scores ``s``."""
-    probs = F.array(*[F.lit(i / n_buckets) for i in range(1, n_buckets)])
-    # n_buckets - 1 edge values: a bounded literal list, not data-sized
-    edges = counts.select(F.percentile_approx("s", probs, 10_000)).first()[0] or []
-    lit_edges = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array().cast("array<double>")
-    b = counts.select("*", F.size(F.filter(lit_edges, lambda e: e < F.col("s"))).alias("_b"))
+def cumulative_below(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Add ``<col>_below`` = sum of ``col`` over strictly smaller scores ``s``.
+
+    The counts are stored once, range-partitioned by score: a partition is a
+    bucket, so buckets scale with the session's partitions. Runs a job."""
+    b = stored(counts.repartitionByRange("s").withColumn("_b", F.spark_partition_id()), "score_counts")
     tot = b.groupBy("_b").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # <= n_buckets rows
+    wo = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     off = tot.select("_b", *[F.coalesce(F.sum(f"_t_{c}").over(wo), F.lit(0)).alias(f"_o_{c}") for c in cols])
     wi = Window.partitionBy("_b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     inner = b.select("*", *[F.coalesce(F.sum(c).over(wi), F.lit(0)).alias(f"_i_{c}") for c in cols])
-    j = inner.join(F.broadcast(off), "_b")
+    j = inner.join(F.broadcast(off), "_b")  # one row per partition
     return j.select("s", *cols, *[(F.col(f"_o_{c}") + F.col(f"_i_{c}")).alias(f"{c}_below") for c in cols])
 
 
@@ -48,11 +48,10 @@ def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """sum over distinct thresholds of (delta recall) x precision, scores descending."""
     c = cumulative_below(_counts_by_score(df, score, label), ["pos", "neg"])
-    tp_tot = c.select(F.sum("pos")).scalar()
-    fp_tot = c.select(F.sum("neg")).scalar()
-    tp_ge = tp_tot - F.col("pos_below")
-    fp_ge = fp_tot - F.col("neg_below")
-    return c.agg((F.sum(F.col("pos") / tp_tot * tp_ge / (tp_ge + fp_ge))).alias("average_precision"))
+    total = c.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()  # two numbers
+    tp_ge = F.lit(total["p"]) - F.col("pos_below")
+    fp_ge = F.lit(total["n"]) - F.col("neg_below")
+    return c.agg((F.sum(F.col("pos") / F.lit(total["p"]) * tp_ge / (tp_ge + fp_ge))).alias("average_precision"))
 
 
 def precision_at_k(df: DataFrame, score: str, label: str, k: int, tiebreak: Sequence[str]) -> DataFrame:

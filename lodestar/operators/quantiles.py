@@ -13,18 +13,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.session import stored
+
 
 def qcut_edges(df: DataFrame, c: str, q: int, by: Sequence[str] = ()) -> DataFrame:
     """Per group: min, max and the q - 1 inner exact quantiles as an array."""
     by = list(by)
-    key = by or ["_all"]
-    src = df if by else df.select("*", F.lit(0).alias("_all"))
-    mm = src.groupBy(*key).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-    qs = exact_quantiles(src, c, [i / q for i in range(1, q)], key)
-    arr = qs.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("q_index", "value"))),
-                                           lambda s: s["value"]).alias("_qs"))
-    out = mm.join(arr, key, "left")
-    return out if by else out.drop("_all")
+    qs = exact_quantiles(df, c, [i / q for i in range(q + 1)], by)
+    arr = F.transform(F.sort_array(F.collect_list(F.struct("q_index", "value"))), lambda s: s["value"])  # q + 1 numbers
+    return qs.groupBy(*by).agg(arr.alias("_e")).where(F.size("_e") > 0).select(
+        *by, F.col("_e")[0].alias("_lo"), F.col("_e")[q].alias("_hi"), F.slice("_e", 2, q - 1).alias("_qs"))
 
 
 def qcut(df: DataFrame, c: str, q: int, by: Sequence[str] = (), duplicates: str = "raise",
@@ -40,8 +38,8 @@ def qcut(df: DataFrame, c: str, q: int, by: Sequence[str] = (), duplicates: str
         j = df.join(edges, list(by), "left")
     else:
         # one row of q + 1 edge values: a bounded literal, safe to bring to the driver
-        e = edges.first()
-        j = df.select("*", F.lit(e["_lo"]).alias("_lo"), F.lit(e["_hi"]).alias("_hi"),
+        e = edges.first() or {"_lo": None, "_hi": None, "_qs": []}
+        j = df.select("*", F.lit(e["_lo"]).cast("double").alias("_lo"), F.lit(e["_hi"]).cast("double").alias("_hi"),
                       F.array(*[F.lit(float(v)) for v in (e["_qs"] or [])]).cast("array<double>").alias("_qs"))
     x = F.col(c)
     inner = F.filter(F.array_distinct("_qs"), lambda e: (e > F.col("_lo")) & (e < F.col("_hi")))
@@ -61,22 +59,31 @@ def quantile_flags(df: DataFrame, c: str, lo_p: float = 0.25, hi_p: float = 0.75
 APPROX_ACCURACY = 100_000
 
 
+#: a group's distinct values are spread over so many join keys
+SALTS = 32
+
+
 def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = (),
                     accuracy: int = APPROX_ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``)
-    without holding a group's values in one task.
+    without holding a group's values in one task. Runs jobs when called.
 
-    1. ``percentile_approx`` (rank error <= n / accuracy) brackets each target
+    1. The input is reduced to (group, value, count), stored in the scratch
+       folder, so a value that half of the rows share is one row from here on;
+       ``percentile_approx`` (rank error <= n / accuracy) brackets each target
        rank k = floor(p (n - 1)) between two values lo <= v_k <= v_{k+1} <= hi.
-    2. One counting pass gives #(x < lo) and #(lo <= x <= hi) per (group, p);
-       a bracket that fails to contain ranks k and k+1 widens to the whole
-       group, so the result is always exact.
-    3. Only bracket rows (about 10 n / accuracy per group and p) are ranked in a
-       window; ranks k and k+1 are read off and interpolated.
+    2. One pass over the counts gives #(x < lo) and #(lo <= x <= hi) per
+       (group, p); a bracket that fails to contain ranks k and k+1 widens to
+       the whole group, so the result is always exact.
+    3. Only the bracket's distinct values (about 10 n / accuracy rows per group
+       and p) are summed up in a window; ranks k and k+1 are read off and
+       interpolated.
+    Per-group statistics meet the values on (group, salt), a stored key also
+    when there is no group: an equi-join spread over SALTS keys per group.
     Returns long rows: (by..., q_index int, prob double, value double).
     """
     by = list(by)
-    if not by:  # a constant key keeps every join an equi-join on a tiny table
+    if not by:
         out = exact_quantiles(df.select(F.lit(0).alias("_all"), c), c, probs, ["_all"], accuracy)
         return out.drop("_all")
     probs = [float(p) for p in probs]
@@ -84,12 +91,19 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[
     eps = 5.0 / accuracy
     base = df.select(*by, F.col(c).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
     ext = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
-                                  F.percentile_approx("_x", F.array(*[F.lit(p) for p in ext]), accuracy).alias("_a"))
-    joined = base.join(stats, by)
-    cnt = joined.groupBy(*by).agg(
-        *[F.sum(F.when(F.col("_x") < F.col("_a")[i], 1).otherwise(0)).alias(f"_b{i}") for i in range(m)],
-        *[F.sum(F.when((F.col("_x") >= F.col("_a")[i]) & (F.col("_x") <= F.col("_a")[m + i]), 1).otherwise(0))
+    values = stored(base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")), "quantile_values") \
+        .withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int"))
+    stats = stored(base.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_x", F.array(*[F.lit(p) for p in ext]), accuracy).alias("_a")), "quantile_stats")
+
+    def meet(small: DataFrame) -> DataFrame:
+        salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return values.join(salted, [*by, "_salt"])
+
+    cnt = meet(stats).groupBy(*by).agg(
+        *[F.sum(F.when(F.col("_x") < F.col("_a")[i], F.col("_c")).otherwise(0)).alias(f"_b{i}") for i in range(m)],
+        *[F.sum(F.when((F.col("_x") >= F.col("_a")[i]) & (F.col("_x") <= F.col("_a")[m + i]), F.col("_c")).otherwise(0))
           .alias(f"_in{i}") for i in range(m)])
     info = stats.join(cnt, by)
     rows = []
@@ -102,17 +116,16 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[
                              F.when(ok, F.col("_a")[i]).otherwise(F.lit(float("-inf"))).alias("lo"),
                              F.when(ok, F.col("_a")[m + i]).otherwise(F.lit(float("inf"))).alias("hi"),
                              F.when(ok, F.col(f"_b{i}")).otherwise(F.lit(0)).cast("long").alias("below")))
-    bounds = info.select(*by, "_n", F.explode(F.array(*rows)).alias("b")).select(*by, "_n", "b.*")
-    # bounds has groups x len(probs) rows; Spark/AQE broadcasts it by measured size
-    br = base.join(bounds, by)
-    br = br.where((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
+    bounds = info.select(*by, F.array(*rows).alias("_q"))
+    # a value becomes rows only for the brackets that hold it
+    inside = F.filter("_q", lambda q: (F.col("_x") >= q["lo"]) & (F.col("_x") <= q["hi"]))
+    br = meet(bounds).select(*by, "_x", "_c", F.explode(inside).alias("q")).select(*by, "_x", "_c", "q.*")
     w = Window.partitionBy(*by, "q_index").orderBy("_x")
-    ranked = br.select(*by, "q_index", "prob", "pos", "k", "_n", "_x",
-                       (F.col("below") + F.row_number().over(w) - 1).alias("_r"))
-    ranked = ranked.where((F.col("_r") == F.col("k")) | (F.col("_r") == F.col("k") + 1))
-    vals = ranked.groupBy(*by, "q_index", "prob", "pos", "k").agg(
-        F.max(F.when(F.col("_r") == F.col("k"), F.col("_x"))).alias("_v0"),
-        F.max(F.when(F.col("_r") == F.col("k") + 1, F.col("_x"))).alias("_v1"))
+    ranked = br.withColumn("_end", F.col("below") + F.sum("_c").over(w))  # ranks _end - _c .. _end - 1
+    holds = lambda r: (F.col("_end") - F.col("_c") <= r) & (F.col("_end") > r)
+    vals = ranked.where(holds(F.col("k")) | holds(F.col("k") + 1)).groupBy(*by, "q_index", "prob", "pos", "k").agg(
+        F.max(F.when(holds(F.col("k")), F.col("_x"))).alias("_v0"),
+        F.max(F.when(holds(F.col("k") + 1), F.col("_x"))).alias("_v1"))
     frac = F.col("pos") - F.col("k")
     value = F.when((frac == 0) | F.col("_v1").isNull(), F.col("_v0")) \
         .otherwise((F.lit(1.0) - frac) * F.col("_v0") + frac * F.col("_v1"))

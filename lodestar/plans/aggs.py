@@ -116,15 +116,11 @@ def q_describe_groups(spark, sf):
     return rounded(A.describe(g, ["institution"], "complaints"))
 
 
-YEARS = list(range(1995, 2002))
-
-
-@register("pivot_counts", section="A", sql=cte(f1=V.F1) + "SELECT institution, " + ", ".join(
-    f'CAST(sum(CASE WHEN activity_year = {y} THEN 1 ELSE 0 END) AS BIGINT) AS "{y}"' for y in YEARS)
-    + " FROM f1 GROUP BY 1")
+@register("pivot_counts", section="A", sql=cte(f1=V.F1)
+          + " PIVOT f1 ON activity_year USING count(*) GROUP BY institution")
 def q_pivot_counts(spark, sf):
-    df = apps(spark, sf)
-    return df.groupBy("institution").pivot("activity_year", YEARS).count().fillna(0)
+    """One column per year that the data holds."""
+    return apps(spark, sf).groupBy("institution").pivot("activity_year").count().fillna(0)
 
 
 @register("pivot_gap", section="A", sql=cte(p=V.prep()) + """
@@ -139,17 +135,12 @@ def q_pivot_gap(spark, sf):
                              (F.col("0") - F.col("1")).alias("gap")))
 
 
-SERIES = ["click", "error", "purchase", "signup", "view"]
-
-
 @register("resample_quarter_mean", section="A", sql="""
-SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS period, """ + ", ".join(
-    f"round(avg(CASE WHEN event_type = '{s}' THEN value END), 6) AS {s}" for s in SERIES) + """
-FROM events GROUP BY 1""")
+WITH e AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS period, event_type, value FROM events)
+PIVOT e ON event_type USING round(avg(value), 6) GROUP BY period""")
 def q_resample_quarter_mean(spark, sf):
-    # events span 30 days, so the resample period here is the day
-    long = C.macro_long(spark, sf)
-    return rounded(A.resample_mean_wide(long, "series", "date", "value", SERIES, period="day"))
+    # events span 30 days, so the resample period here is the day; one column per series that the data holds
+    return rounded(A.resample_mean_wide(C.macro_long(spark, sf), "series", "date", "value", period="day"))
 
 
 @register("date_span", section="A", sql=cte(p=V.F2) + """

@@ -17,7 +17,6 @@ from lodestar.sources import conform as C
 TREAT = C.TREATED_INSTITUTION
 POST_YEAR = 1998
 REF_YEAR = 1997
-YEARS = list(range(1995, 2002))
 
 
 def triple_frame(spark, sf):
@@ -104,7 +103,7 @@ EVENT_SQL = "WITH p AS (" + V.prep() + f"), t AS {TRIPLE_SRC}" + f"""
 @register("event_study", section="M", sql=EVENT_SQL + """
 SELECT activity_year, round(coef, 6) AS coef, round(se, 6) AS se FROM e""")
 def q_event_study(spark, sf):
-    es = CA.event_study(triple_frame(spark, sf), "approved", "is_black", "treat", "activity_year", REF_YEAR, YEARS)
+    es = CA.event_study(triple_frame(spark, sf), "approved", "is_black", "treat", "activity_year", REF_YEAR)
     return rounded(es.select("activity_year", "coef", "se"))
 
 
@@ -116,7 +115,7 @@ FROM e WHERE activity_year < {POST_YEAR}""")
 def q_pretrend_test(spark, sf):
     """All pre-period interactions insignificant (p > .05, i.e. |z| < 1.96) and the
     largest |OR - 1|; PASS / MIXED."""
-    es = CA.event_study(triple_frame(spark, sf), "approved", "is_black", "treat", "activity_year", REF_YEAR, YEARS)
+    es = CA.event_study(triple_frame(spark, sf), "approved", "is_black", "treat", "activity_year", REF_YEAR)
     return rounded(CA.pretrend_test(es, "activity_year", POST_YEAR))
 
 
@@ -149,7 +148,7 @@ def q_lpm_pooled_fe(spark, sf):
     df = prep(spark, sf)
     df, e = frames.one_hot_drop_first(df, "institution", prefix="fe_i")
     df, t = frames.one_hot_drop_first(df, "activity_year", prefix="fe_y")
-    fit = glm.ols(df, "approved", ["is_black", *e, *t], cov_type="HC3")
+    fit = glm.ols(df, "approved", [*CREDIT, *RACE, *e, *t], cov_type="HC3")
     return rounded(glm.term(fit, "is_black"))
 
 
@@ -157,7 +156,8 @@ def q_lpm_pooled_fe(spark, sf):
 def q_lpm_by_group(spark, sf):
     df = prep(spark, sf)
     df, t = frames.one_hot_drop_first(df, "activity_year", prefix="fe_y")
-    fit = glm.ols(df, "approved", ["is_black", *t], by=["institution"], cov_type="HC3", min_n=200)
+    # controls and year dummies that are constant in a group are left out of its fit
+    fit = glm.ols(df, "approved", [*CREDIT, *RACE, *t], by=["institution"], cov_type="HC3", min_n=200)
     return rounded(glm.term(fit, "is_black").select("institution", "coef", "se", "p", "ci_lo", "ci_hi", "n"))
 
 
@@ -222,36 +222,45 @@ def q_shrink_sensitivity(spark, sf):
         "institution", "shrink", F.exp(F.col("coef") * (1 - F.col("shrink"))).alias("odds_ratio_shrunk")))
 
 
-NESTED = [["is_black"], ["is_black", "log_income"], ["is_black", "log_income", "log_loan_amount"],
-          ["is_black", "log_income", "log_loan_amount", "purpose_refi"]]
+CREDIT = C.CREDIT_FEATURES
+RACE = C.RACE_FEATURES
+#: race only, + income and loan amount, + debt-to-income, + all credit controls
+NESTED = {"race": RACE, "income_loan": ["log_income", "log_loan_amount", *RACE],
+          "dti": ["log_income", "log_loan_amount", "dti_mid", *RACE], "full": [*CREDIT, *RACE]}
 
 
-def _nested_fits(spark, sf, model="logit"):
-    df = prep(spark, sf)
-    out = None
-    for i, xs in enumerate(NESTED):
-        f = glm.logit(df, "approved", xs) if model == "logit" else glm.ols(df, "approved", xs)
-        f = f.select(F.lit(i).alias("spec"), F.lit("+".join(xs)).alias("label"), "*")
-        out = f if out is None else out.unionByName(f)
-    return out
+def stacked_logit(df, y, specs, complete=()):
+    """Logit fits of several nested specifications in one batched call: each row is
+    repeated per specification, with the terms outside it set to zero (the solver
+    leaves such terms out). ``complete``: columns that must not be null in any of them."""
+    terms = list(dict.fromkeys(x for xs in specs.values() for x in xs))
+    d = df.dropna(subset=list(complete)) if complete else df
+    d = d.select(y, *terms, F.explode(F.array(*[F.lit(s) for s in specs])).alias("spec"))
+    uses = {x: F.col("spec").isin([s for s, xs in specs.items() if x in xs]) for x in terms}
+    d = d.select("spec", y, *[F.when(uses[x], F.col(x).cast("double")).otherwise(F.lit(0.0)).alias(x) for x in terms])
+    return glm.logit(d, y, terms, by=["spec"])
 
 
 @register("coef_stability", section="M")
 def q_coef_stability(spark, sf):
-    fits = glm.term(_nested_fits(spark, sf), "is_black")
-    b0 = fits.where("spec = 0").select("coef").scalar()
-    return rounded(fits.select("*", b0.alias("b0")).select(
-        "spec", "label", "coef", "odds_ratio", ((F.col("coef") - F.col("b0")) / F.abs("b0") * 100).alias("pct_move")))
+    """Protected coefficient over nested control sets, each on its own complete cases,
+    and its movement from the first to each."""
+    fits = glm.term(stacked_logit(prep(spark, sf), "approved", NESTED), "is_black")
+    b0 = fits.where("spec = 'race'").select("coef").first()[0]
+    return rounded(fits.select("spec", "coef", "odds_ratio", "r2", "n",
+                               (F.abs(F.lit(b0) - F.col("coef")) / abs(b0) * 100).alias("movement_pct")))
 
 
 @register("r2_decomposition", section="M")
 def q_r2_decomposition(spark, sf):
-    fits = _nested_fits(spark, sf, "ols").where("term = 'const'").select("spec", "label", "r2")
-    from pyspark.sql import Window
-    w = Window.orderBy("spec")  # four rows: a single-partition window is bounded here
-    out = fits.select("*", (F.col("r2") - F.coalesce(F.lag("r2").over(w), F.lit(0.0))).alias("r2_gain"))
-    total = out.select(F.max("r2")).scalar()
-    return rounded(out.select("*", (F.col("r2_gain") / total * 100).alias("share_pct")))
+    """McFadden R2 gained by each control group, all on one complete-case sample."""
+    fits = stacked_logit(prep(spark, sf), "approved", NESTED, complete=NESTED["full"])
+    r2 = {r["spec"]: r["r2"] for r in fits.where("term = 'const'").select("spec", "r2").collect()}  # four rows
+    names = list(NESTED)
+    total = r2[names[-1]] - r2[names[0]]
+    rows = [(s, float(r2[s]), float(r2[s] - r2[names[i - 1]]) if i else None,
+             float((r2[s] - r2[names[i - 1]]) / total * 100) if i and total > 0 else None) for i, s in enumerate(names)]
+    return rounded(spark.createDataFrame(rows, "spec string, r2 double, r2_gain double, share_pct double"))
 
 
 @register("spec_table", section="M")
@@ -267,10 +276,6 @@ def q_spec_table(spark, sf):
                    .unionByName(fe.select(F.lit("state_fe").alias("label"), "*")))
 
 
-CREDIT = C.CREDIT_FEATURES
-RACE = C.RACE_FEATURES
-
-
 @register("logit_two_stage", section="M")
 def q_logit_two_stage(spark, sf):
     df = prep(spark, sf)
@@ -281,14 +286,17 @@ def q_logit_two_stage(spark, sf):
 
 @register("logit_interaction", section="M")
 def q_logit_interaction(spark, sf):
-    df = frames.interactions(prep(spark, sf).dropna(subset=["dti_mid"]),
-                             [("is_black", "log_loan_amount"), ("is_black", "dti_mid")])
-    xs = ["is_black", "log_loan_amount", "dti_mid", "is_black_x_log_loan_amount", "is_black_x_dti_mid"]
-    fit = glm.logit(df, "approved", xs, by=["institution"])
-    b1 = glm.term(fit, "is_black").select("institution", F.col("coef").alias("b1"))
-    b3 = glm.term(fit, "is_black_x_log_loan_amount").select("institution", F.col("coef").alias("b3"))
-    comb = b1.join(b3, "institution").select("institution", F.exp(F.col("b1") + F.col("b3")).alias("combined_or"))
-    return rounded(fit.join(comb, "institution"))
+    """Full controls, small- and large-loan flags, and the protected group's interactions
+    with the small-loan flag and with debt-to-income; combined_or is the protected odds
+    ratio among small loans."""
+    from lodestar.operators import quantiles as Q
+    df = Q.quantile_flags(prep(spark, sf), "loan_amount").withColumnsRenamed({"is_small": "loan_q1", "is_large": "loan_q4"})
+    df = frames.interactions(df, [("is_black", "loan_q1"), ("is_black", "dti_mid")])
+    fit = glm.logit(df, "approved", [*CREDIT, *RACE, "loan_q1", "loan_q4", "is_black_x_loan_q1", "is_black_x_dti_mid"])
+    b = {r["term"]: r["coef"] for r in fit.select("term", "coef").collect()}
+    both = (b["is_black"], b["is_black_x_loan_q1"])
+    combined = F.lit(None).cast("double") if None in both else F.exp(F.lit(sum(both)))
+    return rounded(fit.where("term <> 'const'").select("*", combined.alias("combined_or")))
 
 
 @register("logit_state_fe", section="M")
@@ -309,8 +317,30 @@ def q_placebo_permutation(spark, sf):
     return rounded(CA.placebo_summary(draws, actual).select("*", F.lit(actual).alias("actual_coef")))
 
 
+def odds_ratio_panel(spark, sf):
+    """Institution x year panel of the protected odds ratio."""
+    fit = glm.logit(prep(spark, sf), "approved", ["is_black"], by=["institution", "activity_year"])
+    return glm.term(fit, "is_black").where("odds_ratio IS NOT NULL").select("institution", "activity_year", "odds_ratio")
+
+
 @register("synthetic_control", section="M")
 def q_synthetic_control(spark, sf):
-    panel = did_panel(spark, sf).select("institution", "quarter_dt", "complaints")
-    return rounded(CA.synthetic_control(panel, "institution", "quarter_dt", "complaints",
-                                        __import__("datetime").date(1998, 4, 1)))
+    """Donor weights for the treated institution on its odds ratios before the event."""
+    return rounded(CA.synthetic_control(odds_ratio_panel(spark, sf), "institution", "activity_year", "odds_ratio",
+                                        POST_YEAR, [TREAT]))
+
+
+@register("synthetic_gap", section="M")
+def q_synthetic_gap(spark, sf):
+    """Actual minus synthetic odds ratio of the treated institution by year."""
+    panel = odds_ratio_panel(spark, sf)
+    w = CA.synthetic_control(panel, "institution", "activity_year", "odds_ratio", POST_YEAR, [TREAT])
+    return rounded(CA.synthetic_gap(panel, w, "institution", "activity_year", "odds_ratio"))
+
+
+@register("event_study_logit", section="M")
+def q_event_study_logit(spark, sf):
+    """The event study in logit form with the full controls: odds ratios by year."""
+    es = CA.event_study(triple_frame(spark, sf), "approved", "is_black", "treat", "activity_year", REF_YEAR,
+                        controls=[*CREDIT, "is_hispanic", "is_asian"], model="logit")
+    return rounded(es)

@@ -58,13 +58,6 @@ def equity_b(home_value: float = MEDIAN_HOME_VALUE) -> float:
     return home_value * DOWN_PAYMENT_SHARE + (loan - remaining) + home_value * ((1 + ANNUAL_APPRECIATION) ** HOLDING_YEARS - 1)
 
 
-def equity_b_col(hv):
-    r, n, h = MORTGAGE_RATE / 12, LOAN_TERM_YEARS * 12, HOLDING_YEARS * 12
-    loan = hv * (1 - DOWN_PAYMENT_SHARE)
-    remaining = loan * (((1 + r) ** n - (1 + r) ** h) / ((1 + r) ** n - 1))
-    return hv * DOWN_PAYMENT_SHARE + (loan - remaining) + hv * ((1 + ANNUAL_APPRECIATION) ** HOLDING_YEARS - 1)
-
-
 def _cf_sql():
     z0 = " + ".join(f"{b} * {c}" for c, b in CF_COEFS.items() if c != "is_black")
     return (f"1 / (1 + exp(-({CF_INTERCEPT} + {z0})))",
@@ -122,35 +115,48 @@ def q_wealth_impact(spark, sf):
         F.round(F.sum(F.col("excess") * eq_b), 4).alias("wealth_b"))
 
 
-@register("policy_scenarios", section="M", sql="WITH p AS (" + V.prep() + """)
-, d AS (SELECT count(*) AS n_denied,
-          avg(CAST(coalesce(denial_reason_1 = '3' OR denial_reason_2 = '3' OR denial_reason_3 = '3'
-              OR denial_reason_4 = '3', false) AS INTEGER)) AS share FROM p WHERE denied = 1 AND is_black = 1)
-, o AS (SELECT sum(CASE WHEN is_black = 1 AND denied = 1 THEN 1 ELSE 0 END) * 1.0 / sum(CASE WHEN is_black = 1 AND denied = 0 THEN 1 ELSE 0 END)
-             / (sum(CASE WHEN is_black = 0 AND denied = 1 THEN 1 ELSE 0 END) * 1.0 / sum(CASE WHEN is_black = 0 AND denied = 0 THEN 1 ELSE 0 END)) AS odds_ratio FROM p)
-SELECT conv AS conversion, round(n_denied * share, 6) AS citations_raw,
-       round(n_denied * share * (odds_ratio - 1) / odds_ratio, 6) AS excess_conditional,
-       round(n_denied * share * (odds_ratio - 1) / odds_ratio * conv, 6) AS added_homeowners,
-       round(n_denied * share * (odds_ratio - 1) / odds_ratio * conv * """ + repr(MEDIAN_HOME_VALUE * TEN_YEAR_APPRECIATION_SHARE) + """, 4) AS wealth_a
-FROM d, o, (SELECT * FROM (VALUES (0.5::DOUBLE), (0.65::DOUBLE), (0.8::DOUBLE)) t(conv))""")
+CITED_SQL = """CAST(coalesce(denial_reason_1 = '3' OR denial_reason_2 = '3' OR denial_reason_3 = '3'
+              OR denial_reason_4 = '3', false) AS INTEGER)"""
+
+
+@register("policy_scenarios", section="M", sql="WITH p AS (" + V.prep() + f""")
+, c AS (SELECT is_black, activity_year, {CITED_SQL} AS cited FROM p WHERE denied = 1)
+, d AS (SELECT CAST(sum(is_black) AS DOUBLE) AS n1, sum(is_black * cited) * 1.0 / sum(is_black) AS s1,
+               sum((1 - is_black) * cited) * 1.0 / sum(1 - is_black) AS s0, count(DISTINCT activity_year) AS years FROM c)
+, e AS (SELECT *, (s1 / (1 - s1)) / (s0 / (1 - s0)) AS odds_ratio FROM d)
+, x AS (SELECT *, n1 * (s1 - s0) AS raw, n1 * s1 * (odds_ratio - 1) / odds_ratio AS cond FROM e)
+SELECT conv AS conversion, round(odds_ratio, 6) AS odds_ratio, round(raw, 6) AS excess_citations_raw,
+       round(cond, 6) AS excess_citations_conditional, round(cond * conv, 6) AS excess_approvals,
+       round(cond * conv / years, 6) AS excess_approvals_annual,
+       round(cond * conv * {MEDIAN_HOME_VALUE * TEN_YEAR_APPRECIATION_SHARE!r}, 4) AS wealth_a,
+       round(cond * conv * {equity_b()!r}, 4) AS wealth_b,
+       round(cond * conv / years * {MEDIAN_HOME_VALUE * TEN_YEAR_APPRECIATION_SHARE!r}, 4) AS wealth_a_annual,
+       round(cond * conv / years * {equity_b()!r}, 4) AS wealth_b_annual
+FROM x, (SELECT * FROM (VALUES (0.5::DOUBLE), (0.65::DOUBLE), (0.8::DOUBLE)) t(conv))""")
 def q_policy_scenarios(spark, sf):
-    """Excess citations derived from the data (share x denials, conditional (OR-1)/OR)
-    times conversion scenarios and per-home wealth."""
-    df = prep(spark, sf)
-    d = df.where((F.col("denied") == 1) & (F.col("is_black") == 1)).agg(
-        F.count(F.lit(1)).alias("n_denied"),
-        F.avg(S.row_any_equals(REASONS, 3).cast("int")).alias("share"))
-    def cnt(b, dn):
-        return F.sum(F.when((F.col("is_black") == b) & (F.col("denied") == dn), 1).otherwise(0))
-    o = df.agg((cnt(1, 1) / cnt(1, 0) / (cnt(0, 1) / cnt(0, 0))).alias("odds_ratio"))
-    j = d.join(o, how="inner") if False else d.select("*", o.select("odds_ratio").scalar().alias("odds_ratio"))
-    base = F.col("n_denied") * F.col("share")
-    cond = base * (F.col("odds_ratio") - 1) / F.col("odds_ratio")
-    out = j.select("*", F.explode(F.array(*[F.lit(c) for c in CONVERSION_RATES])).alias("conversion"))
-    return out.select("conversion", F.round(base, 6).alias("citations_raw"), F.round(cond, 6).alias("excess_conditional"),
-                      F.round(cond * F.col("conversion"), 6).alias("added_homeowners"),
-                      F.round(cond * F.col("conversion") * (MEDIAN_HOME_VALUE * TEN_YEAR_APPRECIATION_SHARE), 4)
-                      .alias("wealth_a"))
+    """Credit-history citations among denied applicants: the protected group's excess over
+    the other group's rate (raw), and the share (OR - 1) / OR of its citations with the odds
+    ratio of being cited (conditional); the latter times conversion rates and per-home wealth
+    by both methods, in total and per year of the data."""
+    df = prep(spark, sf).where("denied = 1").select(
+        "is_black", "activity_year", S.row_any_equals(REASONS, 3).cast("int").alias("cited"))
+    d = df.agg(F.sum("is_black").cast("double").alias("n1"),
+               F.avg(F.when(F.col("is_black") == 1, F.col("cited"))).alias("s1"),
+               F.avg(F.when(F.col("is_black") == 0, F.col("cited"))).alias("s0"),
+               F.countDistinct("activity_year").alias("years"))
+    odds = lambda s: F.col(s) / (1 - F.col(s))
+    d = d.withColumn("odds_ratio", odds("s1") / odds("s0"))
+    d = d.withColumn("raw", F.col("n1") * (F.col("s1") - F.col("s0"))).withColumn(
+        "cond", F.col("n1") * F.col("s1") * (F.col("odds_ratio") - 1) / F.col("odds_ratio"))
+    x = d.select("*", F.explode(F.array(*[F.lit(c) for c in CONVERSION_RATES])).alias("conversion"))
+    total = F.col("cond") * F.col("conversion")
+    annual = total / F.col("years")
+    a, b = MEDIAN_HOME_VALUE * TEN_YEAR_APPRECIATION_SHARE, equity_b()
+    return x.select("conversion", F.round("odds_ratio", 6).alias("odds_ratio"), F.round("raw", 6).alias("excess_citations_raw"),
+                    F.round("cond", 6).alias("excess_citations_conditional"), F.round(total, 6).alias("excess_approvals"),
+                    F.round(annual, 6).alias("excess_approvals_annual"), F.round(total * a, 4).alias("wealth_a"),
+                    F.round(total * b, 4).alias("wealth_b"), F.round(annual * a, 4).alias("wealth_a_annual"),
+                    F.round(annual * b, 4).alias("wealth_b_annual"))
 
 
 def grid_df(spark):
@@ -279,16 +285,14 @@ def q_denial_reason_gap(spark, sf):
 
 
 @register("outer_align", section="J", sql="WITH f1 AS (" + V.F1 + """)
-, a AS (SELECT state_code, CAST(count(*) AS DOUBLE) AS n FROM f1 WHERE activity_year < 1998 AND institution = 'ASIA' GROUP BY 1)
-, b AS (SELECT state_code, CAST(count(*) AS DOUBLE) AS n FROM f1 WHERE activity_year >= 1998 AND institution IN ('ASIA', 'EUROPE') GROUP BY 1)
+, a AS (SELECT state_code, CAST(count(*) AS DOUBLE) AS n FROM f1 WHERE activity_year < 1998 GROUP BY 1)
+, b AS (SELECT state_code, CAST(count(*) AS DOUBLE) AS n FROM f1 WHERE activity_year >= 1998 GROUP BY 1)
 SELECT coalesce(a.state_code, b.state_code) AS state_code, coalesce(a.n, 0) AS pre, coalesce(b.n, 0) AS post,
        coalesce(a.n, 0) - coalesce(b.n, 0) AS diff FROM a FULL OUTER JOIN b ON a.state_code = b.state_code""")
 def q_outer_align(spark, sf):
     df = C.applications(spark, sf)
-    a = df.where((F.col("activity_year") < 1998) & (F.col("institution") == "ASIA")).groupBy("state_code") \
-        .agg(F.count(F.lit(1)).cast("double").alias("pre"))
-    b = df.where((F.col("activity_year") >= 1998) & F.col("institution").isin("ASIA", "EUROPE")) \
-        .groupBy("state_code").agg(F.count(F.lit(1)).cast("double").alias("post"))
+    a = df.where(F.col("activity_year") < 1998).groupBy("state_code").agg(F.count(F.lit(1)).cast("double").alias("pre"))
+    b = df.where(F.col("activity_year") >= 1998).groupBy("state_code").agg(F.count(F.lit(1)).cast("double").alias("post"))
     return J.outer_align(a, b, "state_code", "pre", "post", "diff")
 
 

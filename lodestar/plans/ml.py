@@ -13,6 +13,8 @@ from lodestar.operators import risk as R
 from lodestar.plans.common import cte, rounded
 from lodestar.plans.registry import register
 from lodestar.plans.risk import _score_sql, features, features_sql
+from lodestar.session import stored
+from lodestar.sources import conform as C
 
 FEATS = R.FEATURES
 COMPLETE_SQL = " AND ".join(f"{c} IS NOT NULL" for c in FEATS)
@@ -101,11 +103,11 @@ def balanced_weights(df, label="label"):
     return df.withColumn("w", F.when(F.col(label) == 1, w1).otherwise(w0))
 
 
-def _assembler():
-    return VectorAssembler(inputCols=FEATS, outputCol="features")
+def _assembler(feats=FEATS):
+    return VectorAssembler(inputCols=list(feats), outputCol="features")
 
 
-def fit_ridge(train, C_inv=1.0):
+def fit_ridge(train, C_inv=1.0, feats=FEATS):
     """L2 logistic regression (C = 1) with class-balanced weights on z-scored inputs.
 
     Spark's StandardScaler divides by the sample std; an ElementwiseProduct by
@@ -120,26 +122,62 @@ def fit_ridge(train, C_inv=1.0):
     factor = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="w", regParam=1.0 / (C_inv * sum_w),
                             elasticNetParam=0.0, standardization=False, maxIter=200)
-    pipe = Pipeline(stages=[_assembler(),
+    pipe = Pipeline(stages=[_assembler(feats),
                             StandardScaler(inputCol="features", outputCol="zs", withMean=True, withStd=True),
                             ElementwiseProduct(inputCol="zs", outputCol="scaled",
-                                               scalingVec=Vectors.dense([factor] * len(FEATS))),
+                                               scalingVec=Vectors.dense([factor] * len(feats))),
                             lr])
     return pipe.fit(tw)
 
 
-def fit_gbt(train, max_iter=100):
-    tw = balanced_weights(train)
-    gbt = GBTClassifier(labelCol="label", weightCol="w", maxIter=max_iter, maxDepth=4, stepSize=0.05,
-                        subsamplingRate=0.8, seed=42)
-    return Pipeline(stages=[_assembler(), gbt]).fit(tw)
+#: fixed values: rounds, trees, depths, learning rate, row share and smallest leaf of the source's models
+GBT = {"rounds": 300, "depth": 4, "rate": 0.05, "rows": 0.8}
+FOREST = {"trees": 500, "depth": 10}
+MIN_LEAF = 50
 
 
-def fit_rf(train, trees=500):
-    tw = balanced_weights(train)
-    rf = RandomForestClassifier(labelCol="label", weightCol="w", numTrees=trees, maxDepth=10,
-                                featureSubsetStrategy="sqrt", minInstancesPerNode=50, seed=42)
-    return Pipeline(stages=[_assembler(), rf]).fit(tw)
+def sized(df, rows=50_000):
+    """``df`` stored, in partitions of about ``rows`` rows: training reads it once per level and tree."""
+    d = stored(df, "training_rows")
+    return d.repartition(max(1, -(-d.count() // rows)))
+
+
+def fit_gbt(train, rounds=GBT["rounds"], feats=FEATS, min_leaf=1, weighted=True, validation=None, tol=1e-4):
+    """Boosted trees. ``validation``: share of the rows (by hash) held out to stop early,
+    once the error no longer falls by ``tol``. Spark's trees draw no columns per tree;
+    they draw rows only."""
+    d = sized(balanced_weights(train) if weighted else train.withColumn("w", F.lit(1.0)))
+    gbt = GBTClassifier(labelCol="label", weightCol="w", maxIter=rounds, maxDepth=GBT["depth"], stepSize=GBT["rate"],
+                        subsamplingRate=GBT["rows"], minInstancesPerNode=min_leaf, validationTol=tol, seed=42)
+    if validation:
+        d = d.withColumn("held", F.pmod(F.xxhash64(*feats), F.lit(1000)) < int(1000 * validation))
+        gbt = gbt.setValidationIndicatorCol("held")
+    return Pipeline(stages=[_assembler(feats), gbt]).fit(d)
+
+
+def fit_rf(train, trees=FOREST["trees"], feats=FEATS, weighted=True):
+    d = sized(balanced_weights(train) if weighted else train.withColumn("w", F.lit(1.0)))
+    rf = RandomForestClassifier(labelCol="label", weightCol="w", numTrees=trees, maxDepth=FOREST["depth"],
+                                featureSubsetStrategy="sqrt", minInstancesPerNode=MIN_LEAF, seed=42)
+    return Pipeline(stages=[_assembler(feats), rf]).fit(d)
+
+
+def model_metrics(pred, name, train_n):
+    """AUC, average precision, precision at 50 and row counts of scored test rows (p1, label, id)."""
+    pred = stored(pred.select("p1", "label", "id"), "scored_rows")  # the model scores once
+    auc = M.roc_auc(pred, "p1", "label").first()
+    ap = M.average_precision(pred, "p1", "label").first()
+    top = M.precision_at_k(pred, "p1", "label", 50, ["id"]).first()
+    return (name, auc["auc"], ap["average_precision"], top["precision_at_k"], int(train_n), int(auc["n_pos"] + auc["n_neg"]))
+
+
+METRICS = "model string, auc double, average_precision double, precision_at_50 double, n_train long, n_test long"
+
+
+def bank_model_metrics(spark, sf, name, fit):
+    _, train, test = ml_frame(spark, sf)
+    pred = prob1(fit(train).transform(test)).withColumn("id", F.struct("CERT", "REPDTE"))
+    return rounded(spark.createDataFrame([model_metrics(pred, name, train.count())], METRICS))
 
 
 def prob1(pred):
@@ -157,37 +195,45 @@ def q_logit_ridge_balanced(spark, sf):
 
 @register("gbt_classifier", section="M")
 def q_gbt_classifier(spark, sf):
-    _, train, test = ml_frame(spark, sf)
-    pred = prob1(fit_gbt(train).transform(test))
-    return rounded(M.roc_auc(pred, "p1", "label").select(F.lit("gbt").alias("model"), "*"))
+    return bank_model_metrics(spark, sf, "gbt", fit_gbt)
 
 
 @register("rf_classifier", section="M")
 def q_rf_classifier(spark, sf):
-    _, train, test = ml_frame(spark, sf)
-    pred = prob1(fit_rf(train, trees=100).transform(test))
-    return rounded(M.roc_auc(pred, "p1", "label").select(F.lit("rf").alias("model"), "*"))
+    return bank_model_metrics(spark, sf, "rf", fit_rf)
+
+
+def fit_platt(train, rounds=GBT["rounds"], folds=3):
+    """Calibrated boosted trees: per hash fold a model of the other folds and a one-regressor
+    logit of the label on its probability over the fold. Returns [(model, const, slope)]."""
+    from lodestar.operators import glm
+    train = train.withColumn("fold", F.pmod(F.xxhash64("CERT", "REPDTE", F.lit(42)), F.lit(folds)))
+    out = []
+    for k in range(folds):
+        m = fit_gbt(train.where(F.col("fold") != k), rounds, weighted=False)
+        held = prob1(m.transform(train.where(F.col("fold") == k))).select("label", "p1")
+        c = {r["term"]: r["coef"] for r in glm.logit(held, "label", ["p1"]).select("term", "coef").collect()}
+        if c.get("const") is None or c.get("p1") is None:
+            raise ValueError(f"no calibration for fold {k}: its labels are separated or constant")
+        out.append((m, c["const"], c["p1"]))
+    return out
+
+
+def platt_probability(fits, df):
+    """Mean of the fold models' calibrated probabilities, as column p_cal."""
+    out = df.withColumn("p_cal", F.lit(0.0))
+    names = out.columns
+    for m, const, slope in fits:
+        out = prob1(m.transform(out)).withColumn(
+            "p_cal", F.col("p_cal") + 1 / (1 + F.exp(-(F.lit(const) + F.lit(slope) * F.col("p1")))) / len(fits)).select(*names)
+    return out
 
 
 @register("platt_calibrate", section="M")
 def q_platt_calibrate(spark, sf):
-    """3 hash folds: a GBT per fold trained on the other two, then a 1-feature
-    logit of the label on the held-out margin; the three calibrators are averaged."""
-    from lodestar.operators import glm
+    """Three-fold sigmoid calibration of the boosted trees, scored on the later period."""
     _, train, test = ml_frame(spark, sf)
-    train = train.withColumn("fold", F.pmod(F.xxhash64("CERT", "REPDTE", F.lit(42)), F.lit(3)))
-    cals = []
-    for k in range(3):
-        m = fit_gbt(train.where(F.col("fold") != k), max_iter=30)
-        held = prob1(m.transform(train.where(F.col("fold") == k)))
-        held = held.withColumn("margin", F.log(F.col("p1") / (1 - F.col("p1"))))
-        fit = glm.logit(held, "label", ["margin"]).select("term", "coef").collect()
-        cals.append({r["term"]: r["coef"] for r in fit})
-    a = sum(c.get("const") or 0.0 for c in cals) / 3
-    b = sum(c.get("margin") or 0.0 for c in cals) / 3
-    m = fit_gbt(train, max_iter=30)
-    pred = prob1(m.transform(test)).withColumn("margin", F.log(F.col("p1") / (1 - F.col("p1"))))
-    pred = pred.withColumn("p_cal", 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("margin")))))
+    pred = platt_probability(fit_platt(train), test)
     return rounded(pred.agg(F.avg("p_cal").alias("mean_calibrated"), F.avg("label").alias("base_rate"),
                             F.count(F.lit(1)).alias("n")))
 
@@ -219,45 +265,82 @@ def q_stratified_split(spark, sf):
     """80/20 split with exact per-class sizes: within each class the rows with the
     smallest seeded hash go to train, the cut being an exact distributed k-th
     order statistic (no global rank, no per-class sort in one task)."""
-    from lodestar.operators.quantiles import kth_smallest
     df, _, _ = ml_frame(spark, sf)
-    d = df.select("label", F.xxhash64("CERT", "REPDTE", F.lit(42)).alias("u"))
+    return split_rows(df, ["CERT", "REPDTE"]).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def split_rows(df, ids, test_size=0.2):
+    """``df`` (with a label) with a column split, train or test, stratified by label."""
+    from lodestar.operators.quantiles import kth_smallest
+    d = df.withColumn("u", F.xxhash64(*ids, F.lit(42)))
     counts = {r["label"]: r["n"] for r in d.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # classes
-    alloc = split_allocation(counts)
-    ranks = spark.createDataFrame([(int(c), int(t) - 1) for c, t in alloc.items() if t > 0], "label int, k long")
-    cut = kth_smallest(d, "u", ["label"], ranks).select("label", F.col("value").alias("_t"))
-    split = d.join(cut, "label", "left").select(
-        "label", F.when(F.col("u") <= F.col("_t"), "train").otherwise("test").alias("split"))
-    return split.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    alloc = split_allocation(counts, test_size)
+    ranks = df.sparkSession.createDataFrame([(int(c), int(t) - 1) for c, t in alloc.items() if t > 0], "label int, k long")
+    cuts = {r["label"]: r["value"] for r in kth_smallest(d.select("label", "u"), "u", ["label"], ranks).collect()}  # classes
+    train = F.lit(False)
+    for c, v in cuts.items():
+        train = train | ((F.col("label") == c) & (F.col("u") <= v))
+    return d.withColumn("split", F.when(train, "train").otherwise("test")).drop("u")
+
+
+def application_split(spark, sf):
+    """Complete-case applications with all features and the stratified split, persisted."""
+    from lodestar.plans.scalars import prep
+    feats = [*C.CREDIT_FEATURES, *C.RACE_FEATURES]
+    df = prep(spark, sf).select("app_id", F.col("approved").cast("int").alias("label"),
+                                *[F.col(c).cast("double").alias(c) for c in feats]).dropna()
+    d = split_rows(df, ["app_id"]).persist()
+    return d, d.where("split = 'train'"), d.where("split = 'test'"), feats
+
+
+def fit_application_gbt(train, feats, rounds=GBT["rounds"]):
+    return fit_gbt(train, rounds, feats, min_leaf=MIN_LEAF, weighted=False, validation=0.1)
 
 
 @register("model_counterfactual", section="M")
 def q_model_counterfactual(spark, sf):
-    """Flip the protected flag, difference of tree-model predictions (rows joined on id)."""
-    from lodestar.plans.scalars import prep
-    df = prep(spark, sf).dropna(subset=["dti_mid"]).select("app_id", "approved", "is_black", "log_income",
-                                                           "log_loan_amount", "dti_mid")
-    feats = ["is_black", "log_income", "log_loan_amount", "dti_mid"]
-    va = VectorAssembler(inputCols=feats, outputCol="features")
-    model = Pipeline(stages=[va, GBTClassifier(labelCol="approved", maxIter=20, maxDepth=4, seed=42)]).fit(df)
-    actual = prob1(model.transform(df.where("is_black = 1"))).select("app_id", F.col("p1").alias("p_actual"))
-    flipped = prob1(model.transform(df.where("is_black = 1").withColumn("is_black", F.lit(0)))) \
-        .select("app_id", F.col("p1").alias("p_counter"))
-    j = actual.join(flipped, "app_id")
-    return rounded(j.agg(F.avg(F.col("p_counter") - F.col("p_actual")).alias("mean_excess"),
-                         F.count(F.lit(1)).alias("n")))
+    """Excess denials of protected test applicants: predictions of the boosted trees with
+    the protected flag set to 0, minus those as they are; the model is fitted on the
+    training rows. Both predictions are made in one pass over a row."""
+    d, train, test, feats = application_split(spark, sf)
+    try:
+        model = fit_application_gbt(train, feats)
+        both = test.where("is_black = 1").select("*", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("flag")) \
+            .withColumn("is_black", F.col("flag"))
+        p = prob1(model.transform(both))
+        sign = F.when(F.col("flag") == 0, F.col("p1")).otherwise(-F.col("p1"))
+        row = p.agg(F.sum(sign).alias("total_excess"), F.countDistinct("app_id").alias("n")).first()
+        n = row["n"]
+        return rounded(spark.createDataFrame([(row["total_excess"], row["total_excess"] / n if n else None, n)],
+                                             "total_excess double, mean_excess double, n long"))
+    finally:
+        d.unpersist()
 
 
 @register("model_comparison", section="M")
 def q_model_comparison(spark, sf):
-    _, train, test = ml_frame(spark, sf)
-    out = None
-    for name, model in [("logit_ridge", fit_ridge(train)), ("gbt", fit_gbt(train, 50)), ("rf", fit_rf(train, 50))]:
-        pred = prob1(model.transform(test))
-        r = M.roc_auc(pred, "p1", "label").select(F.lit(name).alias("model"), "auc")
-        out = r if out is None else out.unionByName(r)
-    rng = out.select(F.max("auc") - F.min("auc")).scalar()
-    return rounded(out.select("*", rng.alias("auc_range")))
+    """Logit, boosted trees and forest on applications: stratified 80/20 split, AUC, average
+    precision, precision at 50, sizes, and for the logit the protected odds ratio."""
+    from lodestar.operators import glm
+    d, train, test, feats = application_split(spark, sf)
+    try:
+        fit = {r["term"]: r for r in glm.logit(train, "label", feats).collect()}
+        z = F.lit(fit["const"]["coef"])
+        for f in feats:
+            z = z + F.lit(fit[f]["coef"] or 0.0) * F.col(f)
+        preds = {"logit": test.withColumn("p1", 1 / (1 + F.exp(-z))),
+                 "gbt": prob1(fit_application_gbt(train, feats).transform(test)),
+                 "rf": prob1(fit_rf(train, feats=feats, weighted=False).transform(test))}
+        n = train.count()
+        rows = [model_metrics(p.withColumn("id", F.col("app_id")), name, n) for name, p in preds.items()]
+        spread = max(r[1] for r in rows) - min(r[1] for r in rows)
+        b = fit["is_black"]
+        odds = {"logit": (b["odds_ratio"], b["or_lo"], b["or_hi"], b["p"])}
+        return rounded(spark.createDataFrame(
+            [(*r, *odds.get(r[0], (None,) * 4), spread) for r in rows],
+            METRICS + ", protected_or double, or_lo double, or_hi double, p double, auc_range double"))
+    finally:
+        d.unpersist()
 
 
 @register("early_warning_watchlist", section="Q")
@@ -279,7 +362,7 @@ def q_tree_attribution(spark, sf):
     from lodestar.operators import attribution as AT
     from pyspark.sql import Window
     df, train, _ = ml_frame(spark, sf)
-    model = fit_gbt(train, max_iter=50).stages[-1]
+    model = fit_gbt(train).stages[-1]
     long, base = AT.shap_values(df, FEATS, model, ["CERT", "REPDTE", "label"])
     imp = AT.mean_abs_shap(long, "label")
     w = Window.orderBy(F.col("mean_abs_shap").desc(), "feature")  # one row per feature (11 rows)

@@ -69,20 +69,27 @@ EXPECTED_YEARS = list(range(1992, 2003))
 
 @register("scan_multi_file_lineage", section="S", sql="""
 WITH c AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS source_year, count(*) AS n FROM lineitem GROUP BY 1)
-SELECT CAST(e.y AS INTEGER) AS source_year, coalesce(c.n, 0) AS n, CAST(c.n IS NULL AS INTEGER) AS missing
-FROM (SELECT unnest(range(1992, 2003)) AS y) e LEFT JOIN c ON c.source_year = e.y""")
+SELECT CAST(coalesce(x.y, c.source_year) AS INTEGER) AS source_year, coalesce(c.n, 0) AS n, CAST(c.n IS NULL AS INTEGER) AS missing,
+       CAST(x.y IS NULL AS INTEGER) AS unexpected
+FROM (SELECT unnest(range(1992, 2003)) AS y) x FULL JOIN c ON c.source_year = x.y""")
 def q_scan_multi_file_lineage(spark, sf):
-    """Union of per-year files tagged with their source path; expected years with
-    no file are reported as missing."""
+    """Union of per-year files tagged with their source path; expected years with no
+    file are reported as missing, files of other years as unexpected."""
     path = scratch_path(spark, "lineitem_by_year")
     li = read(spark, sf, "lineitem", "l_orderkey", "l_shipdate").withColumn("year", F.year("l_shipdate"))
     FS.write_parquet(li, path, partition_by=["year"])  # one file set per source year, one job
     tagged = spark.read.parquet(f"{path}/year=*").select(
         F.regexp_extract(F.col("_metadata.file_path"), r"year=(\d+)", 1).cast("int").alias("source_year"))
     counts = tagged.groupBy("source_year").agg(F.count(F.lit(1)).alias("n"))
-    expected = spark.createDataFrame([(y,) for y in EXPECTED_YEARS], "source_year int")
-    return expected.join(counts, "source_year", "left").select(
-        "source_year", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().cast("int").alias("missing"))
+    return with_expected_years(counts, EXPECTED_YEARS)
+
+
+def with_expected_years(counts, years):
+    """Counts per source year, completed by expected years without files and flags for both kinds of surprise."""
+    expected = counts.sparkSession.createDataFrame([(y, True) for y in years], "source_year int, expected boolean")
+    return expected.join(counts, "source_year", "full_outer").select(
+        "source_year", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().cast("int").alias("missing"),
+        F.col("expected").isNull().cast("int").alias("unexpected"))
 
 
 ALIASES = {"MIDDLE EAST": "EUROPE"}
@@ -130,21 +137,46 @@ def q_sink_if_absent(spark, sf):
     return spark.read.parquet(path)
 
 
+LINEITEM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+            "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+def _profile_text(c: str) -> str:
+    return f"CAST(round({c} * 10000) AS BIGINT)" if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax") else \
+        f"strftime({c}, '%Y-%m-%d')" if c == "l_shipdate" else c
+
+
 @register("profile_columns", section="S", sql="""
-SELECT ordinal, count(value) AS n_nonnull, count(DISTINCT value) AS n_distinct, min(value) AS min_value,
+SELECT column_name, count(value) AS n_nonnull, count(DISTINCT value) AS n_distinct, min(value) AS min_value,
        max(value) AS max_value, round(avg(CAST(TRY_CAST(value AS DOUBLE) IS NOT NULL AS INTEGER)), 6) AS numeric_share
-FROM (
-  UNPIVOT (SELECT CAST(l_orderkey AS VARCHAR) AS "0", CAST(l_linenumber AS VARCHAR) AS "1", l_returnflag AS "2",
-                  l_linestatus AS "3" FROM lineitem)
-  ON "0", "1", "2", "3" INTO NAME ordinal VALUE value) GROUP BY 1""")
+FROM (UNPIVOT (SELECT """ + ", ".join(f"CAST({_profile_text(c)} AS VARCHAR) AS {c}" for c in LINEITEM)
+          + " FROM lineitem) ON " + ", ".join(LINEITEM) + " INTO NAME column_name VALUE value) GROUP BY 1")
 def q_profile_columns(spark, sf):
-    li = read(spark, sf, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    cols = [F.col(c).cast("string").alias(str(i)) for i, c in enumerate(li.columns)]
-    long = li.select(*cols).unpivot([], [str(i) for i in range(4)], "ordinal", "value")
-    return rounded(long.groupBy("ordinal").agg(
-        F.count("value").alias("n_nonnull"), F.countDistinct("value").alias("n_distinct"),
-        F.min("value").alias("min_value"), F.max("value").alias("max_value"),
-        F.avg(F.col("value").try_cast("double").isNotNull().cast("int")).alias("numeric_share")))
+    """Every column of the table: counts, range, share of numeric values. Amounts are profiled
+    in units of 1/10000, dates as days, so that both engines print them alike."""
+    li = profiled_lineitem(spark, sf)
+    return rounded(profile(li).select("column_name", "n_nonnull", "n_distinct", "min_value", "max_value", "numeric_share"))
+
+
+def profiled_lineitem(spark, sf):
+    li = read(spark, sf, "lineitem", *LINEITEM)
+    amounts = {c: F.round(F.col(c) * 10000).cast("long") for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+    return li.withColumns(amounts | {"l_shipdate": F.date_format("l_shipdate", "yyyy-MM-dd")})
+
+
+def profile(df):
+    """One row per column: type, non-null and distinct counts, range and numeric share."""
+    types = dict(df.dtypes)
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]).unpivot([], df.columns, "column_name", "value")
+    # one row per (column, value) first: distinct counts and samples then need no set of values in a task
+    v = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("c"))
+    number = F.col("value").try_cast("double").isNotNull()
+    kind = F.create_map(*[F.lit(x) for c in df.columns for x in (c, types[c])])
+    one = v.groupBy("column_name").agg(
+        F.sum(F.when(F.col("value").isNotNull(), F.col("c")).otherwise(0)).alias("n_nonnull"),
+        F.count("value").alias("n_distinct"), F.min("value").alias("min_value"), F.max("value").alias("max_value"),
+        (F.sum(F.when(number, F.col("c")).otherwise(0)) / F.sum(F.when(F.col("value").isNotNull(), F.col("c")))).alias("numeric_share"))
+    return one.withColumn("dtype", kind[F.col("column_name")])
 
 
 RULES = [("fico", 600, 850), ("original_dti", 10, 65), ("original_upb", 50_000, 3_000_000)]
@@ -156,16 +188,12 @@ RULES = [("fico", 600, 850), ("original_dti", 10, 65), ("original_upb", 50_000,
 def q_validate_ranges(spark, sf):
     """Share of numeric-parsable values within [lo, hi] per field over the whole table."""
     lm = C.loan_months(spark, sf)
-    parts = []
-    for f, lo, hi in RULES:
-        v = F.col(f).cast("string").try_cast("double")
-        parts.append(lm.agg(F.lit(f).alias("field"),
-                            F.round(F.avg(v.between(lo, hi).cast("int")) * 100, 6).alias("pct_valid"),
-                            F.count(v).alias("n_numeric")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    v = {f: F.col(f).cast("string").try_cast("double") for f, _, _ in RULES}
+    # all rules in one aggregation, then one row per field
+    one = lm.agg(*[F.struct(F.lit(f).alias("field"),
+                            F.round(F.avg(v[f].between(lo, hi).cast("int")) * 100, 6).alias("pct_valid"),
+                            F.count(v[f]).alias("n_numeric")).alias(f) for f, lo, hi in RULES])
+    return one.select(F.explode(F.array(*[F.col(f) for f, _, _ in RULES])).alias("r")).select("r.*")
 
 
 @register("model_sink", section="S")
@@ -208,11 +236,9 @@ GROUP BY 1""")
 def q_anti_join_seen(spark, sf):
     """Loans first seen in each source year: rows whose key appears in no earlier year."""
     lm = C.loan_months(spark, sf).select("loan_id", "source_year")
-    first_year = lm.groupBy("loan_id").agg(F.min("source_year").alias("first_year"))
-    earlier = lm.join(first_year, "loan_id").where(F.col("source_year") > F.col("first_year")) \
-        .select("loan_id", "source_year")
-    new = lm.join(earlier, ["loan_id", "source_year"], "left_anti")
-    return new.groupBy("source_year").agg(F.countDistinct("loan_id").alias("new_loans"))
+    # a key is new in its first year and in no other: the anti-join is a minimum per key
+    first_year = lm.groupBy("loan_id").agg(F.min("source_year").alias("source_year"))
+    return first_year.groupBy("source_year").agg(F.count(F.lit(1)).alias("new_loans"))
 
 
 @register("rare_level_collapse", section="J", sql="WITH p AS (" + V.prep() + """)
@@ -225,17 +251,17 @@ def q_rare_level_collapse(spark, sf):
 
 
 @register("dim_lookup_default", section="J", sql="""
-WITH s AS (SELECT DISTINCT l_suppkey AS CERT FROM lineitem WHERE l_returnflag = 'R')
+WITH s AS (SELECT DISTINCT l_suppkey AS CERT FROM lineitem UNION SELECT DISTINCT -1 - l_suppkey FROM lineitem)
 , d AS (SELECT s_suppkey AS CERT, s_name AS NAME, n_name AS STALP,
                row_number() OVER (PARTITION BY s_suppkey ORDER BY s_name) AS rn
-        FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal >= 0)
+        FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT s.CERT, coalesce(d.NAME, 'Unknown') AS NAME, coalesce(d.STALP, '') AS STALP
 FROM s LEFT JOIN (SELECT * FROM d WHERE rn = 1) d ON s.CERT = d.CERT""")
 def q_dim_lookup_default(spark, sf):
-    s = read(spark, sf, "lineitem", "l_suppkey", "l_returnflag").where("l_returnflag = 'R'") \
-        .select(F.col("l_suppkey").alias("CERT")).distinct()
-    # the dimension covers active institutions only, so some keys fall back to defaults
-    sup = read(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal").where("s_acctbal >= 0")
+    keys = read(spark, sf, "lineitem", "l_suppkey").distinct()
+    # negative keys are in no dimension, so they fall back to defaults
+    s = keys.select(F.explode(F.array(F.col("l_suppkey"), -1 - F.col("l_suppkey"))).alias("CERT"))
+    sup = read(spark, sf, "supplier", "s_suppkey", "s_name", "s_nationkey")
     n = read(spark, sf, "nation", "n_nationkey", "n_name")
     dim = sup.join(F.broadcast(n), sup.s_nationkey == n.n_nationkey).select(
         F.col("s_suppkey").alias("CERT"), F.col("s_name").alias("NAME"), F.col("n_name").alias("STALP"))

@@ -136,8 +136,10 @@ def q_logit_outcome_vs_reference(spark, sf):
     from lodestar.plans.scalars import outcome_category
     df = prep(spark, sf).withColumn("outcome_cat", outcome_category())
     levels = ["credit_history", "dti", "collateral", "incomplete", "other_denial"]
-    lv = spark.createDataFrame([(x,) for x in levels], "outcome_level string")
-    pairs = df.join(F.broadcast(lv), F.col("outcome_cat").isin(F.col("outcome_level"), F.lit("originated")))
+    # a reference row serves every level, a denied row its own
+    own = F.when(F.col("outcome_cat") == "originated", F.array(*[F.lit(x) for x in levels])).when(
+        F.col("outcome_cat").isin(levels), F.array("outcome_cat"))
+    pairs = df.withColumn("outcome_level", F.explode(own))
     pairs = pairs.withColumn("y_outcome", (F.col("outcome_cat") == F.col("outcome_level")).cast("int"))
     return _coef_out(glm.logit(pairs, "y_outcome", ["is_black"], by=["outcome_level"]), ["outcome_level"])
 

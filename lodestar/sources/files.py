@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
-def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Headered CSV, every column read as text (no inference), then pruned."""
+def read_csv_strings(spark: SparkSession, path: str, columns: Sequence[str], keep: Sequence[str],
+                     multiline: bool = False) -> DataFrame:
+    """Headered CSV, every column read as text (no inference), then pruned. ``multiline``
+    allows line breaks in quoted fields, and reads each file in a single task."""
     schema = StructType([StructField(c, StringType()) for c in columns])
-    df = spark.read.csv(path, header=True, schema=schema, multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, schema=schema, multiLine=multiline, escape='"')
     return df.select(*keep)
 
 
@@ -32,11 +34,6 @@ def read_json_envelope(spark: SparkSession, path: str, record_schema: str, multi
     return env.select(F.explode("data").alias("r")).select("r.data.*")
 
 
-def read_with_lineage(spark: SparkSession, path: str) -> DataFrame:
-    """Read a folder of parquet files and tag each row with its source file."""
-    return spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("source_file"))
-
-
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> str:
     w = df.write.mode(mode)
     if partition_by:

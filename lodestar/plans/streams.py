@@ -1,4 +1,4 @@
-"""Streaming-twin queries (file stream over the given tables -> memory sink)."""
+"""Streaming-twin queries (file stream over the given tables)."""
 
 from __future__ import annotations
 
@@ -24,8 +24,7 @@ SELECT count(DISTINCT l_orderkey) AS n_loans FROM lineitem""")
 def q_stream_first_seen(spark, sf):
     prepare(spark)
     schema = spark.read.parquet(table_path(sf, "lineitem")).schema
-    out = twins.stream_first_seen(spark, _glob(sf, "lineitem"), schema, "l_orderkey", "l_shipdate",
-                                  name=f"first_seen_{uuid.uuid4().hex[:8]}")
+    out = twins.stream_first_seen(spark, _glob(sf, "lineitem"), schema, "l_orderkey", name=f"first_seen_{uuid.uuid4().hex[:8]}")
     return out.agg(F.count(F.lit(1)).alias("n_loans"))
 
 

@@ -52,6 +52,42 @@ def remove(spark: SparkSession, *frames_or_paths) -> None:
             folder.getFileSystem(conf).delete(folder, True)
 
 
+def most_frequent(counts: DataFrame, n: str, size: int) -> DataFrame:
+    """Rows of ``counts`` whose whole number ``n`` exceeds a cut that leaves at most
+    ``size`` of them: ties at the cut go out together, and only two short histograms
+    (powers of two, then 4,096 steps within one) reach the driver, not candidates of
+    every partition as with a sorted limit."""
+    def above(buckets: DataFrame, room: int) -> tuple[int, int]:
+        """The lowest bucket that fits into ``room`` with all higher ones, and what it leaves."""
+        lowest = 1 << 62
+        for r in sorted(buckets.collect(), key=lambda r: -r["b"]):
+            if r["k"] > room:
+                break
+            room -= r["k"]
+            lowest = r["b"]
+        return lowest, room
+
+    power = F.floor(F.log2(F.col(n).cast("double"))).cast("int")
+    low, room = above(counts.groupBy(power.alias("b")).agg(F.count(F.lit(1)).alias("k")), size)
+    low = min(low, 63)
+    part = counts.where(power < low)
+    top = part.agg(F.max(power)).first()[0]
+    if top is None:
+        return counts.where(power >= low)
+    step = F.floor((F.col(n) - F.lit(1 << top)) * 4096 / F.lit(float(1 << top))).cast("int")
+    edge, _ = above(part.where(power == top).groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("k")), room)
+    return counts.where((power > top) | ((power == top) & (step >= min(edge, 1 << 30))))
+
+
+def sampled(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows, those with the smallest hashes of ``key``; rows beyond a
+    hash threshold are filtered out first, so that few are sorted."""
+    n = rows.count()
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = min(1.0, 1.1 * (size + 100) / max(n, 1))
+    return rows.where(h <= int(share * (1 << 40))).orderBy(h, key).limit(size)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. Texts of ASCII only take the faster ``lower``."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

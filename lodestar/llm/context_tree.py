@@ -8,8 +8,8 @@ probability mixes its own estimate with the product of its children's, half
 and half, over all depths.
 
 The counts are those of all (DEPTH + 1)-byte sequences of all training texts,
-added up in Spark. The tree keeps the CONTEXTS most frequent contexts (each
-one's shorter contexts are at least as frequent, so they are kept too); the
+added up in Spark. The tree keeps the most frequent contexts, CONTEXTS at most
+(each one's shorter contexts are at least as frequent, so they are kept too); the
 positions of a kept context whose longer context is not kept form one more
 child of it. Mixing over this tree gives, for each kept context, the
 probability of each next byte: a table of bounded size that scores every text.
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.llm.common import remove, written
+from lodestar.llm.common import most_frequent, remove, written
 
 #: bytes of context; contexts kept (the model has 256 numbers for each, and one for the empty context)
 DEPTH, CONTEXTS = 5, 40_000
@@ -231,8 +231,8 @@ def fit(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Tree:
                         lengths.alias("d"))
     mask = F.element_at(F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(1, depth + 1)]), F.col("d"))
     each = each.select("d", F.col("c").bitwiseAND(mask).alias("c"), "byte", "n")
-    top = each.groupBy("d", "c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d", "c").limit(contexts).collect()
-    kept = [(r["d"], r["c"]) for r in top]
+    seen = written(each.groupBy("d", "c").agg(F.sum("n").alias("n")), "lm-contexts")
+    kept = sorted((r["d"], r["c"]) for r in most_frequent(seen, "n", contexts).select("d", "c").collect())
     if kept:
         ids = spark.createDataFrame([(d, c, i + 1) for i, (d, c) in enumerate(kept)], "d int, c long, at int")
         # at most 256 rows for each of the kept contexts, whose table is bounded by CONTEXTS
@@ -240,7 +240,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Tree:
         at, byte, n = (rows.column(x).to_numpy() for x in ("at", "byte", "n"))
     else:
         at = byte = n = np.zeros(0, np.int64)
-    remove(spark, grams)
+    remove(spark, grams, seen)
     return build(kept, at, byte, n, root, depth)
 
 
@@ -282,7 +282,7 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
     vocabulary = written(word_counts(train), "lm-words")
     size = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = size["n"] or 0, size["v"]
-    top = vocabulary.orderBy(F.desc("c"), "word").limit(frequent).select("word", "c").toArrow()
+    top = most_frequent(vocabulary, "c", frequent).select("word", "c").toArrow()
     common = {w.encode(): math.log10(c + 1) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist())}
     shared = spark.sparkContext.broadcast((tree, common))  # bounded by ``contexts`` and ``frequent``
     columns = columns or docs.columns

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lodestar.llm.common import most_frequent, remove, written
+
 #: findings' kinds, in the order in which equal starts are listed
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -149,10 +151,13 @@ def scan(text: str | None, dictionary: dict[str, float], threshold: float = THRE
 
 
 def corpus_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The ``size`` most frequent lower-case words of 3 to LONGEST_WORD letters, counted over all texts."""
+    """The most frequent (``size`` at most) lower-case words of 3 to LONGEST_WORD letters, counted
+    over all texts, in falling order."""
     w = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
-    w = w.where(F.length("w").between(3, LONGEST_WORD)).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    return [r[0] for r in w.orderBy(F.desc("n"), "w").limit(size).collect()]
+    w = written(w.where(F.length("w").between(3, LONGEST_WORD)).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "secrets-words")
+    found = most_frequent(w, "n", size).collect()  # at most ``size`` words
+    remove(docs.sparkSession, w)
+    return [r["w"] for r in sorted(found, key=lambda r: (-r["n"], r["w"]))]
 
 
 def find_secrets(docs: DataFrame, columns: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
+from lodestar.llm.common import sampled
+
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
 #: labelled rows that the fit takes at most (by hash of the id)
 SAMPLE = 4000
@@ -156,7 +158,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, s
     """(doc_id, text, label 0/1) of a bounded sample: ``size`` labelled ids by hash, one row for each id."""
     rows = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
         train_on & F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
-    picked = rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    picked = sampled(rows.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", size)
     # bounded by ``size`` rows of two numbers
     return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
             .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestar.llm import context_tree as C, subword, toxicity as X
-from lodestar.llm.common import fold
+from lodestar.llm.common import fold, most_frequent, sampled
 
 from .test_groups import LOWER, brute_components, brute_fingerprint
 
@@ -161,7 +161,7 @@ def naive(contexts, train, depth):
     return log10
 
 
-@pytest.mark.parametrize("depth,contexts", [(2, 6), (3, 1000)])
+@pytest.mark.parametrize("depth,contexts", [(2, 8), (3, 1000)])
 def test_tree_equals_the_definition(spark, depth, contexts):
     texts = ["abra cad", "abba", "", None, "cab a"]
     d = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -171,7 +171,9 @@ def test_tree_equals_the_definition(spark, depth, contexts):
         data = C.END * depth + C.stream(t)[1]
         for i in range(depth, len(data)):
             n.update((k, int.from_bytes(data[i - k:i], "big")) for k in range(1, depth + 1))
-    kept = sorted(n, key=lambda c: (-n[c], *c))[:contexts]
+    cut = next(c for c in [0, *sorted(set(n.values()))] if sum(x > c for x in n.values()) <= contexts)
+    kept = [c for c in n if n[c] > cut]
+    assert kept
     ref = naive({c.to_bytes(k, "big") for k, c in kept}, [C.stream(t)[1] for t in texts], depth)
     for t in ["abra", "zzz", "", "cad abba"]:
         raw = C.stream(t)[1]
@@ -214,6 +216,21 @@ def test_model_beats_uniform_and_takes_empty_tables(docs, no_docs):
     assert all(r["score"] == pytest.approx(-math.log10(256) * r["n_bytes"], rel=1e-5) for r in untrained)
 
 
+@pytest.mark.parametrize("size", [0, 1, 5, 40, 10_000])
+def test_most_frequent_and_samples(spark, size):
+    r = random.Random(3)
+    n = [r.choice([1, 1, 1, 2, 3, 5, 900, 70_000]) * r.randint(1, 3) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(n)), "w long, n long")
+    got = [x["n"] for x in most_frequent(rows, "n", size).collect()]
+    assert len(got) <= size and sorted(got) == sorted(x for x in n if got and x >= min(got))
+    cut = next(c for c in [0, *sorted(set(n))] if sum(x > c for x in n) <= size)
+    assert len(got) == sum(x > cut for x in n)
+    assert most_frequent(rows.where("false"), "n", size).count() == 0
+    if size:
+        a, b = ({x["w"] for x in sampled(d, "w", size).collect()} for d in (rows, rows.repartition(5)))
+        assert a == b and len(a) == min(size, 500)
+
+
 # ---- pipeline
 
 def test_pipeline_equals_brute_force(spark, tmp_path):

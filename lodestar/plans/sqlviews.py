@@ -45,6 +45,9 @@ SELECT l_orderkey AS order_id,
        CAST(l_suppkey % 7 + 1 AS INTEGER) AS aus_1,
        CAST(l_orderkey % 3 + 1 AS INTEGER) AS occupancy_type,
        CASE WHEN l_linenumber % 2 = 0 THEN 360.0 ELSE 180.0 END AS loan_term,
+       CASE WHEN l_orderkey % 9 = 0 THEN 2 ELSE 1 END AS lien_status,
+       CASE WHEN l_partkey % 13 = 0 THEN 2 ELSE 1 END AS construction_method,
+       CASE WHEN l_suppkey % 5 = 0 THEN 'NC' ELSE 'C' END AS conforming_loan_limit,
        {_denials()}
 FROM lineitem
 JOIN orders ON l_orderkey = o_orderkey

@@ -117,6 +117,131 @@ def q_logit_inside_outside(spark, sf):
     return _coef_out(glm.logit(df, "approved", ["is_black"], by=["institution", "area"]), ["institution", "area"])
 
 
+def odds_sql(src: str, by: list[str]) -> str:
+    """Protected odds ratio per group from its four cells (closed form of the one-regressor logit)."""
+    g = ", ".join(by)
+    return f"""
+, cells AS (SELECT {g}, CAST(sum(is_black * approved) AS DOUBLE) AS a, sum(is_black * (1 - approved)) AS b,
+                   sum((1 - is_black) * approved) AS c, sum((1 - is_black) * (1 - approved)) AS d FROM {src} GROUP BY {g})
+, o AS (SELECT {g}, a * d / (b * c) AS orr FROM cells WHERE a > 0 AND b > 0 AND c > 0 AND d > 0)"""
+
+
+def odds_by(df, by):
+    fit = glm.logit(df, "approved", ["is_black"], by=by)
+    return glm.term(fit, "is_black").select(*by, F.col("odds_ratio").alias("orr"))
+
+
+@register("logit_pre_post_gap", section="M", sql="WITH p AS (" + V.prep() + ")" + odds_sql(PRE_POST_SRC, ["institution", "period"]) + """
+SELECT x.institution, round(x.orr, 6) AS or_pre, round(y.orr, 6) AS or_post, round(y.orr - x.orr, 6) AS or_change,
+       CASE WHEN y.orr < x.orr THEN 'widened' ELSE 'narrowed' END AS gap
+FROM o x JOIN o y ON x.institution = y.institution AND x.period = 'pre' AND y.period = 'post'""")
+def q_logit_pre_post_gap(spark, sf):
+    """Change of the protected odds ratio from before to after the event, by institution."""
+    df = prep(spark, sf).withColumn("period", F.when(F.col("activity_year") < 1998, "pre").otherwise("post"))
+    o = odds_by(df, ["institution", "period"]).groupBy("institution").agg(
+        F.max(F.when(F.col("period") == "pre", F.col("orr"))).alias("or_pre"),
+        F.max(F.when(F.col("period") == "post", F.col("orr"))).alias("or_post")).dropna()
+    return rounded(o.select("*", (F.col("or_post") - F.col("or_pre")).alias("or_change"),
+                            F.when(F.col("or_post") < F.col("or_pre"), "widened").otherwise("narrowed").alias("gap")))
+
+
+@register("logit_inside_outside_gap", section="M", sql="WITH p AS (" + V.prep() + ")" + odds_sql(INSIDE_SRC, ["institution", "area"]) + f"""
+, w AS (SELECT institution, max(CASE WHEN area = 'inside' THEN orr END) AS or_inside,
+               max(CASE WHEN area = 'outside' THEN orr END) AS or_outside FROM o GROUP BY 1)
+SELECT institution, round(or_inside, 6) AS or_inside, round(or_outside, 6) AS or_outside,
+       round(or_inside - or_outside, 6) AS or_gap,
+       round((or_inside - or_outside) - (SELECT avg(or_inside - or_outside) FROM w q WHERE q.institution <> w.institution), 6) AS gap_vs_peers
+FROM w""")
+def q_logit_inside_outside_gap(spark, sf):
+    """Protected odds ratio inside minus outside the assessment area, one row per institution,
+    and that gap against the mean of the peers'."""
+    df = prep(spark, sf).withColumn("area", F.when(F.col("state_code").isin(*INSIDE_STATES), "inside").otherwise("outside"))
+    w = odds_by(df, ["institution", "area"]).groupBy("institution").agg(
+        F.max(F.when(F.col("area") == "inside", F.col("orr"))).alias("or_inside"),
+        F.max(F.when(F.col("area") == "outside", F.col("orr"))).alias("or_outside"))
+    w = w.withColumn("or_gap", F.col("or_inside") - F.col("or_outside"))
+    t = w.agg(F.sum("or_gap").alias("s"), F.count("or_gap").alias("k")).first()  # two numbers
+    own = F.col("or_gap").isNotNull().cast("int")
+    peers = (F.lit(t["s"]) - F.coalesce("or_gap", F.lit(0.0))) / F.nullif(F.lit(t["k"]) - own, F.lit(0))
+    return rounded(w.select("*", (F.col("or_gap") - peers).alias("gap_vs_peers")))
+
+
+def _bucket_sql(q: int) -> str:
+    inner = ", ".join(repr(i / q) for i in range(1, q))
+    return f"""(SELECT p.*, CAST(len(list_filter(list_distinct(e.qs), lambda x: x > e.lo AND x < e.hi AND x < p.loan_amount)) AS INTEGER) AS loan_q
+  FROM p, (SELECT min(loan_amount) AS lo, max(loan_amount) AS hi, quantile_cont(loan_amount, [{inner}]) AS qs FROM p) e)"""
+
+
+def _by_bucket(spark, sf, q):
+    from lodestar.operators import quantiles as Q
+    df = Q.qcut(prep(spark, sf), "loan_amount", q, duplicates="drop", name="loan_q")
+    return rounded(odds_by(df, ["loan_q"]).withColumnRenamed("orr", "odds_ratio").dropna())
+
+
+@register("logit_by_decile", section="M", sql="WITH p AS (" + V.prep() + ")" + odds_sql(_bucket_sql(10), ["loan_q"])
+          + " SELECT loan_q, round(orr, 6) AS odds_ratio FROM o")
+def q_logit_by_decile(spark, sf):
+    """Protected odds ratio by decile of the loan amount."""
+    return _by_bucket(spark, sf, 10)
+
+
+@register("logit_by_tercile", section="M", sql="WITH p AS (" + V.prep() + ")" + odds_sql(_bucket_sql(3), ["loan_q"])
+          + " SELECT loan_q, round(orr, 6) AS odds_ratio FROM o")
+def q_logit_by_tercile(spark, sf):
+    """Protected odds ratio by tercile of the loan amount."""
+    return _by_bucket(spark, sf, 3)
+
+
+@register("logit_full_by_stratum", section="M")
+def q_logit_full_by_stratum(spark, sf):
+    """Full-control fits by institution, year, purpose, state and income band in one batched
+    call: a row belongs to one stratum of each kind. Controls that are constant in a
+    stratum are left out of its fit; strata under 500 rows are skipped."""
+    from lodestar.operators import quantiles as Q
+    df = Q.qcut(prep(spark, sf), "income", 4, duplicates="drop", name="income_band")
+    kinds = {"institution": "institution", "year": "activity_year", "purpose": "loan_purpose", "state": "state_code",
+             "income_band": "income_band"}
+    strata = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("level")) for k, c in kinds.items()])
+    xs = [*C.CREDIT_FEATURES, *C.RACE_FEATURES]
+    d = df.select("approved", *xs, F.explode(strata).alias("s")).select("s.kind", "s.level", "approved", *xs).dropna(subset=["level"])
+    fit = glm.term(glm.logit(d, "approved", xs, by=["kind", "level"], min_n=500), "is_black")
+    return rounded(fit.select("kind", "level", "coef", "se", "p", "odds_ratio", "or_lo", "or_hi", "n", "r2"))
+
+
+@register("logit_wide", section="M")
+def q_logit_wide(spark, sf):
+    """The wide form's 22 credit features and the group flags, by institution."""
+    df = C.application_features_wide(apps(spark, sf))
+    return rounded(glm.logit(df, "approved", [*C.WIDE_FEATURES, *C.RACE_FEATURES], by=["institution"]))
+
+
+@register("application_features_wide", section="Q", sql="WITH p AS (" + V.prep() + f""")
+, m AS (SELECT median(combined_loan_to_value_ratio) AS ltv, median(dti_mid) AS dti, median(log_income) AS inc FROM p)
+SELECT institution, count(*) AS n, round(sum(coalesce(combined_loan_to_value_ratio, m.ltv)), 4) AS ltv,
+       round(sum(coalesce(dti_mid, m.dti)), 4) AS dti, round(sum(coalesce(log_income, m.inc)), 4) AS log_income,
+       CAST(sum(CAST(loan_type = 2 AS INTEGER)) AS BIGINT) AS is_fha, CAST(sum(CAST(loan_type = 3 AS INTEGER)) AS BIGINT) AS is_va,
+       CAST(sum(CAST(loan_type = 4 AS INTEGER)) AS BIGINT) AS is_usda,
+       CAST(sum(CAST(occupancy_type = 3 AS INTEGER)) AS BIGINT) AS is_investment,
+       CAST(sum(CAST(occupancy_type = 2 AS INTEGER)) AS BIGINT) AS is_second_home,
+       CAST(sum(CAST(lien_status = 2 AS INTEGER)) AS BIGINT) AS is_subordinate,
+       CAST(sum(CAST(construction_method = 2 AS INTEGER)) AS BIGINT) AS is_manufactured,
+       CAST(sum(CAST(loan_term BETWEEN 355 AND 365 AS INTEGER)) AS BIGINT) AS is_30yr,
+       CAST(sum(CAST(lower(conforming_loan_limit) = 'c' AS INTEGER)) AS BIGINT) AS is_conforming,
+       CAST(sum(CAST(aus_1 = 1 AS INTEGER)) AS BIGINT) AS aus_du, CAST(sum(CAST(aus_1 = 2 AS INTEGER)) AS BIGINT) AS aus_lp,
+       CAST(sum(CAST(aus_1 BETWEEN 3 AND 7 AS INTEGER)) AS BIGINT) AS aus_manual,
+       CAST(sum(CAST(combined_loan_to_value_ratio IS NULL AS INTEGER)) AS BIGINT) AS miss_ltv,
+       CAST(sum(CAST(dti_mid IS NULL AS INTEGER)) AS BIGINT) AS miss_dti,
+       CAST(sum(CAST(log_income IS NULL AS INTEGER)) AS BIGINT) AS miss_income
+FROM p, m GROUP BY 1""")
+def q_application_features_wide(spark, sf):
+    """Sums of the wide form's features by institution (its values checked in aggregate)."""
+    d = C.application_features_wide(apps(spark, sf))
+    flags = [c for c in C.WIDE_FEATURES if c.startswith(("is_", "aus_", "miss_"))]
+    return d.groupBy("institution").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("ltv"), 4).alias("ltv"), F.round(F.sum("dti_mid"), 4).alias("dti"),
+        F.round(F.sum("log_income"), 4).alias("log_income"), *[F.sum(c).cast("long").alias(c) for c in flags])
+
+
 OUTCOME_SRC = """(SELECT p.*, o.outcome_level AS outcome_level,
    CAST(p.outcome_cat = o.outcome_level AS INTEGER) AS y_outcome
  FROM (SELECT *, {oc} AS outcome_cat FROM p) p

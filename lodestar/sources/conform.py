@@ -78,6 +78,9 @@ def applications(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("l_suppkey") % 7 + 1).cast("int").alias("aus_1"),
         (F.col("l_orderkey") % 3 + 1).cast("int").alias("occupancy_type"),
         F.when(F.col("l_linenumber") % 2 == 0, 360.0).otherwise(180.0).alias("loan_term"),
+        F.when(F.col("l_orderkey") % 9 == 0, 2).otherwise(1).alias("lien_status"),
+        F.when(F.col("l_partkey") % 13 == 0, 2).otherwise(1).alias("construction_method"),
+        F.when(F.col("l_suppkey") % 5 == 0, "NC").otherwise("C").alias("conforming_loan_limit"),
     ]
     for k in range(1, 5):
         code = (F.col("l_partkey") + k * F.col("l_suppkey")) % 11
@@ -108,6 +111,33 @@ def application_features(apps: DataFrame, dti_variant: str = "A", hispanic_mode:
     )
 
 
+#: the wide form's credit features, in its order
+WIDE_FEATURES = ["log_income", "log_loan_amount", "dti_mid", "ltv", "purpose_purchase", "purpose_refi", "purpose_cashout",
+                 "is_fha", "is_va", "is_usda", "is_investment", "is_second_home", "is_subordinate", "is_manufactured",
+                 "is_30yr", "is_conforming", "aus_du", "aus_lp", "aus_manual", "miss_ltv", "miss_dti", "miss_income"]
+
+
+def application_features_wide(apps: DataFrame) -> DataFrame:
+    """``application_features`` with loan type, occupancy, lien, construction, term, conforming
+    and underwriting flags; missing LTV, DTI and income are flagged, then filled with the
+    exact median over all rows."""
+    from lodestar.operators.quantiles import quantiles_wide
+    d = application_features(apps)
+    flag = lambda c, v: S.indicator(F.col(c) == v)
+    d = d.withColumns({
+        "ltv": F.col("combined_loan_to_value_ratio").cast("double"),
+        "is_fha": flag("loan_type", 2), "is_va": flag("loan_type", 3), "is_usda": flag("loan_type", 4),
+        "is_investment": flag("occupancy_type", 3), "is_second_home": flag("occupancy_type", 2),
+        "is_subordinate": flag("lien_status", 2), "is_manufactured": flag("construction_method", 2),
+        "is_30yr": S.indicator(F.col("loan_term").between(355, 365)),
+        "is_conforming": S.indicator(F.lower("conforming_loan_limit") == "c"),
+        "aus_du": flag("aus_1", 1), "aus_lp": flag("aus_1", 2), "aus_manual": S.indicator(F.col("aus_1").isin(3, 4, 5, 6, 7))})
+    filled = {"ltv": "miss_ltv", "dti_mid": "miss_dti", "log_income": "miss_income"}
+    d = d.withColumns({m: F.col(c).isNull().cast("int") for c, m in filled.items()})
+    medians = {c: quantiles_wide(d, c, [0.5], ["m"]).first() for c in filled}  # three numbers
+    return d.withColumns({c: F.coalesce(F.col(c), F.lit(r["m"] if r else None).cast("double")) for c, r in medians.items()})
+
+
 CREDIT_FEATURES = ["log_income", "log_loan_amount", "dti_mid", "purpose_purchase", "purpose_refi", "purpose_cashout"]
 RACE_FEATURES = ["is_black", "is_hispanic", "is_asian"]
 

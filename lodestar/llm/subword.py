@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -22,7 +23,7 @@ from lodestar.llm.common import sampled
 
 BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
 #: labelled rows that the fit takes at most (by hash of the id)
-SAMPLE = 4000
+SAMPLE = 3000
 EPOCHS, RATE, SEED = 5, 0.5, 7
 #: bytes that are hashed at once; longer texts are read in overlapping slices
 SLICE = 1 << 21
@@ -170,11 +171,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, size:
     def f(t: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([counted(x) for x in t], columns=["ids", "shares"])
 
-    rows = (labelled(docs, labels, label, train_on, size).select("doc_id", "label", f("text").alias("f"))
-            .select("doc_id", "label", "f.ids", "f.shares").toArrow().sort_by("doc_id"))
-    ids = [np.asarray(x.values, np.int64) for x in rows.column("ids")]
-    shares = [np.asarray(x.values, np.float32) for x in rows.column("shares")]
-    return train(ids, shares, rows.column("label").to_numpy())
+    def learn(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        ids = [np.asarray(x.values, np.int64) for x in rows.column("ids")]
+        shares = [np.asarray(x.values, np.float32) for x in rows.column("shares")]
+        m = train(ids, shares, rows.column("label").to_numpy())
+        return pa.table({"score": [m.score.tolist()], "bias": [m.bias]})
+
+    rows = labelled(docs, labels, label, train_on, size).select("doc_id", "label", f("text").alias("f"))
+    # at most ``size`` rows meet in one task, which learns; the driver gets BUCKETS + 2 numbers
+    got = rows.select(F.lit(0).alias("all"), "doc_id", "label", "f.ids", "f.shares").groupBy("all").applyInArrow(
+        learn, "score array<long>, bias double").first()
+    return Model(np.array(got["score"], np.int64), got["bias"]) if got else Model()
 
 
 def score(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:

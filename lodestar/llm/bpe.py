@@ -32,8 +32,9 @@ TOKENIZER = "word_bpe_49k.json"
 LEAF = 48
 #: texts with an unsplit run of this many characters have it encoded by several tasks, in parts of PART
 LONG, PART = 1 << 16, 1 << 14
-#: entries of the caches for recurring words (memory bound only: a full cache starts anew)
-CACHE = 1 << 18
+#: entries of the caches for recurring runs and pieces (memory bound only: a full cache starts anew)
+RUNS, PIECES = 1 << 20, 1 << 18
+NONE = 1 << 62  # above any rank
 #: fixed values: Unicode white space, and the tokenizer's piece pattern
 WHITE = "\t-\r \x85\xa0  -     　"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+"
@@ -56,10 +57,10 @@ class Encoder:
         self.end = spec["model"]["end_of_word_suffix"] or ""
         self.names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pairs = {}
+        self.pairs = {}  # two neighbours, packed into a number, to rank and merged token, packed likewise
         self.parts = {}  # token -> base symbols
         for rank, (a, b) in enumerate(merges):
-            self.pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.pairs[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
             self.parts.setdefault(vocab[a + b], (vocab[a], vocab[b]))
         # the byte alphabet: printable Latin-1 characters stand for themselves, the rest for 256, 257, ...
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -88,38 +89,42 @@ class Encoder:
 
     def merge(self, symbols: list[int]) -> list[int]:
         """Apply merges, lowest rank first and leftmost among equals."""
-        s, pairs = list(symbols), self.pairs
+        s = list(symbols)
         if len(s) > LEAF:
             return self._merge_many(s)
-        while len(s) > 1:
-            best, at = None, 0
-            for i in range(len(s) - 1):
-                p = pairs.get((s[i], s[i + 1]))
-                if p is not None and (best is None or p[0] < best[0]):
-                    best, at = p, i
-            if best is None:
+        get, none = self.pairs.get, NONE
+        ranks = [get(a << 32 | b, none) for a, b in zip(s, s[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            s[at:at + 2] = [best[1]]
+            i = ranks.index(best)
+            s[i] = best & 0xFFFFFFFF
+            del s[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(s[i - 1] << 32 | s[i], none)
+            if i < len(ranks):
+                ranks[i] = get(s[i] << 32 | s[i + 1], none)
         return s
 
     def _merge_many(self, s: list[int]) -> list[int]:
         """``merge`` with a heap of candidate pairs over a linked list."""
         pairs, n = self.pairs, len(s)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(p[0], i, s[i], s[i + 1], p[1]) for i in range(n - 1) if (p := pairs.get((s[i], s[i + 1]))) is not None]
+        heap = [(p, i, s[i], s[i + 1]) for i in range(n - 1) if (p := pairs.get(s[i] << 32 | s[i + 1])) is not None]
         heapify(heap)
         while heap:
-            _, i, x, y, new = heappop(heap)
+            p, i, x, y = heappop(heap)
             j = after[i]
             if s[i] != x or j < 0 or s[j] != y:
                 continue  # one of the two has been merged meanwhile
-            s[i], s[j] = new, -1
+            s[i], s[j] = p & 0xFFFFFFFF, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := pairs.get((s[a], s[b]))) is not None:
-                    heappush(heap, (p[0], a, s[a], s[b], p[1]))
+                if a >= 0 and b >= 0 and (p := pairs.get(s[a] << 32 | s[b])) is not None:
+                    heappush(heap, (p, a, s[a], s[b]))
         return [x for x in s if x >= 0]
 
     def join(self, a: list[int], b: list[int]) -> list[int]:
@@ -148,7 +153,7 @@ class Encoder:
 
     def symbols(self, text: str, final: bool = True) -> list[int]:
         raw = text.encode()
-        out = [self.symbol[b] for b in raw]
+        out = list(map(self.symbol.__getitem__, raw))
         if final and raw:
             out[-1] = self.last[raw[-1]]
         return out
@@ -158,7 +163,7 @@ class Encoder:
         if got is None:
             got = self.tree(self.symbols(piece))
             if len(piece) <= LEAF:
-                if len(self.pieces) >= CACHE:
+                if len(self.pieces) >= PIECES:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got
@@ -168,7 +173,7 @@ class Encoder:
         ids = [i for p in self.piece.findall(chunk) for i in self.word(p)]
         got = (np.array(ids, np.int32).tobytes(), " ".join(map(self.names.__getitem__, ids)))
         if len(chunk) <= LEAF:
-            if len(self.chunks) >= CACHE:
+            if len(self.chunks) >= RUNS:
                 self.chunks.clear()
             self.chunks[chunk] = got
         return got

@@ -75,6 +75,6 @@ def pre_post_breakdown(df: DataFrame, by: str, date_col: str, cut: str) -> DataF
 
 
 def seeded_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """Deterministic sample of n rows: the n smallest ``xxhash64(keys, seed)``."""
-    h = F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    """Deterministic sample of n rows: the n smallest MD5 values of the keys and the seed."""
+    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))).cast("binary"))
     return df.select("*", h.alias("_h")).orderBy("_h", *keys).limit(n).drop("_h")

@@ -106,6 +106,8 @@ def one_hot_drop_first(df: DataFrame, c: str, lvls: Sequence[str] | None = None,
         if lv == ref:
             continue
         n = f"{prefix}_{re.sub(r'[^0-9A-Za-z_]', '_', str(lv))}"
+        while n in names or n in df.columns:  # two levels may differ in odd characters only
+            n += "_"
         names.append(n)
         cols.append(F.coalesce((F.col(c).cast("string") == F.lit(str(lv))).cast("int"), F.lit(0)).alias(n))
     return df.select("*", *cols), names

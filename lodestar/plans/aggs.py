@@ -252,9 +252,10 @@ def q_union_common(spark, sf):
     return frames.union_common(a, b).groupBy("institution", "activity_year").agg(_cnt())
 
 
-@register("seeded_sample", section="O")
+@register("seeded_sample", section="O", sql="""
+SELECT doc_id, source, n_chars FROM documents ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '42')), doc_id LIMIT 50""")
 def q_seeded_sample(spark, sf):
-    """Deterministic n-row sample: smallest xxhash64(key, seed); a TakeOrdered, no global sort."""
+    """Deterministic n-row sample: smallest MD5 of key and seed; a TakeOrdered, no global sort."""
     docs = C.read(spark, sf, "documents", "doc_id", "source", "n_chars")
     return A.seeded_sample(docs, ["doc_id"], 50, seed=42)
 

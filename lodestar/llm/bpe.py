@@ -33,7 +33,7 @@ LEAF = 48
 #: texts with an unsplit run of this many characters have it encoded by several tasks, in parts of PART
 LONG, PART = 1 << 16, 1 << 14
 #: entries of the caches for recurring runs and pieces (memory bound only: a full cache starts anew)
-RUNS, PIECES = 1 << 20, 1 << 18
+RUNS, PIECES = 1 << 18, 1 << 18
 NONE = 1 << 62  # above any rank
 #: fixed values: Unicode white space, and the tokenizer's piece pattern
 WHITE = "\t-\r \x85\xa0  -     　"

@@ -16,9 +16,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -33,7 +33,7 @@ LEAF = 48
 #: texts with an unsplit run of this many characters have it encoded by several tasks, in parts of PART
 LONG, PART = 1 << 16, 1 << 14
 #: entries of the caches for recurring runs and pieces (memory bound only: a full cache starts anew)
-RUNS, PIECES = 1 << 18, 1 << 18
+RUNS, PIECES = 1 << 18, 1 << 16
 NONE = 1 << 62  # above any rank
 #: fixed values: Unicode white space, and the tokenizer's piece pattern
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -55,7 +55,8 @@ class Encoder:
         spec = json.load(open(path, encoding="utf-8"))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.end = spec["model"]["end_of_word_suffix"] or ""
-        self.names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        names = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pairs = {}  # two neighbours, packed into a number, to rank and merged token, packed likewise
         self.parts = {}  # token -> base symbols
@@ -72,7 +73,7 @@ class Encoder:
         self.separator = re.compile(f"[{WHITE}]+")
         self.odd = re.compile("[\x1c-\x1f]")  # str.split() would split at these too
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
-        self.chunks: dict[str, tuple] = {}
+        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, list] = {}
 
     def base(self, token: int) -> list[int]:
@@ -168,10 +169,9 @@ class Encoder:
                 self.pieces[piece] = got
         return got
 
-    def chunk(self, chunk: str) -> tuple[bytes, str]:
-        """Ids (32-bit, as bytes) and decoded text of a run without white space."""
-        ids = [i for p in self.piece.findall(chunk) for i in self.word(p)]
-        got = (np.array(ids, np.int32).tobytes(), " ".join(map(self.names.__getitem__, ids)))
+    def chunk(self, chunk: str) -> bytes:
+        """Ids (32-bit, as bytes) of a run without white space."""
+        got = array("i", [i for p in self.piece.findall(chunk) for i in self.word(p)]).tobytes()
         if len(chunk) <= LEAF:
             if len(self.chunks) >= RUNS:
                 self.chunks.clear()
@@ -198,10 +198,15 @@ class Encoder:
         known, got = self.chunks.get, []
         for part in self.runs(text):
             if isinstance(part, int):
-                got.append((np.int32(part).tobytes(), self.names[part]))
+                got.append(np.int32(part).tobytes())
             else:
                 got += [known(x) or self.chunk(x) for x in part]
-        return np.frombuffer(b"".join(map(itemgetter(0), got)), np.int32), " ".join(map(itemgetter(1), got))
+        ids = np.frombuffer(b"".join(got), np.int32)
+        return ids, self.decode(ids.tolist())
+
+    def decode(self, ids: list[int]) -> str:
+        """Tokens' names joined by spaces (the vocabulary file has no decoder of its own)."""
+        return " ".join(map(self.names.__getitem__, ids))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -309,7 +314,7 @@ def _encode_long(rows: DataFrame, doc_type: str, path: str | None) -> DataFrame:
             while len(level) > 1:
                 level = [e.join(*level[k:k + 2]) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
             ids += level[0]
-        return pd.DataFrame({"k": [key[0]], "ids": [ids], "decoded": [" ".join(map(e.names.__getitem__, ids))]})
+        return pd.DataFrame({"k": [key[0]], "ids": [ids], "decoded": [e.decode(ids)]})
 
     pieces = keyed.select("key", "text").mapInPandas(cut, "key string, unit int, part int, whole boolean, final boolean, text string")
     encoded = pieces.repartition(F.xxhash64("key", "unit", "part") % F.lit(4096)).mapInPandas(

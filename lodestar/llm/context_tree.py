@@ -8,11 +8,16 @@ probability mixes its own estimate with the product of its children's, half
 and half, over all depths.
 
 The counts are those of all (DEPTH + 1)-byte sequences of all training texts,
-added up in Spark. The tree keeps the most frequent contexts, CONTEXTS at most
-(each one's shorter contexts are at least as frequent, so they are kept too); the
-positions of a kept context whose longer context is not kept form one more
-child of it. Mixing over this tree gives, for each kept context, the
-probability of each next byte: a table of bounded size that scores every text.
+added up in Spark, and every counted context is a node: ``score`` keeps the tree
+as a table of sequences, dealt out by the latest SPLIT bytes of context. Each
+part weighs the subtrees it holds and sends the weights of their roots up; the
+levels above (contexts of fewer than SPLIT bytes, so bounded by the alphabet) are
+weighed once and handed back to the parts, which work out the log probability
+of each sequence that occurs in any text. Texts meet these by chunk: a chunk
+asks for its distinct sequences once.
+
+``fit`` holds a tree in memory instead, of the most frequent contexts only; with
+room for all of them it equals the table.
 """
 
 from __future__ import annotations
@@ -22,13 +27,21 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodestar.llm.common import most_frequent, remove, written
 
-#: bytes of context; contexts kept (the model has 256 numbers for each, and one for the empty context)
+#: bytes of context; contexts that ``fit`` holds (256 numbers for each, and one for the empty context)
 DEPTH, CONTEXTS = 5, 40_000
+#: bytes of context by which the tree is dealt out; distinct sequences in a part, roughly
+SPLIT, PART = 3, 1 << 16
+#: bytes of text in a chunk
+CHUNK = 1 << 24
+#: scale of the whole numbers in which weights are added up over parts (in any order alike)
+FIXED = 1 << 20
 #: words whose counts every task holds; rarer ones are looked up by a join
 FREQUENT = 50_000
 END, END_WORD = b"\n", "\n"
@@ -54,6 +67,13 @@ def codes(raw: bytes, depth: int = DEPTH) -> np.ndarray:
     return out
 
 
+def sliced(raw: bytes, depth: int = DEPTH):
+    """``codes`` of a text, SLICE bytes at a time."""
+    for lo in range(0, len(raw), SLICE):
+        # a slice of a long text brings its context along
+        yield codes(raw[max(0, lo - depth):lo + SLICE], depth)[min(lo, depth):]
+
+
 def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(gram, n) over all texts: summed in bounded memory by each task, then by Spark."""
     def count(batches):
@@ -66,9 +86,7 @@ def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             texts = b.column(0).to_pylist()
             for i, t in enumerate(texts):
                 _, raw = stream(t)
-                for lo in range(0, len(raw), SLICE):
-                    # a slice of a long text brings its context along
-                    part = codes(raw[max(0, lo - depth):lo + SLICE], depth)[min(lo, depth):]
+                for part in sliced(raw, depth):
                     todo.append(part)
                     size += len(part)
                 if size >= SLICE or i == len(texts) - 1:
@@ -244,6 +262,157 @@ def fit(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Tree:
     return build(kept, at, byte, n, root, depth)
 
 
+# ---- the whole tree, as a table
+
+def _nullable(t: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed at all depths, as a schema read from its string has it."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in t])
+    if pa.types.is_map(t):
+        return pa.map_(t.key_type, _nullable(t.item_type))
+    return pa.list_(_nullable(t.value_type)) if pa.types.is_list(t) else t
+
+
+def _chunks(batches):
+    """One row for each chunk: its rows as compressed Arrow batches."""
+    task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+    def packed():
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            for b in held:
+                w.write_batch(b)
+        return pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()),
+                                           pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= CHUNK:
+            yield packed()
+            k, held, size = k + 1, [], 0
+    if held:
+        yield packed()
+
+
+def _asked(depth: int):
+    """Distinct sequences of each chunk, with their counts in its training texts."""
+    def summed(keys: list, n: list) -> tuple[np.ndarray, np.ndarray]:
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        return k, np.bincount(at, np.concatenate(n), len(k)).astype(np.int64)
+
+    def ask(batches):
+        for rows in batches:
+            for chunk, blob in zip(rows.column("chunk").to_pylist(), rows.column("rows")):
+                keys, n, todo, size = [], [], {True: [], False: []}, 0
+
+                def count():
+                    for train, parts in todo.items():
+                        if parts:
+                            k, c = np.unique(np.concatenate(parts), return_counts=True)
+                            keys.append(k)
+                            n.append(c if train else np.zeros(len(k), np.int64))
+                            parts.clear()
+                for b in pa.ipc.open_stream(blob.as_buffer()):
+                    for t, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist()):
+                        for part in sliced(stream(t)[1], depth):
+                            todo[train].append(part)
+                            size += len(part)
+                            if size >= SLICE:
+                                count()
+                                size = 0
+                count()
+                k, c = summed(keys, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int64)), pa.array(k), pa.array(c)],
+                                                 ["chunk", "gram", "n"])
+    return ask
+
+
+def _at(gram: np.ndarray, depth: int) -> np.ndarray:
+    """Numbers of the eight bit nodes on the way to each sequence's byte: the last ``depth``
+    bytes of context, and in the low byte a one before the bits so far."""
+    k = np.arange(8)
+    bits = 1 << k | (gram & 255)[:, None] >> 8 - k
+    return ((gram >> 8 & (1 << 8 * depth) - 1) << 8)[:, None] | bits
+
+
+def _ones(gram: np.ndarray) -> np.ndarray:
+    """The eight bits of each sequence's byte."""
+    return (gram & 255)[:, None] >> 7 - np.arange(8) & 1
+
+
+def _climb(d: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, low: int):
+    """Levels ``low`` to ``d``, each as (bit nodes, probability of a one, share of the own estimate), and what
+    the level above them starts with. ``below``: the children's log weights, None at the deepest level."""
+    levels = []
+    while True:
+        zeros, ones = zeros.astype(np.float64), ones.astype(np.float64)
+        own = _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1) - math.log(math.pi)
+        weight = own if below is None else math.log(0.5) + np.logaddexp(own, below)
+        stop = np.ones(len(key)) if below is None else np.exp(math.log(0.5) + own - weight)
+        levels.insert(0, (key, (ones + 0.5) / (zeros + ones + 1), stop))
+        if not d:
+            return levels, None
+        key, up = np.unique(key & (1 << 8 * d) - 1, return_inverse=True)
+        zeros, ones, below = (np.bincount(up, x, len(key)) for x in (zeros, ones, weight))
+        d -= 1
+        if d < low:
+            return levels, (key, zeros, ones, below)
+
+
+def _subtrees(gram: np.ndarray, n: np.ndarray, depth: int, low: int):
+    """``_climb`` from the sequences counted."""
+    seen = n > 0
+    gram, n = gram[seen], n[seen].astype(np.float64)
+    key, at = np.unique(_at(gram, depth).ravel(), return_inverse=True)
+    bits, n = _ones(gram).ravel(), np.repeat(n, 8)
+    return _climb(depth, key, np.bincount(at, n * (1 - bits), len(key)), np.bincount(at, n * bits, len(key)), None, low)
+
+
+def _log10(gram: np.ndarray, levels: list) -> np.ndarray:
+    """log10 probability of each sequence's byte after its context. Below the deepest
+    counted node nothing is counted, and a bit has probability one half."""
+    mix, left = np.zeros(8 * len(gram)), np.ones(8 * len(gram))
+    for d, (key, p, stop) in enumerate(levels):
+        if not len(key):
+            break
+        want = _at(gram, d).ravel()
+        i = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        found = key[i] == want
+        mix += np.where(found, left * stop[i] * p[i], 0)
+        left *= np.where(found, 1 - stop[i], 1)
+    one = np.clip(mix + left / 2, 1e-9, 1 - 1e-9).reshape(-1, 8)
+    return np.log10(np.where(_ones(gram) == 1, one, 1 - one)).sum(axis=1)
+
+
+def gram_logs(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(gram, log): log10 probability of the last byte of each sequence of ``grams`` (gram, n)
+    under the tree of all contexts counted there (n of 0: only asked for)."""
+    spark, low = grams.sparkSession, min(SPLIT, depth)
+    parts = grams.count() // PART + 1
+    root = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * low) - 1).cast("long"))
+    dealt = grams.select("gram", "n", F.pmod(F.xxhash64(root), F.lit(parts)).alias("part"))
+
+    def up(rows: pa.Table) -> pa.Table:
+        _, (key, zeros, ones, below) = _subtrees(rows["gram"].to_numpy(), rows["n"].to_numpy(), depth, low)
+        return pa.table({"key": key, "zeros": zeros.astype(np.int64), "ones": ones.astype(np.int64),
+                         "below": np.rint(below * FIXED).astype(np.int64)})
+
+    # contexts of fewer than SPLIT bytes
+    top = dealt.where("n > 0").groupBy("part").applyInArrow(up, "key long, zeros long, ones long, below long")
+    top = top.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow().sort_by("key")
+    key, zeros, ones, below = (top.column(c).to_numpy() for c in ("key", "zeros", "ones", "below"))
+    upper, _ = _climb(low - 1, key, zeros, ones, below / FIXED, 0)
+    shared = spark.sparkContext.broadcast(upper)
+
+    def down(rows: pa.Table) -> pa.Table:
+        gram = rows["gram"].to_numpy()
+        levels, _ = _subtrees(gram, rows["n"].to_numpy(), depth, low)
+        return pa.table({"gram": gram, "log": _log10(gram, shared.value + levels).astype(np.float32)})
+
+    return dealt.groupBy("part").applyInArrow(down, "gram long, log float")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over all texts, each with one end token."""
     def count(batches):
@@ -267,7 +436,7 @@ def _word_rows(c: Counter) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, depth: int = DEPTH,
-          contexts: int = CONTEXTS, frequent: int = FREQUENT) -> DataFrame:
+          frequent: int = FREQUENT) -> DataFrame:
     """Rows of ``docs`` as struct ``doc`` (``columns``, or all) with n_tokens, n_known,
     train_tokens, base_score, score, n_bytes and bits_per_byte.
 
@@ -278,42 +447,49 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
     """
     spark = docs.sparkSession
     train = docs.where(F.coalesce(train_on, F.lit(True)))
-    tree = fit(train, depth, contexts)
     vocabulary = written(word_counts(train), "lm-words")
     size = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, distinct = size["n"] or 0, size["v"]
     top = most_frequent(vocabulary, "c", frequent).select("word", "c").toArrow()
     common = {w.encode(): math.log10(c + 1) for w, c in zip(top["word"].to_pylist(), top["c"].to_pylist())}
-    shared = spark.sparkContext.broadcast((tree, common))  # bounded by ``contexts`` and ``frequent``
+    shared = spark.sparkContext.broadcast(common)  # bounded by ``frequent``
     columns = columns or docs.columns
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("doc"), docs["text"].alias("text"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("doc"), docs["text"].alias("text"),
+                       F.coalesce(train_on, F.lit(True)).alias("train"))
+    chunks = written(rows.mapInArrow(_chunks, "chunk long, rows binary"), "lm-chunks")
+    asked = written(chunks.mapInArrow(_asked(depth), "chunk long, gram long, n long"), "lm-asked")
+    grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
+    logs = written(gram_logs(grams, depth), "lm-logs")
+    told = asked.select("chunk", "gram").join(logs, "gram")
     schema = (f"doc {rows.schema['doc'].dataType.simpleString()}, n_tokens long, known long, part double, score double, "
               "n_bytes long, rare array<struct<word:string,times:long>>")
 
-    def measure(batches):
-        tree, common = shared.value
-        get = common.get
-        for b in batches:
-            out = []
+    def measure(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        get, out = shared.value.get, []
+        place, logs = pd.Index(told["gram"].to_numpy()), told["log"].to_numpy()
+        for b in pa.ipc.open_stream(chunk["rows"][0].as_buffer()):
+            rows = []
             for t in b.column("text").to_pylist():
                 words, raw = stream(t)
                 words.append(END)
-                logs = [get(w, 0.0) for w in words]
-                rare = Counter(w for w, x in zip(words, logs) if not x)
-                part = math.fsum(logs)
-                out.append((len(words), len(words) - sum(rare.values()), part, tree.log10(raw), len(raw),
-                            [{"word": w.decode(), "times": k} for w, k in rare.items()]))
-            cols = list(zip(*out)) if out else [[]] * 6
+                known = [get(w, 0.0) for w in words]
+                rare = Counter(w for w, x in zip(words, known) if not x)
+                total = math.fsum(float(logs[place.get_indexer(c)].sum(dtype=np.float64)) for c in sliced(raw, depth))
+                rows.append((len(words), len(words) - sum(rare.values()), math.fsum(known), total, len(raw),
+                             [{"word": w.decode(), "times": k} for w, k in rare.items()]))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
                      pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                                             ["doc", "n_tokens", "known", "part", "score", "n_bytes", "rare"])
+            doc = b.column("doc")
+            out.append(pa.RecordBatch.from_arrays([doc.cast(_nullable(doc.type)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))],
+                                                  ["doc", "n_tokens", "known", "part", "score", "n_bytes", "rare"]))
+        return pa.Table.from_batches(out)
 
-    measured = written(rows.mapInArrow(measure, schema), "lm-measured")
+    measured = written(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(measure, schema), "lm-measured")
+    remove(spark, chunks, asked, grams, logs)
     at = measured.select("*", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     # words beyond the frequent ones: a join on words that are rare in training
-    asked = at.select("file", "row", F.explode("rare").alias("r")).select("file", "row", "r.word", "r.times")
-    found = asked.join(vocabulary, "word").groupBy("file", "row").agg(
+    wanted = at.select("file", "row", F.explode("rare").alias("r")).select("file", "row", "r.word", "r.times")
+    found = wanted.join(vocabulary, "word").groupBy("file", "row").agg(
         F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("extra"))
     found = written(found.withColumnsRenamed({"file": "f", "row": "r"}), "lm-rare")
     all_ = at.join(found, (F.col("file") == F.col("f")) & (F.col("row") == F.col("r")), "left")

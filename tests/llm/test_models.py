@@ -180,6 +180,35 @@ def test_tree_equals_the_definition(spark, depth, contexts):
         assert tree.log10(raw) == pytest.approx(ref(raw), rel=1e-4)
 
 
+def test_scores_mix_over_all_counted_contexts(spark, monkeypatch):
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=4000)) for _ in range(10)] + ["", None, "zzz Ünseen 123"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = F.col("doc_id") != 12
+    seen = set()
+    for t in texts[:12]:
+        c = C.codes(C.stream(t)[1]) >> 8
+        seen |= {(k, x) for k in range(1, 6) for x in (c & ((1 << 8 * k) - 1)).tolist()}
+    assert len(seen) > C.CONTEXTS
+    tree = C.fit(d.where(train), contexts=1 << 20)
+    for chunk, part in [(C.CHUNK, C.PART), (5000, 3000)]:
+        monkeypatch.setattr(C, "CHUNK", chunk)
+        monkeypatch.setattr(C, "PART", part)
+        for x in C.score(d, train).collect():
+            assert x["score"] == pytest.approx(tree.log10(C.stream(x["doc"]["text"])[1]), rel=1e-5)
+
+
+@pytest.mark.parametrize("depth", [1, 2, 3, 4])
+def test_table_of_the_tree_equals_the_definition(spark, depth):
+    texts = ["abra cad", "abba", "", None, "cab a"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "zzz", "cad abba"])], "doc_id long, text string")
+    raws = [C.stream(t)[1] for t in texts]
+    kept = {(C.END * depth + raw)[i - k:i] for raw in raws for i in range(depth, depth + len(raw)) for k in range(1, depth + 1)}
+    ref = naive(kept, raws, depth)
+    for x in C.score(d, F.col("doc_id") < 5, depth=depth).collect():
+        assert x["score"] == pytest.approx(ref(C.stream(x["doc"]["text"])[1]), rel=1e-5)
+
+
 def test_bytes_probabilities_add_up_and_slices_agree(spark, docs, monkeypatch):
     tree = C.fit(docs)
     assert np.allclose((10 ** tree.logs.reshape(-1, 256).astype(float)).sum(axis=1), 1, atol=1e-4)

@@ -29,6 +29,8 @@ CONTEXT = re.compile(r"""(?<![a-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret
                      r"""\x20*(?:bearer\x20+|basic\x20+)?["']?([!-&(-~]{6,})""", re.I | re.A)
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "key", "auth", "credential", "bearer")
+#: a value's characters behind a credential word, and those that close a phrase
+VALUE, CLOSING = re.compile(r"[!-&(-~]+"), "\"'.,;:)]}>"
 #: a value that takes 10 ** THRESHOLD guesses or more is a finding
 THRESHOLD = 10.0
 #: corpus words in the guesser's dictionary: bounds what is broadcast
@@ -125,6 +127,16 @@ def guess_cost(value: str, dictionary: dict[str, float]) -> float:
     return best[n]
 
 
+def _value_end(text: str, start: int, end: int) -> int:
+    """End of the whole value whose part up to ``end`` the base pattern takes; a quoted one ends at its quote."""
+    whole = VALUE.match(text, start).end()
+    if start and text[start - 1] == '"' and (quote := text.find('"', start, whole)) >= 0:
+        whole = quote
+    while whole > end and text[whole - 1] in CLOSING:
+        whole -= 1
+    return whole
+
+
 def scan(text: str | None, dictionary: dict[str, float], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     """(start, kind's place in KINDS, end) of all findings in a whole text, in their order."""
     text = text or ""
@@ -135,17 +147,19 @@ def scan(text: str | None, dictionary: dict[str, float], threshold: float = THRE
         for m in ASSIGN.finditer(text):
             if len(m.group(2)) >= 6:
                 out.add((m.start(), 0, m.end()))
-                values.add(m.span(2))
+                values.add((m.start(2), _value_end(text, *m.span(2))))
     if "AKIA" in text:
         out |= {(m.start(), 1, m.end()) for m in ACCESS.finditer(text)}
     out |= {(m.start(), 2, m.end()) for m in HEX.finditer(text)}
     if any(h in low for h in CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
-            while e > s and text[e - 1] in "\"'.,;:)]}>":
+            while e > s and text[e - 1] in CLOSING:
                 e -= 1
-            if e - s >= 6 and not any(s < b and a < e for a, b in values):
-                values.add((s, e))
+            if e - s >= 6:
+                met = {(a, b) for a, b in values if s < b and a < e}
+                if all(s < a and b <= e for a, b in met):  # the longest value is judged
+                    values = values - met | {(s, e)}
     out |= {(s, 3, e) for s, e in values if guess_cost(text[s:e], dictionary) >= threshold}
     return sorted(out)
 

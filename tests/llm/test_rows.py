@@ -57,6 +57,18 @@ def test_added_spans_only_for_costly_values():
     assert [k for _, k, _ in found] == [3]
 
 
+@pytest.mark.parametrize("word", ["password", "passwd", "secret", "token", "api_key", "dbpassword", "pwd"])
+def test_values_with_special_characters_are_judged_whole(word):
+    d, v = S.ranks(["summer"]), "Summer2023!kX#9vQ$zL"
+    for t in (f"{word}: {v}", f'{word}="{v}", "user": 1', f"so {word}: {v}."):
+        if word == "pwd" and "user" in t:
+            continue
+        guesses = [t[s:e] for s, k, e in S.scan(t, d) if k == 3]
+        assert guesses == [v], t
+        assert [x for x in S.scan(t, d) if x[1] < 3] == base_spans(t)
+    assert not [x for x in S.scan(f'"{word}":"Summer2023"', d) if x[1] == 3]
+
+
 def test_find_secrets_on_odd_rows(spark, docs, no_docs):
     got = S.find_secrets(docs)
     assert got.columns == ["doc", "found"] and got.count() == docs.count()

@@ -302,7 +302,9 @@ def _encode_long(rows: DataFrame, doc_type: str, path: str | None) -> DataFrame:
             ids = []
             for whole, final, t in zip(b["whole"], b["final"], b["text"]):
                 if whole:
-                    ids.append([e.special[t]] if not final else e.encode(t)[0].tolist())
+                    # plain runs are normalised already, and free of special tokens
+                    ids.append([e.special[t]] if not final else np.frombuffer(
+                        b"".join(e.chunks.get(x) or e.chunk(x) for x in t.split(" ") if x), np.int32).tolist())
                 else:
                     ids.append(e.tree(e.symbols(t, final)))
             yield b.assign(ids=ids)[["key", "unit", "part", "ids"]]

@@ -162,3 +162,13 @@ def test_long_texts_are_spread(spark, docs, no_docs, texts, library, monkeypatch
     for r in got.collect():
         assert (r["ids"], r["decoded"]) == library(r["doc"]["text"])
     assert bpe.encode(no_docs).count() == 0
+
+
+def test_mixed_case_special_strings_in_long_texts_are_plain(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG", 200)
+    monkeypatch.setattr(bpe, "PART", 64)
+    text = "<|ENDOFTEXT|> a<|StartOfText|>b <|endoftext|> İ \x1c " + "x" * 250 + " <|EndOfText|>"
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert d.where(bpe._unsplit(F.col("text"))).count() == 1
+    got = bpe.encode(d).first()
+    assert (got["ids"], got["decoded"]) == library(text)

@@ -35,7 +35,9 @@ VALUE, CLOSING = re.compile(r"[!-&(-~]+"), "\"'.,;:)]}>"
 THRESHOLD = 10.0
 #: corpus words in the guesser's dictionary: bounds what is broadcast
 DICTIONARY = 20_000
-LONGEST_WORD, LONGEST_SPAN = 20, 32
+LONGEST_WORD = 20
+#: walks up to this long may also end before their last character
+SHORT_WALK = 32
 #: fixed values: passwords that guessers try first
 COMMON = ("password 123456 12345678 qwerty abc123 letmein monkey dragon iloveyou trustno1 sunshine master welcome shadow "
           "ashley football jesus michael ninja mustang password1 admin login passw0rd starwars hello freedom whatever "
@@ -84,6 +86,18 @@ def spans(value: str, dictionary: dict[str, float]):
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
+    same = []  # for each period: how far from each place characters equal those one period on
+    for period in range(1, 9):
+        run = [0] * (n + 1)
+        for i in range(n - period - 1, -1, -1):
+            run[i] = run[i + 1] + 1 if value[i] == value[i + period] else 0
+        same.append(run)
+    walk, turns = list(range(n)), [0] * (n + 1)  # the walk's last place from each place; turns up to each place
+    for i in range(n - 2, -1, -1):
+        if low[i:i + 2] in NEAR:
+            walk[i] = walk[i + 1]
+    for j in range(2, n):
+        turns[j] = turns[j - 1] + ((low[j] > low[j - 1]) != (low[j - 1] > low[j - 2]))
     for i in range(n):
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             w = low[i:j]
@@ -95,22 +109,14 @@ def spans(value: str, dictionary: dict[str, float]):
         m = DATE.match(value, i)
         if m:
             yield i, m.end(), YEARS if m.end() - i == 4 else DAYS + math.log10(4) * bool(m.group(1) or m.group(2)), "date"
-        for period in range(1, 9):
-            j = i
-            while j + period < n and j - i < LONGEST_SPAN and value[j] == value[j + period]:
-                j += 1
-            times = (j - i) // period + 1
+        for period, run in enumerate(same, 1):
+            times = run[i] // period + 1
             if times > 1 and times * period >= 3:
                 yield i, i + times * period, sum(map(brute, value[i:i + period])) + math.log10(times), "repeat"
-        turns, step = 0, None
-        for j in range(i + 1, min(n, i + LONGEST_SPAN)):
-            if low[j - 1:j + 1] not in NEAR:
-                break
-            now = ord(low[j]) - ord(low[j - 1])
-            turns += step is not None and (now > 0) != (step > 0)
-            step = now
-            if j - i >= 2:
-                yield i, j + 1, math.log10(47) + turns * math.log10(4) + math.log10(j - i + 1), "walk"
+        end = walk[i]
+        # all short walks, and the whole of a long one
+        for j in [*range(i + 2, min(end, i + SHORT_WALK - 1) + 1), *([end] if end > i + SHORT_WALK - 1 else [])]:
+            yield i, j + 1, math.log10(47) + (turns[j] - turns[i + 1]) * math.log10(4) + math.log10(j - i + 1), "walk"
 
 
 def guess_cost(value: str, dictionary: dict[str, float]) -> float:

@@ -69,6 +69,17 @@ def test_values_with_special_characters_are_judged_whole(word):
     assert not [x for x in S.scan(f'"{word}":"Summer2023"', d) if x[1] == 3]
 
 
+@pytest.mark.parametrize("filler", ["x" * 100, "=" * 5000, "abc" * 40, "qw" * 80, "asdf" * 200])
+def test_long_fillers_are_one_segment(filler):
+    assert S.guess_cost(filler, S.ranks([])) < S.THRESHOLD
+    assert len(list(S.spans("x" * 3000, {}))) < 3000 * 10
+
+
+def test_long_walks_are_one_segment():
+    v = "abcdefghijklmnopqrstuvwxyzyxwvutsrqponmlkjihgfedcba"
+    assert (0, len(v), pytest.approx(math.log10(47) + math.log10(4) + math.log10(len(v))), "walk") in list(S.spans(v, {}))
+
+
 def test_find_secrets_on_odd_rows(spark, docs, no_docs):
     got = S.find_secrets(docs)
     assert got.columns == ["doc", "found"] and got.count() == docs.count()

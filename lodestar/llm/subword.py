@@ -21,9 +21,11 @@ from pyspark.sql.functions import pandas_udf
 
 from lodestar.llm.common import sampled
 
-BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4)
+BUCKETS, DIM, GRAMS = 1 << 17, 12, (3, 4, 5)
 #: labelled rows that the fit takes at most (by hash of the id)
-SAMPLE = 2500
+SAMPLE = 4000
+#: bytes of feature rows that learning holds; those beyond are worked out again when their turn comes
+HELD = 1 << 26
 EPOCHS, RATE, SEED = 5, 0.5, 7
 #: bytes that are hashed at once; longer texts are read in overlapping slices
 SLICE = 1 << 21
@@ -121,7 +123,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def train(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray) -> Model:
+class Counted:
+    """``counted`` of each text by its place, in memory up to HELD bytes."""
+
+    def __init__(self, texts):
+        self.texts, self.held, self.size = texts, {}, 0
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        got = self.held.get(k)
+        if got is None:
+            got = counted(self.texts[k].as_py())
+            size = got[0].nbytes + got[1].nbytes
+            if self.size + size <= HELD:
+                self.held[k] = got
+                self.size += size
+        return got
+
+
+def train(rows: Counted, labels: np.ndarray) -> Model:
     """Fit vectors and softmax by stochastic gradient descent, one document at a time."""
     rng = np.random.default_rng(SEED)
     y = np.asarray(labels, np.int64)
@@ -136,11 +155,11 @@ def train(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray) -
         for k in rng.permutation(len(y)):
             rate = RATE * (1 - done / steps)
             done += 1
-            i, s = ids[k], shares[k]
+            i, s = rows[k]
             if not len(i):
                 continue
-            rows = vec[i]
-            doc = s @ rows
+            own = vec[i]
+            doc = s @ own
             z = out @ doc + bias
             p = np.exp(z - z.max())
             p /= p.sum()
@@ -149,7 +168,7 @@ def train(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray) -
             out -= rate * np.outer(p, doc)
             bias -= rate * 0.1 * p
             # a document's features share its step; scaled so that rare shares still learn
-            vec[i] = rows - (rate * len(i) ** 0.5) * s[:, None] * back[None, :]
+            vec[i] = own - (rate * len(i) ** 0.5) * s[:, None] * back[None, :]
     model.score = np.rint((vec @ (out[1] - out[0])).astype(np.float64) * FIXED).astype(np.int64)
     model.bias = float(bias[1] - bias[0])
     return model
@@ -167,19 +186,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, s
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, train_on: Column, size: int = SAMPLE) -> Model:
     """A model learned from at most ``size`` labelled rows that fulfil ``train_on``."""
-    @pandas_udf("ids array<int>, shares array<float>")
-    def f(t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([counted(x) for x in t], columns=["ids", "shares"])
-
     def learn(rows: pa.Table) -> pa.Table:
-        order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable").tolist()
-        ids, shares, label = rows.column("ids"), rows.column("shares"), rows.column("label").to_numpy()
-        m = train([ids[k].values.to_numpy() for k in order], [shares[k].values.to_numpy() for k in order], label[order])
+        rows = rows.sort_by("doc_id")
+        m = train(Counted(rows.column("text")), rows.column("label").to_numpy())
         return pa.table({"score": [m.score.tolist()], "bias": [m.bias]})
 
-    rows = labelled(docs, labels, label, train_on, size).select("doc_id", "label", f("text").alias("f"))
-    # at most ``size`` rows meet in one task, which learns; the driver gets BUCKETS + 2 numbers
-    got = rows.select(F.lit(0).alias("all"), "doc_id", "label", "f.ids", "f.shares").groupBy("all").applyInArrow(
+    rows = labelled(docs, labels, label, train_on, size)
+    # at most ``size`` texts meet in one task, which learns; the driver gets BUCKETS + 2 numbers
+    got = rows.select(F.lit(0).alias("all"), "doc_id", "label", "text").groupBy("all").applyInArrow(
         learn, "score array<long>, bias double").first()
     return Model(np.array(got["score"], np.int64), got["bias"]) if got else Model()
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,17 @@ def test_quality_of_odd_rows(docs, no_docs, labelled):
     subword.fit(docs, odd, "quality", F.lit(True))
 
 
+def test_five_grams_count_and_features_need_not_be_held(monkeypatch):
+    assert subword.SAMPLE >= 4000
+    assert sum(len(x) for x in subword.features(np.frombuffer(b"abcdefgh", np.uint8), 8)) == 6 + 5 + 4 + 1
+    texts = pa.chunked_array([pa.array(["good text here", None, "bad words there", ""] * 5)])
+    labels = np.array([1, 0, 0, 1] * 5)
+    a = subword.train(subword.Counted(texts), labels)
+    monkeypatch.setattr(subword, "HELD", 100)
+    b = subword.train(subword.Counted(texts), labels)
+    assert a.bias == b.bias and (a.score == b.score).all() and a.score.any()
+
+
 # ---- toxicity
 
 def classes(g, text):

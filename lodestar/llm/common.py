@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestar.session import checkpoint_dir, prepare
@@ -97,3 +99,44 @@ def ascii_lower(c: Column) -> Column:
 def fold(doc_id: Column, mod: int, rest: int) -> Column:
     """crc32 of the id as text modulo ``mod`` equals ``rest`` (a null id: no)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
+
+
+def nullable(t: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed at all depths, as a schema read from its string has it."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in t])
+    if pa.types.is_map(t):
+        return pa.map_(t.key_type, nullable(t.item_type))
+    return pa.list_(nullable(t.value_type)) if pa.types.is_list(t) else t
+
+
+def chunks(size: int):
+    """For ``mapInArrow`` to "chunk long, rows binary": one row for each chunk of about
+    ``size`` bytes, its rows as compressed Arrow batches (``chunk_rows`` reads them)."""
+    def pack(batches):
+        task, k, held, n = TaskContext.get().partitionId(), 0, [], 0
+
+        def packed():
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                for b in held:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()),
+                                               pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+        for b in batches:
+            # a batch of long texts makes several chunks
+            step = max(1, int(b.num_rows * size / max(b.nbytes, size)))
+            for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
+                held.append(part)
+                n += part.nbytes
+                if n >= size:
+                    yield packed()
+                    k, held, n = k + 1, [], 0
+        if held:
+            yield packed()
+    return pack
+
+
+def chunk_rows(blob):
+    """The batches of a chunk."""
+    return pa.ipc.open_stream(blob.as_buffer())

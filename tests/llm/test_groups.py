@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import dedup, mixing, queries, simhash, topk
+from lodestar.llm import dedup, mixing, queries, simhash, topk, vectors
 from lodestar.llm.common import UPPER
 
 LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -195,7 +195,9 @@ def test_mixed_rows_and_empty_tables(docs, no_docs):
 
 def brute_top(vectors, k=5):
     rows = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in vectors
-            if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+            if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    d = max((len(v) for _, v in rows), default=0)
+    rows = [(i, v + [0] * (d - len(v))) for i, v in rows]
     out = set()
     for q in {i for i, _ in rows if i % 50 == 0}:
         qv = min(v for i, v in rows if i == q)
@@ -210,10 +212,10 @@ def test_top_k_equals_brute_force(spark, d, n, monkeypatch):
     rows = [(i, [float(x) for x in r.normal(size=d) * r.choice([0.2, 1, 3])]) for i in range(n)]
     common = rows[3][1]
     rows += [(n + i, common) for i in range(60)] + [(n + 100, None), (n + 101, [float("nan")] * d), (n + 102, [None] * d),
-                                                     (n + 103, [float("inf")] * d), (None, common), (150, common), (n + 104, [])]
+                                                     (n + 103, [float("inf")] * d), (None, common), (150, common), (n + 104, []), (n + 105, common[:d // 2])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, id string, norm int")
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
-    monkeypatch.setattr(topk, "SEEDS", 20)
+    monkeypatch.setattr(vectors.by_length, "__defaults__", (100,))
+    monkeypatch.setattr(vectors.search, "__defaults__", (2, 7))
     got = topk.top_k(df, F.col("id") % 50 == 0)
     assert {tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(rows)
 

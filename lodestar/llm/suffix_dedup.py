@@ -274,7 +274,8 @@ def repeated(b: np.ndarray, end: np.ndarray, left: np.ndarray, starts: np.ndarra
             np.add.at(up, base[i] + at[hit], 1)
             np.add.at(up, base[i] + np.minimum(at[hit] + match[hit] - length + 1, starts[i]), -1)
             i, a, m = w[~hit], at[~hit], match[~hit]
-            lo = np.maximum(0, a - (length - m) + 1)
+            # a start further back has its partner's suffix here only if that window reaches here
+            lo = np.maximum(0, a - np.minimum(length - m, step) + 1)
             hi = np.minimum(a + 1, starts[i])
             ok = lo < hi
             np.add.at(down, base[i[ok]] + lo[ok], 1)

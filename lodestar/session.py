@@ -109,3 +109,11 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by ``scratch_path`` that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames) -> None:
+    """Delete the folders of ``stored`` tables that nothing reads any more."""
+    for df in frames:
+        files = df.inputFiles()
+        if files:
+            remove(df.sparkSession, files[0].rsplit("/", 1)[0])

@@ -251,20 +251,7 @@ def test_application_models(spark, key, monkeypatch):
         assert rows[0]["total_excess"] == pytest.approx(rows[0]["mean_excess"] * rows[0]["n"], abs=1e-3)
 
 
-# ---- topics and streams
-
-def test_topics_cover_every_document(spark):
-    from lodestar.operators import text as T
-    a, b = "apple banana cherry fruit", "engine wheel brake motor"
-    rows = [(i, (a if i % 2 else b) + f" word{'abcdefgh'[i % 8]}") for i in range(60)] + [(60, ""), (61, None), (62, "zzz")]
-    docs = spark.createDataFrame(rows, "id long, t string")
-    assign, _ = T.topic_model(docs, "t", "id", k=2, features=1 << 10)
-    got = {r["id"]: r["topic"] for r in assign.collect()}
-    assert len(got) == 63 and len({got[i] for i in range(0, 60, 2)}) == 1 and got[0] != got[1]
-    assert got[60] == got[61] == got[62] == -1
-    labels = {r["topic"]: r["label"] for r in T.class_tfidf_labels(docs, assign, "t", "id").collect()}
-    assert "apple" in labels[got[1]] and "engine" in labels[got[0]]
-
+# ---- streams
 
 def test_first_seen_follows_file_order(spark, tmp_path):
     from lodestar.streaming import twins

@@ -56,86 +56,91 @@ def quantile_flags(df: DataFrame, c: str, lo_p: float = 0.25, hi_p: float = 0.75
 
 # ---------------------------------------------------------------- exact quantiles at scale
 
-APPROX_ACCURACY = 100_000
-
-
-#: a group's distinct values are spread over so many join keys
-SALTS = 32
-
-
-def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = (),
-                    accuracy: int = APPROX_ACCURACY) -> DataFrame:
-    """Exact linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``)
-    without holding a group's values in one task. Runs jobs when called.
-
-    1. The input is reduced to (group, value, count), stored in the scratch
-       folder, so a value that half of the rows share is one row from here on;
-       ``percentile_approx`` (rank error <= n / accuracy) brackets each target
-       rank k = floor(p (n - 1)) between two values lo <= v_k <= v_{k+1} <= hi.
-    2. One pass over the counts gives #(x < lo) and #(lo <= x <= hi) per
-       (group, p); a bracket that fails to contain ranks k and k+1 widens to
-       the whole group, so the result is always exact.
-    3. Only the bracket's distinct values (about 10 n / accuracy rows per group
-       and p) are summed up in a window; ranks k and k+1 are read off and
-       interpolated.
-    Per-group statistics meet the values on (group, salt), a stored key also
-    when there is no group: an equi-join spread over SALTS keys per group.
-    Returns long rows: (by..., q_index int, prob double, value double).
-    """
+#: bits of a histogram digit; values of an open bin that the last digit takes in one go
+DIGIT, FEW = 16, 4096
+
+
+def ordered_image(x) -> F.Column:
+    """A long that orders like the double: its bits, with those below the sign flipped for negative numbers."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x + F.lit(0.0)).cast("long")  # -0 as 0
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _double(image) -> F.Column:
+    bits = F.when(image < 0, image.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(image)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
+def radix_select(images: DataFrame, by: Sequence[str], targets) -> DataFrame:
+    """(by..., target, image): per group the ``_i`` of given ranks, by digits of the 64-bit image. Runs jobs when called.
+
+    ``targets``: from a group's number of rows (a column) an array of structs with a long ``rank``. A pass counts each group's
+    values by the next digit, with the least and greatest value of each bin: one partial aggregation, whose rows are bounded by
+    groups x bins. A rank at either end of its bin, or in a bin of one value, is found; for the others the next pass reads the
+    rows of their bins only. No values are stored, and no group meets in one task."""
     by = list(by)
-    if not by:
-        out = exact_quantiles(df.select(F.lit(0).alias("_all"), c), c, probs, ["_all"], accuracy)
-        return out.drop("_all")
-    probs = [float(p) for p in probs]
-    m = len(probs)
-    eps = 5.0 / accuracy
-    base = df.select(*by, F.col(c).cast("double").alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    ext = [max(0.0, p - eps) for p in probs] + [min(1.0, p + eps) for p in probs]
-    values = stored(base.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_c")), "quantile_values") \
-        .withColumn("_salt", F.pmod(F.xxhash64("_x"), F.lit(SALTS)).cast("int"))
-    stats = stored(base.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(p) for p in ext]), accuracy).alias("_a")), "quantile_stats")
-
-    def meet(small: DataFrame) -> DataFrame:
-        salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return values.join(salted, [*by, "_salt"])
-
-    cnt = meet(stats).groupBy(*by).agg(
-        *[F.sum(F.when(F.col("_x") < F.col("_a")[i], F.col("_c")).otherwise(0)).alias(f"_b{i}") for i in range(m)],
-        *[F.sum(F.when((F.col("_x") >= F.col("_a")[i]) & (F.col("_x") <= F.col("_a")[m + i]), F.col("_c")).otherwise(0))
-          .alias(f"_in{i}") for i in range(m)])
-    info = stats.join(cnt, by)
-    rows = []
-    for i, p in enumerate(probs):
-        pos = F.lit(p) * (F.col("_n") - 1)
-        k = F.floor(pos).cast("long")
-        need = F.least(k + 1, F.col("_n") - 1)
-        ok = (F.col(f"_b{i}") <= k) & (F.col(f"_b{i}") + F.col(f"_in{i}") >= need + 1)
-        rows.append(F.struct(F.lit(i).alias("q_index"), F.lit(p).alias("prob"), pos.alias("pos"), k.alias("k"),
-                             F.when(ok, F.col("_a")[i]).otherwise(F.lit(float("-inf"))).alias("lo"),
-                             F.when(ok, F.col("_a")[m + i]).otherwise(F.lit(float("inf"))).alias("hi"),
-                             F.when(ok, F.col(f"_b{i}")).otherwise(F.lit(0)).cast("long").alias("below")))
-    bounds = info.select(*by, F.array(*rows).alias("_q"))
-    # a value becomes rows only for the brackets that hold it
-    inside = F.filter("_q", lambda q: (F.col("_x") >= q["lo"]) & (F.col("_x") <= q["hi"]))
-    br = meet(bounds).select(*by, "_x", "_c", F.explode(inside).alias("q")).select(*by, "_x", "_c", "q.*")
-    w = Window.partitionBy(*by, "q_index").orderBy("_x")
-    ranked = br.withColumn("_end", F.col("below") + F.sum("_c").over(w))  # ranks _end - _c .. _end - 1
-    holds = lambda r: (F.col("_end") - F.col("_c") <= r) & (F.col("_end") > r)
-    vals = ranked.where(holds(F.col("k")) | holds(F.col("k") + 1)).groupBy(*by, "q_index", "prob", "pos", "k").agg(
-        F.max(F.when(holds(F.col("k")), F.col("_x"))).alias("_v0"),
-        F.max(F.when(holds(F.col("k") + 1), F.col("_x"))).alias("_v1"))
-    frac = F.col("pos") - F.col("k")
-    value = F.when((frac == 0) | F.col("_v1").isNull(), F.col("_v0")) \
-        .otherwise((F.lit(1.0) - frac) * F.col("_v0") + frac * F.col("_v1"))
-    return vals.select(*by, F.col("q_index").cast("int").alias("q_index"), "prob", value.alias("value"))
-
-
-def quantiles_wide(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = (),
-                   accuracy: int = APPROX_ACCURACY) -> DataFrame:
+    shift, open_, out = 64 - DIGIT, None, None
+    while True:
+        bin_ = F.shiftright("_i", shift).alias("_b")
+        rows = images.select(*by, F.lit(0).cast("long").alias("_p"), "_i", bin_) if open_ is None else \
+            images.withColumn("_p", F.shiftright("_i", last)).join(open_.select(*by, "_p"), [*by, "_p"]).select(*by, "_p", "_i", bin_)
+        hist = rows.groupBy(*by, "_p", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
+        w = Window.partitionBy(*by, "_p")  # bins of one prefix
+        hist = hist.withColumn("_end", F.sum("_c").over(w.orderBy("_b")))
+        if open_ is None:
+            hist = hist.withColumn("_t", targets(F.sum("_c").over(w)))
+        else:
+            hist = hist.join(open_, [*by, "_p"])
+        begin = F.col("_end") - F.col("_c")
+        hit = hist.select(*by, "_b", "_c", "_lo", "_hi", begin.alias("_begin"),
+                          F.explode(F.filter("_t", lambda t: (t["rank"] >= begin) & (t["rank"] < F.col("_end")))).alias("target"))
+        rank = F.col("target")["rank"] - F.col("_begin")
+        image = F.when((rank == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).when(rank == F.col("_c") - 1, F.col("_hi"))
+        # a row for each target
+        step = stored(hit.select(*by, "target", F.col("_b").alias("_p"), rank.alias("_rank"), "_c", image.alias("image")), "radix")
+        found = step.where(F.col("image").isNotNull()).select(*by, "target", "image")
+        out = found if out is None else out.unionByName(found)
+        left = step.where(F.col("image").isNull())
+        most = left.agg(F.max("_c")).first()[0]
+        if most is None:
+            return out
+        target = F.struct(F.col("_rank").alias("rank"), *[F.col("target")[f].alias(f) for f in step.schema["target"].dataType.names if f != "rank"])
+        open_ = left.groupBy(*by, "_p").agg(F.collect_list(target).alias("_t"))  # its targets
+        open_ = stored(open_, "radix-open")
+        last, shift = shift, 0 if most <= FEW else max(0, shift - DIGIT)
+
+
+def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``) by radix selection of the ranks
+    around p (n - 1); groups with a null key and null or NaN values are left out. Runs jobs when called.
+    Returns long rows: (by..., q_index int, prob double, value double)."""
+    by, probs = list(by), [float(p) for p in probs]
+    x = F.col(c).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x))
+    for g in by:
+        rows = rows.where(F.col(g).isNotNull())
+
+    def targets(n):
+        out = []
+        for i, p in enumerate(probs):
+            k = F.floor(F.lit(p) * (n - 1)).cast("long")
+            for up in (0, 1):
+                out.append(F.struct(F.least(k + up, n - 1).alias("rank"), F.lit(i).alias("q"), F.lit(up).alias("up"),
+                                    (F.lit(p) * (n - 1) - k).alias("frac")))
+        return F.array(*out)
+
+    found = radix_select(rows.select(*by, ordered_image(x).alias("_i")), by, targets)
+    of = lambda up: F.max(F.when(F.col("target")["up"] == up, F.col("image")))
+    both = found.groupBy(*by, F.col("target")["q"].alias("q_index")).agg(of(0).alias("_v0"), of(1).alias("_v1"), F.max(F.col("target")["frac"]).alias("_f"))
+    both = both.withColumns({v: _double(F.col(v)) for v in ("_v0", "_v1")})
+    value = F.when(F.col("_f") == 0, F.col("_v0")).otherwise((F.lit(1.0) - F.col("_f")) * F.col("_v0") + F.col("_f") * F.col("_v1"))
+    prob = F.array(*[F.lit(p) for p in probs])[F.col("q_index")]
+    return both.select(*by, F.col("q_index").cast("int").alias("q_index"), prob.alias("prob"), value.alias("value"))
+
+
+def quantiles_wide(df: DataFrame, c: str, probs: Sequence[float], names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per group with one column per requested quantile."""
-    long = exact_quantiles(df, c, probs, by, accuracy)
+    long = exact_quantiles(df, c, probs, by)
     aggs = [F.max(F.when(F.col("q_index") == i, F.col("value"))).alias(n) for i, n in enumerate(names)]
     return long.groupBy(*by).agg(*aggs)
 
@@ -156,31 +161,12 @@ def with_quantiles(agg: DataFrame, df: DataFrame, by: Sequence[str], specs: Sequ
     return out
 
 
-def kth_smallest(df: DataFrame, c: str, by: Sequence[str], ranks: DataFrame, grid: int = 2000,
-                 accuracy: int = APPROX_ACCURACY) -> DataFrame:
-    """Exact k-th smallest value (0-based ``k`` per group, from ``ranks(by..., k)``)
-    with the same bracket-and-rank scheme as ``exact_quantiles``: an approximate
-    quantile grid brackets rank k, one pass counts rows below the bracket (a
-    missed bracket widens to the whole group), and only bracket rows are ranked.
-    The column keeps its type (e.g. 64-bit hashes stay exact)."""
+def kth_smallest(df: DataFrame, c: str, by: Sequence[str], ranks: DataFrame) -> DataFrame:
+    """Exact k-th smallest value of a whole-number column (0-based ``k`` per group, from ``ranks(by..., k)``; ranks
+    beyond a group give no row)."""
     by = list(by)
-    base = df.select(*by, F.col(c).alias("_x")).where(F.col("_x").isNotNull())
-    probs = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_x", probs, accuracy).alias("_a"))
-    st = stats.join(ranks.select(*by, F.col("k").cast("long").alias("k")), by)
-    pos = F.col("k") / F.greatest(F.col("_n") - 1, F.lit(1)) * grid
-    lo_i = F.least(F.greatest(F.floor(pos) - 2, F.lit(0)), F.lit(grid)).cast("int")
-    hi_i = F.least(F.ceil(pos) + 2, F.lit(grid)).cast("int")
-    st = st.select(*by, "k", F.element_at("_a", lo_i + 1).alias("lo"), F.element_at("_a", hi_i + 1).alias("hi"))
-    cnt = base.join(st, by).groupBy(*by).agg(
-        F.sum(F.when(F.col("_x") < F.col("lo"), 1).otherwise(0)).cast("long").alias("below"),
-        F.sum(F.when((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")), 1).otherwise(0)).cast("long")
-        .alias("inside"))
-    b = st.join(cnt, by)
-    ok = (F.col("below") <= F.col("k")) & (F.col("below") + F.col("inside") >= F.col("k") + 1)
-    b = b.select(*by, "k", F.when(ok, F.col("below")).otherwise(F.lit(0)).cast("long").alias("below"),
-                 ok.alias("ok"), "lo", "hi")
-    br = base.join(b, by).where(~F.col("ok") | ((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))))
-    w = Window.partitionBy(*by).orderBy("_x")
-    ranked = br.select(*by, "k", "_x", (F.col("below") + F.row_number().over(w) - 1).alias("_r"))
-    return ranked.where(F.col("_r") == F.col("k")).select(*by, "k", F.col("_x").alias("value"))
+    rows = df.where(F.col(c).isNotNull()).join(ranks.select(*by, F.col("k").cast("long").alias("_k")), by)
+    # the rank rides in front of the value's group
+    found = radix_select(rows.select(*by, "_k", F.col(c).cast("long").alias("_i")), [*by, "_k"],
+                         lambda n: F.array(F.struct(F.col("_k").alias("rank"))))
+    return found.select(*by, F.col("_k").alias("k"), F.col("image").alias("value"))

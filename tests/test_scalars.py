@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.functions import scalars as S
@@ -114,8 +115,7 @@ def test_distributed_exact_quantiles_match_pandas(spark):
     rows += [(3, 1.0), (4, 2.0), (4, 5.0)]
     df = spark.createDataFrame(rows, "g int, x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    # a deliberately coarse sketch forces the bracket-widening fallback
-    got = {(r.g, r.q_index): r.value for r in Q.exact_quantiles(df, "x", probs, ["g"], accuracy=50).collect()}
+    got = {(r.g, r.q_index): r.value for r in Q.exact_quantiles(df, "x", probs, ["g"]).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "x"])
     for g, sub in pdf.groupby("g"):
         for i, p in enumerate(probs):
@@ -181,5 +181,30 @@ def test_kth_smallest_exact_on_64bit_values(spark):
     df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(g, vals)], "g int, x long")
     ks = {0: 0, 1: int((g == 1).sum()) - 1}
     ranks = spark.createDataFrame(list(ks.items()), "g int, k long")
-    got = {r.g: r.value for r in Q.kth_smallest(df, "x", ["g"], ranks, grid=50, accuracy=30).collect()}
+    got = {r.g: r.value for r in Q.kth_smallest(df, "x", ["g"], ranks).collect()}
     assert got == {k: int(np.sort(vals[g == k])[v]) for k, v in ks.items()}
+
+
+@pytest.mark.parametrize("few", [0, 4096])
+def test_radix_selection_of_odd_doubles(spark, few, monkeypatch):
+    """Signs, zeros, tiny and huge values and long runs of one value; digit by digit, or the last ones at once."""
+    import numpy as np
+    import pandas as pd
+    monkeypatch.setattr(Q, "FEW", few)
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(size=400) * 10.0 ** r.integers(-300, 300, 400), [0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308],
+                        np.full(300, 7.25), 1 + np.arange(200) * 2.0 ** -52])
+    df = spark.createDataFrame([(float(v), "ab"[i % 2], None if i % 9 == 0 else i % 3) for i, v in enumerate(x)], "x double, g string, h int").repartition(5)
+    probs = [0.0, 0.01, 1 / 3, 0.5, 0.77, 0.999, 1.0]
+    pdf = df.toPandas()
+    for by in ([], ["g"], ["g", "h"]):
+        got = {(*[row[b] for b in by], row["q_index"]): row["value"] for row in Q.exact_quantiles(df, "x", probs, by).collect()}
+        sub = {k if isinstance(k, tuple) else (k,): v for k, v in pdf.groupby(by)} if by else {(): pdf}
+        assert len(got) == len(sub) * len(probs)
+        for k, v in sub.items():
+            s = np.sort(v.x.to_numpy())
+            for i, p in enumerate(probs):
+                pos = p * (len(s) - 1)
+                lo, f = int(pos), pos - int(pos)
+                want = s[lo] if f == 0 else (1 - f) * s[lo] + f * s[lo + 1]
+                assert got[(*k, i)] == want

@@ -15,27 +15,22 @@ levels above (contexts of fewer than SPLIT bytes, so bounded by the alphabet) ar
 weighed once and handed back to the parts, which work out the log probability
 of each sequence that occurs in any text. Texts meet these by chunk: a chunk
 asks for its distinct sequences once.
-
-``fit`` holds a tree in memory instead, of the most frequent contexts only; with
-room for all of them it equals the table.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestar.llm.common import most_frequent, remove, written
+from lodestar.llm.common import chunk_rows, chunks, most_frequent, nullable, remove, written
 
-#: bytes of context; contexts that ``fit`` holds (256 numbers for each, and one for the empty context)
-DEPTH, CONTEXTS = 5, 40_000
+#: bytes of context
+DEPTH = 5
 #: bytes of context by which the tree is dealt out; distinct sequences in a part, roughly
 SPLIT, PART = 3, 1 << 16
 #: bytes of text in a chunk
@@ -45,8 +40,8 @@ FIXED = 1 << 20
 #: words whose counts every task holds; rarer ones are looked up by a join
 FREQUENT = 50_000
 END, END_WORD = b"\n", "\n"
-#: sequences counted in memory before they are handed to Spark's aggregation
-HELD = 1 << 21
+#: sequences sorted in memory at once, and handed on in a batch; distinct words counted in memory
+HELD, BATCH, WORDS = 1 << 24, 1 << 16, 1 << 19
 #: bytes scored at once
 SLICE = 1 << 20
 
@@ -74,41 +69,6 @@ def sliced(raw: bytes, depth: int = DEPTH):
         yield codes(raw[max(0, lo - depth):lo + SLICE], depth)[min(lo, depth):]
 
 
-def gram_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(gram, n) over all texts: summed in bounded memory by each task, then by Spark."""
-    def count(batches):
-        keys, n, held = [], [], 0
-        def flush():
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return k, np.bincount(at, np.concatenate(n)).astype(np.int64)
-        for b in batches:
-            todo, size = [], 0
-            texts = b.column(0).to_pylist()
-            for i, t in enumerate(texts):
-                _, raw = stream(t)
-                for part in sliced(raw, depth):
-                    todo.append(part)
-                    size += len(part)
-                if size >= SLICE or i == len(texts) - 1:
-                    k, c = np.unique(np.concatenate(todo), return_counts=True)
-                    keys.append(k)
-                    n.append(c)
-                    held += len(k)
-                    todo, size = [], 0
-            if held >= HELD:
-                k, c = flush()
-                if len(k) >= HELD // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["gram", "n"])
-                    keys, n, held = [], [], 0
-                else:
-                    keys, n, held = [k], [c], len(k)
-        if keys:
-            k, c = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["gram", "n"])
-
-    return docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """log Gamma for x >= 0.5 (Stirling's series after a shift by 6)."""
     shift = np.zeros_like(x)
@@ -121,210 +81,35 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + i * (1 / 12 - i2 * (1 / 360 - i2 / 1260)) - shift
 
 
-def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at the 255 bit nodes of byte counts (rows x 256)."""
-    zeros, ones = [], []
-    for k in range(8):
-        t = counts.reshape(len(counts), 1 << k, 2, -1).sum(axis=3)
-        zeros.append(t[:, :, 0])
-        ones.append(t[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
-
-
-def _kt(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of the counts, and the next one's probability, under KT, at each bit node."""
-    a, b = (x.astype(np.float64) for x in _bits(counts))
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - math.log(math.pi), (b + 0.5) / (a + b + 1)
-
-
-def _bytes(p: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte from the 255 bit nodes' probabilities of a one."""
-    byte = np.arange(256)
-    out = np.zeros((len(p), 256))
-    for k in range(8):
-        q = p[:, (1 << k) - 1 + (byte >> (8 - k))]
-        out += np.log10(np.where(byte >> (7 - k) & 1, q, 1 - q))
-    return out.astype(np.float32)
-
-
-@dataclass
-class Tree:
-    """``follow[node * 256 + byte]`` is the context longer by that earlier byte (the
-    last node: none); ``logs[node * 256 + byte]`` the log10 probability of a next byte."""
-    follow: np.ndarray
-    logs: np.ndarray
-    depth: int
-
-    def log10(self, raw: bytes) -> float:
-        """log10 probability of a text's bytes."""
-        total, none = 0.0, len(self.follow) // 256 - 1
-        for lo in range(0, len(raw), SLICE):
-            back = min(lo, self.depth)
-            head = END * (self.depth - back) + raw[lo - back:lo + SLICE]
-            b = np.frombuffer(head, np.uint8).astype(np.int32)
-            n = len(b) - self.depth
-            node = self.follow[b[self.depth - 1:self.depth - 1 + n]].astype(np.int32)  # from the root, row 0
-            best = np.where(node == none, 0, node)
-            for k in range(2, self.depth + 1):
-                node = self.follow[node * 256 + b[self.depth - k:self.depth - k + n]].astype(np.int32)
-                best = np.where(node == none, best, node)
-            total += float(self.logs[best * 256 + b[self.depth:]].sum(dtype=np.float64))
-        return total
-
-
-class _Sparse:
-    """Byte counts of contexts, made dense a block of rows at a time."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        key, at = np.unique(key, return_inverse=True)
-        self.key, self.n = key, np.bincount(at, n, len(key)).astype(np.int64)
-
-    def rows(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(i), 256), np.int64)
-        lo, hi = np.searchsorted(self.key, i * 256), np.searchsorted(self.key, i * 256 + 256)
-        for k, (a, b) in enumerate(zip(lo, hi)):
-            out[k, self.key[a:b] & 255] = self.n[a:b]
-        return out
-
-
-def build(contexts: list[tuple[int, int]], at: np.ndarray, byte: np.ndarray, n: np.ndarray, root: np.ndarray,
-          depth: int = DEPTH, block: int = 2048) -> Tree:
-    """The tree of ``contexts`` (length, code; latest byte lowest), with counts ``n`` of
-    next bytes ``byte`` at context ``at`` (numbered from 1), and the empty context's counts."""
-    m = len(contexts) + 1
-    number = {(0, 0): 0} | {c: i + 1 for i, c in enumerate(contexts)}
-    follow = np.full((m + 1, 256), m, np.uint16 if m < 1 << 16 else np.int32)
-    parent, level = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    for (d, c), i in number.items():
-        if d:
-            parent[i], level[i] = number[d - 1, c & ((1 << 8 * (d - 1)) - 1)], d
-            follow[parent[i], c >> 8 * (d - 1)] = i
-    inner = np.zeros(m, bool)
-    inner[parent[1:]] = m > 1
-    at, byte, n = at.astype(np.int64), byte.astype(np.int64), n.astype(np.int64)
-    key, n = np.concatenate([np.arange(256), at * 256 + byte]), np.concatenate([root, n])
-    up = parent[at] * 256 + byte
-    counts = _Sparse(key, n)
-    # of a context, what no kept child accounts for
-    rest = _Sparse(np.concatenate([key, up]), np.concatenate([n, -n[256:]]))
-    order = [np.flatnonzero(level == d) for d in range(depth + 1)]
-    sums = np.zeros((m, 255), np.float32)  # upwards: the children's log weighted probabilities
-    stop = np.ones((m, 255), np.float32)  # share of a context's own estimate
-    for d in range(depth, -1, -1):
-        for lo in range(0, len(order[d]), block):
-            i = order[d][lo:lo + block]
-            weighted, _ = _kt(counts.rows(i))
-            split = inner[i]
-            if split.any():
-                j, own = i[split], weighted[split]
-                other, _ = _kt(rest.rows(j))
-                mixed = math.log(0.5) + np.logaddexp(own, sums[j] + other)
-                stop[j] = np.exp(math.log(0.5) + own - mixed)
-                weighted[split] = mixed
-            if d:
-                np.add.at(sums, parent[i], weighted.astype(np.float32))
-    left = np.ones((m, 255), np.float32)  # downwards: sums becomes the mixture so far, left its open share
-    logs = np.zeros((m, 256), np.float32)
-    for d in range(depth + 1):
-        for lo in range(0, len(order[d]), block):
-            i = order[d][lo:lo + block]
-            before, share = (sums[parent[i]], left[parent[i]]) if d else (0, 1)
-            _, p = _kt(counts.rows(i))
-            sums[i] = before + share * stop[i] * p
-            left[i] = share * (1 - stop[i])
-            _, q = _kt(rest.rows(i))
-            logs[i] = _bytes(np.clip(sums[i] + left[i] * q, 1e-9, 1 - 1e-9))
-    return Tree(follow.ravel(), logs.ravel(), depth)
-
-
-def fit(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS) -> Tree:
-    """The tree learned from all texts of ``docs`` (of an empty table: every bit one half)."""
-    spark = docs.sparkSession
-    grams = written(gram_counts(docs, depth), "lm-grams")
-    root = np.zeros(256, np.int64)
-    for r in grams.groupBy(F.col("gram").bitwiseAND(255).alias("b")).agg(F.sum("n").alias("n")).collect():
-        root[r["b"]] = r["n"]
-    lengths = F.explode(F.sequence(F.lit(1), F.lit(depth)))
-    each = grams.select("n", F.col("gram").bitwiseAND(255).cast("int").alias("byte"), F.shiftright("gram", 8).alias("c"),
-                        lengths.alias("d"))
-    mask = F.element_at(F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(1, depth + 1)]), F.col("d"))
-    each = each.select("d", F.col("c").bitwiseAND(mask).alias("c"), "byte", "n")
-    seen = written(each.groupBy("d", "c").agg(F.sum("n").alias("n")), "lm-contexts")
-    kept = sorted((r["d"], r["c"]) for r in most_frequent(seen, "n", contexts).select("d", "c").collect())
-    if kept:
-        ids = spark.createDataFrame([(d, c, i + 1) for i, (d, c) in enumerate(kept)], "d int, c long, at int")
-        # at most 256 rows for each of the kept contexts, whose table is bounded by CONTEXTS
-        rows = each.join(F.broadcast(ids), ["d", "c"]).groupBy("at", "byte").agg(F.sum("n").alias("n")).toArrow()
-        at, byte, n = (rows.column(x).to_numpy() for x in ("at", "byte", "n"))
-    else:
-        at = byte = n = np.zeros(0, np.int64)
-    remove(spark, grams, seen)
-    return build(kept, at, byte, n, root, depth)
-
-
-# ---- the whole tree, as a table
-
-def _nullable(t: pa.DataType) -> pa.DataType:
-    """The type with nulls allowed at all depths, as a schema read from its string has it."""
-    if pa.types.is_struct(t):
-        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in t])
-    if pa.types.is_map(t):
-        return pa.map_(t.key_type, _nullable(t.item_type))
-    return pa.list_(_nullable(t.value_type)) if pa.types.is_list(t) else t
-
-
-def _chunks(batches):
-    """One row for each chunk: its rows as compressed Arrow batches."""
-    task, k, held, size = TaskContext.get().partitionId(), 0, [], 0
-
-    def packed():
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-            for b in held:
-                w.write_batch(b)
-        return pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()),
-                                           pa.array([out.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            size += b.nbytes
-        if size >= CHUNK:
-            yield packed()
-            k, held, size = k + 1, [], 0
-    if held:
-        yield packed()
-
-
 def _asked(depth: int):
-    """Distinct sequences of each chunk, with their counts in its training texts."""
-    def summed(keys: list, n: list) -> tuple[np.ndarray, np.ndarray]:
-        k, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return k, np.bincount(at, np.concatenate(n), len(k)).astype(np.int64)
-
+    """Distinct sequences of each chunk, with their counts in its training texts. The sequences are sorted in place (the
+    lowest bit: from a training text) and handed on in small batches; a chunk longer than HELD gives several such lists."""
     def ask(batches):
         for rows in batches:
             for chunk, blob in zip(rows.column("chunk").to_pylist(), rows.column("rows")):
-                keys, n, todo, size = [], [], {True: [], False: []}, 0
-
-                def count():
-                    for train, parts in todo.items():
-                        if parts:
-                            k, c = np.unique(np.concatenate(parts), return_counts=True)
-                            keys.append(k)
-                            n.append(c if train else np.zeros(len(k), np.int64))
-                            parts.clear()
-                for b in pa.ipc.open_stream(blob.as_buffer()):
+                held, n = np.empty(0, np.int64), 0
+
+                def counted():
+                    held[:n].sort()
+                    first = np.flatnonzero(np.concatenate([[True], held[1:n] >> 1 != held[:n - 1] >> 1]))
+                    for lo in range(0, len(first), BATCH):
+                        at = first[lo:lo + BATCH]
+                        end = first[lo + BATCH] if lo + BATCH < len(first) else n
+                        c = np.add.reduceat(held[at[0]:end] & 1, at - at[0])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), chunk, np.int64)), pa.array(held[at] >> 1), pa.array(c)],
+                                                         ["chunk", "gram", "n"])
+                for b in chunk_rows(blob):
                     for t, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist()):
                         for part in sliced(stream(t)[1], depth):
-                            todo[train].append(part)
-                            size += len(part)
-                            if size >= SLICE:
-                                count()
-                                size = 0
-                count()
-                k, c = summed(keys, n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk, np.int64)), pa.array(k), pa.array(c)],
-                                                 ["chunk", "gram", "n"])
+                            if n + len(part) > HELD:
+                                yield from counted()
+                                n = 0
+                            if n + len(part) > len(held):
+                                held = np.concatenate([held[:n], np.empty(max(n, len(part)), np.int64)])
+                            held[n:n + len(part)] = part << 1 | bool(train)
+                            n += len(part)
+                if n:
+                    yield from counted()
     return ask
 
 
@@ -421,7 +206,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for t in b.column(0).to_pylist():
                 c.update(stream(t)[0])
                 c[END] += 1
-            if len(c) >= HELD // 4:
+            if len(c) >= WORDS:
                 yield _word_rows(c)
                 c = Counter()
         if c:
@@ -456,8 +241,8 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
     columns = columns or docs.columns
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("doc"), docs["text"].alias("text"),
                        F.coalesce(train_on, F.lit(True)).alias("train"))
-    chunks = written(rows.mapInArrow(_chunks, "chunk long, rows binary"), "lm-chunks")
-    asked = written(chunks.mapInArrow(_asked(depth), "chunk long, gram long, n long"), "lm-asked")
+    packed = written(rows.mapInArrow(chunks(CHUNK), "chunk long, rows binary"), "lm-chunks")
+    asked = written(packed.mapInArrow(_asked(depth), "chunk long, gram long, n long"), "lm-asked")
     grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
     logs = written(gram_logs(grams, depth), "lm-logs")
     told = asked.select("chunk", "gram").join(logs, "gram")
@@ -466,8 +251,9 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
 
     def measure(chunk: pa.Table, told: pa.Table) -> pa.Table:
         get, out = shared.value.get, []
-        place, logs = pd.Index(told["gram"].to_numpy()), told["log"].to_numpy()
-        for b in pa.ipc.open_stream(chunk["rows"][0].as_buffer()):
+        gram, first = np.unique(told["gram"].to_numpy(), return_index=True)
+        place, logs = pd.Index(gram), told["log"].to_numpy()[first]
+        for b in chunk_rows(chunk["rows"][0]):
             rows = []
             for t in b.column("text").to_pylist():
                 words, raw = stream(t)
@@ -480,12 +266,12 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(),
                      pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))]
             doc = b.column("doc")
-            out.append(pa.RecordBatch.from_arrays([doc.cast(_nullable(doc.type)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))],
+            out.append(pa.RecordBatch.from_arrays([doc.cast(nullable(doc.type)), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))],
                                                   ["doc", "n_tokens", "known", "part", "score", "n_bytes", "rare"]))
         return pa.Table.from_batches(out)
 
-    measured = written(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(measure, schema), "lm-measured")
-    remove(spark, chunks, asked, grams, logs)
+    measured = written(packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(measure, schema), "lm-measured")
+    remove(spark, packed, asked, grams, logs)
     at = measured.select("*", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     # words beyond the frequent ones: a join on words that are rare in training
     wanted = at.select("file", "row", F.explode("rare").alias("r")).select("file", "row", "r.word", "r.times")

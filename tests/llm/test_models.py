@@ -1,4 +1,5 @@
 """Learned operators: quality, toxicity, language model; and the pipeline."""
+import functools
 import hashlib
 import math
 import random
@@ -173,41 +174,60 @@ def naive(contexts, train, depth):
     return log10
 
 
-@pytest.mark.parametrize("depth,contexts", [(2, 8), (3, 1000)])
-def test_tree_equals_the_definition(spark, depth, contexts):
-    texts = ["abra cad", "abba", "", None, "cab a"]
-    d = spark.createDataFrame([(t,) for t in texts], "text string")
-    tree = C.fit(d, depth, contexts)
-    n = Counter()
-    for t in texts:
-        data = C.END * depth + C.stream(t)[1]
+def weighted(raws, depth):
+    """log10 probability of a text's bytes by mixing down the tree of all contexts: counts in dictionaries, one bit node at a time."""
+    counts, children = Counter(), {}
+    for raw in raws:
+        data = C.END * depth + raw
+        for i in range(depth, len(data)):
+            for k in range(depth + 1):
+                ctx = data[i - k:i]
+                if k:
+                    children.setdefault(ctx[1:], set()).add(ctx)
+                for j in range(8):
+                    counts[ctx, j, data[i] >> (8 - j), data[i] >> (7 - j) & 1] += 1
+
+    def own(ctx, j, prefix):
+        a, b = counts[ctx, j, prefix, 0], counts[ctx, j, prefix, 1]
+        return math.lgamma(a + .5) + math.lgamma(b + .5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def whole(ctx, j, prefix):
+        if len(ctx) == depth:
+            return own(ctx, j, prefix)
+        below = sum(whole(c, j, prefix) for c in children.get(ctx, ()))
+        return math.log(.5) + np.logaddexp(own(ctx, j, prefix), below)
+
+    def log10(raw):
+        data, total = C.END * depth + raw, 0.0
         for i in range(depth, len(data)):
-            n.update((k, int.from_bytes(data[i - k:i], "big")) for k in range(1, depth + 1))
-    cut = next(c for c in [0, *sorted(set(n.values()))] if sum(x > c for x in n.values()) <= contexts)
-    kept = [c for c in n if n[c] > cut]
-    assert kept
-    ref = naive({c.to_bytes(k, "big") for k, c in kept}, [C.stream(t)[1] for t in texts], depth)
-    for t in ["abra", "zzz", "", "cad abba"]:
-        raw = C.stream(t)[1]
-        assert tree.log10(raw) == pytest.approx(ref(raw), rel=1e-4)
+            for j in range(8):
+                prefix, bit = data[i] >> (8 - j), data[i] >> (7 - j) & 1
+                p, left = 0.0, 1.0
+                for k in range(depth + 1):
+                    ctx = data[i - k:i]
+                    n = [counts[ctx, j, prefix, x] for x in (0, 1)]
+                    if not sum(n):
+                        p, left = p + left / 2, 0.0
+                        break
+                    stop = 1.0 if k == depth else math.exp(math.log(.5) + own(ctx, j, prefix) - whole(ctx, j, prefix))
+                    p += left * stop * (n[bit] + .5) / (sum(n) + 1)
+                    left *= 1 - stop
+                total += math.log10(p + left / 2)
+        return total
+    return log10
 
 
 def test_scores_mix_over_all_counted_contexts(spark, monkeypatch):
     r = random.Random(8)
-    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=4000)) for _ in range(10)] + ["", None, "zzz Ünseen 123"]
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=400)) for _ in range(10)] + ["", None, "zzz Ünseen 123"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train = F.col("doc_id") != 12
-    seen = set()
-    for t in texts[:12]:
-        c = C.codes(C.stream(t)[1]) >> 8
-        seen |= {(k, x) for k in range(1, 6) for x in (c & ((1 << 8 * k) - 1)).tolist()}
-    assert len(seen) > C.CONTEXTS
-    tree = C.fit(d.where(train), contexts=1 << 20)
-    for chunk, part in [(C.CHUNK, C.PART), (5000, 3000)]:
-        monkeypatch.setattr(C, "CHUNK", chunk)
-        monkeypatch.setattr(C, "PART", part)
-        for x in C.score(d, train).collect():
-            assert x["score"] == pytest.approx(tree.log10(C.stream(x["doc"]["text"])[1]), rel=1e-5)
+    ref = weighted([C.stream(t)[1] for t in texts[:12]], C.DEPTH)
+    for chunk, part, held, batch in [(C.CHUNK, C.PART, C.HELD, C.BATCH), (500, 300, 1000, 7)]:
+        for name, x in (("CHUNK", chunk), ("PART", part), ("HELD", held), ("BATCH", batch), ("SLICE", held)):
+            monkeypatch.setattr(C, name, x)
+        for x in C.score(d, F.col("doc_id") != 12).collect():
+            assert x["score"] == pytest.approx(ref(C.stream(x["doc"]["text"])[1]), rel=1e-5)
 
 
 @pytest.mark.parametrize("depth", [1, 2, 3, 4])
@@ -221,18 +241,18 @@ def test_table_of_the_tree_equals_the_definition(spark, depth):
         assert x["score"] == pytest.approx(ref(C.stream(x["doc"]["text"])[1]), rel=1e-5)
 
 
-def test_bytes_probabilities_add_up_and_slices_agree(spark, docs, monkeypatch):
-    tree = C.fit(docs)
-    assert np.allclose((10 ** tree.logs.reshape(-1, 256).astype(float)).sum(axis=1), 1, atol=1e-4)
-    raw = C.stream("alpha beta gamma " * 50)[1]
-    whole, grams = tree.log10(raw), {r["gram"]: r["n"] for r in C.gram_counts(docs).collect()}
-    monkeypatch.setattr(C, "SLICE", 13)
-    assert tree.log10(raw) == pytest.approx(whole)
-    local = Counter()
-    for r in docs.select("text").collect():
-        raw = C.stream(r["text"])[1]
-        local.update(C.codes(raw).tolist())
-    assert grams == dict(local)
+def test_bytes_probabilities_add_up(spark):
+    """After contexts seen in part, in whole or not at all."""
+    seen = C.codes(C.stream("alpha beta gamma " * 50 + "delta")[1])
+    keys, n = np.unique(seen, return_counts=True)
+    contexts = [*(int(k) >> 8 for k in keys[:5]), int.from_bytes(b"ahpzz", "big"), 0]
+    rows = [(int(k), int(c)) for k, c in zip(keys, n)] + [(c << 8 | b, 0) for c in contexts for b in range(256)]
+    logs = C.gram_logs(spark.createDataFrame(rows, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = Counter()
+    for r in logs.collect():
+        if r["gram"] >> 8 in contexts:
+            total[r["gram"] >> 8] += 10 ** r["log"]
+    assert set(total) == set(contexts) and all(abs(x - 1) < 1e-4 for x in total.values())
 
 
 @pytest.mark.parametrize("frequent", [0, 3, 10_000])

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -202,6 +204,66 @@ def placebo_cuts(design: DataFrame, n: int, m: int, n_draws: int, width: float =
     return np.array([got[d] for d in range(n_draws)], np.int64)
 
 
+#: rows whose products with all draws are formed at once; Newton steps at most
+PLACEBO_ROWS, PLACEBO_STEPS = 1024, 25
+
+
+def _placebo_sums(fixed: int, coefs: np.ndarray, live: np.ndarray, n_draws: int):
+    """A task's sums for one Newton step of all live draws, a row a draw: the fixed columns' part of the Hessian (upper
+    triangle), its flag column, the gradient, and the log-likelihood. The products of the fixed columns are formed once for a
+    block of rows and weighted for all draws by one matrix product."""
+    upper = np.triu_indices(fixed)
+
+    def fn(batches):
+        total = np.zeros((len(upper[0]) + 2 * fixed + 3, len(live)))
+        parts = np.split(total, np.cumsum([len(upper[0]), fixed, 1, fixed, 1]))
+        for batch in batches:
+            cols = [c.to_numpy() for c in batch.columns[:-1]]
+            flags = np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint8).reshape(len(cols[0]), -1)
+            for lo in range(0, len(flags), PLACEBO_ROWS):
+                y, *x = (c[lo:lo + PLACEBO_ROWS] for c in cols)
+                X = np.column_stack([np.ones(len(y)), *x])
+                Z = np.unpackbits(flags[lo:lo + PLACEBO_ROWS], axis=1, count=n_draws)[:, live].astype(np.float64)
+                eta = X @ coefs[:fixed] + Z * coefs[fixed]
+                e = np.exp(-np.abs(eta))
+                mu = np.where(eta >= 0, 1, e) / (1 + e)
+                w = e / (1 + e) ** 2
+                r = y[:, None] - mu
+                parts[0] += (X[:, upper[0]] * X[:, upper[1]]).T @ w
+                parts[5] += (eta * (y[:, None] - (eta > 0)) - np.log1p(e)).sum(axis=0)
+                w *= Z
+                parts[1] += X.T @ w
+                parts[2] += w.sum(axis=0)
+                parts[3] += X.T @ r
+                parts[4] += np.einsum("ij,ij->j", r, Z)
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(np.full(len(live), TaskContext.get().partitionId()), pa.int32()),
+                                          pa.array(list(total.T), pa.list_(pa.float64()))], ["draw", "task", "vec"])
+    return fn
+
+
+def _placebo_step(fixed: int):
+    """Newton step of one draw from its tasks' sums: (draw, log-likelihood, decrement, information on the flag, steps)."""
+    q = fixed * (fixed + 1) // 2
+
+    def solve(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("task").combine_chunks()
+        v = rows["vec"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0)
+        H = np.zeros((fixed + 1, fixed + 1))
+        H[np.triu_indices(fixed)] = v[:q]
+        H[:fixed, fixed], H[fixed, fixed] = v[q:q + fixed], v[q + fixed]
+        H = np.triu(H) + np.triu(H, 1).T
+        g = v[q + fixed + 1:q + 2 * fixed + 2]
+        d = np.sqrt(np.maximum(np.diag(H), 1e-300))
+        try:
+            inv = np.linalg.inv(H / np.outer(d, d)) / np.outer(d, d)
+            step, info = inv @ g, 1 / inv[fixed, fixed]
+        except np.linalg.LinAlgError:
+            step, info = np.full(fixed + 1, np.nan), 0.0
+        out = [float(v[-1]), float(g @ step), float(info), *step.tolist()]
+        return pa.table({"draw": rows["draw"].slice(0, 1), "out": pa.array([out], pa.list_(pa.float64()))})
+    return solve
+
+
 def placebo_permutation(df: DataFrame, y: str, xs: Sequence[str], flag: str, key: str, n_draws: int = 500,
                         seed: int = 42) -> DataFrame:
     """Refit the logit n_draws times with the 0/1 flag permuted over all rows; one row per draw.
@@ -209,35 +271,66 @@ def placebo_permutation(df: DataFrame, y: str, xs: Sequence[str], flag: str, key
     A permuted flag is a random set of as many rows as the flag marks: those
     with the smallest draw hashes of ``key``. It depends on neither partitions
     nor row order, margins are kept exactly (rows that share a key share its
-    hash), and the rows are read batch by batch, never copied per draw."""
+    hash), and the rows are read batch by batch, never copied per draw: a row carries its flags of all draws as bits. All draws
+    take a Newton step in one pass over the rows, as matrix products, starting from the fit without the flag."""
     spark = df.sparkSession
-    xs = list(xs)
-    fi = xs.index(flag)
+    fixed = [x for x in xs if x != flag]
     design = (df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(y).cast("double").alias(y),
                         *[F.col(x).cast("double").alias(x) for x in xs]).dropna()
-              .repartition(spark.sparkContext.defaultParallelism, "_h").withColumn("draw", F.lit(0))
-              .persist(StorageLevel.MEMORY_AND_DISK))
+              .repartition(spark.sparkContext.defaultParallelism, "_h").persist(StorageLevel.MEMORY_AND_DISK))
+    marked = None
     try:
         t = design.agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("m"),
                        F.bool_and(F.col(flag).isin(0.0, 1.0)).alias("ok")).first()
         n, m = t["n"], int(t["m"] or 0)
         if n and not t["ok"]:
             raise ValueError(f"{flag} must be a 0/1 flag")
-        cuts = placebo_cuts(design, n, m, n_draws) if m else np.full(n_draws, -1, np.int64)
-
-        def blocks(pdf: pd.DataFrame):
-            h = pdf["_h"].to_numpy(dtype=np.int64)
-            X = np.column_stack([np.ones(len(pdf)), pdf[xs].to_numpy(dtype=np.float64)])
-            yv = pdf[y].to_numpy(dtype=np.float64)
-            for d in range(n_draws):
-                X[:, fi + 1] = _draw_hash(h, d) <= cuts[d]
-                yield (d,), X, yv
-
-        fit = glm.logit(design, y, xs, by=["draw"], blocks=blocks, persist=False)
-        out = glm.term(fit, flag).select("draw", "coef", "odds_ratio", "se")
-        return spark.createDataFrame(out.collect(), out.schema)  # n_draws rows: detach from the cached design
+        start = {r["term"]: r["coef"] for r in glm.logit(design, y, fixed).select("term", "coef").collect()}
+        done: dict[int, tuple[float, float]] = {}
+        if 0 < m < n and start.get("const") is not None:
+            cuts = placebo_cuts(design, n, m, n_draws)
+            terms = [x for x in fixed if start.get(x) is not None]  # aliased ones left out
+
+            def mark(batches):
+                for batch in batches:
+                    h = batch.column(0).to_numpy()
+                    on = np.stack([_draw_hash(h, d) <= cuts[d] for d in range(n_draws)], axis=1)
+                    bits = np.packbits(on, axis=1)
+                    flags = pa.array([r.tobytes() for r in bits], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], flags], [*batch.schema.names[1:], "_flags"])
+
+            kinds = ", ".join(f"`{c}` double" for c in (y, *terms)) + ", _flags binary"
+            marked = design.select("_h", y, *terms).mapInArrow(mark, kinds).persist(StorageLevel.MEMORY_AND_DISK)
+            k = len(terms) + 1
+            coefs = np.repeat(np.array([start["const"], *(start[x] for x in terms), 0.0])[:, None], n_draws, axis=1)
+            live, before = np.arange(n_draws), np.full(n_draws, -np.inf)
+            last = np.zeros_like(coefs)
+            for _ in range(PLACEBO_STEPS):
+                got = marked.mapInArrow(_placebo_sums(k, coefs[:, live], live, n_draws), "draw int, task int, vec array<double>") \
+                    .groupBy("draw").applyInArrow(_placebo_step(k), "draw int, out array<double>").collect()  # a short row a draw
+                for r in got:
+                    d, (like, fall, info, *step) = r["draw"], r["out"]
+                    step = np.array(step)
+                    if not math.isfinite(fall) or not np.isfinite(step).all():
+                        done[d] = (None, None)
+                    elif like < before[d] - 1e-9 * abs(like):  # too far: back by half
+                        last[:, d] /= 2
+                        coefs[:, d] -= last[:, d]
+                    else:
+                        before[d], last[:, d] = like, step
+                        coefs[:, d] += step
+                        if fall < 1e-12:
+                            separate = info < glm.SEPARATION_CUT * m * (1 - m / n)
+                            done[d] = (None, None) if separate else (float(coefs[k, d]), 1 / math.sqrt(info))
+                live = np.array([d for d in range(n_draws) if d not in done])
+                if not len(live):
+                    break
+        rows = [(d, c, None if c is None else math.exp(c), se) for d in range(n_draws) for c, se in [done.get(d, (None, None))]]
+        return spark.createDataFrame(rows, "draw int, coef double, odds_ratio double, se double")
     finally:
         design.unpersist()
+        if marked is not None:
+            marked.unpersist()
 
 
 def placebo_summary(draws: DataFrame, actual_coef: float) -> DataFrame:

@@ -307,11 +307,10 @@ def q_logit_state_fe(spark, sf):
 
 @register("placebo_permutation", section="M")
 def q_placebo_permutation(spark, sf):
-    """500 permutation draws of the protected flag for the treated institution,
-    refit in one batched Newton job per iteration; a summary row with the actual fit."""
-    df = prep(spark, sf).where(F.col("institution") == TREAT).select(
-        "app_id", "approved", "is_black", "log_income", "log_loan_amount")
-    xs = ["is_black", "log_income", "log_loan_amount"]
+    """500 permutation draws of the protected flag for the treated institution, refit
+    with all controls in one batched Newton job per step; a summary row with the actual fit."""
+    xs = [*CREDIT, *RACE]
+    df = prep(spark, sf).where(F.col("institution") == TREAT).select("app_id", "approved", *xs)
     actual = glm.term(glm.logit(df, "approved", xs), "is_black").select("coef").first()["coef"]
     draws = CA.placebo_permutation(df, "approved", xs, "is_black", "app_id", n_draws=500)
     return rounded(CA.placebo_summary(draws, actual).select("*", F.lit(actual).alias("actual_coef")))

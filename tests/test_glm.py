@@ -177,3 +177,31 @@ def test_ridge_inputs_use_population_std(spark):
     scaled = fit_ridge(df).transform(df).select(vector_to_array("scaled")[0].alias("z"))
     z = np.array([r.z for r in scaled.collect()])
     assert abs(z.mean()) < 1e-9 and abs(z.std() - 1) < 1e-9
+
+
+def test_placebo_equals_separate_fits_with_all_controls(spark):
+    """Eight controls, one of them aliased, and the flag: each draw's coefficient and error as its own fit has them."""
+    from lodestar.operators import causal as CA
+    rng = np.random.default_rng(4)
+    n = 3000
+    X = np.column_stack([rng.normal(size=n), rng.lognormal(size=n), rng.normal(size=n) * 50, *(rng.random(n) < p for p in (.3, .5, .2, .1))]).astype(float)
+    X = np.column_stack([X, X[:, 3] + X[:, 4]])
+    flag = (rng.random(n) < .15).astype(float)
+    y = (rng.random(n) < 1 / (1 + np.exp(-(.3 + .5 * X[:, 0] - .1 * X[:, 1] - .7 * flag)))).astype(float)
+    names = [f"x{i}" for i in range(8)]
+    df = spark.createDataFrame([(i, float(a), float(f), *map(float, r)) for i, (a, f, r) in enumerate(zip(y, flag, X))],
+                               "id long, y double, f double, " + ", ".join(f"{x} double" for x in names)).repartition(5)
+    got = {r["draw"]: r for r in CA.placebo_permutation(df, "y", [*names[:4], "f", *names[4:]], "f", "id", n_draws=9).collect()}
+    h = np.array([r["h"] for r in df.select("id", F.xxhash64("id", F.lit(42)).alias("h")).orderBy("id").collect()], np.int64)
+    m = int(flag.sum())
+    for d in range(9):
+        z = CA._draw_hash(h, d)
+        on = (z <= np.sort(z)[m - 1]).astype(float)
+        assert on.sum() == m
+        A = np.column_stack([np.ones(n), X[:, :7], on])
+        b = _newton(A, y)
+        p = 1 / (1 + np.exp(-A @ b))
+        se = np.sqrt(np.linalg.inv((A * (p * (1 - p))[:, None]).T @ A)[-1, -1])
+        assert abs(got[d]["coef"] - b[-1]) < 1e-8 and abs(got[d]["se"] - se) < 1e-8
+    none = CA.placebo_permutation(df.withColumn("f", F.lit(0.0)), "y", ["x0", "f"], "f", "id", n_draws=3).collect()
+    assert len(none) == 3 and all(r["coef"] is None for r in none)

@@ -32,3 +32,19 @@ def test_window_panels_partition_on_entity(spark):
     plan = _plan(E.queries()["bank_feature_panel"](spark, SF))
     # one window exchange on the entity key over the aggregated panel
     assert plan.count("Exchange hashpartitioning(CERT") == 1
+
+
+def test_pivots_take_the_levels_that_the_data_holds(spark, tmp_path):
+    """Also levels that the oracle's list does not name."""
+    import shutil
+    from pyspark.sql import functions as F
+    from lodestar.plans import registry
+    registry.load_all()
+    for t in ("lineitem", "customer", "nation", "region"):
+        shutil.copy(f"{SF}/{t}.parquet", f"{tmp_path}/{t}.parquet")
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    o.withColumn("o_orderdate", F.expr("o_orderdate + make_interval(40)").cast(o.schema["o_orderdate"].dataType)).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.read.parquet(f"{SF}/events.parquet").withColumn("event_type", F.concat("event_type", F.lit("_x"))).write.parquet(f"{tmp_path}/events.parquet")
+    years = [int(c) for c in registry.QUERIES["pivot_counts"](spark, str(tmp_path)).columns if c != "institution"]
+    assert years and min(years) > 2030
+    assert all(c == "period" or c.endswith("_x") for c in registry.QUERIES["resample_quarter_mean"](spark, str(tmp_path)).columns)

@@ -1,7 +1,7 @@
 """Tables of whole-number vectors, and exact searches over them in blocks of falling length.
 
 Candidates are range-partitioned by falling length and packed, a block of rows
-to a row. A search takes the blocks in rounds, four times as many each time; a
+to a row. A search takes the blocks in rounds, sixteen times as many each time; a
 query goes only to rounds whose longest candidate can still reach its
 threshold, which rises from round to round.
 """
@@ -102,7 +102,7 @@ def by_length(rows: DataFrame, d: int, most: int = CANDIDATES) -> tuple[DataFram
 Score = Callable[[Block, Block], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def search(queries: DataFrame, blocks: DataFrame, parts: int, d: int, score: Score, k: int, growth: int = 4, most: int = QUERIES) -> DataFrame:
+def search(queries: DataFrame, blocks: DataFrame, parts: int, d: int, score: Score, k: int, growth: int = 16, most: int = QUERIES) -> DataFrame:
     """(id, slot, vec_id, score): for each slot of ``queries`` (id, label, v, norm, slots: array of (lo, hi)) its ``k``
     best candidates, ties to smaller ids. ``score`` gives (id, slot, candidate, score) of a pair of blocks: all
     candidates that can be among the k best of a slot, in any order."""

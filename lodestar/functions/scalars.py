@@ -86,22 +86,13 @@ def dti_midpoint(c: ColumnOrName, variant: str = "A") -> Column:
     """
     s = _c(c).cast("string")
 
-    def strip_all(x: Column) -> Column:
-        return F.trim(F.replace(F.replace(F.replace(x, F.lit("%"), F.lit("")), F.lit("<"), F.lit("")),
-                                F.lit(">"), F.lit("")))
-
-    if variant.upper() == "B":
-        v = strip_all(s)
-        ranged_src = v
-    else:
-        v = strip_all(s)
-        ranged_src = F.replace(s, F.lit("%"), F.lit(""))
-    parts = F.split(ranged_src, "-")
-    mid = (F.get(parts, 0).try_cast("double") + F.get(parts, 1).try_cast("double")) / 2
-    ranged = F.when(F.size(parts) == 2, mid)
-    single = v.try_cast("double")
-    out = F.when(F.contains(ranged_src, F.lit("-")), ranged).otherwise(single)
-    return nan_to_null(out)
+    v = F.trim(F.translate(s, "%<>", ""))
+    ranged_src = v if variant.upper() == "B" else F.replace(s, F.lit("%"), F.lit(""))
+    # one dash, and none of the signs that no number has: a failed cast throws within the JVM, which is dear
+    two = (F.length(ranged_src) - F.length(F.translate(ranged_src, "-", "")) == 1) & (F.translate(ranged_src, "<>", "") == ranged_src)
+    mid = (F.substring_index(ranged_src, "-", 1).try_cast("double") + F.substring_index(ranged_src, "-", -1).try_cast("double")) / 2
+    out = F.when(F.contains(ranged_src, F.lit("-")), F.when(two, mid)).otherwise(v.try_cast("double"))
+    return F.nanvl(out, F.lit(None).cast("double"))
 
 
 def indicator(cond: Column) -> Column:

@@ -177,19 +177,24 @@ def placebo_cuts(design: DataFrame, n: int, m: int, n_draws: int, width: float =
     whole = float(1 << 63)
 
     def cuts(draws: list[int], lo: int, hi: int) -> dict[int, int]:
+        def batch(draw, z, below):
+            return pa.RecordBatch.from_arrays([pa.array(draw, pa.int32()), pa.array(z, pa.int64()), pa.array(below, pa.int64())], ["draw", "z", "below"])
+
         def fn(it):
-            below = dict.fromkeys(draws, 0)
-            for pdf in it:
-                h = pdf["_h"].to_numpy(dtype=np.int64)
-                for d in draws:
+            below = np.zeros(len(draws), np.int64)
+            for b in it:
+                h, inside = b.column(0).to_numpy(), []
+                for i, d in enumerate(draws):
                     z = _draw_hash(h, d)
-                    below[d] += int((z < lo).sum())
-                    z = z[(z >= lo) & (z <= hi)]
-                    if len(z):
-                        yield pd.DataFrame({"draw": d, "z": z, "below": 0})
-            yield pd.DataFrame({"draw": draws, "z": -1, "below": [below[d] for d in draws]})
-
-        rows = design.select("_h").mapInPandas(fn, "draw int, z long, below long")
+                    z = z[z <= hi]
+                    keep = z >= lo
+                    below[i] += len(z) - int(keep.sum())
+                    inside.append(z[keep])
+                z = np.concatenate(inside)
+                yield batch(np.repeat(draws, [len(x) for x in inside]), z, np.zeros(len(z), np.int64))
+            yield batch(draws, np.full(len(draws), -1), below)
+
+        rows = design.select("_h").mapInArrow(fn, "draw int, z long, below long")
         under = rows.where("z < 0").groupBy("draw").agg(F.sum("below").alias("u"))
         rank = F.row_number().over(Window.partitionBy("draw").orderBy("z"))
         found = rows.where("z >= 0").withColumn("r", rank).join(under, "draw").where(F.col("r") + F.col("u") == m)
@@ -204,128 +209,168 @@ def placebo_cuts(design: DataFrame, n: int, m: int, n_draws: int, width: float =
     return np.array([got[d] for d in range(n_draws)], np.int64)
 
 
-#: rows whose products with all draws are formed at once; Newton steps at most
-PLACEBO_ROWS, PLACEBO_STEPS = 1024, 25
+#: rows whose products with all draws are formed at once; Newton steps at most; draws solved together; rows that a start is fitted on
+PLACEBO_ROWS, PLACEBO_STEPS, PLACEBO_BLOCK, PLACEBO_START = 512, 25, 64, 20_000
 
 
-def _placebo_sums(fixed: int, coefs: np.ndarray, live: np.ndarray, n_draws: int):
-    """A task's sums for one Newton step of all live draws, a row a draw: the fixed columns' part of the Hessian (upper
-    triangle), its flag column, the gradient, and the log-likelihood. The products of the fixed columns are formed once for a
+def _placebo_sums(coefs: np.ndarray, live: np.ndarray):
+    """A task's sums for one Newton step of the live draws, a row for each PLACEBO_BLOCK of them: the fixed columns' part of the
+    Hessian (upper triangle), its flag column, and the gradient. The products of the fixed columns are formed once for a
     block of rows and weighted for all draws by one matrix product."""
+    fixed = len(coefs) - 1
     upper = np.triu_indices(fixed)
+    every = len(live) == live[-1] + 1
 
     def fn(batches):
-        total = np.zeros((len(upper[0]) + 2 * fixed + 3, len(live)))
-        parts = np.split(total, np.cumsum([len(upper[0]), fixed, 1, fixed, 1]))
+        total = np.zeros((len(upper[0]) + 2 * fixed + 2, len(live)))
+        parts = np.split(total, np.cumsum([len(upper[0]), fixed, 1, fixed]))
         for batch in batches:
             cols = [c.to_numpy() for c in batch.columns[:-1]]
             flags = np.frombuffer(b"".join(batch.columns[-1].to_pylist()), np.uint8).reshape(len(cols[0]), -1)
             for lo in range(0, len(flags), PLACEBO_ROWS):
                 y, *x = (c[lo:lo + PLACEBO_ROWS] for c in cols)
                 X = np.column_stack([np.ones(len(y)), *x])
-                Z = np.unpackbits(flags[lo:lo + PLACEBO_ROWS], axis=1, count=n_draws)[:, live].astype(np.float64)
-                eta = X @ coefs[:fixed] + Z * coefs[fixed]
-                e = np.exp(-np.abs(eta))
-                mu = np.where(eta >= 0, 1, e) / (1 + e)
-                w = e / (1 + e) ** 2
-                r = y[:, None] - mu
+                Z = np.unpackbits(flags[lo:lo + PLACEBO_ROWS], axis=1, count=int(live[-1]) + 1)
+                Z = (Z if every else Z[:, live]).astype(np.float64)
+                mu = Z * (coefs[fixed] / 2)
+                mu += X @ (coefs[:fixed] / 2)
+                np.tanh(mu, out=mu)
+                mu += 1
+                mu /= 2
+                w = mu * (1 - mu)
+                np.subtract(y[:, None], mu, out=mu)  # residuals
                 parts[0] += (X[:, upper[0]] * X[:, upper[1]]).T @ w
-                parts[5] += (eta * (y[:, None] - (eta > 0)) - np.log1p(e)).sum(axis=0)
+                parts[3] += X.T @ mu
+                parts[4] += np.einsum("ij,ij->j", mu, Z)
                 w *= Z
                 parts[1] += X.T @ w
                 parts[2] += w.sum(axis=0)
-                parts[3] += X.T @ r
-                parts[4] += np.einsum("ij,ij->j", r, Z)
-        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array(np.full(len(live), TaskContext.get().partitionId()), pa.int32()),
-                                          pa.array(list(total.T), pa.list_(pa.float64()))], ["draw", "task", "vec"])
+        begin = np.arange(0, len(live), PLACEBO_BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(begin, pa.int32()), pa.array(np.full(len(begin), TaskContext.get().partitionId()), pa.int32()), pa.array(
+            [total[:, i:i + PLACEBO_BLOCK].ravel() for i in begin], pa.list_(pa.float64()))], ["block", "task", "vec"])
     return fn
 
 
-def _placebo_step(fixed: int):
-    """Newton step of one draw from its tasks' sums: (draw, log-likelihood, decrement, information on the flag, steps)."""
+def _placebo_step(fixed: int, live: np.ndarray):
+    """Newton steps of a block of draws from the tasks' sums: (draw, decrement, information on the flag, step)."""
     q = fixed * (fixed + 1) // 2
 
     def solve(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("task").combine_chunks()
-        v = rows["vec"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0)
-        H = np.zeros((fixed + 1, fixed + 1))
-        H[np.triu_indices(fixed)] = v[:q]
-        H[:fixed, fixed], H[fixed, fixed] = v[q:q + fixed], v[q + fixed]
-        H = np.triu(H) + np.triu(H, 1).T
-        g = v[q + fixed + 1:q + 2 * fixed + 2]
-        d = np.sqrt(np.maximum(np.diag(H), 1e-300))
-        try:
-            inv = np.linalg.inv(H / np.outer(d, d)) / np.outer(d, d)
-            step, info = inv @ g, 1 / inv[fixed, fixed]
-        except np.linalg.LinAlgError:
-            step, info = np.full(fixed + 1, np.nan), 0.0
-        out = [float(v[-1]), float(g @ step), float(info), *step.tolist()]
-        return pa.table({"draw": rows["draw"].slice(0, 1), "out": pa.array([out], pa.list_(pa.float64()))})
+        v = rows["vec"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0).reshape(q + 2 * fixed + 2, -1)
+        n = v.shape[1]
+        H = np.zeros((n, fixed + 1, fixed + 1))
+        i, j = np.triu_indices(fixed)
+        H[:, i, j] = H[:, j, i] = v[:q].T
+        H[:, :fixed, fixed] = H[:, fixed, :fixed] = v[q:q + fixed].T
+        H[:, fixed, fixed] = v[q + fixed]
+        g = v[q + fixed + 1:].T
+        d = np.sqrt(np.maximum(np.einsum("kii->ki", H), 1e-300))
+        H /= d[:, :, None] * d[:, None, :]
+        out = np.full((n, fixed + 3), np.nan)
+        for k in range(n):
+            try:
+                inv = np.linalg.inv(H[k]) / np.outer(d[k], d[k])
+                step = inv @ g[k]
+                out[k] = g[k] @ step, 1 / inv[fixed, fixed], *step
+            except np.linalg.LinAlgError:
+                pass
+        begin = rows["block"][0].as_py()
+        return pa.table({"draw": pa.array(live[begin:begin + n], pa.int32()), "out": pa.array(list(out), pa.list_(pa.float64()))})
     return solve
 
 
+def _start(X: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Newton steps on a sample, as far as they go: a start for the fits on all rows."""
+    b = np.zeros(X.shape[1])
+    for _ in range(12):
+        p = 1 / (1 + np.exp(-X @ b))
+        step = np.linalg.lstsq((X * (p * (1 - p))[:, None]).T @ X, X.T @ (y - p), rcond=None)[0]
+        if not np.isfinite(step).all() or np.abs(X @ (b + step)).max() > 15:
+            break
+        b = b + step
+    return b
+
+
 def placebo_permutation(df: DataFrame, y: str, xs: Sequence[str], flag: str, key: str, n_draws: int = 500,
-                        seed: int = 42) -> DataFrame:
-    """Refit the logit n_draws times with the 0/1 flag permuted over all rows; one row per draw.
+                        seed: int = 42, actual: bool = False) -> DataFrame:
+    """Refit the logit n_draws times with the 0/1 flag permuted over all rows; one row per draw
+    (and with ``actual`` one for the flag as it is, as draw -1).
 
     A permuted flag is a random set of as many rows as the flag marks: those
     with the smallest draw hashes of ``key``. It depends on neither partitions
     nor row order, margins are kept exactly (rows that share a key share its
     hash), and the rows are read batch by batch, never copied per draw: a row carries its flags of all draws as bits. All draws
-    take a Newton step in one pass over the rows, as matrix products, starting from the fit without the flag."""
+    take a Newton step in one pass over the rows, as matrix products, starting from a fit without the flag (on a bounded
+    sample by hash: it is where they start only). Terms that the ones before them explain are left out; a draw that
+    separates the outcomes gives nulls."""
     spark = df.sparkSession
     fixed = [x for x in xs if x != flag]
     design = (df.select(F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), F.col(y).cast("double").alias(y),
-                        *[F.col(x).cast("double").alias(x) for x in xs]).dropna()
+                        *[F.col(x).cast("double").alias(x) for x in [*fixed, flag]]).dropna()
               .repartition(spark.sparkContext.defaultParallelism, "_h").persist(StorageLevel.MEMORY_AND_DISK))
+
+    def gram(batches):
+        total, bad, k = np.zeros((len(fixed) + 2,) * 2), 0, len(fixed) + 1
+        for b in batches:
+            X = np.column_stack([np.ones(b.num_rows), *(c.to_numpy() for c in b.columns)])
+            bad += int((~np.isin(X[:, k], (0.0, 1.0))).sum())
+            total += X.T @ X
+        yield pa.RecordBatch.from_arrays([pa.array([[*total.ravel(), bad]], pa.list_(pa.float64()))], ["vec"])
+
     marked = None
     try:
-        t = design.agg(F.count(F.lit(1)).alias("n"), F.sum(flag).alias("m"),
-                       F.bool_and(F.col(flag).isin(0.0, 1.0)).alias("ok")).first()
-        n, m = t["n"], int(t["m"] or 0)
-        if n and not t["ok"]:
+        sums = glm._sum_partials(design.select(*fixed, flag).mapInArrow(gram, "vec array<double>"), [])[()]
+        XX = sums[:-1].reshape(len(fixed) + 2, -1)
+        n, m = int(XX[0, 0]), int(XX[0, -1])
+        if sums[-1]:
             raise ValueError(f"{flag} must be a 0/1 flag")
-        start = {r["term"]: r["coef"] for r in glm.logit(design, y, fixed).select("term", "coef").collect()}
-        done: dict[int, tuple[float, float]] = {}
-        if 0 < m < n and start.get("const") is not None:
+        done: dict[int, tuple] = {}
+        if 0 < m < n:
+            mask = glm.independent(XX[:-1, :-1])
+            terms = [x for x, ok in zip(fixed, mask[1:]) if ok]
             cuts = placebo_cuts(design, n, m, n_draws)
-            terms = [x for x in fixed if start.get(x) is not None]  # aliased ones left out
+            few = design.where(F.pmod("_h", F.lit(1 << 30)) <= int(min(1.0, PLACEBO_START / n) * (1 << 30))).select(y, *terms).toArrow()
+            cols = [c.to_numpy() for c in few.columns]
+            k = len(terms) + 1
+            base = _start(np.column_stack([np.ones(few.num_rows), *cols[1:]]), cols[0])
 
             def mark(batches):
                 for batch in batches:
                     h = batch.column(0).to_numpy()
-                    on = np.stack([_draw_hash(h, d) <= cuts[d] for d in range(n_draws)], axis=1)
-                    bits = np.packbits(on, axis=1)
-                    flags = pa.array([r.tobytes() for r in bits], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*batch.columns[1:], flags], [*batch.schema.names[1:], "_flags"])
+                    on = np.empty((len(h), n_draws + 1), bool)
+                    on[:, 0] = batch.column(1).to_numpy() == 1
+                    for d in range(n_draws):
+                        on[:, d + 1] = _draw_hash(h, d) <= cuts[d]
+                    flags = pa.array([r.tobytes() for r in np.packbits(on, axis=1)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*batch.columns[2:], flags], [*batch.schema.names[2:], "_flags"])
 
             kinds = ", ".join(f"`{c}` double" for c in (y, *terms)) + ", _flags binary"
-            marked = design.select("_h", y, *terms).mapInArrow(mark, kinds).persist(StorageLevel.MEMORY_AND_DISK)
-            k = len(terms) + 1
-            coefs = np.repeat(np.array([start["const"], *(start[x] for x in terms), 0.0])[:, None], n_draws, axis=1)
-            live, before = np.arange(n_draws), np.full(n_draws, -np.inf)
-            last = np.zeros_like(coefs)
+            marked = design.select("_h", flag, y, *terms).mapInArrow(mark, kinds).persist(StorageLevel.MEMORY_AND_DISK)
+            live = np.arange(0 if actual else 1, n_draws + 1)
+            coefs = np.repeat(np.append(base, 0.0)[:, None], n_draws + 1, axis=1)
+            before, last = np.full(n_draws + 1, np.inf), np.zeros_like(coefs)
             for _ in range(PLACEBO_STEPS):
-                got = marked.mapInArrow(_placebo_sums(k, coefs[:, live], live, n_draws), "draw int, task int, vec array<double>") \
-                    .groupBy("draw").applyInArrow(_placebo_step(k), "draw int, out array<double>").collect()  # a short row a draw
+                got = marked.mapInArrow(_placebo_sums(coefs[:, live], live), "block int, task int, vec array<double>") \
+                    .groupBy("block").applyInArrow(_placebo_step(k, live), "draw int, out array<double>").collect()  # a short row a draw
                 for r in got:
-                    d, (like, fall, info, *step) = r["draw"], r["out"]
-                    step = np.array(step)
-                    if not math.isfinite(fall) or not np.isfinite(step).all():
+                    d, (fall, info, *step) = r["draw"], r["out"]
+                    if not np.isfinite([fall, info, *step]).all():
                         done[d] = (None, None)
-                    elif like < before[d] - 1e-9 * abs(like):  # too far: back by half
+                    elif fall > 4 * before[d]:  # too far: back by half
                         last[:, d] /= 2
                         coefs[:, d] -= last[:, d]
                     else:
-                        before[d], last[:, d] = like, step
+                        before[d], last[:, d] = fall, step
                         coefs[:, d] += step
                         if fall < 1e-12:
                             separate = info < glm.SEPARATION_CUT * m * (1 - m / n)
                             done[d] = (None, None) if separate else (float(coefs[k, d]), 1 / math.sqrt(info))
-                live = np.array([d for d in range(n_draws) if d not in done])
+                live = np.array([d for d in live if d not in done])
                 if not len(live):
                     break
-        rows = [(d, c, None if c is None else math.exp(c), se) for d in range(n_draws) for c, se in [done.get(d, (None, None))]]
+        rows = [(d - 1, c, None if c is None else math.exp(c), se) for d in range(0 if actual else 1, n_draws + 1)
+                for c, se in [done.get(d, (None, None))]]
         return spark.createDataFrame(rows, "draw int, coef double, odds_ratio double, se double")
     finally:
         design.unpersist()

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.session import stored
 
@@ -56,8 +57,8 @@ def quantile_flags(df: DataFrame, c: str, lo_p: float = 0.25, hi_p: float = 0.75
 
 # ---------------------------------------------------------------- exact quantiles at scale
 
-#: bits of a histogram digit; values of an open bin that the last digit takes in one go
-DIGIT, FEW = 16, 4096
+#: bits of a histogram digit; values of an open bin that the last digit takes in one go; open ranks that a plan holds as literals
+DIGIT, FEW, INLINE = 20, 1 << 16, 1000
 
 
 def ordered_image(x) -> F.Column:
@@ -66,48 +67,64 @@ def ordered_image(x) -> F.Column:
     return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
 
-def _double(image) -> F.Column:
-    bits = F.when(image < 0, image.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(image)
-    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+def _coarse(x) -> F.Column:
+    """A whole number that never falls as the double rises: a few thousand steps over the numbers of common size."""
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(1024.0)).cast("long")
 
 
-def radix_select(images: DataFrame, by: Sequence[str], targets) -> DataFrame:
-    """(by..., target, image): per group the ``_i`` of given ranks, by digits of the 64-bit image. Runs jobs when called.
+def radix_select(rows: DataFrame, by: Sequence[str], targets, coarse, image) -> DataFrame:
+    """(by..., target, value): per group the values ``_x`` at given ranks. Runs jobs when called.
 
-    ``targets``: from a group's number of rows (a column) an array of structs with a long ``rank``. A pass counts each group's
-    values by the next digit, with the least and greatest value of each bin: one partial aggregation, whose rows are bounded by
-    groups x bins. A rank at either end of its bin, or in a bin of one value, is found; for the others the next pass reads the
-    rows of their bins only. No values are stored, and no group meets in one task."""
-    by = list(by)
-    shift, open_, out = 64 - DIGIT, None, None
+    ``targets``: from a group's number of rows (a column) an array of structs with a long ``rank``. ``coarse`` and ``image``: of a
+    value, a rough and an exact whole number that order like it. The first pass counts each group's values by the rough number, the
+    later ones by digits of the exact one, with the least and greatest value of each bin: one partial aggregation, whose rows are
+    bounded by groups x bins. A rank at either end of its bin, or in a bin of one value, is found; for the others the next pass
+    reads the rows of their bins only. No values are stored, and no group meets in one task."""
+    by, spark = list(by), rows.sparkSession
+    x, keys, shift = F.col("_x"), [*by, "_q", "_p"], 64
+    first = rows.select(*by, F.lit(0).cast("long").alias("_q"), F.lit(0).cast("long").alias("_p"), "_x", coarse(x).alias("_b"))
+    part, open_, out = first, None, None
     while True:
-        bin_ = F.shiftright("_i", shift).alias("_b")
-        rows = images.select(*by, F.lit(0).cast("long").alias("_p"), "_i", bin_) if open_ is None else \
-            images.withColumn("_p", F.shiftright("_i", last)).join(open_.select(*by, "_p"), [*by, "_p"]).select(*by, "_p", "_i", bin_)
-        hist = rows.groupBy(*by, "_p", "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
-        w = Window.partitionBy(*by, "_p")  # bins of one prefix
+        hist = part.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+        w = Window.partitionBy(*keys)  # bins of one prefix
         hist = hist.withColumn("_end", F.sum("_c").over(w.orderBy("_b")))
-        if open_ is None:
-            hist = hist.withColumn("_t", targets(F.sum("_c").over(w)))
-        else:
-            hist = hist.join(open_, [*by, "_p"])
+        hist = hist.withColumn("_t", targets(F.sum("_c").over(w))) if open_ is None else hist.join(open_, keys)
         begin = F.col("_end") - F.col("_c")
-        hit = hist.select(*by, "_b", "_c", "_lo", "_hi", begin.alias("_begin"),
+        hit = hist.select(*by, "_q", "_b", "_c", "_lo", "_hi", begin.alias("_begin"),
                           F.explode(F.filter("_t", lambda t: (t["rank"] >= begin) & (t["rank"] < F.col("_end")))).alias("target"))
         rank = F.col("target")["rank"] - F.col("_begin")
-        image = F.when((rank == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).when(rank == F.col("_c") - 1, F.col("_hi"))
-        # a row for each target
-        step = stored(hit.select(*by, "target", F.col("_b").alias("_p"), rank.alias("_rank"), "_c", image.alias("image")), "radix")
-        found = step.where(F.col("image").isNotNull()).select(*by, "target", "image")
+        value = F.when((rank == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")).when(rank == F.col("_c") - 1, F.col("_hi"))
+        # a row for each target; after the first pass its bin is the rough number
+        bin_ = ("_b", F.lit(0).cast("long")) if open_ is None else ("_q", F.col("_b"))
+        step = stored(hit.select(*by, "target", F.col(bin_[0]).alias("_q"), bin_[1].alias("_p"), rank.alias("_rank"), "_c", value.alias("value")), "radix")
+        found = step.where(F.col("value").isNotNull()).select(*by, "target", "value")
         out = found if out is None else out.unionByName(found)
-        left = step.where(F.col("image").isNull())
-        most = left.agg(F.max("_c")).first()[0]
-        if most is None:
+        left = step.where(F.col("value").isNull())
+        fields = step.schema["target"].dataType.names
+        some = left.limit(INLINE + 1).collect()
+        if not some:
             return out
-        target = F.struct(F.col("_rank").alias("rank"), *[F.col("target")[f].alias(f) for f in step.schema["target"].dataType.names if f != "rank"])
-        open_ = left.groupBy(*by, "_p").agg(F.collect_list(target).alias("_t"))  # its targets
-        open_ = stored(open_, "radix-open")
+        if len(some) <= INLINE:  # few ranks: they travel with the plan
+            most, marks = max(r["_c"] for r in some), {}
+            for r in some:
+                marks.setdefault(tuple(r[k] for k in keys), []).append((r["_rank"], *(r["target"][f] for f in fields if f != "rank")))
+            schema = T.StructType([step.schema[k] for k in keys] + [T.StructField("_t", T.ArrayType(T.StructType(
+                [T.StructField("rank", T.LongType())] + [f for f in step.schema["target"].dataType if f.name != "rank"])))])
+            open_ = F.broadcast(spark.createDataFrame([(*k, t) for k, t in marks.items()], schema))
+        else:
+            most = left.agg(F.max("_c")).first()[0]
+            target = F.struct(F.col("_rank").alias("rank"), *[F.col("target")[f].alias(f) for f in fields if f != "rank"])
+            open_ = stored(left.groupBy(*keys).agg(F.collect_list(target).alias("_t")), "radix-open")  # its targets
         last, shift = shift, 0 if most <= FEW else max(0, shift - DIGIT)
+        # prefix so far: the bits of the image above ``last``
+        prefix = F.lit(0).cast("long") if last == 64 else F.shiftright("_i", last)
+        marks = open_.select(*keys)
+        part = rows.select(*by, "_x", coarse(x).alias("_q"))
+        if last == 64:
+            part = part.withColumn("_p", prefix).join(marks, keys).withColumn("_i", image(x))
+        else:
+            part = part.join(marks.select(*by, "_q").distinct(), [*by, "_q"]).withColumn("_i", image(x)).withColumn("_p", prefix).join(marks, keys)
+        part = part.select(*keys, "_x", F.shiftright("_i", shift).alias("_b"))
 
 
 def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -129,10 +146,9 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[
                                     (F.lit(p) * (n - 1) - k).alias("frac")))
         return F.array(*out)
 
-    found = radix_select(rows.select(*by, ordered_image(x).alias("_i")), by, targets)
-    of = lambda up: F.max(F.when(F.col("target")["up"] == up, F.col("image")))
+    found = radix_select(rows.select(*by, x.alias("_x")), by, targets, _coarse, ordered_image)
+    of = lambda up: F.max(F.when(F.col("target")["up"] == up, F.col("value")))
     both = found.groupBy(*by, F.col("target")["q"].alias("q_index")).agg(of(0).alias("_v0"), of(1).alias("_v1"), F.max(F.col("target")["frac"]).alias("_f"))
-    both = both.withColumns({v: _double(F.col(v)) for v in ("_v0", "_v1")})
     value = F.when(F.col("_f") == 0, F.col("_v0")).otherwise((F.lit(1.0) - F.col("_f")) * F.col("_v0") + F.col("_f") * F.col("_v1"))
     prob = F.array(*[F.lit(p) for p in probs])[F.col("q_index")]
     return both.select(*by, F.col("q_index").cast("int").alias("q_index"), prob.alias("prob"), value.alias("value"))
@@ -167,6 +183,6 @@ def kth_smallest(df: DataFrame, c: str, by: Sequence[str], ranks: DataFrame) ->
     by = list(by)
     rows = df.where(F.col(c).isNotNull()).join(ranks.select(*by, F.col("k").cast("long").alias("_k")), by)
     # the rank rides in front of the value's group
-    found = radix_select(rows.select(*by, "_k", F.col(c).cast("long").alias("_i")), [*by, "_k"],
-                         lambda n: F.array(F.struct(F.col("_k").alias("rank"))))
-    return found.select(*by, F.col("_k").alias("k"), F.col("image").alias("value"))
+    found = radix_select(rows.select(*by, "_k", F.col(c).cast("long").alias("_x")), [*by, "_k"],
+                         lambda n: F.array(F.struct(F.col("_k").alias("rank"))), lambda x: F.shiftright(x, 48), lambda x: x)
+    return found.select(*by, F.col("_k").alias("k"), "value")

@@ -191,12 +191,13 @@ def test_placebo_equals_separate_fits_with_all_controls(spark):
     names = [f"x{i}" for i in range(8)]
     df = spark.createDataFrame([(i, float(a), float(f), *map(float, r)) for i, (a, f, r) in enumerate(zip(y, flag, X))],
                                "id long, y double, f double, " + ", ".join(f"{x} double" for x in names)).repartition(5)
-    got = {r["draw"]: r for r in CA.placebo_permutation(df, "y", [*names[:4], "f", *names[4:]], "f", "id", n_draws=9).collect()}
+    got = {r["draw"]: r for r in CA.placebo_permutation(df, "y", [*names[:4], "f", *names[4:]], "f", "id", n_draws=9, actual=True).collect()}
     h = np.array([r["h"] for r in df.select("id", F.xxhash64("id", F.lit(42)).alias("h")).orderBy("id").collect()], np.int64)
     m = int(flag.sum())
-    for d in range(9):
+    assert sorted(got) == list(range(-1, 9))
+    for d in range(-1, 9):
         z = CA._draw_hash(h, d)
-        on = (z <= np.sort(z)[m - 1]).astype(float)
+        on = (z <= np.sort(z)[m - 1]).astype(float) if d >= 0 else flag
         assert on.sum() == m
         A = np.column_stack([np.ones(n), X[:, :7], on])
         b = _newton(A, y)

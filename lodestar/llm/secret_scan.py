@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,11 +39,13 @@ DICTIONARY = 20_000
 LONGEST_WORD = 20
 #: walks up to this long may also end before their last character
 SHORT_WALK = 32
+#: periods tried at every place; longer ones where so many characters recur. Stretches up to SHORT_RUN may also be taken from within
+PERIODS, SHORT_RUN = 8, 64
 #: fixed values: passwords that guessers try first
 COMMON = ("password 123456 12345678 qwerty abc123 letmein monkey dragon iloveyou trustno1 sunshine master welcome shadow "
           "ashley football jesus michael ninja mustang password1 admin login passw0rd starwars hello freedom whatever "
           "secret token changeme change example test demo default guest root user pass key none null true false your "
-          "here insert xxxx todo placeholder redacted hidden sample dummy temp").split()
+          "here insert xxxx todo placeholder redacted hidden sample dummy temp lorem ipsum dolor").split()
 #: fixed values: rows of a keyboard, and the alphabet
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz")
 LEET = str.maketrans("@4031!$57", "aaoeiisst")
@@ -81,61 +84,107 @@ def ranks(words: list[str]) -> dict[str, float]:
     return out
 
 
-def spans(value: str, dictionary: dict[str, float]):
-    """(start, end, log10 guesses, kind) of every segment that is not brute force."""
-    low = value.lower()
-    plain = low.translate(LEET)
-    n = len(value)
-    same = []  # for each period: how far from each place characters equal those one period on
-    for period in range(1, 9):
-        run = [0] * (n + 1)
-        for i in range(n - period - 1, -1, -1):
-            run[i] = run[i + 1] + 1 if value[i] == value[i + period] else 0
-        same.append(run)
-    walk, turns = list(range(n)), [0] * (n + 1)  # the walk's last place from each place; turns up to each place
-    for i in range(n - 2, -1, -1):
-        if low[i:i + 2] in NEAR:
-            walk[i] = walk[i + 1]
-    for j in range(2, n):
-        turns[j] = turns[j - 1] + ((low[j] > low[j - 1]) != (low[j - 1] > low[j - 2]))
-    for i in range(n):
+def _common(value: str, i: int, j: int) -> int:
+    """How far the value's characters from ``i`` and from ``j`` > i agree."""
+    n, size = 0, 16
+    while j + n < len(value) and value[i + n:i + n + size] == value[j + n:j + n + size] and j + n + size <= len(value):
+        n, size = n + size, size * 2
+    while j + n < len(value):
+        size = max(1, size // 2)
+        if j + n + size <= len(value) and value[i + n:i + n + size] == value[j + n:j + n + size]:
+            n += size
+        elif size == 1:
+            break
+    return n
+
+
+class Segments:
+    """The segments of a value that are not brute force, worked out from each place when asked for."""
+
+    def __init__(self, value: str, dictionary: dict[str, float]):
+        self.value, self.low, self.dictionary = value, value.lower(), dictionary
+        if len(self.low) != len(value):  # a letter whose lower case is longer
+            self.low = "".join(c if len(c.lower()) > 1 else c.lower() for c in value)
+        self.plain = self.low.translate(LEET)
+        self.walk = (0, 0, [])  # the last walk met: its ends, and its turns up to each place
+
+    def _walk(self, i: int) -> tuple[int, int, list[int]]:
+        """The stretch of keys next to each other that holds place ``i``, read from there on."""
+        first, last, turns = self.walk
+        if not first <= i < last:
+            low, j = self.low, i
+            turns = [0, 0]
+            while j + 1 < len(low) and low[j:j + 2] in NEAR:
+                j += 1
+                if j - i > 1:
+                    turns.append(turns[-1] + ((low[j] > low[j - 1]) != (low[j - 1] > low[j - 2])))
+            self.walk = first, last, turns = i, j, turns
+        return first, last, turns
+
+    def at(self, i: int):
+        """(end, log10 guesses, kind) of the segments that start at ``i``."""
+        value, low, dictionary, n = self.value, self.low, self.dictionary, len(self.value)
         for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
             w = low[i:j]
             cost = dictionary.get(w)
-            if cost is None and plain[i:j] != w and (cost := dictionary.get(plain[i:j])) is not None:
+            if cost is None and self.plain[i:j] != w and (cost := dictionary.get(self.plain[i:j])) is not None:
                 cost += math.log10(2)
             if cost is not None:
-                yield i, j, cost + (0 if value[i:j] == w else math.log10(2)), "word"
+                yield j, cost + (0 if value[i:j] == w else math.log10(2)), "word"
         m = DATE.match(value, i)
         if m:
-            yield i, m.end(), YEARS if m.end() - i == 4 else DAYS + math.log10(4) * bool(m.group(1) or m.group(2)), "date"
-        for period, run in enumerate(same, 1):
-            times = run[i] // period + 1
-            if times > 1 and times * period >= 3:
-                yield i, i + times * period, sum(map(brute, value[i:i + period])) + math.log10(times), "repeat"
-        end = walk[i]
-        # all short walks, and the whole of a long one
-        for j in [*range(i + 2, min(end, i + SHORT_WALK - 1) + 1), *([end] if end > i + SHORT_WALK - 1 else [])]:
-            yield i, j + 1, math.log10(47) + (turns[j] - turns[i + 1]) * math.log10(4) + math.log10(j - i + 1), "walk"
-
-
-def guess_cost(value: str, dictionary: dict[str, float]) -> float:
-    """log10 of the least guesses over all segmentations of a value (linear in its length)."""
-    n = len(value)
-    at: list[list] = [[] for _ in range(n)]
-    for i, j, cost, _ in spans(value, dictionary):
-        at[i].append((j, cost))
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        best[i + 1] = min(best[i + 1], best[i] + brute(value[i]))  # a brute-force span goes on by one character
-        for j, cost in at[i]:
-            best[j] = min(best[j], best[i] + SEGMENT + cost)
-    return best[n]
-
-
-def _value_end(text: str, start: int, end: int) -> int:
-    """End of the whole value whose part up to ``end`` the base pattern takes; a quoted one ends at its quote."""
-    whole = VALUE.match(text, start).end()
+            yield m.end(), YEARS if m.end() - i == 4 else DAYS + math.log10(4) * bool(m.group(1) or m.group(2)), "date"
+        if low[i:i + 2] in NEAR:
+            first, end, turns = self._walk(i)
+            # all short walks, and the whole of a long one
+            for j in [*range(i + 2, min(end, i + SHORT_WALK - 1) + 1), *([end] if end > i + SHORT_WALK - 1 else [])]:
+                yield j + 1, math.log10(47) + (turns[j - first] - turns[i + 1 - first]) * math.log10(4) + math.log10(j - i + 1), "walk"
+        periods = [p for p in range(1, PERIODS + 1) if value[i:i + p] == value[i + p:i + 2 * p]]
+        far = value.find(value[i:i + PERIODS], i + PERIODS + 1) - i if i + 2 * PERIODS < n else 0
+        if far > PERIODS:
+            periods.append(far)
+        for period in periods:
+            length = _common(value, i, i + period) + period
+            times = length // period
+            begins = not i or value[i - 1] != value[i + period - 1]
+            if times > 1 and times * period >= 3 and (begins or length <= SHORT_RUN):
+                # what is repeated: as cheap as its own segments where the stretch begins
+                base = value[i:i + period]
+                once = guess_cost(base, dictionary) if begins and period > 1 else sum(map(brute, base))
+                yield i + times * period, once + math.log10(times), "repeat"
+
+
+def spans(value: str, dictionary: dict[str, float]):
+    """(start, end, log10 guesses, kind) of every segment that is not brute force."""
+    segments = Segments(value, dictionary)
+    for i in range(len(value)):
+        yield from ((i, *x) for x in segments.at(i))
+
+
+def guess_cost(value: str, dictionary: dict[str, float], enough: float = math.inf) -> float:
+    """log10 of the least guesses over all segmentations of a value, or ``enough`` if they are as many: no way
+    on from a place that costs so much can be less, so only the places that cost less are read."""
+    n, segments = len(value), Segments(value, dictionary)
+    best, heap = {0: 0.0}, [0]
+    while heap:  # places in rising order, each reached from the left
+        i = heappop(heap)
+        cost = best[i]
+        if i == n:
+            return cost
+        ways = [(i + 1, brute(value[i])), *((j, SEGMENT + c) for j, c, _ in segments.at(i))]
+        for j, c in ways:
+            if cost + c < enough:
+                if j not in best:
+                    heappush(heap, j)
+                if cost + c < best.get(j, math.inf):
+                    best[j] = cost + c
+    return 0.0 if not n else enough
+
+
+def _value_end(text: str, start: int, end: int, most: int) -> int:
+    """End of the whole value whose part up to ``end`` the base pattern takes; a quoted one ends at its quote, and none
+    reaches beyond ``most``, where the next credential word begins."""
+    whole = VALUE.match(text, start, most).end()
     if start and text[start - 1] == '"' and (quote := text.find('"', start, whole)) >= 0:
         whole = quote
     while whole > end and text[whole - 1] in CLOSING:
@@ -148,32 +197,49 @@ def scan(text: str | None, dictionary: dict[str, float], threshold: float = THRE
     text = text or ""
     low = text.lower()
     out = set()
-    values = set()
+    values: list[tuple[int, int]] = []  # in order, apart from each other
     if any(h in low for h in ASSIGN_HINTS):
-        for m in ASSIGN.finditer(text):
-            if len(m.group(2)) >= 6:
-                out.add((m.start(), 0, m.end()))
-                values.add((m.start(2), _value_end(text, *m.span(2))))
+        found = [m for m in ASSIGN.finditer(text) if len(m.group(2)) >= 6]
+        out |= {(m.start(), 0, m.end()) for m in found}
+        starts = [*(m.start() for m in found[1:]), len(text)]
+        values = [(m.start(2), _value_end(text, *m.span(2), most)) for m, most in zip(found, starts)]
     if "AKIA" in text:
         out |= {(m.start(), 1, m.end()) for m in ACCESS.finditer(text)}
     out |= {(m.start(), 2, m.end()) for m in HEX.finditer(text)}
     if any(h in low for h in CONTEXT_HINTS):
+        kept, i = [], 0
         for m in CONTEXT.finditer(text):
             s, e = m.span(1)
             while e > s and text[e - 1] in CLOSING:
                 e -= 1
-            if e - s >= 6:
-                met = {(a, b) for a, b in values if s < b and a < e}
-                if all(s < a and b <= e for a, b in met):  # the longest value is judged
-                    values = values - met | {(s, e)}
-    out |= {(s, 3, e) for s, e in values if guess_cost(text[s:e], dictionary) >= threshold}
+            if e - s < 6:
+                continue
+            while i < len(values) and values[i][1] <= s:
+                kept.append(values[i])
+                i += 1
+            j = i
+            while j < len(values) and values[j][0] < e:
+                j += 1
+            if all(s < a and b <= e for a, b in values[i:j]):  # the longest value is judged
+                kept.append((s, e))
+            else:
+                kept += values[i:j]
+            i = j
+        values = kept + values[i:]
+    judged: dict[str, bool] = {}  # values that recur are judged once
+    for s, e in values:
+        v = text[s:e]
+        if v not in judged:
+            judged[v] = guess_cost(v, dictionary, threshold) >= threshold
+        if judged[v]:
+            out.add((s, 3, e))
     return sorted(out)
 
 
 def corpus_words(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
-    """The most frequent (``size`` at most) lower-case words of 3 to LONGEST_WORD letters, counted
+    """The most frequent (``size`` at most) lower-case words of 3 to LONGEST_WORD letters of any script, counted
     over all texts, in falling order."""
-    w = docs.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w"))
+    w = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("w"))
     w = written(w.where(F.length("w").between(3, LONGEST_WORD)).groupBy("w").agg(F.count(F.lit(1)).alias("n")), "secrets-words")
     found = most_frequent(w, "n", size).collect()  # at most ``size`` words
     remove(docs.sparkSession, w)
@@ -184,8 +250,8 @@ def find_secrets(docs: DataFrame, columns: list[str] | None = None, threshold: f
     """Rows of ``docs`` as struct ``doc`` (``columns``, or all) with ``found``:
     array of struct<kind, start, end> (code points, end exclusive) by start and kind.
 
-    Null and empty texts have no findings; every row is scanned on its own, so
-    repeated rows repeat their findings. An empty table gives an empty result.
+    Null and empty texts have no findings; every row is scanned on its own, in a time that grows with its length, so
+    repeated rows repeat their findings. Columns of any name ride along in ``doc``. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     words = spark.sparkContext.broadcast(corpus_words(docs))  # at most DICTIONARY words

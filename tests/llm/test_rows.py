@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -75,6 +76,33 @@ def test_long_fillers_are_one_segment(filler):
     assert len(list(S.spans("x" * 3000, {}))) < 3000 * 10
 
 
+@pytest.mark.parametrize("filler", ["qwertyuiop" * 4, "0123456789" * 8, "changeme1" * 6, "lorem-ipsum-" * 5, "password123!" * 9])
+def test_repeats_of_any_period_cost_what_is_repeated(filler):
+    assert S.guess_cost(filler, S.ranks([])) < S.THRESHOLD
+    assert not [x for x in S.scan(f"token: {filler}", S.ranks([])) if x[1] == 3]
+
+
+def test_pruned_costs_are_the_least_ones_below_the_threshold():
+    r = random.Random(4)
+    d = S.ranks(["horse", "blue", "cat"])
+    for _ in range(300):
+        v = "".join(r.choice(["horse", "1999", "aa", "qwe", "x", "Z9", "#", "cat", "abcabc"]) for _ in range(r.randint(1, 9)))
+        full, cut = S.guess_cost(v, d), S.guess_cost(v, d, 10.0)
+        assert cut == pytest.approx(full) if full < 10 else cut == 10
+
+
+@pytest.mark.parametrize("text", ["password: abcdefgh1\n" * 250_000, "password=abcdef!" * 310_000, "token=" + "x" * 5_000_000,
+                                  "secret: " + "qw" * 2_500_000, "token: " + "kX9v2Lq8" * 600_000])
+def test_long_texts_take_a_time_in_proportion(text):
+    d = S.ranks([])
+    def took(t):
+        began = time.process_time()
+        S.scan(t, d)
+        return time.process_time() - began
+    small = max(took(text[:len(text) // 4]), 0.3)
+    assert took(text) < 8 * small < 240
+
+
 def test_long_walks_are_one_segment():
     v = "abcdefghijklmnopqrstuvwxyzyxwvutsrqponmlkjihgfedcba"
     assert (0, len(v), pytest.approx(math.log10(47) + math.log10(4) + math.log10(len(v))), "walk") in list(S.spans(v, {}))

@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Tokens are mapped to classes: insult terms (a seed list, and words and word
-stems learned from labels), threat verbs, targets, negation, reported speech.
-Four small transducers read the class sequence of a clause: negation and target
+stems learned from labels), threat verbs, targets, negation, reported speech. A
+transducer over words turns the last word of an insult or threat of several words
+into one. Four small transducers read the class sequence of a clause: negation and target
 open a scope of a few tokens, reported speech one up to the clause's end, and
 the event transducer emits insults and threats. Their composition is one
 machine (its transitions are filled in as they are needed) that emits, for each
@@ -27,8 +28,8 @@ from pyspark.sql.functions import pandas_udf
 
 from lodestar.llm.subword import labelled
 
-#: labelled rows that lexicon and weights are learned from at most; terms in the learned lexicon at most
-SAMPLE, TERMS = 8000, 2000
+#: labelled rows that lexicon and weights are learned from at most
+SAMPLE = 8000
 #: evidence (log likelihood ratio against the base rate) and share of label 1 that a learned term needs; lengths of stems
 EVIDENCE, PURITY, STEM = 8.0, 0.85, (3, 9)
 #: tokens that a negation or a target reaches over
@@ -48,6 +49,12 @@ WORDS = {
     REPORT: "said says say called calls wrote writes claimed claims reported quoted quote according sagte sagt schrieb "
             "laut dit disait écrit selon dijo dice escribió según",
 }
+#: fixed values: insults and threats of several words; * stands for a target word
+PHRASES = {
+    INSULT: ["piece of garbage", "waste of space", "waste of air", "good for nothing", "nobody likes *", "nobody wants *", "* make me sick", "shut up"],
+    THREAT: ["make * pay", "make * suffer", "wish * were dead", "hope * die", "hope * dies", "going to get *", "going to find *", "coming for *",
+             "* will regret", "* will be sorry", "* are dead", "* deserve to die", "watch * back", "end * life"],
+}
 LETTERS = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+(?:\s|$)")
 #: prior weights of a pattern: kind, then what targeted, negated and reported add
@@ -68,6 +75,39 @@ def _from_then_on(opener: int):
 MACHINES = (_scope(TARGET), _scope(NEGATION), _from_then_on(REPORT))
 
 
+def _phrases() -> dict:
+    """The phrases' transducer: from a state (the words of a phrase so far) and a word to the next state, and what
+    a state that ends a phrase emits."""
+    moves: dict = {"": {}}
+    for kind, phrases in PHRASES.items():
+        for phrase in phrases:
+            words = phrase.split()
+            for i, w in enumerate(words):
+                moves.setdefault(" ".join(words[:i]), {})[w] = " ".join(words[:i + 1])
+            moves.setdefault(phrase, {})[None] = kind
+    return moves
+
+
+MOVES = _phrases()
+#: words that end a phrase, but for targets: where they stand a clause is read
+ENDINGS = {next(w for w in reversed(p.split()) if w != "*") for ps in PHRASES.values() for p in ps}
+
+
+def phrase_events(words: list[str], targets: list[bool]) -> dict[int, int]:
+    """Place of the last word and kind of each phrase in a clause: all states that the transducer can be in are kept."""
+    out, states = {}, set()
+    for i, (w, target) in enumerate(zip(words, targets)):
+        now = set()
+        for state in (*states, ""):
+            moves = MOVES[state]
+            now |= {moves[x] for x in (w, "*" if target else w) if x in moves}
+        states = now
+        for state in states:
+            if None in MOVES[state]:
+                out[i] = max(out.get(i, -1), MOVES[state][None])
+    return out
+
+
 @lru_cache(None)
 def step(state: tuple, c: int) -> tuple[tuple, tuple | None]:
     """The composed machine: next state, and the pattern emitted at an event."""
@@ -119,7 +159,7 @@ class Grammar:
         if not hasattr(self, "_triggers"):
             import ahocorasick
             a = ahocorasick.Automaton()
-            for w in {*self.stems, *self.words, *WORDS[THREAT].split()}:
+            for w in {*self.stems, *self.words, *WORDS[THREAT].split(), *ENDINGS}:
                 a.add_word(w, len(w))
             a.make_automaton()
             self._triggers = a
@@ -132,6 +172,15 @@ class Grammar:
             s = max(s, self.stems.get(word[:n], 0.0))
         return s
 
+    def classified(self, words: list[str]) -> tuple[list[str], list[float], list[int]]:
+        """A clause's words, their strengths and classes; the last word of a phrase has the phrase's."""
+        strengths = [self.strength(w) for w in words]
+        classes = [INSULT if s else self.classes.get(w, OTHER) for w, s in zip(words, strengths)]
+        for i, kind in phrase_events(words, [c == TARGET for c in classes]).items():
+            if classes[i] not in (INSULT, THREAT):
+                classes[i] = kind
+        return words, strengths, classes
+
     def patterns(self, text: str | None) -> np.ndarray:
         """Strengths summed by pattern over a whole text; only clauses with a trigger are read."""
         out = np.zeros(len(PATTERNS))
@@ -141,13 +190,11 @@ class Grammar:
             start = end - n + 1
             if start <= done or (start and low[start - 1].isalpha()):
                 continue
-            a = max((low.rfind(x, 0, start) for x in ".!?;:\n"), default=-1) + 1
+            a = max(low.rfind(x, done + 1, start) for x in ".!?;:\n") + 1  # what lies before was read
             m = CLAUSE.search(low, end)
             b = m.start() if m else len(low)
             a = max(a, done + 1)
-            words = LETTERS.findall(low, a, b)
-            strengths = [self.strength(w) for w in words]
-            classes = [INSULT if s else self.classes.get(w, OTHER) for w, s in zip(words, strengths)]
+            words, strengths, classes = self.classified(LETTERS.findall(low, a, b))
             for i, p in matches(classes):
                 out[PATTERNS.index(p)] += strengths[i] or 1.0
             done = b
@@ -195,10 +242,10 @@ def terms_of(text: str | None) -> set[str]:
     return out
 
 
-def learn_terms(rows: DataFrame, size: int = TERMS) -> tuple[dict, dict]:
+def learn_terms(rows: DataFrame) -> tuple[dict, dict]:
     """(stems, words) with strengths: terms that documents of label 1 hold far more
-    often than the base rate says. Documents are counted per term in Spark; the
-    strongest ``size`` terms come to the driver, where ``choose`` thins them out."""
+    often than the base rate says. Documents are counted per term in Spark; all terms with enough evidence
+    (of at most SAMPLE documents) come to the driver, where ``choose`` thins them out."""
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).first()
     n, p = total["n"] or 0, total["p"] or 0
     if not p or p == n:
@@ -219,7 +266,7 @@ def learn_terms(rows: DataFrame, size: int = TERMS) -> tuple[dict, dict]:
     ratio = (F.col("yes") * F.log(share / base)
              + F.when(F.col("no") > 0, F.col("no") * F.log((1 - share) / (1 - base))).otherwise(0.0))
     best = (c.where((F.col("yes") >= 3) & (share >= PURITY)).withColumn("evidence", ratio).where(F.col("evidence") >= EVIDENCE)
-            .orderBy(F.desc("evidence"), "term").limit(size).collect())
+            .collect())
     return choose([(r["term"], r["yes"], r["no"]) for r in best])
 
 
@@ -228,10 +275,15 @@ def choose(best: list[tuple[str, int, int]]) -> tuple[dict, dict]:
     stem stands back for a longer term that is nearly as frequent, and a term for
     a shorter chosen stem that is as good."""
     stems, words = {}, {}
+    longer: dict[str, int] = {}  # most documents of a term that is longer than this beginning of it
+    for t, y, _ in best:
+        bare = t.rstrip("*")
+        for k in range(STEM[0], min(STEM[1], len(bare) - 1) + 1):
+            longer[bare[:k]] = max(longer.get(bare[:k], 0), y)
     for r in sorted(best, key=lambda r: (len(r[0].rstrip("*")), r[0])):
         term, stem = r[0].rstrip("*"), r[0].endswith("*")
         strength = (r[1] + 0.5) / (r[1] + r[2] + 1)
-        if stem and any(y >= 0.95 * r[1] for t, y, _ in best if len(t.rstrip("*")) > len(term) and t.startswith(term)):
+        if stem and longer.get(term, -1) >= 0.95 * r[1]:
             continue
         if any(stems.get(term[:k], 0) >= strength - 0.05 for k in range(STEM[0], len(term) + (not stem))):
             continue
@@ -261,8 +313,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_on: Column, size: int = SAMPLE
 def score(docs: DataFrame, grammar: Grammar, columns: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` as struct ``doc`` (``columns``, or all) with ``score``, the
     probability that the text is toxic. Null and empty texts match no pattern.
-    The score depends on the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # TERMS terms at most
+    The score depends on the text alone, so repeated rows have equal scores; whole texts are read, in a time that grows with
+    their length. Columns of any name ride along in ``doc``. An empty table gives an empty result."""
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # terms of at most SAMPLE documents
 
     @pandas_udf("double")
     def f(t: pd.Series) -> pd.Series:

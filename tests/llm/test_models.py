@@ -3,6 +3,8 @@ import functools
 import hashlib
 import math
 import random
+import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -85,13 +87,15 @@ def test_five_grams_count_and_features_need_not_be_held(monkeypatch):
 # ---- toxicity
 
 def classes(g, text):
-    return [X.INSULT if g.strength(w) else g.classes.get(w, X.OTHER) for w in X.LETTERS.findall(text.lower())]
+    return g.classified(X.LETTERS.findall(text.lower()))[2]
 
 
 @pytest.mark.parametrize("text,pattern", [
     ("a moron walks", (X.INSULT, 0, 0, 0)), ("you are a moron", (X.INSULT, 1, 0, 0)), ("moron that you are", (X.INSULT, 1, 0, 0)),
     ("he is not stupid", (X.INSULT, 1, 1, 0)), ("the paper said the loser left", (X.INSULT, 0, 0, 1)), ("we will kill it", (X.THREAT, 0, 0, 0)),
-    ("i will kill you", (X.THREAT, 1, 0, 0)), ("never hurt them", (X.THREAT, 1, 1, 0))])
+    ("i will kill you", (X.THREAT, 1, 0, 0)), ("never hurt them", (X.THREAT, 1, 1, 0)), ("we are going to make you pay", (X.THREAT, 1, 0, 0)),
+    ("i wish they were dead", (X.THREAT, 1, 0, 0)), ("a waste of space", (X.INSULT, 0, 0, 0)), ("nobody likes you", (X.INSULT, 0, 1, 0)),
+    ("he said you will regret it", (X.THREAT, 1, 0, 1))])
 def test_clauses(text, pattern):
     assert [p for _, p in X.matches(classes(X.Grammar(), text))] == [pattern]
 
@@ -105,6 +109,51 @@ def test_patterns_reads_whole_texts_clause_by_clause():
     assert not g.patterns("classical skilled pigeons, a. unmoron").any() and not g.patterns(None).any()
 
 
+def brute_patterns(g, text):
+    """Clauses cut one by one; phrases found by trying each at each place; scopes by looking back and ahead."""
+    out = Counter()
+    for clause in re.split(r"[.!?;:\n]+(?:\s|$)", (text or "").lower()):
+        # inside a clause the machine starts anew after a sign that no space follows, at an event's clause only
+        words = X.LETTERS.findall(clause)
+        kind = [X.INSULT if g.strength(w) else g.classes.get(w, X.OTHER) for w in words]
+        target = [k == X.TARGET for k in kind]
+        full = list(kind)
+        for k, phrases in X.PHRASES.items():
+            for phrase in phrases:
+                ws = phrase.split()
+                for i in range(len(words) - len(ws) + 1):
+                    if all(w == words[i + j] or w == "*" and target[i + j] for j, w in enumerate(ws)):
+                        end = i + len(ws) - 1
+                        if kind[end] not in (X.INSULT, X.THREAT):
+                            full[end] = max(full[end], k) if full[end] in (X.INSULT, X.THREAT) else k
+        for i, k in enumerate(full):
+            if k in (X.INSULT, X.THREAT):
+                near = lambda c, lo, hi: any(full[j] == c for j in range(max(0, lo), min(len(full), hi)))
+                t = near(X.TARGET, i - X.SCOPE, i) or near(X.TARGET, i + 1, i + 1 + X.SCOPE)
+                out[k, int(t), int(near(X.NEGATION, i - X.SCOPE, i)), int(near(X.REPORT, 0, i))] += g.strength(words[i]) or 1.0
+    return [out[p] for p in X.PATTERNS]
+
+
+def test_patterns_equal_a_search_of_each_clause():
+    r = random.Random(6)
+    g = X.Grammar({"grumb": 0.9}, {"zzq": 0.8})
+    words = [*(w for ws in X.WORDS.values() for w in ws.split()), *(w.replace("*", "you") for ps in X.PHRASES.values() for p in ps for w in p.split()),
+             "grumble", "zzq", "table", "walks", "house"] * 2 + [p.replace("*", "them") for ps in X.PHRASES.values() for p in ps] * 4
+    for _ in range(400):
+        text = "".join(r.choice(words) + r.choice([" ", " ", " ", " ", ". ", "! ", ", ", "; "]) for _ in range(r.randint(1, 40)))
+        assert g.patterns(text) == pytest.approx(brute_patterns(g, text)), text
+
+
+def test_long_texts_of_triggers_take_a_time_in_proportion():
+    g = X.Grammar()
+    def took(n):
+        began = time.process_time()
+        g.patterns("you idiot walks, " * n)
+        g.patterns("you idiot. " * n)
+        return time.process_time() - began
+    assert took(160_000) < 8 * max(took(40_000), 0.2)
+
+
 def test_toxicity_learns_stems_and_spares_clean_texts(labelled):
     docs, labels, truth = labelled
     g = X.fit(docs, labels, ~fold(F.col("doc_id"), 4, 2))

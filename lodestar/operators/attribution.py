@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,3 +203,83 @@ def mean_abs_shap(long: DataFrame, subgroup_flag: str | None = None) -> DataFram
     if subgroup_flag is not None:
         aggs.append(F.avg(F.when(F.col(subgroup_flag) == 1, F.abs("phi"))).alias("mean_abs_shap_subgroup"))
     return long.groupBy("feature").agg(*aggs)
+
+
+# ---------------------------------------------------------------- linear models with dependent features
+
+#: features up to which all subsets are taken; orders of the features drawn beyond
+EXACT_FEATURES, ORDERS = 12, 1000
+
+
+def dependent_transform(beta: np.ndarray, cov: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The k x k matrix T with phi = T (x - mean): Shapley values of a linear model when the features outside a subset S take their
+    expectation given those within, mean_R + cov_RS cov_SS^-1 (x_S - mean_S). A subset's expectation is linear in x, so each
+    value is a weighted sum of differences of coefficient vectors: over all subsets up to EXACT_FEATURES features, else
+    over ORDERS orders of the features and their reverses (fixed by ``seed``)."""
+    k = len(beta)
+    held: dict[int, np.ndarray] = {}
+
+    def given(subset: int) -> np.ndarray:
+        """Coefficients on x - mean of the expectation given the subset."""
+        if subset not in held:
+            s = [i for i in range(k) if subset >> i & 1]
+            r = [i for i in range(k) if not subset >> i & 1]
+            out = np.zeros(k)
+            if s:
+                out[s] = beta[s] + np.linalg.pinv(cov[np.ix_(s, s)], hermitian=True) @ cov[np.ix_(s, r)] @ beta[r]
+            held[subset] = out
+        return held[subset]
+
+    t = np.zeros((k, k))
+    if k <= EXACT_FEATURES:
+        weight = [1.0 / k]  # of a subset of that size without the feature: its share of all orders
+        for n in range(1, k):
+            weight.append(weight[-1] * n / (k - n))
+        for subset in range(1 << k):
+            for i in range(k):
+                if not subset >> i & 1:
+                    t[i] += weight[subset.bit_count()] * (given(subset | 1 << i) - given(subset))
+        return t
+    draw = np.random.default_rng(seed)
+    for _ in range(ORDERS):
+        order = draw.permutation(k)
+        for way in (order, order[::-1]):
+            subset = 0
+            for i in way.tolist():
+                t[i] += (given(subset | 1 << i) - given(subset)) / (2 * ORDERS)
+                subset |= 1 << i
+            held.clear()
+    return t
+
+
+def moments(df: DataFrame, xs: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and (population) covariance of the columns, in one pass; rows with a null don't count. Sums are
+    taken around the first row's values."""
+    from lodestar.operators.glm import _sum_partials
+    d = df.select(*[F.col(x).cast("double").alias(x) for x in xs]).dropna()
+    one = d.first()
+    if one is None:
+        return 0, np.zeros(len(xs)), np.zeros((len(xs),) * 2)
+    origin = np.array(one, np.float64)
+
+    def add(batches):
+        total = np.zeros((len(xs) + 1,) * 2)
+        for b in batches:
+            x = np.column_stack([np.ones(b.num_rows), np.column_stack([c.to_numpy() for c in b.columns]) - origin])
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["vec"])
+
+    m = _sum_partials(d.mapInArrow(add, "vec array<double>"), [])[()].reshape(len(xs) + 1, -1)
+    n, mean = m[0, 0], m[0, 1:] / m[0, 0]
+    return int(n), origin + mean, m[1:, 1:] / n - np.outer(mean, mean)
+
+
+def linear_attribution(df: DataFrame, coefs: dict[str, float], name: str = "phi_") -> DataFrame:
+    """``df`` with a column ``phi_<feature>`` for each coefficient: its Shapley value in the linear predictor, given how
+    the features go together in ``df`` (``dependent_transform``); a row's values add up to its predictor less the mean one."""
+    xs = list(coefs)
+    _, mean, cov = moments(df, xs)
+    t = dependent_transform(np.array([coefs[x] or 0.0 for x in xs]), cov)
+    centred = [F.col(x).cast("double") - F.lit(float(m)) for x, m in zip(xs, mean)]
+    phi = {f"{name}{x}": sum((F.lit(float(w)) * c for w, c in zip(row, centred) if w), F.lit(0.0)) for x, row in zip(xs, t)}
+    return df.withColumns(phi)

@@ -82,6 +82,21 @@ def q_linear_attribution(spark, sf):
     return rounded(phi.groupBy(F.col("kv.feature").alias("feature")).agg(F.avg("kv.v").alias("mean_abs_contribution")))
 
 
+@register("linear_attribution_dependent", section="M")
+def q_linear_attribution_dependent(spark, sf):
+    """Mean |phi| per feature of the treated institution's full-control logit, with what is missing from a subset of features
+    expected from those in it."""
+    from lodestar.operators import attribution, glm
+    from lodestar.plans.causal import CREDIT, RACE, TREAT
+    from lodestar.plans.scalars import prep
+    xs = [*CREDIT, *RACE]
+    df = prep(spark, sf).where(F.col("institution") == TREAT).select("approved", *xs).dropna()
+    coefs = {r["term"]: r["coef"] for r in glm.logit(df, "approved", xs).select("term", "coef").collect()}
+    phi = attribution.linear_attribution(df, {x: coefs.get(x) for x in xs})
+    mean = phi.select(F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.abs(F.col(f"phi_{x}")).alias("v")) for x in xs])).alias("kv"))
+    return rounded(mean.groupBy(F.col("kv.feature").alias("feature")).agg(F.avg("kv.v").alias("mean_abs_contribution")))
+
+
 # ---------------------------------------------------------------- Spark ML models (rows-only)
 
 TRAIN_END, TEST_START = "1999-12-31", "2000-06-30"

@@ -1,4 +1,6 @@
 """Fits, models and plans against direct computations (numpy, closed forms) on small tables."""
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -290,3 +292,39 @@ def test_period_counts_join_closed_and_open_windows(spark, tmp_path):
     for t, e in rows:
         want[t.date(), e] = want.get((t.date(), e), 0) + 1
     assert got == want
+
+
+# ---- linear attribution
+
+def test_dependent_attribution_equals_all_subsets_and_orders(spark, monkeypatch):
+    """Each value by its definition: what a feature adds to the expectation, over all orders of six dependent ones."""
+    import itertools
+    from lodestar.operators import attribution as A
+    rng = np.random.default_rng(2)
+    n, k = 400, 6
+    X = rng.normal(size=(n, k)) @ rng.normal(size=(k, k)) * [1, 2, .5, 3, 1, .1] + 50
+    names = [f"x{i}" for i in range(k)]
+    beta = rng.normal(size=k)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in X], ", ".join(f"{x} double" for x in names)).repartition(3)
+    got = A.linear_attribution(df, dict(zip(names, map(float, beta)))).toPandas()
+    x, mean, cov = got[names].to_numpy(), X.mean(axis=0), np.cov(X.T, bias=True)
+
+    def value(S, row):
+        S, R = list(S), [i for i in range(k) if i not in S]
+        given = mean[R] + (cov[np.ix_(R, S)] @ np.linalg.solve(cov[np.ix_(S, S)], row[S] - mean[S]) if S else 0)
+        return beta[S] @ row[S] + beta[R] @ given
+    for i in (0, 17):
+        want = np.zeros(k)
+        for order in itertools.permutations(range(k)):
+            v = [value(sorted(order[:j]), x[i]) for j in range(k + 1)]
+            want[list(order)] += np.diff(v) / math.factorial(k)
+        assert got.loc[i, [f"phi_{c}" for c in names]].to_numpy(float) == pytest.approx(want, abs=1e-8)
+    assert got[[f"phi_{c}" for c in names]].sum(axis=1).to_numpy() == pytest.approx((x - mean) @ beta, abs=1e-8)
+    exact = A.dependent_transform(beta, cov)
+    monkeypatch.setattr(A, "EXACT_FEATURES", 3)
+    assert np.abs(A.dependent_transform(beta, cov) - exact).max() < .1 * np.abs(exact).max()
+
+
+def test_dependent_attribution_on_fitted_coefficients(spark):
+    rows = {r["feature"]: r["mean_abs_contribution"] for r in ml.q_linear_attribution_dependent(spark, SF).collect()}
+    assert len(rows) == 9 and all(v >= 0 for v in rows.values()) and any(rows.values())

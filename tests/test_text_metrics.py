@@ -58,7 +58,7 @@ def test_auc_and_ap_against_brute_force(spark):
 import pytest
 
 
-@pytest.mark.parametrize("cutoff", [80.0, 88.0, 95.0])
+@pytest.mark.parametrize("cutoff", [30.0, 60.0, 75.0, 80.0, 88.0, 95.0])
 def test_fuzzy_exact_on_random_typos(spark, cutoff):
     """The prefix-filtered join finds exactly the brute-force best matches."""
     rng = np.random.default_rng(7)

@@ -242,9 +242,10 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in columns]).alias("doc"), docs["text"].alias("text"),
                        F.coalesce(train_on, F.lit(True)).alias("train"))
     packed = written(rows.mapInArrow(chunks(CHUNK), "chunk long, rows binary"), "lm-chunks")
-    asked = written(packed.mapInArrow(_asked(depth), "chunk long, gram long, n long"), "lm-asked")
-    grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams")
-    logs = written(gram_logs(grams, depth), "lm-logs")
+    asked = written(packed.mapInArrow(_asked(depth), "chunk long, gram long, n long"), "lm-asked", "zstd")
+    grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams", "zstd")
+    logs = written(gram_logs(grams, depth), "lm-logs", "zstd")
+    remove(spark, grams)  # before the next exchange needs room
     told = asked.select("chunk", "gram").join(logs, "gram")
     schema = (f"doc {rows.schema['doc'].dataType.simpleString()}, n_tokens long, known long, part double, score double, "
               "n_bytes long, rare array<struct<word:string,times:long>>")
@@ -271,7 +272,7 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
         return pa.Table.from_batches(out)
 
     measured = written(packed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(measure, schema), "lm-measured")
-    remove(spark, packed, asked, grams, logs)
+    remove(spark, packed, asked, logs)
     at = measured.select("*", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     # words beyond the frequent ones: a join on words that are rare in training
     wanted = at.select("file", "row", F.explode("rare").alias("r")).select("file", "row", "r.word", "r.times")

@@ -225,7 +225,7 @@ def fit_platt(train, rounds=GBT["rounds"], folds=3):
     train = train.withColumn("fold", F.pmod(F.xxhash64("CERT", "REPDTE", F.lit(42)), F.lit(folds)))
     out = []
     for k in range(folds):
-        m = fit_gbt(train.where(F.col("fold") != k), rounds, weighted=False)
+        m = fit_gbt(train.where(F.col("fold") != k), rounds)
         held = prob1(m.transform(train.where(F.col("fold") == k))).select("label", "p1")
         c = {r["term"]: r["coef"] for r in glm.logit(held, "label", ["p1"]).select("term", "coef").collect()}
         if c.get("const") is None or c.get("p1") is None:

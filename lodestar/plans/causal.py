@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import causal as CA
+from lodestar.operators import effects as FX
 from lodestar.operators import frames, glm
 from lodestar.operators import windows as W
 from lodestar.plans import sqlviews as V
@@ -265,15 +266,20 @@ def q_r2_decomposition(spark, sf):
 
 @register("spec_table", section="M")
 def q_spec_table(spark, sf):
+    """The protected coefficient with all controls: over everything, among purchases, with an effect for each state, and (a linear
+    probability model on demeaned columns, in points of probability) for each county of 50 rows or more and the others together."""
+    xs = [*CREDIT, *RACE]
     df = prep(spark, sf)
-    base = glm.term(glm.logit(df, "approved", ["is_black", "log_income", "log_loan_amount"]), "is_black")
-    sub = glm.term(glm.logit(df.where(F.col("loan_purpose") == "1"), "approved",
-                             ["is_black", "log_income", "log_loan_amount"]), "is_black")
-    df_fe, st = frames.one_hot_drop_first(df, "state_code", prefix="st")
-    fe = glm.term(glm.logit(df_fe, "approved", ["is_black", "log_income", "log_loan_amount", *st]), "is_black")
-    return rounded(base.select(F.lit("baseline").alias("label"), "*")
-                   .unionByName(sub.select(F.lit("purchase_only").alias("label"), "*"))
-                   .unionByName(fe.select(F.lit("state_fe").alias("label"), "*")))
+    fits = {"baseline": glm.logit(df, "approved", xs), "purchase_only": glm.logit(df.where(F.col("loan_purpose") == "1"), "approved", xs),
+            "state_fe": FX.logit_absorbed(df, "approved", xs, "state_code")}
+    within = W.within_demean(county_collapsed(spark, sf).dropna(subset=xs), ["approved", *xs], "county")
+    lpm = glm.ols(within, "approved_dm", [f"{x}_dm" for x in xs], cov_type="HC3")
+    fits["county_fe_lpm"] = lpm.withColumn("term", F.regexp_replace("term", "_dm$", ""))
+    out = None
+    for label, fit in fits.items():
+        one = glm.term(fit, "is_black").select(F.lit(label).alias("label"), "*")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
 
 
 @register("logit_two_stage", section="M")
@@ -301,8 +307,8 @@ def q_logit_interaction(spark, sf):
 
 @register("logit_state_fe", section="M")
 def q_logit_state_fe(spark, sf):
-    df, st = frames.one_hot_drop_first(prep(spark, sf), "state_code", prefix="st")
-    return rounded(glm.logit(df, "approved", ["is_black", "log_income", "log_loan_amount", *st]))
+    """All controls and an effect for each state, without dummy columns."""
+    return rounded(FX.logit_absorbed(prep(spark, sf), "approved", [*CREDIT, *RACE], "state_code"))
 
 
 @register("placebo_permutation", section="M")

@@ -20,7 +20,7 @@ FULL = [*C.CREDIT_FEATURES, *C.RACE_FEATURES]
 
 @pytest.fixture(scope="module")
 def apps(spark):
-    cols = ["institution", "activity_year", "state_code", "loan_purpose", "loan_amount", "approved", *FULL]
+    cols = ["institution", "activity_year", "state_code", "county_code", "loan_purpose", "loan_amount", "approved", *FULL]
     return prep(spark, SF).select(*cols).toPandas()
 
 
@@ -98,9 +98,55 @@ def test_interaction_and_spec_table(spark, apps):
     r = causal.q_logit_interaction(spark, SF).first()
     assert r["combined_or"] == pytest.approx(np.exp(b[1 + xs.index("is_black")] + b[1 + xs.index("bq")]), rel=1e-4)
     spec = {x["label"]: x["coef"] for x in causal.q_spec_table(spark, SF).collect()}
-    xs = ["is_black", "log_income", "log_loan_amount"]
-    assert spec["baseline"] == pytest.approx(newton(*design(apps, xs))[0][1], abs=1e-5)
-    assert spec["purchase_only"] == pytest.approx(newton(*design(apps[apps.loan_purpose == "1"], xs))[0][1], abs=1e-5)
+    assert list(spec) == ["baseline", "purchase_only", "state_fe", "county_fe_lpm"]
+    d = apps.dropna(subset=FULL)
+    at = 1 + FULL.index("is_black")
+    assert spec["baseline"] == pytest.approx(newton(*design(d, FULL))[0][at], abs=1e-5)
+    some = d[d.loan_purpose == "1"]
+    xs = [x for x in FULL if some[x].std() > 0]
+    assert spec["purchase_only"] == pytest.approx(newton(*design(some, xs))[0][1 + xs.index("is_black")], abs=1e-5)
+    xs = [x for x in FULL if d[x].std() > 0]
+    states = np.column_stack([np.asarray(d.state_code == v, float) for v in sorted(d.state_code.unique())[1:]])
+    X, y = design(d, xs)
+    assert spec["state_fe"] == pytest.approx(newton(np.column_stack([X, states]), y)[0][1 + xs.index("is_black")], abs=1e-5)
+    n = apps.groupby("county_code")["county_code"].transform("count")
+    county = apps["county_code"].where(n >= 50, "other")
+    e = d[[*xs, "approved"]].astype(float)
+    e = e - e.groupby(county.loc[d.index]).transform("mean")
+    b = np.linalg.lstsq(np.column_stack([np.ones(len(e)), e[xs]]), e["approved"], rcond=None)[0]
+    assert spec["county_fe_lpm"] == pytest.approx(b[1 + xs.index("is_black")], abs=1e-5)
+
+
+def test_absorbed_logit_equals_the_dummy_fit(spark):
+    """Forty levels of unequal size, an aliased term, one constant within levels, and levels of one outcome."""
+    from lodestar.operators import effects as FX
+    rng = np.random.default_rng(3)
+    n = 4000
+    g = (40 * rng.random(n) ** 2).astype(int)
+    a = rng.normal(size=(n, 3))
+    y = (rng.random(n) < 1 / (1 + np.exp(-(a @ [.5, -1, 0] + np.sin(g))))).astype(float)
+    rows = [(f"g{i}", float(t), *map(float, x), float(x[0] + x[1]), float(i)) for i, t, x in zip(g, y, a)]
+    rows += [("all", 1.0, *map(float, rng.normal(size=5))) for _ in range(30)] + [(None, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0), ("g1", None, 0.0, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "g string, y double, a double, b double, c double, ab double, byg double")
+    got = {r["term"]: r for r in FX.logit_absorbed(df, "y", ["a", "b", "ab", "c", "byg"], "g").collect()}
+    some = [i for i in range(40) if 0 < y[g == i].mean() < 1]
+    kept = np.isin(g, some)
+    X = np.column_stack([a, *[(g == i).astype(float) for i in some]])[kept]
+    b, _ = newton(X, y[kept])
+    p = 1 / (1 + np.exp(-X @ b))
+    V = np.linalg.inv((X * (p * (1 - p))[:, None]).T @ X)
+    for i, t in enumerate("abc"):
+        assert got[t]["coef"] == pytest.approx(b[i], abs=1e-8) and got[t]["se"] == pytest.approx(np.sqrt(np.diag(V))[i], rel=1e-6)
+    assert got["ab"]["coef"] is None and got["byg"]["coef"] is None and got["a"]["n"] == kept.sum() and got["a"]["converged"]
+
+
+def test_absorbed_logit_of_many_levels(spark):
+    """100,000 levels of three rows: no level list, and the conditional sign of the effect."""
+    from lodestar.operators import effects as FX
+    df = spark.range(300_000).select((F.col("id") % 100_000).alias("g"), (F.xxhash64("id") % 1000 / 500.0).alias("x"), "id")
+    df = df.withColumn("y", ((F.col("x") + F.xxhash64("id", F.lit(1)) % 1000 / 300.0) > 0).cast("int"))
+    r = FX.logit_absorbed(df, "y", ["x"], "g").first()
+    assert r["converged"] and r["coef"] > 0.1 and 0 < r["se"] < r["coef"] / 10 and 100_000 < r["n"] < 300_000
 
 
 def test_event_study_takes_every_year(spark):

@@ -87,11 +87,15 @@ def _asked(depth: int):
     def ask(batches):
         for rows in batches:
             for chunk, blob in zip(rows.column("chunk").to_pylist(), rows.column("rows")):
-                held, n = np.empty(0, np.int64), 0
+                held, n = np.empty(HELD, np.int64), 0  # memory is taken as it fills
 
                 def counted():
                     held[:n].sort()
-                    first = np.flatnonzero(np.concatenate([[True], held[1:n] >> 1 != held[:n - 1] >> 1]))
+                    first = [np.zeros(1, np.int64)]
+                    for lo in range(1, n, SLICE):
+                        hi = min(n, lo + SLICE)
+                        first.append(np.flatnonzero((held[lo:hi] ^ held[lo - 1:hi - 1]) >> 1) + lo)
+                    first = np.concatenate(first)
                     for lo in range(0, len(first), BATCH):
                         at = first[lo:lo + BATCH]
                         end = first[lo + BATCH] if lo + BATCH < len(first) else n
@@ -101,11 +105,9 @@ def _asked(depth: int):
                 for b in chunk_rows(blob):
                     for t, train in zip(b.column("text").to_pylist(), b.column("train").to_pylist()):
                         for part in sliced(stream(t)[1], depth):
-                            if n + len(part) > HELD:
+                            if n + len(part) > len(held):
                                 yield from counted()
                                 n = 0
-                            if n + len(part) > len(held):
-                                held = np.concatenate([held[:n], np.empty(max(n, len(part)), np.int64)])
                             held[n:n + len(part)] = part << 1 | bool(train)
                             n += len(part)
                 if n:
@@ -252,8 +254,10 @@ def score(docs: DataFrame, train_on: Column, columns: list[str] | None = None, d
 
     def measure(chunk: pa.Table, told: pa.Table) -> pa.Table:
         get, out = shared.value.get, []
-        gram, first = np.unique(told["gram"].to_numpy(), return_index=True)
-        place, logs = pd.Index(gram), told["log"].to_numpy()[first]
+        place, logs = pd.Index(told["gram"].to_numpy()), told["log"].to_numpy()
+        if not place.is_unique:  # a chunk that was counted in several lists
+            first = ~place.duplicated()
+            place, logs = place[first], logs[first]
         for b in chunk_rows(chunk["rows"][0]):
             rows = []
             for t in b.column("text").to_pylist():

@@ -51,6 +51,57 @@ def test_equal_words_have_equal_buckets_wherever_they_stand():
     assert len(a - b) == 0
 
 
+def brute_features(text):
+    """Buckets of a text's features, one by one: byte n-grams, words, pairs of words, marks of repeats."""
+    raw, wrap, odd = (text or "").encode(), (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def bucket(h, salt):
+        h = (h + salt) * odd & wrap
+        h ^= h >> 29
+        return ((h * 0xBF58476D1CE4E5B9 & wrap) >> 47) % subword.BUCKETS
+    out = [bucket(int.from_bytes(raw[i:i + g], "big"), g) for g in subword.GRAMS for i in range(len(raw) - g + 1)]
+    words = [sum((c + 1) * pow(odd, k, 1 << 64) for k, c in enumerate(w)) & wrap for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+    out += [bucket(w, 100) for w in words]
+    return out + [subword.BUCKETS if a == b else bucket((a * 31 + b) & wrap, 101) for a, b in zip(words, words[1:])]
+
+
+def test_quality_scores_equal_brute_force(texts):
+    """Shares and probabilities of whole texts, and learned vectors, feature by feature."""
+    r = np.random.default_rng(1)
+    m = subword.Model(r.integers(-subword.FIXED, subword.FIXED, subword.BUCKETS + 1), 0.25)
+    for t in texts:
+        f = brute_features(t)
+        n = Counter(f)
+        ids, share = subword.counted(t)
+        assert dict(zip(ids.tolist(), share.tolist())) == pytest.approx({k: c / len(f) for k, c in n.items()}, rel=1e-6)
+        z = 0.25 + (sum(int(m.score[k]) for k in f) / len(f) / subword.FIXED if f else 0)
+        assert m.probability(t) == pytest.approx(1 / (1 + math.exp(-z)))
+    few = [t for t in texts if t and len(t) < 120][:8]
+    y = [i % 2 for i in range(len(few))]
+    got = subword.train(subword.Counted(pa.chunked_array([pa.array(few)])), np.array(y))
+    rng = np.random.default_rng(subword.SEED)
+    vec = rng.uniform(-1 / subword.DIM, 1 / subword.DIM, (subword.BUCKETS + 1, subword.DIM))
+    out, bias = np.zeros((2, subword.DIM)), np.log([(y.count(0) + .5) / (len(y) + 1), (y.count(1) + .5) / (len(y) + 1)])
+    done = 0
+    for _ in range(subword.EPOCHS):
+        for k in rng.permutation(len(y)):
+            rate = subword.RATE * (1 - done / (subword.EPOCHS * len(y)))
+            done += 1
+            f = Counter(brute_features(few[k]))
+            total = sum(f.values())
+            doc = sum(c / total * vec[i] for i, c in f.items())
+            p = np.exp(out @ doc + bias)
+            p /= p.sum()
+            p[y[k]] -= 1
+            back = p @ out
+            out, bias = out - rate * np.outer(p, doc), bias - rate * .1 * p
+            for i, c in f.items():
+                vec[i] = vec[i] - rate * len(f) ** .5 * c / total * back
+    assert got.bias == pytest.approx(bias[1] - bias[0], abs=1e-5)
+    seen = sorted({i for t in few for i in brute_features(t)})
+    assert got.score[seen] / subword.FIXED == pytest.approx(vec[seen] @ (out[1] - out[0]), abs=1e-4)
+
+
 def test_quality_learns(labelled):
     docs, labels, truth = labelled
     model = subword.fit(docs, labels, "quality", ~fold(F.col("doc_id"), 5, 0))

@@ -20,13 +20,16 @@ from pyspark.ml.classification import DecisionTreeClassificationModel, RandomFor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.operators.boosting import BoostedTrees
 from lodestar.session import scratch_path
 
 MAX_NODES = 2_000_000
 
 
 def load_trees(model, spark) -> tuple[list[dict], list[float]]:
-    """Node arrays per tree from a saved tree-ensemble model, plus tree weights."""
+    """Node arrays per tree, plus tree weights: of a saved Spark ML tree ensemble, or of boosted trees, which are in memory."""
+    if isinstance(model, BoostedTrees):  # covers: Hessian sums; the rate is in the leaves' values
+        return [{c: np.array(getattr(t, c)) for c in ("feature", "threshold", "left", "right", "value", "cover")} for t in model.trees], [1.0] * len(model.trees)
     forest = isinstance(model, (RandomForestClassificationModel, DecisionTreeClassificationModel))
     if forest and model.numClasses != 2:
         raise ValueError("attribution covers two classes")
@@ -176,7 +179,7 @@ def shap_values(df: DataFrame, features: Sequence[str], model, keys: Sequence[st
     """Per-row SHAP values as long rows (keys..., feature, phi) and the base value."""
     spark = df.sparkSession
     trees, weights = load_trees(model, spark)
-    base = float(sum(w * expected_value(t) for t, w in zip(trees, weights)))
+    base = float(sum(w * expected_value(t) for t, w in zip(trees, weights))) + getattr(model, "bias", 0.0)
     feats = list(features)
     nf = len(feats)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}

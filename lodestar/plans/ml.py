@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from lodestar.operators import boosting
 from lodestar.operators import metrics as M
 from lodestar.operators import risk as R
 from lodestar.plans.common import cte, rounded
@@ -145,8 +146,8 @@ def fit_ridge(train, C_inv=1.0, feats=FEATS):
     return pipe.fit(tw)
 
 
-#: fixed values: rounds, trees, depths, learning rate, row share and smallest leaf of the source's models
-GBT = {"rounds": 300, "depth": 4, "rate": 0.05, "rows": 0.8}
+#: fixed values: rounds, trees, depths, learning rate, shares of rows and columns, smallest leaf of the source's models
+GBT = {"rounds": 300, "depth": 4, "rate": 0.05, "rows": 0.8, "columns": 0.8}
 FOREST = {"trees": 500, "depth": 10}
 MIN_LEAF = 50
 
@@ -157,17 +158,12 @@ def sized(df, rows=50_000):
     return d.repartition(max(1, -(-d.count() // rows)))
 
 
-def fit_gbt(train, rounds=GBT["rounds"], feats=FEATS, min_leaf=1, weighted=True, validation=None, tol=1e-4):
-    """Boosted trees. ``validation``: share of the rows (by hash) held out to stop early,
-    once the error no longer falls by ``tol``. Spark's trees draw no columns per tree;
-    they draw rows only."""
-    d = sized(balanced_weights(train) if weighted else train.withColumn("w", F.lit(1.0)))
-    gbt = GBTClassifier(labelCol="label", weightCol="w", maxIter=rounds, maxDepth=GBT["depth"], stepSize=GBT["rate"],
-                        subsamplingRate=GBT["rows"], minInstancesPerNode=min_leaf, validationTol=tol, seed=42)
-    if validation:
-        d = d.withColumn("held", F.pmod(F.xxhash64(*feats), F.lit(1000)) < int(1000 * validation))
-        gbt = gbt.setValidationIndicatorCol("held")
-    return Pipeline(stages=[_assembler(feats), gbt]).fit(d)
+def fit_gbt(train, rounds=GBT["rounds"], feats=FEATS, min_leaf=1, weighted=True, validation=0.0, columns=GBT["columns"], reg=1.0,
+            min_hessian=1.0):
+    """Boosted trees with second-order steps, rows and columns drawn per tree. ``weighted``: label 1 weighs
+    rows of label 0 per row of label 1. ``validation``: share of the rows held out to stop early."""
+    return boosting.fit(train, feats, "label", rounds, GBT["depth"], GBT["rate"], GBT["rows"], columns, reg, min_hessian, min_leaf,
+                        None if weighted else 1.0, validation)
 
 
 def fit_rf(train, trees=FOREST["trees"], feats=FEATS, weighted=True):
@@ -196,7 +192,8 @@ def bank_model_metrics(spark, sf, name, fit):
 
 
 def prob1(pred):
-    return pred.select("*", vector_to_array("probability")[1].alias("p1"))
+    """Scored rows with the probability of label 1 as p1 (boosted trees give it themselves)."""
+    return pred if "p1" in pred.columns else pred.select("*", vector_to_array("probability")[1].alias("p1"))
 
 
 @register("logit_ridge_balanced", section="M")
@@ -309,7 +306,7 @@ def application_split(spark, sf):
 
 
 def fit_application_gbt(train, feats, rounds=GBT["rounds"]):
-    return fit_gbt(train, rounds, feats, min_leaf=MIN_LEAF, weighted=False, validation=0.1)
+    return fit_gbt(train, rounds, feats, min_leaf=MIN_LEAF, weighted=False, validation=0.1, columns=1.0, reg=0.0, min_hessian=0.0)
 
 
 @register("model_counterfactual", section="M")
@@ -377,7 +374,7 @@ def q_tree_attribution(spark, sf):
     from lodestar.operators import attribution as AT
     from pyspark.sql import Window
     df, train, _ = ml_frame(spark, sf)
-    model = fit_gbt(train).stages[-1]
+    model = fit_gbt(train)
     long, base = AT.shap_values(df, FEATS, model, ["CERT", "REPDTE", "label"])
     imp = AT.mean_abs_shap(long, "label")
     w = Window.orderBy(F.col("mean_abs_shap").desc(), "feature")  # one row per feature (11 rows)

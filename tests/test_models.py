@@ -274,7 +274,7 @@ def test_forest_attribution_adds_up_to_the_probability(spark, binary):
 
 def test_calibration_averages_fold_probabilities(spark, binary, monkeypatch):
     monkeypatch.setattr(ml, "FEATS", ["a", "b", "c"])
-    monkeypatch.setattr(ml.fit_gbt, "__defaults__", (3, ["a", "b", "c"], 1, True, None, 1e-4))
+    monkeypatch.setattr(ml.fit_gbt, "__defaults__", (3, ["a", "b", "c"], *ml.fit_gbt.__defaults__[2:]))
     fits = ml.fit_platt(binary, rounds=3)
     assert len(fits) == 3
     got = {r["CERT"]: r["p_cal"] for r in ml.platt_probability(fits, binary).collect()}
@@ -297,17 +297,50 @@ def test_metrics_and_split(spark, binary):
     assert top == pytest.approx(rows.sort_values("p1", ascending=False).label.head(50).mean())
 
 
-@pytest.mark.parametrize("key", ["model_comparison", "model_counterfactual"])
-def test_application_models(spark, key, monkeypatch):
+def test_application_models_against_direct_sums(spark, monkeypatch):
+    models = {}
+
+    def keep(name, fit):
+        def run(*args, **kw):
+            models[name] = fit(*args, **kw)
+            return models[name]
+        return run
     monkeypatch.setattr(ml.fit_application_gbt, "__defaults__", (3,))
     monkeypatch.setattr(ml.fit_rf, "__defaults__", (3, ml.FEATS, True))
-    rows = getattr(ml, f"q_{key}")(spark, SF).collect()
-    if key == "model_comparison":
-        assert [r["model"] for r in rows] == ["logit", "gbt", "rf"]
-        assert all(0 < r["auc"] < 1 and r["n_train"] > r["n_test"] > 0 for r in rows)
-        assert rows[0]["protected_or"] > 0 and rows[1]["protected_or"] is None
-    else:
-        assert rows[0]["total_excess"] == pytest.approx(rows[0]["mean_excess"] * rows[0]["n"], abs=1e-3)
+    monkeypatch.setattr(ml, "fit_application_gbt", keep("gbt", ml.fit_application_gbt))
+    monkeypatch.setattr(ml, "fit_rf", keep("rf", ml.fit_rf))
+    d, train, test, feats = ml.application_split(spark, SF)
+    rows = test.toPandas()
+    got = {r["model"]: r for r in ml.q_model_comparison(spark, SF).collect()}
+    assert list(got) == ["logit", "gbt", "rf"]
+    fitted = train.toPandas()
+    beta, _ = newton(np.column_stack([np.ones(len(fitted)), fitted[feats]]), fitted["label"].to_numpy(float))
+    p = {"logit": 1 / (1 + np.exp(-(beta[0] + rows[feats].to_numpy() @ beta[1:]))),
+         "gbt": 1 / (1 + np.exp(-models["gbt"].margin(rows[feats].to_numpy())))}
+    scored = ml.prob1(models["rf"].transform(test)).select("app_id", "p1").toPandas().set_index("app_id")["p1"]
+    p["rf"] = scored[rows["app_id"]].to_numpy()
+    y = rows["label"].to_numpy() == 1
+    auc = {}
+    for name, s in p.items():
+        s = np.round(s, 12)
+        pairs = s[y][:, None] - s[~y][None, :]
+        auc[name] = (pairs > 0).mean() + (pairs == 0).mean() / 2
+        assert got[name]["auc"] == pytest.approx(auc[name], abs=2e-6)
+        levels = np.unique(s)[::-1]
+        precise = sum((y & (s == v)).sum() / y.sum() * y[s >= v].mean() for v in levels)
+        assert got[name]["average_precision"] == pytest.approx(precise, abs=2e-6)
+        assert (got[name]["n_train"], got[name]["n_test"]) == (len(fitted), len(rows))
+        assert got[name]["auc_range"] == pytest.approx(got["rf"]["auc_range"])
+    assert got["rf"]["auc_range"] == pytest.approx(max(auc.values()) - min(auc.values()), abs=4e-6)
+    assert got["logit"]["protected_or"] == pytest.approx(np.exp(beta[1 + feats.index("is_black")]), abs=1e-5)
+    assert got["gbt"]["protected_or"] is None
+    row = ml.q_model_counterfactual(spark, SF).first()
+    marked = rows[rows["is_black"] == 1][feats]
+    prob = lambda X: 1 / (1 + np.exp(-models["gbt"].margin(X.to_numpy())))
+    excess = prob(marked.assign(is_black=0.0)) - prob(marked)
+    assert row["n"] == len(marked) and row["total_excess"] == pytest.approx(excess.sum(), abs=1e-5)
+    assert row["mean_excess"] == pytest.approx(excess.mean(), abs=1e-6)
+    d.unpersist()
 
 
 # ---- streams

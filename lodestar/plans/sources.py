@@ -16,6 +16,7 @@ from lodestar.plans.scalars import apps, prep
 from lodestar.session import prepare, scratch_path
 from lodestar.sources import conform as C
 from lodestar.sources import files as FS
+from lodestar.sources import zipped
 from lodestar.sources.tables import read, table_path
 
 
@@ -40,6 +41,15 @@ def q_scan_csv_pruned(spark, sf):
     return FS.read_csv_strings(spark, path, ORDER_COLS, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
 
 
+@register("scan_csv_zipped", section="S", sql="""
+SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders""")
+def q_scan_csv_zipped(spark, sf):
+    """Zipped CSV landings of the orders, a member a partition, read without their other columns."""
+    prepare(spark)
+    path = zipped.write_csv_zipped(read(spark, sf, "orders", *ORDER_COLS), scratch_path(spark, "orders_zip"))
+    return zipped.read_csv_zipped(spark, path, ["o_orderkey", "o_orderstatus", "o_orderpriority"])
+
+
 @register("scan_csv_positional", section="S", sql="""
 SELECT CAST(l_orderkey AS VARCHAR) AS loan_id, l_returnflag AS flag, CAST(l_linenumber AS VARCHAR) AS seq FROM lineitem""")
 def q_scan_csv_positional(spark, sf):

@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from lodestar.operators import windows as W
 from lodestar.plans.common import rounded
 from lodestar.plans.registry import register
-from lodestar.streaming import twins
+from lodestar.streaming import twins, velocity
 from lodestar.session import prepare
 from lodestar.sources.tables import table_path
 
@@ -48,10 +47,8 @@ SELECT CAST(day AS VARCHAR) AS day, event_type, n, round(rolling_mean, 6) AS rol
        round(rolling_std, 6) AS rolling_std, round(z_score, 6) AS z_score,
        CAST(coalesce(z_score > 2.0, false) AS INTEGER) AS rising_flag FROM z""")
 def q_stream_velocity(spark, sf):
-    """Streaming daily counts feeding the batch rolling z-score."""
+    """Daily counts whose rolling z-score a stateful processor gives as each day closes."""
     prepare(spark)
     schema = spark.read.parquet(table_path(sf, "events")).schema
-    out = twins.stream_period_counts(spark, _glob(sf, "events"), schema, "ts", ["event_type"],
-                                     name=f"velocity_{uuid.uuid4().hex[:8]}")
-    g = out.select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
-    return rounded(W.velocity_zscore(g, "n", ["event_type"], "day"))
+    out = velocity.stream_velocity(spark, _glob(sf, "events"), schema, "ts", ["event_type"])
+    return rounded(out.select(F.col("start").cast("date").alias("day"), "event_type", "n", "rolling_mean", "rolling_std", "z_score", "rising_flag"))

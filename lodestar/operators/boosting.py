@@ -1,17 +1,18 @@
 """Boosted trees for two classes: second-order histogram boosting on Spark.
 
-Features are cut into bins of near equal counts once, and the binned rows are stored. A tree
-grows a level at a time; a level is one Spark job: each task sums gradients, Hessians and
-row counts of its rows per (node, feature, bin) in numpy, an aggregation adds the tasks' sums,
-and the driver, which gets at most nodes x features x bins sums whatever the number of rows,
-picks each node's best split. Only the smaller child of a node is summed, the other one
+Features are cut into bins of near equal counts once, and the binned rows are stored in blocks. For each
+tree the blocks' gradients and Hessians of the rows that it draws are cached once; the tree then grows a level at a
+time, and a level is one Spark job: each task sums gradients, Hessians and row counts of its rows per (node, feature, bin)
+in numpy, and the driver, which gets at most nodes x features x bins sums of a task whatever the number of rows, adds them
+and picks each node's best split. Only the smaller child of a node is summed, the other one
 is its parent less that. Sums are of whole numbers (gradients in units of a power of two),
 so that a model is the same under any partitioning, and after a lost executor too.
-Margins are written to the binned rows every few trees; trees since then are applied on the fly.
+Margins are written to the blocks every few trees; trees since then are applied once for each tree.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Iterator, Sequence
@@ -21,17 +22,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from lodestar.operators.quantiles import ordered_image
 from lodestar.session import discard, stored
 
 #: trees between two writings of the rows' margins
 KEEP = 25
-#: rows summed at a time: sums of that many gradients are exact in doubles
-CHUNK = 1 << 14
-#: binned rows a partition
+#: rows of a block at most: sums of that many gradients are exact in doubles
+BLOCK = 1 << 15
+#: up to this many rows one task runs all levels
 PARTITION_ROWS = 200_000
-#: up to this many tasks' sums go to the driver as they are, more are added by an aggregation first; the sums are the same
+#: binned rows a task at least; with more of them, a task for each core
+TASK_ROWS = 50_000
+#: up to this many tasks' sums go to the driver as they are, more are added by a tree of tasks first; the sums are the same
 DIRECT = 32
 
 
@@ -51,20 +55,34 @@ class Tree:
             getattr(self, name).append(x)
         return len(self.feature) - 1
 
-    def leaves(self, data: np.ndarray, by: str) -> np.ndarray:
-        """The node where each row ends; ``by``: "cut" for rows of bins, "threshold" for rows of values."""
-        feature, left, right, bound = (np.array(getattr(self, a)) for a in ("feature", "left", "right", by))
-        at, every = np.zeros(len(data), np.int64), np.arange(len(data))
-        while True:
-            f = feature[at]
-            inner = f >= 0
-            if not inner.any():
-                return at
-            goes = data[every, np.maximum(f, 0)] <= bound[at]
-            at = np.where(inner, np.where(goes, left[at], right[at]), at)
-
-    def margins(self, data: np.ndarray, by: str) -> np.ndarray:
-        return np.array(self.value)[self.leaves(data, by)]
+    def parts(self, columns: Sequence[np.ndarray], by: str, wanted: set[int] | None = None) -> Iterator[tuple[int, np.ndarray | None]]:
+        """(node, places of its rows; None: all) of the leaves that rows reach, or of the ``wanted`` nodes; a column an array.
+        ``by``: "cut" for columns of bins, "threshold" for columns of values."""
+        bound, todo = getattr(self, by), [(0, None)]
+        if wanted is not None:  # nothing below other nodes is looked at
+            towards = set(wanted)
+            for node in range(len(self.feature) - 1, -1, -1):  # children come after their parent
+                if self.feature[node] >= 0 and (self.left[node] in towards or self.right[node] in towards):
+                    towards.add(node)
+        while todo:
+            node, at = todo.pop()
+            if wanted is not None and node not in towards or at is not None and not len(at):
+                continue
+            f = self.feature[node]
+            if f < 0 or wanted is not None and node in wanted:
+                yield node, at
+                continue
+            goes = (columns[f] if at is None else columns[f][at]) <= bound[node]
+            todo.append((self.left[node], np.flatnonzero(goes) if at is None else at[goes]))
+            todo.append((self.right[node], np.flatnonzero(~goes) if at is None else at[~goes]))
+
+    def add_margins(self, out: np.ndarray, columns: Sequence[np.ndarray], by: str) -> None:
+        """Add the rows' values to ``out``."""
+        for node, at in self.parts(columns, by):
+            if at is None:
+                out += self.value[node]
+            else:
+                out[at] += self.value[node]
 
 
 def drawn(ids: np.ndarray, tree: int, share: float, seed: int) -> np.ndarray:
@@ -90,8 +108,9 @@ class BoostedTrees:
 
     def margin(self, values: np.ndarray) -> np.ndarray:
         out = np.full(len(values), self.bias)
+        columns = list(np.ascontiguousarray(np.asarray(values).T))
         for t in self.trees:
-            out += t.margins(values, "threshold")
+            t.add_margins(out, columns, "threshold")
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -124,34 +143,55 @@ def _cuts(rows: DataFrame, k: int, bins: int) -> list[np.ndarray]:
     return [np.sort([r["x"] for r in got if r["f"] == i])[:-1] for i in range(k)]
 
 
-def _bin(rows: DataFrame, cuts: list[np.ndarray], bias: float) -> DataFrame:
-    def fn(batches):
-        for b in batches:
-            X = [np.searchsorted(c, b.column(4 + i).to_numpy(zero_copy_only=False), side="left") for i, c in enumerate(cuts)]
-            packed = np.column_stack(X).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(np.full(b.num_rows, bias)), pa.array([r.tobytes() for r in packed], pa.binary())],
-                                             names=["id", "y", "w", "held", "margin", "bins"])
-    return rows.mapInArrow(fn, "id long, y double, w double, held boolean, margin double, bins binary")
+#: a block's arrays, one after the other: row's hash, label, weight, margin; held out, and a row of bins for each feature
+BLOCK_SCHEMA = "n int, ids binary, y binary, w binary, margin binary, held binary, bins binary"
 
 
-def _unpack(b: pa.RecordBatch, k: int, recent: Sequence[Tree]):
-    ids, y, w, held, margin = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-    bins = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint8).reshape(-1, k)
+def _bin(rows: DataFrame, cuts: list[np.ndarray], bias: float) -> DataFrame:
+    """Rows (id, y, w, held, features) as blocks of up to BLOCK rows."""
+    def block(parts):
+        ids, y, w, held = (np.concatenate(c) for c in list(zip(*parts))[:4])
+        bins = np.concatenate([p[4] for p in parts], axis=1)
+        data = [ids.astype(np.int64), y, w, np.full(len(y), bias), held.astype(bool), bins]
+        return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in data]],
+                                          names=["n", "ids", "y", "w", "margin", "held", "bins"])
+
+    def fn(batches):
+        parts, n = [], 0
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(start, BLOCK)
+                if n + b.num_rows > BLOCK:
+                    yield block(parts)
+                    parts, n = [], 0
+                X = [np.searchsorted(c, b.column(4 + i).to_numpy(zero_copy_only=False), side="left").astype(np.uint8) for i, c in enumerate(cuts)]
+                parts.append((*[b.column(i).to_numpy(zero_copy_only=False) for i in range(4)], np.array(X).reshape(len(cuts), b.num_rows)))
+                n += b.num_rows
+        if n:
+            yield block(parts)
+    return rows.mapInArrow(fn, BLOCK_SCHEMA)
+
+
+def _unpack(row, k: int, recent: Sequence[Tree]):
+    """A block's arrays (ids, y, w, held, margin, bins with a row for each feature), ``recent`` trees' values added to its margins."""
+    ids, y, w, margin = (np.frombuffer(row[c], t) for c, t in (("ids", np.int64), ("y", np.float64), ("w", np.float64), ("margin", np.float64)))
+    bins = np.frombuffer(row["bins"], np.uint8).reshape(k, -1)
     margin = margin.copy()
     for t in recent:
-        margin += t.margins(bins, "cut")
-    return ids, y, w, held.astype(bool), margin, bins
+        t.add_margins(margin, bins, "cut")
+    return ids, y, w, np.frombuffer(row["held"], np.bool_), margin, bins
 
 
-def _with_margins(rows: DataFrame, k: int, recent: Sequence[Tree]) -> DataFrame:
+def _with_margins(blocks: DataFrame, k: int, recent: Sequence[Tree]) -> DataFrame:
     recent = list(recent)
 
     def fn(batches):
-        for b in batches:
-            cols = list(b.columns)
-            cols[4] = pa.array(_unpack(b, k, recent)[4])
-            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
-    return rows.mapInArrow(fn, rows.schema.simpleString()[7:-1].replace(":", " "))
+        for whole in batches:
+            for b in (whole.slice(i, 1) for i in range(whole.num_rows)):
+                cols = list(b.columns)
+                cols[4] = pa.array([_unpack(b.to_pylist()[0], k, recent)[4].tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
+    return blocks.mapInArrow(fn, BLOCK_SCHEMA)
 
 
 @dataclass
@@ -162,90 +202,109 @@ class _Plan:
     share: float
     seed: int
     unit: float
-    tasks: int
 
 
-def _add(total: np.ndarray, rows, plan: _Plan, tree: Tree, number: int, place: dict[int, int], columns: np.ndarray) -> int:
-    """Add the sums of ``rows`` per (node, column, bin); returns the held-out rows' loss, in 2^-20."""
-    ids, y, w, held, margin, bins = rows
-    loss, cells = 0, len(total)
+def _drawn_part(block, plan: _Plan, number: int) -> tuple:
+    """What a tree needs of a block: (bins, gradients, Hessians) of the rows that it draws, in units, and the held-out
+    rows' loss in 2^-20."""
+    ids, y, w, held, margin, bins = block
+    loss = 0
     if held.any():
         m = margin[held]
         loss = int(np.rint((np.logaddexp(0, m) - y[held] * m) * 2.0 ** 20).astype(np.int64).sum())
-    at = tree.leaves(bins, "cut")
-    slot = np.full(len(tree.feature), -1)
-    slot[list(place)] = list(place.values())
-    use = ~held & (slot[at] >= 0) & drawn(ids, number, plan.share, plan.seed)
-    if use.any():
-        p = 1 / (1 + np.exp(-np.clip(margin[use], -700, 700)))
-        parts = np.rint(w[use] * (p - y[use]) / plan.unit), np.rint(w[use] * p * (1 - p) / plan.unit), np.ones(int(use.sum()))
-        base = slot[at[use]] * len(columns)
+    use = np.flatnonzero(~held & drawn(ids, number, plan.share, plan.seed))
+    y, w = y[use], w[use]
+    p = 1 / (1 + np.exp(-np.clip(margin[use], -700, 700)))
+    return bins[:, use], *(np.rint(x / plan.unit).astype(np.int32) for x in (w * (p - y), w * p * (1 - p))), loss
+
+
+def _add(total: np.ndarray, part: tuple, tree: Tree, nodes: Sequence[int], columns: Sequence[int]) -> None:
+    """Add the sums of a tree's part of a block to ``total`` (node, column, bin, 3)."""
+    bins, g, h, _ = part
+    place, width = {n: i for i, n in enumerate(nodes)}, total.shape[2]
+    for node, at in tree.parts(bins, "cut", set(nodes)):
+        gs, hs = ((v if at is None else v[at]).astype(np.float64) for v in (g, h))
         for j, c in enumerate(columns):
-            cell = (base + j) * plan.width + bins[use, c]
-            for s, v in enumerate(parts):
-                total[:, s] += np.bincount(cell, v, cells).astype(np.int64)
-    return loss
-
+            x = (bins[c] if at is None else bins[c][at]).astype(np.intp)
+            cell = total[place[node], j]
+            cell[:, 0] += np.bincount(x, gs, width).astype(np.int64)
+            cell[:, 1] += np.bincount(x, hs, width).astype(np.int64)
+            cell[:, 2] += np.bincount(x, minlength=width)
 
-def _level(rows: DataFrame, plan: _Plan, recent: Sequence[Tree], tree: Tree, number: int, nodes: Sequence[int],
-           columns: np.ndarray) -> tuple[dict[int, np.ndarray], float]:
-    """Per node of ``nodes`` an array (column, bin, 3) of whole numbers: gradients and Hessians in ``unit``s, and rows;
-    and the loss of the held-out rows. One job."""
-    recent, place = list(recent), {n: i for i, n in enumerate(nodes)}
-    cells = len(nodes) * len(columns) * plan.width
 
-    def fn(batches):
-        total, loss = np.zeros((cells, 3), np.int64), 0
-        for whole in batches:
-            for start in range(0, whole.num_rows, CHUNK):
-                loss += _add(total, _unpack(whole.slice(start, CHUNK), plan.k, recent), plan, tree, number, place, columns)
-        some = np.flatnonzero(total[:, 2])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(some, -1)), *[pa.array(np.append(total[some, s], loss if s == 0 else 0)) for s in range(3)]], names=["cell", "g", "h", "n"])
-
-    parts = rows.mapInArrow(fn, "cell long, g long, h long, n long")
-    if plan.tasks > DIRECT:
-        parts = parts.groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
-    got = parts.toArrow()
-    cell = got.column("cell").to_numpy()
-    sums = np.column_stack([got.column(c).to_numpy() for c in "ghn"]) if len(cell) else np.zeros((0, 3), np.int64)
-    out = np.zeros((cells, 3), np.int64)
-    np.add.at(out, cell[cell >= 0], sums[cell >= 0])
-    return dict(zip(nodes, out.reshape(len(nodes), len(columns), plan.width, 3))), float(sums[cell < 0, 0].sum()) / 2.0 ** 20
+def _empty(plan: _Plan, nodes: Sequence[int], columns: Sequence[int]) -> np.ndarray:
+    return np.zeros((len(nodes), len(columns), plan.width, 3), np.int64)
 
 
 class _Rows:
-    """Binned rows spread over tasks: a level is a job."""
+    """Blocks spread over tasks: a level is a job. A tree's rows, cached, come from the stored blocks by one step, so that
+    a lost executor's are made again from files."""
 
     def __init__(self, table: DataFrame, plan: _Plan):
-        self.table, self.plan, self.recent = table, plan, []
-
-    def level(self, *args):
-        return _level(self.table, self.plan, self.recent, *args)
+        self.plan, self.recent, self.part = plan, [], None
+        self._read(table)
+
+    def _read(self, table: DataFrame) -> None:
+        self.table, self.blocks = table, table.rdd
+
+    def _start(self, number: int) -> None:
+        plan, recent = self.plan, list(self.recent)
+        self.close()
+        self.part = self.blocks.map(lambda row: _drawn_part(_unpack(row, plan.k, recent), plan, number)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def level(self, tree: Tree, number: int, nodes: Sequence[int], columns: np.ndarray) -> tuple[dict[int, np.ndarray], float]:
+        """Per node of ``nodes`` an array (column, bin, 3) of whole numbers: gradients and Hessians in ``unit``s, and rows;
+        and the loss of the held-out rows. One job."""
+        plan, nodes, columns = self.plan, list(nodes), [int(c) for c in columns]
+        if nodes == [0]:
+            self._start(number)
+
+        def fn(parts):
+            total, loss = _empty(plan, nodes, columns), 0
+            for part in parts:
+                _add(total, part, tree, nodes, columns)
+                loss += part[3]
+            yield total, loss
+
+        def plus(a, b):
+            return a[0] + b[0], a[1] + b[1]
+
+        sums = self.part.mapPartitions(fn)
+        total, loss = sums.treeReduce(plus) if sums.getNumPartitions() > DIRECT else functools.reduce(plus, sums.collect())
+        return dict(zip(nodes, total)), loss / 2.0 ** 20
 
     def grown(self, tree: Tree) -> None:
         self.recent.append(tree)
         if len(self.recent) == KEEP:
+            self.close()
             old = self.table
-            self.table, self.recent = stored(_with_margins(old, self.plan.k, self.recent), "binned-rows"), []
+            self._read(stored(_with_margins(old, self.plan.k, self.recent), "binned-rows"))
+            self.recent = []
             discard(old)
 
+    def close(self) -> None:
+        if self.part is not None:
+            self.part.unpersist()
+            self.part = None
+
 
 class _Held:
     """The rows of a table of one partition, in its one task: the same sums without a job for each."""
 
     def __init__(self, batches, plan: _Plan):
-        parts = [_unpack(b, plan.k, []) for b in batches]
-        self.rows, self.plan = [np.concatenate(c) for c in zip(*parts)], plan
+        self.blocks, self.plan, self.drawn = [list(_unpack(row, plan.k, [])) for b in batches for row in b.to_pylist()], plan, []
 
     def level(self, tree, number, nodes, columns):
-        total = np.zeros((len(nodes) * len(columns) * self.plan.width, 3), np.int64)
-        place = {n: i for i, n in enumerate(nodes)}
-        loss = sum(_add(total, [c[i:i + CHUNK] for c in self.rows], self.plan, tree, number, place, columns) for i in range(0, len(self.rows[0]), CHUNK))
-        return dict(zip(nodes, total.reshape(len(nodes), len(columns), self.plan.width, 3))), loss / 2.0 ** 20
+        if list(nodes) == [0]:
+            self.drawn = [_drawn_part(b, self.plan, number) for b in self.blocks]
+        total = _empty(self.plan, nodes, columns)
+        for part in self.drawn:
+            _add(total, part, tree, nodes, columns)
+        return dict(zip(nodes, total)), sum(part[3] for part in self.drawn) / 2.0 ** 20
 
     def grown(self, tree: Tree) -> None:
-        self.rows[4] = self.rows[4] + tree.margins(self.rows[5], "cut")
+        for b in self.blocks:
+            tree.add_margins(b[4], b[5], "cut")
 
 
 def best_split(hist: np.ndarray, counts: Sequence[int], unit: float, reg: float, min_hessian: float, min_leaf: int):
@@ -300,16 +359,17 @@ def fit(df: DataFrame, features: Sequence[str], label: str, rounds: int = 300, d
     width = max(len(c) for c in cuts) + 1
     w = F.when(F.col("y") == 1, F.lit(weight)).otherwise(F.lit(1.0))
     shaped = raw.select("id", "y", w.alias("w"), "held", *[f"x{i}" for i in range(k)])
-    tasks = max(1, -(-n // PARTITION_ROWS))
-    plan = _Plan(k, width, rows, seed, unit, tasks)
+    plan = _Plan(k, width, rows, seed, unit)
     grow = (plan, cuts, rounds, depth, rate, columns, reg, min_hessian, min_leaf, t["out"] or 0, patience, tol)
-    table = _bin(shaped, cuts, bias).repartition(tasks)
-    if tasks == 1:  # at most PARTITION_ROWS rows: the one task that a level has runs all of them
-        got = table.mapInArrow(lambda batches: iter([pa.RecordBatch.from_arrays(
+    table = _bin(shaped, cuts, bias)
+    if n <= PARTITION_ROWS:  # the one task that a level would have runs all of them
+        got = table.repartition(1).mapInArrow(lambda batches: iter([pa.RecordBatch.from_arrays(
             [pa.array([pickle.dumps(_boost(_Held(batches, plan), *grow))], pa.binary())], names=["model"])]), "model binary").first()
         return BoostedTrees(features, bias, *pickle.loads(got["model"]))
-    spread = _Rows(stored(table, "binned-rows"), plan)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = _Rows(stored(table.repartition(min(-(-n // min(TASK_ROWS, PARTITION_ROWS)), max(2, cores))), "binned-rows"), plan)
     trees, history = _boost(spread, *grow)
+    spread.close()
     discard(spread.table)
     return BoostedTrees(features, bias, trees, history)
 

@@ -12,6 +12,7 @@ of class 1 (classification forests and trees): sum(phi) + base.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -157,24 +158,81 @@ def ensemble_shap(x: np.ndarray, trees, weights, n_features: int) -> np.ndarray:
     return out
 
 
-def batch_shap(X: np.ndarray, trees, weights, n_features: int) -> np.ndarray:
-    """SHAP for a batch of rows. A row's values for one tree depend only on its
-    left/right decision at each internal node, so each tree runs the recursion
-    once per distinct decision pattern (numpy-vectorised grouping)."""
-    out = np.zeros((len(X), n_features))
-    if len(X) == 0:
-        return out
-    for t, w in zip(trees, weights):
-        internal = np.nonzero(t["left"] >= 0)[0]
-        if len(internal) == 0:
+#: features on a leaf's path up to which the values of all its patterns are held
+PATTERN_FEATURES = 6
+
+
+def leaf_paths(t: dict) -> list[tuple]:
+    """Per leaf its value and, per feature on its path: feature, share of the covers that goes along, bounds (lo, hi; None: none).
+    A row goes along a feature's steps where its value is at most hi and not at most lo."""
+    out, todo = [], [(0, {})]
+    while todo:
+        node, path = todo.pop()
+        if t["left"][node] < 0:
+            out.append((float(t["value"][node]), [(f, *rest) for f, rest in path.items()]))
             continue
-        D = X[:, t["feature"][internal]] <= t["threshold"][internal]
-        _, first, inv = np.unique(D, axis=0, return_index=True, return_inverse=True)
-        U = np.vstack([tree_shap(X[i], t, n_features) for i in first])
-        out += w * U[inv.reshape(-1)]
+        f, bound, cover = int(t["feature"][node]), float(t["threshold"][node]), t["cover"][node]
+        zero, lo, hi = path.get(f, (1.0, None, None))
+        for kid, ends in ((t["left"][node], (lo, bound if hi is None else min(hi, bound))), (t["right"][node], (bound if lo is None else max(lo, bound), hi))):
+            todo.append((int(kid), {**path, f: (zero * t["cover"][kid] / cover, *ends)}))
+    return out
+
+
+def leaf_values(value: float, zeros: np.ndarray, along: np.ndarray) -> np.ndarray:
+    """A leaf's part of each path feature's Shapley value, for rows that go along (1) its features' steps or not (0)."""
+    d = along.shape[1]
+    weight = [math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d) for k in range(d)]
+    out = np.empty(along.shape)
+    for i in range(d):
+        known = [np.ones(len(along))]  # by number of known features, products of theirs and of the others' shares
+        for j in range(d):
+            if j != i:
+                known = [a * zeros[j] + b * along[:, j] for a, b in zip([*known, 0.0], [0.0, *known])]
+        out[:, i] = (along[:, i] - zeros[i]) * value * sum(w * e for w, e in zip(weight, known))
     return out
 
 
+def shap_tables(trees) -> list[list[tuple]]:
+    """Per tree and leaf: value, features, shares, bounds, and the values of all patterns (None beyond PATTERN_FEATURES features)."""
+    out = []
+    for t in trees:
+        leaves = []
+        for value, path in leaf_paths(t):
+            if path:
+                feats, zeros, lo, hi = zip(*path)
+                d, zeros = len(feats), np.array(zeros)
+                table = leaf_values(value, zeros, (np.arange(1 << d)[:, None] >> np.arange(d)) & 1) if d <= PATTERN_FEATURES else None
+                leaves.append((value, feats, zeros, lo, hi, table))
+        out.append(leaves)
+    return out
+
+
+def batch_shap(X: np.ndarray, trees, weights, n_features: int, tables=None) -> np.ndarray:
+    """SHAP for a batch of rows. What a leaf adds to a row's values depends only on which features' steps of its path the row
+    goes along, so a leaf's values are worked out once per pattern of these and looked up for the rows."""
+    out = np.zeros((n_features, len(X)))
+    if len(X) == 0:
+        return out.T
+    cols = list(np.ascontiguousarray(X.T))
+    for leaves, w in zip(shap_tables(trees) if tables is None else tables, weights):
+        for value, feats, zeros, lo, hi, table in leaves:
+            goes = []
+            for f, a, b in zip(feats, lo, hi):
+                ok = cols[f] <= b if b is not None else True
+                goes.append(ok if a is None else ok & ~(cols[f] <= a))
+            pattern = np.zeros(len(X), np.int64)
+            for i, g in enumerate(goes):
+                pattern |= g.astype(np.int64) << i
+            if table is None:
+                seen, pattern = np.unique(pattern, return_inverse=True)
+                here = leaf_values(value, zeros, (seen[:, None] >> np.arange(len(feats))) & 1)
+            else:
+                here = table
+            for i, f in enumerate(feats):
+                out[f] += (w * here[:, i])[pattern]
+    return out.T
+
+
 def shap_values(df: DataFrame, features: Sequence[str], model, keys: Sequence[str]) -> tuple[DataFrame, float]:
     """Per-row SHAP values as long rows (keys..., feature, phi) and the base value."""
     spark = df.sparkSession
@@ -182,12 +240,13 @@ def shap_values(df: DataFrame, features: Sequence[str], model, keys: Sequence[st
     base = float(sum(w * expected_value(t) for t, w in zip(trees, weights))) + getattr(model, "bias", 0.0)
     feats = list(features)
     nf = len(feats)
+    tables = shap_tables(trees)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def fn(it):
         for pdf in it:
             X = pdf[feats].to_numpy(dtype=np.float64)
-            phis = batch_shap(X, trees, weights, nf)
+            phis = batch_shap(X, None, weights, nf, tables)
             out = pdf[list(keys)].copy()
             out["phi"] = list(phis)
             yield out

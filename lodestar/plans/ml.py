@@ -106,7 +106,8 @@ TRAIN_END, TEST_START = "1999-12-31", "2000-06-30"
 def ml_frame(spark, sf):
     from lodestar.functions.scalars import clip
     df = features(spark, sf).dropna(subset=FEATS)
-    df = df.select("CERT", "REPDTE", "STNAME", "CITY", "label", *[clip(c, -10, 10).alias(c) for c in FEATS])
+    # stored: a fit reads its rows several times, and the features cost a shuffle of the panel each time
+    df = stored(df.select("CERT", "REPDTE", "STNAME", "CITY", "label", *[clip(c, -10, 10).alias(c) for c in FEATS]), "bank_rows")
     train, test = R.temporal_split(df, train_end=TRAIN_END, test_start=TEST_START)
     return df, train, test
 
@@ -153,9 +154,10 @@ MIN_LEAF = 50
 
 
 def sized(df, rows=50_000):
-    """``df`` stored, in partitions of about ``rows`` rows: training reads it once per level and tree."""
+    """``df`` stored, in partitions of ``rows`` rows or, with more of them, one for each core: training reads it once per
+    level, and each partition hands on the sums of all nodes, however few its rows."""
     d = stored(df, "training_rows")
-    return d.repartition(max(1, -(-d.count() // rows)))
+    return d.repartition(max(1, min(-(-d.count() // rows), max(2, df.sparkSession.sparkContext.defaultParallelism))))
 
 
 def fit_gbt(train, rounds=GBT["rounds"], feats=FEATS, min_leaf=1, weighted=True, validation=0.0, columns=GBT["columns"], reg=1.0,
@@ -218,17 +220,21 @@ def q_rf_classifier(spark, sf):
 def fit_platt(train, rounds=GBT["rounds"], folds=3):
     """Calibrated boosted trees: per hash fold a model of the other folds and a one-regressor
     logit of the label on its probability over the fold. Returns [(model, const, slope)]."""
+    from multiprocessing.pool import ThreadPool
+    from pyspark import inheritable_thread_target
     from lodestar.operators import glm
     train = train.withColumn("fold", F.pmod(F.xxhash64("CERT", "REPDTE", F.lit(42)), F.lit(folds)))
-    out = []
-    for k in range(folds):
+
+    def fold(k):
         m = fit_gbt(train.where(F.col("fold") != k), rounds)
         held = prob1(m.transform(train.where(F.col("fold") == k))).select("label", "p1")
         c = {r["term"]: r["coef"] for r in glm.logit(held, "label", ["p1"]).select("term", "coef").collect()}
         if c.get("const") is None or c.get("p1") is None:
             raise ValueError(f"no calibration for fold {k}: its labels are separated or constant")
-        out.append((m, c["const"], c["p1"]))
-    return out
+        return m, c["const"], c["p1"]
+
+    with ThreadPool(folds) as pool:  # a fold's small jobs leave cores idle
+        return pool.map(inheritable_thread_target(train.sparkSession)(fold), range(folds))
 
 
 def platt_probability(fits, df):
@@ -296,12 +302,12 @@ def split_rows(df, ids, test_size=0.2):
 
 
 def application_split(spark, sf):
-    """Complete-case applications with all features and the stratified split, persisted."""
+    """Complete-case applications with all features, stored, and the stratified split."""
     from lodestar.plans.scalars import prep
     feats = [*C.CREDIT_FEATURES, *C.RACE_FEATURES]
     df = prep(spark, sf).select("app_id", F.col("approved").cast("int").alias("label"),
                                 *[F.col(c).cast("double").alias(c) for c in feats]).dropna()
-    d = split_rows(df, ["app_id"]).persist()
+    d = split_rows(stored(df, "application_rows"), ["app_id"])
     return d, d.where("split = 'train'"), d.where("split = 'test'"), feats
 
 
@@ -314,19 +320,16 @@ def q_model_counterfactual(spark, sf):
     """Excess denials of protected test applicants: predictions of the boosted trees with
     the protected flag set to 0, minus those as they are; the model is fitted on the
     training rows. Both predictions are made in one pass over a row."""
-    d, train, test, feats = application_split(spark, sf)
-    try:
-        model = fit_application_gbt(train, feats)
-        both = test.where("is_black = 1").select("*", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("flag")) \
-            .withColumn("is_black", F.col("flag"))
-        p = prob1(model.transform(both))
-        sign = F.when(F.col("flag") == 0, F.col("p1")).otherwise(-F.col("p1"))
-        row = p.agg(F.sum(sign).alias("total_excess"), F.countDistinct("app_id").alias("n")).first()
-        n = row["n"]
-        return rounded(spark.createDataFrame([(row["total_excess"], row["total_excess"] / n if n else None, n)],
-                                             "total_excess double, mean_excess double, n long"))
-    finally:
-        d.unpersist()
+    _, train, test, feats = application_split(spark, sf)
+    model = fit_application_gbt(train, feats)
+    both = test.where("is_black = 1").select("*", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("flag")) \
+        .withColumn("is_black", F.col("flag"))
+    p = prob1(model.transform(both))
+    sign = F.when(F.col("flag") == 0, F.col("p1")).otherwise(-F.col("p1"))
+    row = p.agg(F.sum(sign).alias("total_excess"), F.countDistinct("app_id").alias("n")).first()
+    n = row["n"]
+    return rounded(spark.createDataFrame([(row["total_excess"], row["total_excess"] / n if n else None, n)],
+                                         "total_excess double, mean_excess double, n long"))
 
 
 @register("model_comparison", section="M")
@@ -334,25 +337,22 @@ def q_model_comparison(spark, sf):
     """Logit, boosted trees and forest on applications: stratified 80/20 split, AUC, average
     precision, precision at 50, sizes, and for the logit the protected odds ratio."""
     from lodestar.operators import glm
-    d, train, test, feats = application_split(spark, sf)
-    try:
-        fit = {r["term"]: r for r in glm.logit(train, "label", feats).collect()}
-        z = F.lit(fit["const"]["coef"])
-        for f in feats:
-            z = z + F.lit(fit[f]["coef"] or 0.0) * F.col(f)
-        preds = {"logit": test.withColumn("p1", 1 / (1 + F.exp(-z))),
-                 "gbt": prob1(fit_application_gbt(train, feats).transform(test)),
-                 "rf": prob1(fit_rf(train, feats=feats, weighted=False).transform(test))}
-        n = train.count()
-        rows = [model_metrics(p.withColumn("id", F.col("app_id")), name, n) for name, p in preds.items()]
-        spread = max(r[1] for r in rows) - min(r[1] for r in rows)
-        b = fit["is_black"]
-        odds = {"logit": (b["odds_ratio"], b["or_lo"], b["or_hi"], b["p"])}
-        return rounded(spark.createDataFrame(
-            [(*r, *odds.get(r[0], (None,) * 4), spread) for r in rows],
-            METRICS + ", protected_or double, or_lo double, or_hi double, p double, auc_range double"))
-    finally:
-        d.unpersist()
+    _, train, test, feats = application_split(spark, sf)
+    fit = {r["term"]: r for r in glm.logit(train, "label", feats).collect()}
+    z = F.lit(fit["const"]["coef"])
+    for f in feats:
+        z = z + F.lit(fit[f]["coef"] or 0.0) * F.col(f)
+    preds = {"logit": test.withColumn("p1", 1 / (1 + F.exp(-z))),
+             "gbt": prob1(fit_application_gbt(train, feats).transform(test)),
+             "rf": prob1(fit_rf(train, feats=feats, weighted=False).transform(test))}
+    n = train.count()
+    rows = [model_metrics(p.withColumn("id", F.col("app_id")), name, n) for name, p in preds.items()]
+    spread = max(r[1] for r in rows) - min(r[1] for r in rows)
+    b = fit["is_black"]
+    odds = {"logit": (b["odds_ratio"], b["or_lo"], b["or_hi"], b["p"])}
+    return rounded(spark.createDataFrame(
+        [(*r, *odds.get(r[0], (None,) * 4), spread) for r in rows],
+        METRICS + ", protected_or double, or_lo double, or_hi double, p double, auc_range double"))
 
 
 @register("early_warning_watchlist", section="Q")

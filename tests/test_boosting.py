@@ -126,3 +126,51 @@ def test_odd_tables(spark, table):
     assert a.transform(holed).where("p1 IS NULL").count() == 0 and a.transform(a.transform(holed)).columns == [*holed.columns, "p1"]
     flat = B.fit(table.withColumn("a", F.lit(1.0)), ["a"], "y", rounds=2)  # nothing to split on
     assert all(t.feature == [-1] for t in flat.trees)
+
+
+def test_a_task_for_each_core_and_trees_applied_once(spark, table, monkeypatch):
+    """With many rows a level has no more tasks than cores, and all its jobs read the tree's cached rows."""
+    monkeypatch.setattr(B, "PARTITION_ROWS", 10)
+    seen = []
+    level = B._Rows.level
+
+    def watched(self, *args):
+        out = level(self, *args)
+        seen.append((self.part.getNumPartitions(), self.part.is_cached, self.part.id()))
+        return out
+    monkeypatch.setattr(B._Rows, "level", watched)
+    many = B.fit(table, NAMES, "y", rounds=3, depth=3)
+    assert all(n <= max(2, spark.sparkContext.defaultParallelism) and cached for n, cached, _ in seen)
+    assert len({i for *_, i in seen}) == 3 < len(seen)  # a cached part a tree
+    monkeypatch.setattr(B, "PARTITION_ROWS", 200_000)
+    one = B.fit(table, NAMES, "y", rounds=3, depth=3)
+    assert [(t.feature, t.cut, t.value) for t in many.trees] == [(t.feature, t.cut, t.value) for t in one.trees]
+
+
+def test_leaf_patterns_give_the_recursion_s_values():
+    """Deep trees that split a feature again, beyond the held tables too; rows at thresholds and NaN."""
+    rng = np.random.default_rng(5)
+
+    def tree(depth, k):
+        t = {c: [] for c in ("feature", "threshold", "left", "right", "value", "cover")}
+
+        def grow(level, cover):
+            i = len(t["value"])
+            for c, v in (("feature", -1), ("threshold", np.nan), ("left", -1), ("right", -1), ("value", rng.normal()), ("cover", cover)):
+                t[c].append(v)
+            if level < depth:
+                share = rng.uniform(0.1, 0.9)
+                t["feature"][i], t["threshold"][i] = int(rng.integers(k)), round(rng.normal(), 1)
+                t["left"][i] = grow(level + 1, cover * share)
+                t["right"][i] = grow(level + 1, cover * (1 - share))
+            return i
+        grow(0, 100.0)
+        return {c: np.array(v) for c, v in t.items()}
+
+    for depth, k in ((3, 2), (4, 11), (8, 11)):
+        X = np.round(rng.normal(size=(40, k)), 1)
+        X[3, 1] = np.nan
+        trees, weights = [tree(depth, k) for _ in range(2)], [0.5, 2.0]
+        want = np.array([AT.ensemble_shap(x, trees, weights, k) for x in X])
+        assert np.allclose(AT.batch_shap(X, trees, weights, k), want, atol=1e-10)
+        assert np.allclose(AT.batch_shap(X, None, weights, k, AT.shap_tables(trees)), want, atol=1e-10)

@@ -407,3 +407,13 @@ def test_dependent_attribution_equals_all_subsets_and_orders(spark, monkeypatch)
 def test_dependent_attribution_on_fitted_coefficients(spark):
     rows = {r["feature"]: r["mean_abs_contribution"] for r in ml.q_linear_attribution_dependent(spark, SF).collect()}
     assert len(rows) == 9 and all(v >= 0 for v in rows.values()) and any(rows.values())
+
+
+def test_model_rows_are_stored_once(spark):
+    """Fits read stored rows, not the panel's joins and shuffles again; a forest's partitions follow the cores."""
+    from lodestar.plans import ml
+    for df in (*ml.ml_frame(spark, SF), *ml.application_split(spark, SF)[:3]):
+        files = df.inputFiles()
+        assert files and not any(f.startswith(f"file://{SF}") for f in files)
+    few = ml.sized(spark.range(3000), rows=10)
+    assert few.rdd.getNumPartitions() <= max(2, spark.sparkContext.defaultParallelism)

@@ -192,10 +192,24 @@ def _vec_schema(part_df: DataFrame, by: Sequence[str]) -> str:
 BlockFn = Callable[[pd.DataFrame], object]
 
 
-def _blocks_default(by, y, xs, intercept):
+def _blocks_default(by, y, xs, intercept, times=None):
     def blocks(pdf):
         for key, sub in _group_iter(pdf, by):
-            yield key, _design(sub, xs, intercept), sub[y].to_numpy(dtype=np.float64)
+            yield (key, _design(sub, xs, intercept), sub[y].to_numpy(dtype=np.float64),
+                   *([sub[times].to_numpy(dtype=np.float64)] if times else []))
+    return blocks
+
+
+def blocks_by_kind(kinds: dict[str, str], y: str, xs: Sequence[str], intercept: bool = True):
+    """Blocks of groups (kind, level) for rows that belong to one level of each kind: ``kinds`` names each kind's
+    column (text; null: no level). A row is held and sent once, not once for each kind."""
+    def blocks(pdf):
+        X, yv = _design(pdf, xs, intercept), pdf[y].to_numpy(dtype=np.float64)
+        for kind, c in kinds.items():
+            codes, levels = pd.factorize(pdf[c])
+            for i, level in enumerate(levels):
+                at = np.flatnonzero(codes == i)
+                yield (kind, level), X[at], yv[at]
     return blocks
 
 
@@ -236,7 +250,7 @@ def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, zero
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            for key, X, yv in blocks_factory(pdf):
+            for key, X, yv, *times in blocks_factory(pdf):
                 b = betas.get(key)
                 if b is None:
                     if not zero_default:
@@ -244,10 +258,11 @@ def _logit_pass(design: DataFrame, by, blocks_factory, betas: dict, k: int, zero
                     b = zero
                 eta = X @ b
                 p = 1.0 / (1.0 + np.exp(-np.clip(eta, -700, 700)))
-                ll = float(np.sum(yv * eta - np.logaddexp(0.0, eta)))
-                w = p * (1 - p)
-                v = np.concatenate([[len(yv), yv.sum(), ll], X.T @ (yv - p), ((X * w[:, None]).T @ X).ravel(),
-                                    (X.T @ X).ravel()])
+                f = times[0] if times else np.ones(len(yv))  # rows that a row stands for
+                ll = float(np.sum(f * (yv * eta - np.logaddexp(0.0, eta))))
+                w = f * p * (1 - p)
+                v = np.concatenate([[f.sum(), f @ yv, ll], X.T @ (f * (yv - p)), ((X * w[:, None]).T @ X).ravel(),
+                                    ((X * f[:, None] if times else X).T @ X).ravel()])
                 acc[key] = acc[key] + v if key in acc else v
         if acc:
             yield _emit(acc, by)
@@ -335,15 +350,16 @@ def _check_groups(n_groups: int):
 
 def logit(df: DataFrame, y: str, xs: Sequence[str], by: Sequence[str] = (), intercept: bool = True,
           min_n: int = 0, max_iter: int = 50, tol: float = 1e-9, blocks: Callable | None = None,
-          persist: bool = True) -> DataFrame:
-    """Unpenalised logistic regression per group: coef, se, z, p, OR with 95 % CI, McFadden R2."""
+          persist: bool = True, times: str | None = None) -> DataFrame:
+    """Unpenalised logistic regression per group: coef, se, z, p, OR with 95 % CI, McFadden R2.
+    ``times``: column with the number of equal rows that a row stands for."""
     by = list(by)
     terms = (["const"] if intercept else []) + list(xs)
     k = len(terms)
-    design = df if blocks is not None else _prepare(df, y, xs, by)
+    design = df if blocks is not None else _prepare(df, y, xs, by, [times] if times else [])
     if persist:
         design = design.persist(StorageLevel.MEMORY_AND_DISK)
-    factory = blocks or _blocks_default(by, y, xs, intercept)
+    factory = blocks or _blocks_default(by, y, xs, intercept, times)
     try:
         # the first pass (every group at beta = 0) also yields n and sum(y) per group
         res = _logit_pass(design, by, factory, {}, k, zero_default=True)
@@ -454,7 +470,7 @@ def _residual_pass(design, by, y, xs, intercept, fits: dict, k: int, hc3: bool)
                 e = yv - X @ np.nan_to_num(beta)
                 m = X
                 if hc3:
-                    h = np.einsum("ij,jk,ik->i", X, A, X)
+                    h = np.einsum("ij,ij->i", X @ A, X)
                     m = X * (e / (1 - h))[:, None]
                 v = np.concatenate([[e @ e, (yv - mean) @ (yv - mean)], (m.T @ m).ravel()])
                 acc[key] = acc[key] + v if key in acc else v

@@ -13,6 +13,7 @@ from lodestar.plans.common import cte, rounded
 from lodestar.plans.registry import register
 from lodestar.plans.scalars import prep
 from lodestar.plans.windows import DID_SQL, did_panel
+from lodestar.session import stored
 from lodestar.sources import conform as C
 
 TREAT = C.TREATED_INSTITUTION
@@ -125,9 +126,9 @@ RARE_SQL = """(SELECT p.*, CASE WHEN c.n >= 50 THEN p.county_code ELSE 'other' E
   ON p.county_code = c.county_code)"""
 
 
-def county_collapsed(spark, sf, min_count=50):
+def county_collapsed(df, min_count=50):
     from lodestar.operators import joins as J
-    return J.rare_level_collapse(prep(spark, sf), "county_code", min_count, out="county")
+    return J.rare_level_collapse(df, "county_code", min_count, out="county")
 
 
 @register("within_fe_lpm", section="M", sql="WITH p AS (" + V.prep() + f"), r AS {RARE_SQL}" + """
@@ -139,14 +140,14 @@ SELECT 'is_black' AS term, round(b, 6) AS coef,
        n FROM d, b GROUP BY b, sxx, n""")
 def q_within_fe_lpm(spark, sf):
     """County-demeaned LPM with HC3 (leverage x~^2 / sum x~^2 on the demeaned regressor)."""
-    d = W.within_demean(county_collapsed(spark, sf), ["approved", "is_black"], "county")
+    d = W.within_demean(county_collapsed(prep(spark, sf)), ["approved", "is_black"], "county")
     fit = glm.ols(d, "approved_dm", ["is_black_dm"], intercept=False, cov_type="HC3")
     return rounded(fit.select(F.lit("is_black").alias("term"), "coef", "se", "n"))
 
 
 @register("lpm_pooled_fe", section="M")
 def q_lpm_pooled_fe(spark, sf):
-    df = prep(spark, sf)
+    df = stored(prep(spark, sf).select("approved", *CREDIT, *RACE, "institution", "activity_year"), "lpm_rows")  # levels and the fit read them
     df, e = frames.one_hot_drop_first(df, "institution", prefix="fe_i")
     df, t = frames.one_hot_drop_first(df, "activity_year", prefix="fe_y")
     fit = glm.ols(df, "approved", [*CREDIT, *RACE, *e, *t], cov_type="HC3")
@@ -155,7 +156,7 @@ def q_lpm_pooled_fe(spark, sf):
 
 @register("lpm_by_group", section="M")
 def q_lpm_by_group(spark, sf):
-    df = prep(spark, sf)
+    df = stored(prep(spark, sf).select("approved", *CREDIT, *RACE, "institution", "activity_year"), "lpm_rows")
     df, t = frames.one_hot_drop_first(df, "activity_year", prefix="fe_y")
     # controls and year dummies that are constant in a group are left out of its fit
     fit = glm.ols(df, "approved", [*CREDIT, *RACE, *t], by=["institution"], cov_type="HC3", min_n=200)
@@ -269,10 +270,11 @@ def q_spec_table(spark, sf):
     """The protected coefficient with all controls: over everything, among purchases, with an effect for each state, and (a linear
     probability model on demeaned columns, in points of probability) for each county of 50 rows or more and the others together."""
     xs = [*CREDIT, *RACE]
-    df = prep(spark, sf)
+    # stored: four fits and the counties' counts read these rows
+    df = stored(prep(spark, sf).select("approved", *xs, "loan_purpose", "state_code", "county_code"), "spec_rows")
     fits = {"baseline": glm.logit(df, "approved", xs), "purchase_only": glm.logit(df.where(F.col("loan_purpose") == "1"), "approved", xs),
             "state_fe": FX.logit_absorbed(df, "approved", xs, "state_code")}
-    within = W.within_demean(county_collapsed(spark, sf).dropna(subset=xs), ["approved", *xs], "county")
+    within = W.within_demean(county_collapsed(df).dropna(subset=xs), ["approved", *xs], "county")
     lpm = glm.ols(within, "approved_dm", [f"{x}_dm" for x in xs], cov_type="HC3")
     fits["county_fe_lpm"] = lpm.withColumn("term", F.regexp_replace("term", "_dm$", ""))
     out = None

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import scalars as S
+from lodestar.session import discard, stored
 from lodestar.sources.tables import read
 
 # ---------------------------------------------------------------- fixed values
@@ -134,7 +135,9 @@ def application_features_wide(apps: DataFrame) -> DataFrame:
         "aus_du": flag("aus_1", 1), "aus_lp": flag("aus_1", 2), "aus_manual": S.indicator(F.col("aus_1").isin(3, 4, 5, 6, 7))})
     filled = {"ltv": "miss_ltv", "dti_mid": "miss_dti", "log_income": "miss_income"}
     d = d.withColumns({m: F.col(c).isNull().cast("int") for c, m in filled.items()})
-    medians = {c: quantiles_wide(d, c, [0.5], ["m"]).first() for c in filled}  # three numbers
+    three = stored(d.select(*filled), "median_rows")  # the quantiles read them several times
+    medians = {c: quantiles_wide(three, c, [0.5], ["m"]).first() for c in filled}  # three numbers
+    discard(three)
     return d.withColumns({c: F.coalesce(F.col(c), F.lit(r["m"] if r else None).cast("double")) for c, r in medians.items()})
 
 

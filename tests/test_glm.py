@@ -206,3 +206,30 @@ def test_placebo_equals_separate_fits_with_all_controls(spark):
         assert abs(got[d]["coef"] - b[-1]) < 1e-8 and abs(got[d]["se"] - se) < 1e-8
     none = CA.placebo_permutation(df.withColumn("f", F.lit(0.0)), "y", ["x0", "f"], "f", "id", n_draws=3).collect()
     assert len(none) == 3 and all(r["coef"] is None for r in none)
+
+
+def test_counted_rows_and_kinds_equal_the_rows_themselves(spark):
+    """A fit on distinct rows with their numbers, and one on rows with a level of each kind, against one on all rows."""
+    from lodestar.operators import glm
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.random() < 0.3 + 0.2 * x), int(x), g, None if i % 7 == 0 else h)
+            for i, (x, g, h) in enumerate(zip(rng.integers(0, 2, 900), rng.choice(["a", "b"], 900), rng.choice(["c", "d", "e"], 900)))]
+    df = spark.createDataFrame(rows, "y int, x int, g string, h string")
+    cols = ["coef", "se", "n", "r2", "converged"]
+
+    def got(fit, by):
+        return {tuple(r[k] for k in [*by, "term"]): [r[c] for c in cols] for r in fit.collect()}
+
+    want = got(glm.logit(df, "y", ["x"], by=["g"]), ["g"])
+    cells = df.groupBy("g", "y", "x").agg(F.count(F.lit(1)).alias("times"))
+    few = got(glm.logit(cells, "y", ["x"], by=["g"], times="times"), ["g"])
+    assert want.keys() == few.keys() and all(np.allclose(want[k], few[k]) for k in want)
+
+    long = df.select("y", "x", F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("level")) for c in "gh"])).alias("s"))
+    long = long.select("y", "x", "s.*").dropna(subset=["level"])
+    by = ["kind", "level"]
+    want = got(glm.logit(long, "y", ["x"], by=by), by)
+    wide = df.select(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x"), "g", "h",
+                     *[F.lit(None).cast("string").alias(c) for c in by])
+    each = got(glm.logit(wide, "y", ["x"], by=by, blocks=glm.blocks_by_kind({"g": "g", "h": "h"}, "y", ["x"])), by)
+    assert len(want) == 10 and want.keys() == each.keys() and all(np.allclose(want[k], each[k]) for k in want)

@@ -77,6 +77,19 @@ def test_slices_and_empty_tables(spark, docs, no_docs, monkeypatch):
     assert S.deduplicate(docs).count() == docs.count()
 
 
+def test_windows_of_a_chunk_take_little_memory():
+    """A chunk of 4 MB is hashed in slices that take less than ten times its bytes, the result included."""
+    import tracemalloc
+    b = np.random.default_rng(1).integers(97, 123, S.CHUNK).astype(np.uint8)
+    ends = np.arange(2000, len(b) + 1, 2000)
+    tracemalloc.start()
+    try:
+        S.Finder().windows(b, ends)
+        assert tracemalloc.get_traced_memory()[1] < 10 * len(b)
+    finally:
+        tracemalloc.stop()
+
+
 def test_blind_tries_order_and_compare():
     r = random.Random(3)
     for _ in range(200):

@@ -67,6 +67,22 @@ def test_a_passage_that_every_text_shares(spark):
     assert stripped(df, bucket=4000) == stripped(df) == dict(enumerate(brute_passages(texts, S.LENGTH)))
 
 
+def test_a_frequent_key_is_dealt_out_where_it_lies(spark, monkeypatch):
+    """Windows of a bucket too large are cut without an exchange by key, which would bring them all into one task."""
+    r = random.Random(12)
+    shared = "".join(r.choices("abcdefghij ", k=700))
+    texts = ["".join(r.choices("klmnopqrst ", k=300)) + shared + "".join(r.choices("klmnopqrst ", k=300)) for _ in range(30)]
+    plans, stored = {}, S.written
+    def written(df, name, *how):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name, *how)
+    monkeypatch.setattr(S, "written", written)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert stripped(df, bucket=4000) == dict(enumerate(brute_passages(texts, S.LENGTH)))
+    assert plans["suffix-pieces"] and not any("hashpartitioning(key" in p for p in plans["suffix-pieces"])
+    assert len(plans["suffix-inner"]) == len(plans["suffix-pieces"])
+
+
 def test_slices_and_empty_tables(spark, docs, no_docs, monkeypatch):
     b = np.frombuffer("".join(random.Random(4).choices("abc", k=5000)).encode(), np.uint8)
     ends = np.array([0, 700, 700, 720, 5000])

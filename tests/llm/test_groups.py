@@ -237,3 +237,48 @@ def test_pruning_drops_pairs(monkeypatch):
     s = topk.Scorer(np.arange(10), c[2000:2010], np.full(10, -np.inf), basis, 5)
     topk._feed(s, np.arange(100, 4100), c)
     assert s.pairs < 10 * 2000 and s.exact < s.pairs
+
+
+def test_vector_search_bounds_what_the_driver_and_a_round_hold(spark, monkeypatch):
+    """Parts end by a bounded sample however many there are, a round deals a bounded number of bytes, settings come back, and
+    nothing but the result is left on disk."""
+    setting, seen, dealt = "spark.sql.execution.rangeExchange.sampleSizePerPartition", {}, []
+    written, before = vectors.written, spark.conf.get(setting)
+
+    def spy(df, name, *args, **kw):
+        seen.setdefault(name, spark.conf.get(setting))
+        out = written(df, name, *args, **kw)
+        dealt.append((name, out.inputFiles()[0].rsplit("/", 1)[0]))
+        return out
+    r = np.random.default_rng(3)
+    rows = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(r.normal(size=(700, 8)))]
+    monkeypatch.setattr(vectors, "written", spy)
+    monkeypatch.setattr(vectors, "ENDS", 28)
+    monkeypatch.setattr(vectors, "DEALT", 3 * 14 * 64)
+    monkeypatch.setattr(vectors.by_length, "__defaults__", (50,))
+    monkeypatch.setattr(vectors.search, "__defaults__", (16, 14))
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("id") % 50 == 0)
+    assert {tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()} == brute_top(rows)
+    assert seen["vector-blocks"] == "2" and spark.conf.get(setting) == before
+    best = [path for name, path in dealt if name == "vector-best"]
+    assert len(best) >= 6  # 14 parts, three at once
+    assert [os.path.exists(path.removeprefix("file:")) for _, path in dealt] == [path == best[-1] for _, path in dealt]
+
+
+def test_strips_that_bounds_drop_little_of_are_scored_whole(monkeypatch):
+    """Unit vectors without leading directions: one product for a strip gives the same ranks, ties to smaller ids."""
+    r = np.random.default_rng(1)
+    c = np.floor(256 * (x := r.normal(size=(600, 16))) / np.linalg.norm(x, axis=1)[:, None])
+    c[300:340] = c[7]
+    ids = r.permutation(np.r_[np.arange(590), 3, 3, 40, 40, 500, 501, 502, 503, 504, 505])
+    q = c[np.arange(0, 600, 12)]
+    own = ids[np.arange(0, 600, 12)]
+    monkeypatch.setattr(topk, "STRIP", 64)
+    s, taken = topk.Scorer(own, q, np.full(len(q), -np.inf), np.linalg.eigh(c.T @ c)[1][:, ::-1].copy(), 5), []
+    whole = s._whole
+    monkeypatch.setattr(s, "_whole", lambda *a: (taken.append(1), whole(*a)))
+    topk._feed(s, ids, c)
+    assert taken
+    for i, o in enumerate(own):
+        want = sorted((-float(c[j] @ q[i]), int(ids[j])) for j in range(600) if ids[j] != o)[:5]
+        assert sorted(zip((-s.best[i]).tolist(), s.who[i].tolist())) == want

@@ -181,6 +181,23 @@ def test_coordinates_prune_and_lose_none():
     assert kept < 20 * 3000 / 2
 
 
+@pytest.mark.parametrize("same", [True, False])
+def test_buckets_scored_whole_give_what_lists_give(same, monkeypatch):
+    r = np.random.default_rng(6)
+    m = np.floor(256 * (x := r.normal(size=(1200, 12))) / np.linalg.norm(x, axis=1)[:, None])
+    m[40:60] = m[0]
+    c = vectors.Block(np.arange(1200) % 1190, np.arange(1200) % 4, m)
+    q = vectors.Block(c.ids[::40], c.labels[::40], m[::40], np.full((30, 2), -np.inf), np.full((30, 2), np.inf))
+    q.lo[:, 1], q.hi[:, 1] = 20000, 50000
+    found = []
+    for dense in (0, np.inf):  # always, never
+        monkeypatch.setattr(H, "DENSE", dense)
+        found.append({*zip(*(x.tolist() for x in H.pruned(5, same)(q, c)))})
+    assert found[0] == found[1] and len(found[0]) > 30 * 5
+    want = sorted((-float(m[j] @ q.m[3]), int(c.ids[j])) for j in range(1200) if (c.labels[j] == q.labels[3]) == same and c.ids[j] != q.ids[3])[:5]
+    assert sorted((-s, w) for i, slot, w, s in found[0] if i == q.ids[3] and slot == 1) == want
+
+
 def test_negatives_of_nothing(spark):
     assert H.mine(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), F.col("id") % 100 == 0).count() == 0
     one = spark.createDataFrame([(100, [1.0], 1)], "vec_id long, embedding array<float>, label int")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.operators.boosting import BoostedTrees
+from lodestar.operators.forest import Forest
 from lodestar.session import scratch_path
 
 MAX_NODES = 2_000_000
@@ -29,8 +30,9 @@ MAX_NODES = 2_000_000
 
 def load_trees(model, spark) -> tuple[list[dict], list[float]]:
     """Node arrays per tree, plus tree weights: of a saved Spark ML tree ensemble, or of boosted trees, which are in memory."""
-    if isinstance(model, BoostedTrees):  # covers: Hessian sums; the rate is in the leaves' values
-        return [{c: np.array(getattr(t, c)) for c in ("feature", "threshold", "left", "right", "value", "cover")} for t in model.trees], [1.0] * len(model.trees)
+    if isinstance(model, (BoostedTrees, Forest)):  # covers: Hessian sums, the rate is in the leaves' values; a forest's: weights
+        share = 1.0 if isinstance(model, BoostedTrees) else 1.0 / len(model.trees)
+        return [{c: np.array(getattr(t, c)) for c in ("feature", "threshold", "left", "right", "value", "cover")} for t in model.trees], [share] * len(model.trees)
     forest = isinstance(model, (RandomForestClassificationModel, DecisionTreeClassificationModel))
     if forest and model.numClasses != 2:
         raise ValueError("attribution covers two classes")

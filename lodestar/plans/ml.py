@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from lodestar.operators import boosting
+from lodestar.operators import boosting, forest
 from lodestar.operators import metrics as M
 from lodestar.operators import risk as R
 from lodestar.plans.common import cte, rounded
@@ -151,6 +151,8 @@ def fit_ridge(train, C_inv=1.0, feats=FEATS):
 GBT = {"rounds": 300, "depth": 4, "rate": 0.05, "rows": 0.8, "columns": 0.8}
 FOREST = {"trees": 500, "depth": 10}
 MIN_LEAF = 50
+#: rows beyond which a forest keeps no draws of each row
+LARGE = 200_000
 
 
 def sized(df, rows=50_000):
@@ -169,6 +171,17 @@ def fit_gbt(train, rounds=GBT["rounds"], feats=FEATS, min_leaf=1, weighted=True,
 
 
 def fit_rf(train, trees=FOREST["trees"], feats=FEATS, weighted=True):
+    """Spark ML's forest; beyond LARGE rows it is grown by ``operators.forest``, where the binned rows fit into a task's memory."""
+    feats = list(feats)
+    bad = F.lit(False)
+    for f in feats:
+        bad = bad | F.col(f).isNull() | F.isnan(F.col(f).cast("double"))
+    t = train.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n1"), F.count(F.when(bad | F.col("label").isNull(), 1)).alias("bad")).first()
+    if t["n"] > LARGE and not t["bad"] and 0 < t["n1"] < t["n"]:  # else as Spark ML has it
+        w = (t["n"] / (2.0 * (t["n"] - t["n1"])), t["n"] / (2.0 * t["n1"])) if weighted else (1.0, 1.0)
+        model = forest.fit(train, feats, "label", trees, FOREST["depth"], MIN_LEAF, w)
+        if model is not None:
+            return model
     d = sized(balanced_weights(train) if weighted else train.withColumn("w", F.lit(1.0)))
     rf = RandomForestClassifier(labelCol="label", weightCol="w", numTrees=trees, maxDepth=FOREST["depth"],
                                 featureSubsetStrategy="sqrt", minInstancesPerNode=MIN_LEAF, seed=42)

@@ -7,7 +7,7 @@ in numpy, and the driver, which gets at most nodes x features x bins sums of a t
 and picks each node's best split. Only the smaller child of a node is summed, the other one
 is its parent less that. Sums are of whole numbers (gradients in units of a power of two),
 so that a model is the same under any partitioning, and after a lost executor too.
-Margins are written to the blocks every few trees; trees since then are applied once for each tree.
+Blocks and margins are cached, and margins follow the trees there every few trees and in the files now and then.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.storagelevel import StorageLevel
 from lodestar.operators.quantiles import ordered_image
 from lodestar.session import discard, stored
 
-#: trees between two writings of the rows' margins
-KEEP = 25
+#: trees between two writings of the rows' margins, and between two sums of them in the cached blocks
+KEEP, FRESH = 25, 5
 #: rows of a block at most: sums of that many gradients are exact in doubles
 BLOCK = 1 << 15
 #: up to this many rows one task runs all levels
@@ -182,6 +182,17 @@ def _unpack(row, k: int, recent: Sequence[Tree]):
     return ids, y, w, np.frombuffer(row["held"], np.bool_), margin, bins
 
 
+def _further(block, trees: Sequence[Tree]):
+    """A block's arrays with the trees' values added to its margins."""
+    if not trees:
+        return block
+    ids, y, w, held, margin, bins = block
+    margin = margin.copy()
+    for t in trees:
+        t.add_margins(margin, bins, "cut")
+    return ids, y, w, held, margin, bins
+
+
 def _with_margins(blocks: DataFrame, k: int, recent: Sequence[Tree]) -> DataFrame:
     recent = list(recent)
 
@@ -241,16 +252,24 @@ class _Rows:
     a lost executor's are made again from files."""
 
     def __init__(self, table: DataFrame, plan: _Plan):
-        self.plan, self.recent, self.part = plan, [], None
+        self.plan, self.part, self.state, self.older = plan, None, None, []
         self._read(table)
 
     def _read(self, table: DataFrame) -> None:
-        self.table, self.blocks = table, table.rdd
+        """The stored blocks' arrays, cached; ``recent`` trees aren't in the stored margins, ``fresh`` ones not in the cached ones."""
+        k = self.plan.k
+        self.table, self.recent, self.fresh = table, [], []
+        self._state(table.rdd.map(lambda row: _unpack(row, k, [])))
+
+    def _state(self, blocks) -> None:
+        if self.state is not None:
+            self.older.append(self.state)  # until a job has made the new ones of it
+        self.state = blocks.persist(StorageLevel.MEMORY_AND_DISK)
 
     def _start(self, number: int) -> None:
-        plan, recent = self.plan, list(self.recent)
-        self.close()
-        self.part = self.blocks.map(lambda row: _drawn_part(_unpack(row, plan.k, recent), plan, number)).persist(StorageLevel.MEMORY_AND_DISK)
+        plan, fresh = self.plan, list(self.fresh)
+        self._drop()
+        self.part = self.state.map(lambda block: _drawn_part(_further(block, fresh), plan, number)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def level(self, tree: Tree, number: int, nodes: Sequence[int], columns: np.ndarray) -> tuple[dict[int, np.ndarray], float]:
         """Per node of ``nodes`` an array (column, bin, 3) of whole numbers: gradients and Hessians in ``unit``s, and rows;
@@ -271,22 +290,34 @@ class _Rows:
 
         sums = self.part.mapPartitions(fn)
         total, loss = sums.treeReduce(plus) if sums.getNumPartitions() > DIRECT else functools.reduce(plus, sums.collect())
+        while self.older:
+            self.older.pop().unpersist()
         return dict(zip(nodes, total)), loss / 2.0 ** 20
 
     def grown(self, tree: Tree) -> None:
         self.recent.append(tree)
+        self.fresh.append(tree)
         if len(self.recent) == KEEP:
             self.close()
             old = self.table
             self._read(stored(_with_margins(old, self.plan.k, self.recent), "binned-rows"))
-            self.recent = []
             discard(old)
+        elif len(self.fresh) == FRESH:
+            fresh, self.fresh = self.fresh, []
+            self._state(self.state.map(lambda block: _further(block, fresh)))
 
-    def close(self) -> None:
+    def _drop(self) -> None:
         if self.part is not None:
             self.part.unpersist()
             self.part = None
 
+    def close(self) -> None:
+        self._drop()
+        for blocks in [*self.older, self.state]:
+            if blocks is not None:
+                blocks.unpersist()
+        self.older, self.state = [], None
+
 
 class _Held:
     """The rows of a table of one partition, in its one task: the same sums without a job for each."""

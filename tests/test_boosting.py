@@ -88,6 +88,22 @@ def test_trees_equal_exhaustive_search(spark, table, monkeypatch, rows, columns,
     assert max(abs(p[i] - want[i]) for i in want) < 1e-7
 
 
+def test_cached_margins_change_nothing(spark, table, monkeypatch):
+    """Blocks are unpacked from files once between two writings, and margins follow in the cache."""
+    args = dict(rounds=7, depth=3, rows=0.7, columns=0.5, validation=0.2)
+    one = B.fit(table, NAMES, "y", **args)
+    unpacked = []
+    monkeypatch.setattr(B, "PARTITION_ROWS", 300)
+    monkeypatch.setattr(B, "KEEP", 5)
+    monkeypatch.setattr(B, "FRESH", 2)
+    state = B._Rows._state
+    monkeypatch.setattr(B._Rows, "_state", lambda self, blocks: (unpacked.append(len(self.fresh)), state(self, blocks)))
+    many = B.fit(table.repartition(5), NAMES, "y", **args)
+    assert [(t.feature, t.cut, t.value) for t in one.trees] == [(t.feature, t.cut, t.value) for t in many.trees] and len(many.trees) == 7
+    assert one.history == pytest.approx(many.history) and len(unpacked) == 5  # at first, after 2, 4, 5 and 7 trees
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_model_does_not_depend_on_partitions(spark, table, monkeypatch):
     one = B.fit(table.coalesce(1), NAMES, "y", rounds=3, rows=0.7, columns=0.5)
     monkeypatch.setattr(B, "PARTITION_ROWS", 300)
